@@ -69,17 +69,15 @@ def hash128(*values: Column) -> tuple[Column, Column]:
     return F.xxhash64(*values), F.xxhash64(F.lit(7919), *values)
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: list[str], parts: int = PARTS) -> DataFrame:
-    """Inner join of ``left`` with ``right`` (a written table, unique on ``keys``), dealt evenly whatever the skew.
+def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], weights: DataFrame, weight: str, spread: list[str], parts: int = PARTS) -> DataFrame:
+    """Inner join of ``left`` with ``right`` (unique on ``keys``), dealt evenly whatever the skew.
 
-    ``right[weight]`` is the number of left rows of a key. A key with more than 1/parts of them is split into as many salts as it
-    has parts; the sum of the shares is one, so under ``parts`` keys are heavy (the only rows broadcast) and at most
-    ``2 * parts`` right rows are added. ``spread`` names left columns whose hash picks the salt. Output: left and right
-    columns without the weight. Left columns may not clash with right ones other than the keys.
+    ``weights`` is a written table with ``keys`` and ``weight``, the number of left rows of a key. A key with more than 1/parts of
+    them is split into as many salts as it has parts; the shares sum to one, so under ``parts`` keys are heavy (the
+    only rows broadcast) and at most ``2 * parts`` right rows are added. ``spread`` names left columns whose hash picks the salt.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    salts = F.when(F.col(weight) * parts > total, F.ceil(F.col(weight) * parts / F.lit(max(total, 1)))).otherwise(F.lit(1)).cast("int")
-    heavy = right.filter(F.col(weight) * parts > total).select(*keys, salts.alias("_salts"))
+    total = weights.agg(F.sum(weight)).first()[0] or 0
+    heavy = weights.filter(F.col(weight) * parts > total).select(*keys, F.ceil(F.col(weight) * parts / F.lit(max(total, 1))).cast("int").alias("_salts"))
     dealt = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_salts")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(weight)
+    copies = right.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(copies, [*keys, "_salt"], "inner").drop("_salt")

@@ -35,7 +35,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.select("d", "th", "pos", h1.alias("h1"), h2.alias("h2"))
     shared = keyed.groupBy("h1", "h2", "d").agg(F.count("*").alias("m")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.sum("m").alias("w"), F.max("d").alias("keeper"))
     shared = scratch.keep(shared.filter(F.col("n") >= min_docs).drop("n"), "shared")
-    hits = salted_lookup(keyed, shared, ["h1", "h2"], "w", ["d", "pos"]).filter(~F.col("d").eqNullSafe(F.col("keeper")))
+    hits = salted_lookup(keyed, shared.drop("w"), ["h1", "h2"], shared, "w", ["d", "pos"]).filter(~F.col("d").eqNullSafe(F.col("keeper")))
     dropped = hits.groupBy("d", "th").agg(F.collect_set("pos").alias("gone")).select(F.col("d").alias("_d"), F.col("th").alias("_th"), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("d"), text.alias("t"), F.xxhash64(text).alias("th"))
     joined = rows.join(dropped, F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")), "left").select("row", "gone", "t", F.split("t", "\n").alias("all"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, sharding
+from . import language_id, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, topk
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_quality_rules": quality.op2_quality_rules,
-        "op9_mixing": mixing.op9_mixing,
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
+        "op8_topk": topk.op8_topk,
+        "op9_mixing": mixing.op9_mixing,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op4_near_dedup": near_dedup.SQL, "op8_topk": topk.SQL, "op9_mixing": mixing.SQL}
