@@ -4,12 +4,13 @@ A profile is the list of a language's most frequent character n-grams in order o
 profile by the out-of-place distance: for each of its n-grams, how far its rank is from the profile's rank, or the
 largest distance if the profile lacks it. The nearest profile wins.
 
-N-grams are runs of 1 to 4 lower-case letters inside words, with one blank at either end of a word. Counting is done on whole texts in
+N-grams are runs of 1 to 3 lower-case letters inside words, with one blank at either end of a word. Counting is done on whole texts in
 numpy over Arrow batches.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from functools import lru_cache
 
@@ -21,66 +22,74 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import ship
 from .tokens import in_pieces
 
-SIZES = (1, 2, 3, 4)
+SIZES = (1, 2, 3)
 DOC_GRAMS = 300
 PROFILE_GRAMS = 400
+#: Labelled documents learnt from, per language, on average: a fixed hash of the id picks them. Languages with fewer give all.
+SAMPLE_DOCS = 20_000
 UNKNOWN = "und"
-BLANK = np.uint64(1)
-#: A gram is at most 4 code points of 16 bits; rarer planes are folded into them.
-BITS = np.uint64(16)
+#: Rows handled together: row, n-gram length and three 16-bit letters then share one 64-bit sort key.
+ROWS = 256
+CHARS = 1 << 20
+BLANK = 1
 
 
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
-    """For each code point 0 if it is no letter, else the code of its lower-case form (2 and up)."""
-    table = np.zeros(0x110000, dtype=np.uint64)
-    for c in range(0x30000):
+    """For each code point 0 if it is no letter, else a 16-bit code of its lower-case form (rarer planes are folded into it)."""
+    table = np.zeros(0x110000, dtype=np.uint16)
+    for c in range(0x34000):
         ch = chr(c)
         if unicodedata.category(ch)[0] == "L":
             low = ch.lower()
             low = ord(low) if len(low) == 1 else c
             table[c] = low if low < 0x10000 else 2 + low % 0xFFF0
-    table[0x30000:0x3FFFF] = 2  # the third ideographic plane is all letters
     return table
 
 
 def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document index, n-gram code, count) of the texts, sorted by document, then count descending, then code."""
+    """(row, n-gram code, count) of up to ``ROWS`` texts, sorted by row, then count descending, then code."""
     codes = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
     lengths = np.array([len(c) + 2 for c in codes], dtype=np.int64)
-    chars = np.zeros(int(lengths.sum()), dtype=np.uint64)
     starts = np.cumsum(lengths) - lengths
+    letters = np.zeros(int(lengths.sum()), dtype=np.uint16)
     table = letter_table()
     for s, c in zip(starts, codes):
-        chars[s + 1 : s + 1 + len(c)] = table[c]
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    letter = chars > 0
-    edge = ~letter & (np.append(letter[1:], False) | np.insert(letter[:-1], 0, False))
-    chars[edge] = BLANK  # the place before or after a word
-    keys, docs = [], []
+        letters[s + 1 : s + 1 + len(c)] = table[c]
+    is_letter = letters > 0
+    edge = ~is_letter
+    edge[1:-1] &= is_letter[:-2] | is_letter[2:]
+    letters[edge] = BLANK  # the place before or after a word
+    row = np.repeat(np.arange(len(texts), dtype=np.int64) << 50, lengths)
+    some, inner = letters > 0, letters > BLANK
+    chars, keys = letters.astype(np.int64), []
     for n in SIZES:
         if len(chars) < n:
             break
-        code = np.zeros(len(chars) - n + 1, dtype=np.uint64)
-        fine = np.ones(len(code), dtype=bool)
-        for k in range(n):
-            piece = chars[k : len(chars) - n + 1 + k]
-            code = (code << BITS) | piece
-            fine &= (piece > 0) if k in (0, n - 1) else (piece > 1)
-        if n == 1:
-            fine &= chars > 1
-        keys.append(code[fine])
-        docs.append(doc[: len(code)][fine])
-    key, owner = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((key, owner))
-    key, owner = key[order], owner[order]
-    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, len(key)))
-    key, owner = key[new], owner[new]
-    order = np.lexsort((key, -count, owner))
-    return owner[order], key[order], count[order]
+        m = len(chars) - n + 1
+        fine = inner[:m].copy() if n == 1 else some[:m] & some[n - 1 :]
+        for k in range(1, n - 1):
+            fine &= inner[k : m + k]
+        if n == 2:
+            fine &= inner[:m] | inner[1:]
+        at = np.flatnonzero(fine)
+        code = chars[at]
+        for k in range(1, n):
+            code = (code << 16) | chars[at + k]
+        keys.append(row[at] | (n << 48) | code)
+    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    key = key[first]
+    owner = key >> 50
+    if len(key) < 1 << 27 and count.max(initial=0) < 1 << 28:
+        order = np.sort((owner << 55) | (((1 << 28) - 1 - count) << 27) | np.arange(len(key))) & ((1 << 27) - 1)
+    else:
+        order = np.lexsort((key, -count, owner))
+    return owner[order], key[order] & ((1 << 50) - 1), count[order]
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -92,7 +101,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             names = sorted(set(langs))
             place = {x: i for i, x in enumerate(names)}
             offset, parts = 0, []
-            for part in in_pieces(batch, ["lang"], "t", most=1_000_000):
+            for part in in_pieces(batch, ["lang"], "t", ROWS, CHARS):
                 owner, key, count = grams_of(part.column("t").to_pylist())
                 which = np.array([place[x] for x in langs[offset : offset + part.num_rows]], dtype=np.int64)
                 offset += part.num_rows
@@ -101,17 +110,25 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 whole = pd.concat(parts).groupby(["l", "g"], as_index=False)["n"].sum()
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in whole["l"]], pa.string()), pa.array(whole["g"], pa.int64()), pa.array(whole["n"], pa.int64())], names=["lang", "g", "n"])
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", grams: int = PROFILE_GRAMS) -> dict[str, list[int]]:
-    """Profiles by language: its ``grams`` most frequent n-grams, most frequent first, ties by code. All labelled rows are counted.
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", grams: int = PROFILE_GRAMS, sample: int = SAMPLE_DOCS) -> dict[str, list[int]]:
+    """Profiles by language: its ``grams`` most frequent n-grams, most frequent first, ties by code.
 
+    Learnt from about ``sample`` documents per language, taken by a hash of their ids (all documents of smaller languages).
     What reaches the driver is ``grams`` codes per language: languages, not documents, decide its size.
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 20)).alias("draw"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    large = {lang: math.ceil((1 << 20) * sample / n) for lang, n in sizes.items() if n > sample}
+    if large:
+        limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(cut)) for lang, cut in sorted(large.items())], F.lit(1 << 20))
+        rows = rows.filter(F.col("draw") < limit)
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
-    top = gram_counts(rows).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= grams)
+    top = gram_counts(rows.select("t", "lang")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= grams)
     found: dict[str, list[tuple[int, int]]] = {}
     for r in top.collect():
         found.setdefault(r["lang"], []).append((r["rank"], r["g"]))
@@ -121,8 +138,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", g
 def nearest(texts: list[str | None], codes: np.ndarray, ranks: np.ndarray, names: list[str], doc_grams: int, penalty: int) -> tuple[list[str], list[float]]:
     """Language and score of each text. ``codes`` sorted, ``ranks`` per code and language (``penalty`` where a profile lacks it)."""
     owner, key, _ = grams_of(texts)
-    first = np.searchsorted(owner, np.arange(len(texts)))
-    rank = np.arange(len(owner)) - first[owner]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
     top = rank < doc_grams
     owner, key, rank = owner[top], key[top].astype(np.int64), rank[top]
     used = np.bincount(owner, minlength=len(texts))
@@ -131,10 +147,11 @@ def nearest(texts: list[str | None], codes: np.ndarray, ranks: np.ndarray, names
         return labels, scores
     at = np.minimum(np.searchsorted(codes, key), len(codes) - 1)
     known = codes[at] == key
-    away = np.where(known[:, None], np.minimum(np.abs(ranks[at] - rank[:, None]), penalty), penalty)
-    away = np.where(known[:, None] & (ranks[at] >= penalty), penalty, away)
+    place = ranks[at]
+    away = np.where(known[:, None] & (place < penalty), np.minimum(np.abs(place - rank[:, None]), penalty), penalty)
     total = np.zeros((len(texts), len(names)))
-    np.add.at(total, owner, away)
+    full = np.flatnonzero(used)
+    total[full] = np.add.reduceat(away, np.searchsorted(owner, full), axis=0)
     for i in np.flatnonzero(used):
         best = int(np.argmin(total[i]))  # names are sorted: ties go to the first
         labels[i] = names[best]
@@ -158,10 +175,11 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
 
     def run(batches):
         for batch in batches:
-            for part in in_pieces(batch, own, "t", most=1_000_000):
+            for part in in_pieces(batch, own, "t", ROWS, CHARS):
                 labels, scores = nearest(part.column("t").to_pylist(), codes, ranks, names, doc_grams, penalty)
                 yield pa.RecordBatch.from_arrays([*[part.column(f"c{i}") for i in range(len(own))], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*[f"c{i}" for i in range(len(own))], "lang_pred", "score"])
 
+    ship(docs.sparkSession)
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(own)]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(text_col).alias("t"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, salted_lookup
+from .common import Scratch, salted_lookup, ship
 from .hashing import buffers, constants, mix, window_hashes, word_hashes
 from .tokens import in_pieces
 
@@ -123,6 +123,7 @@ def _sketched(docs: DataFrame, sketcher: Sketcher) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("d"), part.column("th"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bands], names=["d", "th", "n", "s1", "s2", "bands"])
 
+    ship(docs.sparkSession)
     kind = docs.schema["d"].dataType
     longs = [T.StructField(c, T.LongType()) for c in ("th", "n", "s1", "s2")]
     schema = T.StructType([T.StructField("d", kind), *longs, T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -141,6 +142,7 @@ def _sets(texts: DataFrame, sketcher: Sketcher) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(np.append(first[keep], len(value)), pa.int32()), pa.array(value.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(keep)), pa.array(n[keep], pa.int64()), sets, pa.array([r.tobytes() for r in regs], pa.binary())], names=["id", "n", "set", "regs"])
 
+    ship(texts.sparkSession)
     kind = texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("set", T.ArrayType(T.LongType())), T.StructField("regs", T.BinaryType())])
     return texts.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, ship
 from .tokens import default_vocabulary, encoder, in_pieces
 
 CAPACITY = 2048
@@ -49,6 +49,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabu
                         start, piece = end, piece + 1
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int32()), *[pa.array(c, pa.int64()) for c in out[1:]]], names=["d", "piece", "start", "length", "ids_crc32"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("d", kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, shared_dir
+from .common import Scratch, shared_dir, ship
 from .tokens import default_vocabulary, encoder, in_pieces
 
 CELL = ("source", "lang", "tokenizer")
@@ -30,6 +30,7 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -
                 sizes = [len(x) // 4 for x in encode(part.column(text_col).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(sizes, pa.int64())], names=[*kept, "n_tokens"])
 
+    ship(docs.sparkSession)
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("n_tokens", T.LongType())])
     return docs.mapInArrow(run, schema)
 

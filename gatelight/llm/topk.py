@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, ship
 
 K = 5
 SCALE = 256
@@ -106,6 +106,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         rows = threshold_search(matrix(v), v["id"].to_numpy(), matrix(q), q["id"].to_numpy(), k)
         return pd.DataFrame(rows, columns=["query", "id", "score"], dtype="int64")
 
+    ship(spark)
     keys = ["dims", "qb", "vb"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query long, id long, score long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
