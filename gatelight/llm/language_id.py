@@ -159,8 +159,8 @@ def nearest(texts: list[str | None], codes: np.ndarray, ranks: np.ndarray, names
     return labels, scores
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", doc_grams: int = DOC_GRAMS) -> DataFrame:
-    """``docs`` without the text, plus lang_pred and score (0 to 1; 1 is a perfect match of ranks); these win over like-named columns.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", doc_grams: int = DOC_GRAMS, keep_text: bool = False) -> DataFrame:
+    """``docs`` (without the text unless ``keep_text``), plus lang_pred and score (0 to 1; 1 is a perfect match of ranks); these win over like-named columns.
 
     Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is any text when there is no profile. Ties go to the
     language first by code point. Repeated rows get equal results. An empty table gives an empty table. Whole texts are counted.
@@ -171,19 +171,20 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     ranks = np.full((max(len(codes), 1), max(len(names), 1)), penalty, dtype=np.int64)
     for j, name in enumerate(names):
         ranks[np.searchsorted(codes, np.array(profiles[name], dtype=np.int64)), j] = np.arange(len(profiles[name]))
-    own = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    own = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
+    flat_names = ["t" if c == text_col else f"c{i}" for i, c in enumerate(own)]
 
     def run(batches):
         for batch in batches:
             for part in in_pieces(batch, own, "t", ROWS, CHARS):
                 labels, scores = nearest(part.column("t").to_pylist(), codes, ranks, names, doc_grams, penalty)
-                yield pa.RecordBatch.from_arrays([*[part.column(f"c{i}") for i in range(len(own))], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*[f"c{i}" for i in range(len(own))], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in flat_names], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*flat_names, "lang_pred", "score"])
 
     ship(docs.sparkSession)
-    fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(own)]
+    fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(flat_names, own)]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(text_col).alias("t"))
-    return flat.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "lang_pred", "score")
+    flat = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(flat_names, own) if c != text_col], F.col(text_col).alias("t"))
+    return flat.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(flat_names, own)], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, word_count
+from .common import Scratch, word_count, words_of
 
 WEIGHTS = (5, 2, 1)  # of the sources in code-point order, repeating
 MAX_COPIES = 3
@@ -90,6 +90,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return met.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "size", "source_size", "target", copies.alias("copies"), extra.alias("extra_words"), (F.col("whole") * F.col("size") + F.col("more")).alias("taken"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each copy, and for the cut copy of a source one row with the words it takes."""
+    taken = mix(docs, id_col, text_col, source_col, weights, cap)
+    times = (F.col("copies") + (F.col("extra_words") > 0).cast("long")).cast("int")
+    rows = taken.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+    part = F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col("extra_words").cast("int")), " ")
+    text = F.when(F.col("_copy") <= F.col("copies"), F.col(text_col)).otherwise(part)
+    return rows.withColumn(text_col, text).select(*[c for c in docs.columns])
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -266,6 +266,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("d") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one with the smallest id. Rows with a null id stay."""
+    kept = near_groups(docs, id_col, text_col, shingle, percent).filter(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept"))
+    found = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    return found.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=4)
 
