@@ -98,7 +98,7 @@ def track_faces(faces: DataFrame, by: str, diagonal: float) -> DataFrame:
     """``track_clip`` for every clip: by, frame_i, face_no, track_id."""
     kind = faces.schema[by].dataType.simpleString()
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = track_clip(rows, diagonal)
         out.insert(0, by, key[0])
         return out

@@ -245,10 +245,10 @@ def containment(t):
 
 
 @query("""select frame_id, face_no, cast(round_even(x1, 0) as int) as x, cast(round_even(y1, 0) as int) as y, cast(round_even(x2 - x1, 0) as int) as w, cast(round_even(y2 - y1, 0) as int) as h,
-  round(greatest(x1, 0) / 1080, 6) as nx1, round(least(y2, 1920) / 1920, 6) as ny2 from {v_faces}""")
+  greatest(x1, 0) / 1080 as nx1, least(y2, 1920) / 1920 as ny2 from {v_faces}""")
 def box_forms(t):
     px, clamped = boxes.to_int_xywh(_box()), boxes.normalized(boxes.clamp(_box(), FRAME_W, FRAME_H), FRAME_W, FRAME_H)
-    return t.v_faces.select("frame_id", "face_no", px["x"].alias("x"), px["y"].alias("y"), px["w"].alias("w"), px["h"].alias("h"), r6(clamped["x1"]).alias("nx1"), r6(clamped["y2"]).alias("ny2"))
+    return t.v_faces.select("frame_id", "face_no", px["x"].alias("x"), px["y"].alias("y"), px["w"].alias("w"), px["h"].alias("h"), clamped["x1"].alias("nx1"), clamped["y2"].alias("ny2"))
 
 
 @query("""select profile_id, round(cast(split_part(ratio, ':', 1) as double) / cast(split_part(ratio, ':', 2) as double), 6) as ratio_value, ratio as label from {v_profiles}""")
@@ -437,9 +437,9 @@ def nearest_step(t):
     return asof.nearest(*_sides(t), "clip_id", "t", "speech").select("clip_id", "i", "nearest")
 
 
-@query(f"with {_SIDES} select clip_id, i, round(case when bt is null then as_ when at_ is null or at_ <= bt then bs else bs + (as_ - bs) * (t - bt) / (at_ - bt) end, 6) as speech from n")
+@query(f"with {_SIDES} select clip_id, i, case when bt is null then as_ when at_ is null or at_ <= bt then bs else bs + (as_ - bs) * (t - bt) / (at_ - bt) end as speech from n")
 def interp_series(t):
-    return asof.interpolate(*_sides(t), "clip_id", "t", "speech").select("clip_id", "i", r6("speech").alias("speech"))
+    return asof.interpolate(*_sides(t), "clip_id", "t", "speech").select("clip_id", "i", "speech")
 
 
 @query(f"with {_SIDES} select clip_id, i, round(case when bshot <> ashot then ax when bt is null then ax when at_ is null or at_ <= bt then bx else bx + (ax - bx) * (t - bt) / (at_ - bt) end, 6) as cx from n")
@@ -543,7 +543,7 @@ def ncc_speaker(t):
 
 @query()
 def crop_solve(t):
-    return crop.solve(t.v_faces, int(FRAME_W), int(FRAME_H), 4 / 5)
+    return crop.solve(t.v_faces, int(FRAME_W), int(FRAME_H), 4 / 5, scales=3, steps=5)
 
 
 # --- streams over the audit feed, as tables -------------------------------------------------------------------------------
