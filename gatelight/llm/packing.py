@@ -61,6 +61,7 @@ def plan(histogram: dict[int, int], capacity: int, max_docs: int, max_cost: int)
     A group is a run of sequences with equal residuals. An item goes to the feasible group of the smallest residual norm and fills its
     sequences one after the other, which is what placing the items one by one would do. Every step uses up a length or a group, and
     a length leaves at most two groups more, so there are at most capacity * 2 * capacity steps whatever the counts.
+    A piece over a capacity by itself gets a sequence of its own.
     """
     caps = np.array([capacity, max_docs, max_cost], dtype=np.float64)
     weights = np.array(NORM) / caps
@@ -77,13 +78,13 @@ def plan(histogram: dict[int, int], capacity: int, max_docs: int, max_cost: int)
                 norms = np.sqrt((((room[where] - need) * weights) ** 2).sum(axis=1))
                 g = where[int(np.argmin(norms))]
             else:
-                each = int((caps // need).min())
+                each = max(1, int((caps // need).min()))
                 fresh = math.ceil((count - rank) / each)
                 room = np.vstack([room, caps.astype(np.int64)[None]])
                 first, many, fits = np.append(first, opened), np.append(many, fresh), np.append(fits, True)
                 opened += fresh
                 g = len(room) - 1
-            each = int((room[g] // need).min())
+            each = max(1, int((room[g] // need).min()))
             left, offset, start = count - rank, capacity - int(room[g][0]), int(first[g])
             full = min(left // each, int(many[g]))
             for k, n in ((each, full), (left - full * each, 1 if full < many[g] and left - full * each > 0 else 0)):
