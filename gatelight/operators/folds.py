@@ -22,6 +22,7 @@ def fold(df: DataFrame, by: list[str], order: list[str], fields: list[str], zero
     ``step(state, row)`` returns the next state. States are collected in a reversed linked fashion: the accumulator carries the current state
     and the states so far.
     """
+    fields = list(dict.fromkeys(fields))
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("rows"))
     states = F.aggregate(
         "rows", F.struct(zero.alias("now"), F.slice(F.array(zero), 1, 0).alias("all")),
