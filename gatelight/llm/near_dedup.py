@@ -7,7 +7,8 @@ sizes, which are known exactly) drops pairs that cannot reach the threshold, and
 
 Documents with equal sets are one class from the start. In a bucket of a band, every member is first tried against one member
 (three random orders choose it); what is linked is merged. Only buckets that still hold several components are then gone
-through in pairs, and only between components, so a large group of copies costs work in proportion to its size and no link is lost.
+through, and only between components: copies of one text cost work in proportion to their number, and no link is lost. What
+remains quadratic are documents of one bucket that resemble each other but are not linked, which only their full sets can tell.
 """
 
 from __future__ import annotations
@@ -206,6 +207,32 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     return labels
 
 
+def _between(scratch: Scratch, members: DataFrame, labels: DataFrame | None, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that the first round left in different components.
+
+    Only buckets with several components are opened, and there the members outside the largest one meet all others. The full sets travel with the
+    bucket rows and are compared inside the join, so what comes out is links: no pair is written that is not one. A pair that shares several
+    bands is compared in the first of them alone.
+    """
+    placed = members.select("band", "k", "id", "n")
+    placed = placed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels is not None else placed.withColumn("label", F.col("id"))
+    placed = scratch.keep(placed, "placed")
+    per_label = placed.groupBy("band", "label").agg(F.count("*").alias("m"))
+    open_ = per_label.groupBy("band").agg(F.count("*").alias("labels"), F.sum("m").alias("w"), F.max_by("label", F.col("m")).alias("main")).filter("labels > 1")
+    open_ = scratch.keep(open_.drop("labels"), "open")
+    split = scratch.keep(salted_lookup(placed, open_.drop("w"), ["band"], open_, "w", ["id"]), "split")
+    load = split.join(sets.select("id", "set"), "id").join(heads.select("id", "bands"), "id")
+    x = load.filter("label <> main").select(*[F.col(c).alias(f"x_{c}") for c in ("band", "k", "id", "n", "label", "set", "bands")])
+    n_x, n = F.col("x_n"), F.col("n")
+    met = (F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("x_id") < F.col("id")))
+    alike = 100 * F.least(n_x, n) >= percent * F.greatest(n_x, n)
+    here = F.array_position(F.zip_with("x_bands", "bands", lambda p, q: p == q), F.lit(True)) == F.col("k") + 1
+    both = F.size(F.array_intersect("x_set", "set"))
+    linked = 100 * both >= percent * (n_x + n - both)
+    found = x.join(load, (F.col("x_band") == F.col("band")) & met & alike & F.when(here, linked).otherwise(False))
+    return scratch.keep(found.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")), "between")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links) and kept (id = component_id).
 
@@ -224,7 +251,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = classes.groupBy("id").agg(F.min(F.struct(*key)).alias("k")).select("id", *[f"k.{c}" for c in key])
     heads = usable.join(chosen.withColumnRenamed("id", "d"), ["d", *key]).dropDuplicates(["d"]).select(F.col("d").alias("id"), "th", "n", "bands")
     heads = scratch.keep(heads, "heads")
-    banded = heads.select("id", "n", F.explode("bands").alias("band"))
+    banded = heads.select("id", "n", F.posexplode("bands").alias("k", "band"))
     order = F.xxhash64("id", F.pmod("band", F.lit(3)))
     buckets = banded.groupBy("band").agg(F.count("*").alias("w"), F.min_by("id", order).alias("lead"), F.min_by("n", order).alias("lead_n")).filter("w > 1")
     buckets = scratch.keep(buckets, "buckets")
@@ -239,19 +266,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verifier = Verifier(scratch, sets, percent)
     links = verifier.links(stars)
     labels = components(scratch, links)
-    # pairs of members of one bucket that the first round left in different components
-    placed = members.select("band", "id", "n")
-    placed = placed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels else placed.withColumn("label", F.col("id"))
-    placed = scratch.keep(placed, "placed")
-    per_label = placed.groupBy("band", "label").agg(F.count("*").alias("m"))
-    open_ = scratch.keep(per_label.groupBy("band").agg(F.count("*").alias("labels"), F.sum("m").alias("w"), F.max_by("label", F.col("m")).alias("main")).filter("labels > 1").drop("labels"), "open")
-    split = scratch.keep(salted_lookup(placed, open_.drop("w"), ["band"], open_, "w", ["id"]), "split")
-    rest = split.filter("label <> main").select("band", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
-    every = split.select("band", "id", "n", "label", "main")
-    # a member outside the main component meets all others; two such members meet once
-    cross = rest.join(every, "band").filter((F.col("label") != F.col("label_x")) & alike("n", "n_x") & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("id"))))
-    cross = cross.select(*pair("id", "x")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verifier.links(cross)
+    more = _between(scratch, members, labels, heads, sets, percent)
     labels = components(scratch, links.unionByName(more)) if not more.isEmpty() else labels
     grouped = classes
     if labels is not None:
