@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -58,6 +59,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def tidy(self) -> None:
+        """Let Spark remove the shuffle files behind tables written so far: it does so once the driver has collected their handles."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for table in tables:

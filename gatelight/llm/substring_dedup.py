@@ -151,8 +151,8 @@ def _level(texts: DataFrame, length: int, following: int, before: int, last: boo
     return texts.mapInArrow(run, schema)
 
 
-def repeats(texts: DataFrame, words: int = WORDS, first: int = FIRST) -> DataFrame:
-    """Per document of ``texts`` (d, t): d and runs (array of p, n) of window starts whose ``words``-word window also starts in a smaller document."""
+def repeats(scratch: Scratch, texts: DataFrame, words: int = WORDS, first: int = FIRST) -> DataFrame:
+    """Written table per document of ``texts`` (d, t): d and runs (array of p, n) of window starts whose ``words``-word window also starts in a smaller document."""
     lengths = levels(words, first)
     found: DataFrame | None = None
     for i, length in enumerate(lengths):
@@ -166,7 +166,8 @@ def repeats(texts: DataFrame, words: int = WORDS, first: int = FIRST) -> DataFra
         hit = (F.col("d") > low) if last else (low < high)
         rows = rows.withColumn("hit", (F.col("p") >= SETTLED) | (hit & (F.col("p") >= 0))).filter("hit")
         spot = F.struct((F.col("p") % SETTLED).alias("p"), "n")
-        found = rows.groupBy("d").agg(F.collect_list(spot).alias("runs"))
+        found = scratch.keep(rows.groupBy("d").agg(F.collect_list(spot).alias("runs")), "repeats")
+        scratch.tidy()  # a level's shuffle is not needed by the next
     return found
 
 
@@ -182,7 +183,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.coalesce(text_col, F.lit("")).alias("t"))
-    found = scratch.keep(repeats(texts, words, first), "repeats")
+    found = repeats(scratch, texts, words, first)
     own = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
     flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(id_col).alias("d"), F.coalesce(text_col, F.lit("")).alias("t"))
     joined = flat.join(found, "d", "left").drop("d")
