@@ -75,8 +75,8 @@ def votes() -> dict[str, Column]:
         "repeats": vote(None, share("n_repeat_words", "n_words") > 0.2),
         "dup_lines": vote(None, share("n_dup_lines", "_n_lines") > 0.3),
         "letters": vote(None, share("_letters", "word_chars") < 0.7),
-        "sentences": vote(stops.between(0.02, 0.25), (stops < 0.005) & (F.col("n_words") >= 50)),
-        "word_length": vote(mean.between(3.0, 7.0), (mean < 2.0) | (mean > 15.0)),
+        "sentences": vote(stops.between(0.02, 0.4), (stops < 0.005) & (F.col("n_words") >= 50)),
+        "word_length": vote(mean.between(2.5, 12.0), (mean < 2.0) | (mean > 15.0)),
     }
 
 
