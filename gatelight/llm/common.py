@@ -19,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A key is heavy when it holds more than 1/PARTS of all rows, so there are fewer than PARTS heavy keys at any input size.
 PARTS = 1000
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,11 +96,15 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], weights: D
     """Inner join of ``left`` with ``right`` (unique on ``keys``), dealt evenly whatever the skew.
 
     ``weights`` is a written table with ``keys`` and ``weight``, the number of left rows of a key. A key with more than 1/parts of
-    them is split into as many salts as it has parts; the shares sum to one, so under ``parts`` keys are heavy (the
-    only rows broadcast) and at most ``2 * parts`` right rows are added. ``spread`` names left columns whose hash picks the salt.
+    them is heavy: its left rows are spread over ``SALTS`` salts and its right row is repeated for each. Shares sum to one, so under ``parts``
+    keys are heavy; their hashes are all that the driver learns, and at most ``parts * SALTS`` right rows are added. ``spread``
+    names left columns whose hash picks the salt. Keys must have the same types on all sides.
     """
     total = weights.agg(F.sum(weight)).first()[0] or 0
-    heavy = weights.filter(F.col(weight) * parts > total).select(*keys, F.ceil(F.col(weight) * parts / F.lit(max(total, 1))).cast("int").alias("_salts"))
-    dealt = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_salts")
-    copies = right.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return dealt.join(copies, [*keys, "_salt"], "inner").drop("_salt")
+    key = F.xxhash64(*keys)
+    heavy = [r["h"] for r in weights.filter(F.col(weight) * parts > total).select(key.alias("h")).collect()]
+    if not heavy:
+        return left.join(right, keys)
+    dealt = left.withColumn("_salt", F.when(key.isin(heavy), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(key.isin(heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(salts)), [*keys, "_salt"]).drop("_salt")
