@@ -1,77 +1,186 @@
-"""Crop search: candidate windows are rows, their score a column, the winner a ``max_by``. No Python in the plan."""
+"""Crop search: a grid of windows of each size, refined round the best place of the size. Frames are scored in Arrow batches by NumPy, so that
+thousands of windows a frame never become rows."""
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatelight.functions import boxes
 
 INTACT, GONE = 0.995, 0.02
 DROP_PENALTY, CLIP_PENALTY = 0.22, 3.0
+SAFE_PENALTY, RESERVED_PENALTY = 0.9, 1.1
 W_COVERAGE, W_COMPOSITION, W_SCALE = 1.0, 0.55, 0.22
+BLOCK = 64  # frames whose grid is scored at a time: its arrays stay in the cache
 
 
-def candidates(width: int, height: int, aspect: float, min_scale: float, scales: int, steps: int) -> list[tuple[int, int, int, float, float]]:
-    """(order, w, h, x, y) of the coarse grid of one frame size; the order breaks ties like a scan from the largest window would."""
+class Rules(NamedTuple):
+    """What a profile asks of a crop; zones are (x1, y1, x2, y2) in shares of the window."""
+
+    centre: bool = False
+    headroom: bool = True
+    action: tuple[float, float, float, float] | None = None
+    reserved: tuple[tuple[float, float, float, float], ...] = ()
+
+
+def sizes(width: int, height: int, aspect: float, min_scale: float, scales: int) -> list[tuple[int, int]]:
+    """Window sizes from the largest that fits down to ``min_scale`` of it, none twice."""
     wide = width / height > aspect
     big_w = max(1, math.floor(height * aspect if wide else width))
     big_h = max(1, math.floor(height if wide else width / aspect))
-    sizes = dict.fromkeys((min(width, max(16, round(big_w * s))), min(height, max(16, round(big_h * s)))) for s in (1 - (1 - min_scale) * i / max(1, scales - 1) for i in range(scales)))
-    out = []
-    for w, h in sizes:
-        axis = lambda span: [0.0] if span <= 0 else [span * k / (n - 1) for n in [min(steps, max(2, span + 1))] for k in range(n)]
-        out += [(w, h, x, y) for y in axis(height - h) for x in axis(width - w)]
-    return [(i, *c) for i, c in enumerate(out)]
+    scaled = (1 - (1 - min_scale) * i / max(1, scales - 1) for i in range(scales))
+    return list(dict.fromkeys((min(width, max(16, round(big_w * s))), min(height, max(16, round(big_h * s)))) for s in scaled))
+
 
+def places(span: int, steps: int) -> np.ndarray:
+    return np.linspace(0, span, min(steps, max(2, span + 1))) if span > 0 else np.zeros(1)
 
-def composition(primary: Column, crop: Column, centre: bool = False, headroom: bool = True) -> Column:
+
+def _composition(primary, w, h, x, y, kept, rules: Rules):
     """0 to 1: thirds, eye line and headroom of the primary face; 0 if the crop holds under .6 of it."""
-    cw, ch = (F.greatest(f(crop), F.lit(1e-6)) for f in (boxes.width, boxes.height))
-    rx = (boxes.center_x(primary) - crop["x1"]) / cw
-    if centre:
-        side = F.greatest(F.lit(0.0), 1 - F.abs(rx - 0.5) / 0.35)
+    x1, y1, x2, y2 = primary
+    rx = ((x1 + x2) / 2 - x) / w
+    if rules.centre:
+        side = np.maximum(0.0, 1 - np.abs(rx - 0.5) / 0.35)
     else:
-        side = F.greatest(F.lit(0.0), 1 - F.least(F.abs(rx - 1 / 3), F.abs(rx - 2 / 3), F.abs(rx - 0.5) * 1.15) / 0.30)
-    eye = (primary["y1"] + boxes.height(primary) * 0.42 - crop["y1"]) / ch
-    line = F.greatest(F.lit(0.0), 1 - F.abs(eye - (0.36 if headroom else 0.5)) / 0.30)
-    room = (primary["y1"] - crop["y1"]) / ch
-    air = F.when(room < 0, 0.0).when(room < 0.04, room / 0.04).when(room <= 0.20, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (room - 0.20) / 0.28)) if headroom else F.lit(1.0)
-    return F.when(boxes.contained(primary, crop) < 0.6, 0.0).otherwise(F.least(F.lit(1.0), 0.40 * side + 0.34 * line + 0.26 * air))
+        side = np.maximum(0.0, 1 - np.minimum(np.minimum(np.abs(rx - 1 / 3), np.abs(rx - 2 / 3)), np.abs(rx - 0.5) * 1.15) / 0.30)
+    eye = (y1 + np.maximum(y2 - y1, 0) * 0.42 - y) / h
+    line = np.maximum(0.0, 1 - np.abs(eye - (0.36 if rules.headroom else 0.5)) / 0.30)
+    room = (y1 - y) / h
+    air = np.where(room < 0, 0.0, np.where(room < 0.04, room / 0.04, np.where(room <= 0.20, 1.0, np.maximum(0.0, 1 - (room - 0.20) / 0.28)))) if rules.headroom else 1.0
+    return np.where(kept < 0.6, 0.0, np.minimum(1.0, 0.40 * side + (0.34 * line + 0.26 * air)))
+
+
+class Frames:
+    """The faces of some frames, those with most faces first: arrays of face number x frame, boxes with their sides in front."""
+
+    def __init__(self, box: np.ndarray, conf: np.ndarray, number: np.ndarray, width: int, height: int):
+        """``box`` is 4 x faces x frames x 1 x 1, ``conf`` faces x frames x 1 x 1; ``number`` has the faces of each frame."""
+        side = np.maximum(box[2:] - box[:2], 0.0)
+        area = side[0] * side[1]
+        self.frame, self.number, self.box = (width, height), number, box
+        self.weight = np.sqrt(np.maximum(area / float(width * height), 0.02)) * (0.55 + 0.45 * conf)
+        cut = side * (-boxes.CORE_SHRINK / 2)
+        limit = np.array([width, height], dtype=float).reshape(2, 1, 1, 1, 1)
+        self.core = np.concatenate([np.maximum(box[:2] + cut, 0.0), np.minimum(box[2:] - cut, limit)])
+        rank = np.where(np.arange(len(conf)).reshape(-1, 1, 1, 1) < number.reshape(1, -1, 1, 1), area * (0.5 + conf), -1.0)
+        self.first = np.argmax(rank[:, :, 0, 0], axis=0)
 
+    def part(self, lo: int, hi: int) -> Frames:
+        out = object.__new__(Frames)
+        most = self.number[lo]
+        out.frame, out.number, out.first = self.frame, self.number[lo:hi], self.first[lo:hi]
+        out.box, out.core, out.weight = self.box[:, :most, lo:hi], self.core[:, :most, lo:hi], self.weight[:most, lo:hi]
+        return out
 
-def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "frame_id", min_scale: float = 0.70, scales: int = 4, steps: int = 9) -> DataFrame:
-    """Best crop of the grid per frame: x, y, w, h, score (6 places) and how many faces are intact, clipped and dropped.
+    def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules):
+        """Score to 6 places, intact, clipped and dropped faces of the windows at ``x`` and ``y``, whose shapes spread to frames x rows x columns."""
 
-    Importance is the faces' own: weight sqrt(area share) * (.55 + .45 conf) spread over each box. Faces of a frame form one array, so each
-    candidate is scored in its row; one shuffle in all.
+        def held(b, zone=(0.0, 0.0, 1.0, 1.0), cut=slice(None)):
+            (ax, ay, bx, by), at_x, at_y, cw, ch = b, *(v[cut] if np.ndim(v) and len(v) > 1 else v for v in (x, y, w, h))
+            area = np.maximum(bx - ax, 0) * np.maximum(by - ay, 0)
+            across = np.maximum(np.minimum(bx, at_x + cw * zone[2]) - np.maximum(ax, at_x + cw * zone[0]), 0)
+            down = np.maximum(np.minimum(by, at_y + ch * zone[3]) - np.maximum(ay, at_y + ch * zone[1]), 0)
+            return np.where(area > 0, across * down, 0.0) / np.where(area > 0, area, 1.0)
+
+        shape = np.broadcast_shapes((len(self.number), 1, 1), np.shape(x), np.shape(y))
+        loss, inside, whole = np.zeros(shape), np.zeros(shape), np.zeros((shape[0], 1, 1))
+        intact, dropped = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=np.int32)
+        for k in range(self.weight.shape[0]):
+            cut = slice(0, int((self.number > k).sum()))
+            core, weight = self.core[:, k, cut], self.weight[k, cut]
+            f, least = held(core, cut=cut), np.minimum(1.0, weight)
+            kept, gone = f >= INTACT, f <= GONE
+            loss[cut] += np.where(kept, 0.0, np.where(gone, DROP_PENALTY * least, CLIP_PENALTY * (1 - f) * least))
+            intact[cut] += kept
+            dropped[cut] += gone
+            inside[cut] += weight * held(self.box[:, k, cut], cut=cut)
+            whole[cut] += weight
+            if rules.action:
+                safe = held(core, rules.action, cut)
+                loss[cut] += np.where((f >= 0.5) & (safe < 0.98), SAFE_PENALTY * (1 - safe) * (weight / 2), 0.0)
+            for zone in rules.reserved:
+                under = held(core, zone, cut)
+                loss[cut] += np.where((f >= 0.5) & (under > 0.02), RESERVED_PENALTY * under * (weight / 2), 0.0)
+        primary = self.box[:, self.first, np.arange(shape[0])]
+        composed = _composition(primary, w, h, x, y, held(primary), rules)
+        score = W_COVERAGE * inside / whole + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
+        return np.round(score, 6), intact, self.number.reshape(-1, 1, 1) - intact - dropped, dropped
+
+    def search(self, windows: list[tuple[int, int]], biggest: float, steps: int, rounds: int, rules: Rules):
+        """x, y, w, h, score, intact, clipped and dropped of the best window of each frame; of equal scores the first tried stays."""
+        n, (width, height) = len(self.number), self.frame
+        best = np.full((5, n), -np.inf)  # score, x, y, w, h
+        for w, h in windows:
+            span_x, span_y = width - w, height - h
+            xs, ys = places(span_x, steps), places(span_y, steps)
+            here = np.empty((3, n))  # score, x, y
+            for lo in range(0, n, BLOCK):
+                tried = self.part(lo, lo + BLOCK).score(w, h, xs.reshape(1, 1, -1), ys.reshape(1, -1, 1), biggest, rules)[0]
+                flat = tried.reshape(len(tried), -1)
+                at = flat.argmax(axis=1)
+                here[:, lo : lo + BLOCK] = flat[np.arange(len(at)), at], xs[at % len(xs)], ys[at // len(xs)]
+            step_x, step_y = (s / (len(c) - 1) if len(c) > 1 else 0.0 for s, c in ((span_x, xs), (span_y, ys)))
+            going = np.ones(n, dtype=bool)
+            for _ in range(rounds):
+                step_x, step_y = step_x / 2, step_y / 2
+                better = np.zeros(n, dtype=bool)
+                for dx in (-step_x, 0.0, step_x):
+                    for dy in (-step_y, 0.0, step_y):
+                        if dx == 0 and dy == 0:
+                            continue
+                        x, y = np.clip(here[1] + dx, 0, span_x), np.clip(here[2] + dy, 0, span_y)
+                        score = self.score(w, h, x.reshape(-1, 1, 1), y.reshape(-1, 1, 1), biggest, rules)[0].ravel()
+                        won = going & (score > here[0])
+                        here = np.where(won, (score, x, y), here)
+                        better |= won
+                if step_x < 0.5 and step_y < 0.5:
+                    going &= better
+            best = np.where(here[0] > best[0], (*here, np.full(n, w), np.full(n, h)), best)
+        _, x, y, w, h = (v.reshape(-1, 1, 1) for v in best)
+        return x.ravel(), y.ravel(), w.ravel(), h.ravel(), *(v.ravel() for v in self.score(w, h, x, y, biggest, rules))
+
+
+def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "frame_id", min_scale: float = 0.70, scales: int = 4, steps: int = 9, rounds: int = 3, rules: Rules = Rules()) -> DataFrame:
+    """Best crop per frame: x, y, w, h, score (6 places) and how many faces are intact, clipped and dropped.
+
+    Each size is tried on a grid of ``steps`` places a side, then in ``rounds`` rounds on the eight neighbours of its best place, which moves as
+    soon as one is better; the step halves each round. Importance is the faces' own: weight sqrt(area share) * (.55 + .45 conf) spread over
+    each box. Faces of a frame form one array; one shuffle in all.
     """
-    spark = faces.sparkSession
-    grid = spark.createDataFrame(candidates(width, height, aspect, min_scale, scales, steps), "o int, w int, h int, x double, y double")
-    grid = grid.agg(F.array_sort(F.collect_list(F.struct("o", "w", "h", "x", "y"))).alias("grid"))
-    face = F.struct(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    share = boxes.area(face) / float(width * height)
-    weight = F.sqrt(F.greatest(share, F.lit(0.02))) * (0.55 + 0.45 * F.col("conf"))
-    rank = F.struct((boxes.area(face) * (0.5 + F.col("conf"))).alias("r"), (-F.col("face_no")).alias("n"))
-    held = faces.groupBy(by).agg(F.collect_list(F.struct(face.alias("b"), boxes.core(face).alias("core"), weight.alias("w"))).alias("faces"), F.max_by(face, rank).alias("primary"))
-    frame = boxes.box(0.0, 0.0, float(width), float(height))
-    rows = held.join(F.broadcast(grid)).select(by, "faces", "primary", F.explode("grid").alias("g"))
-    crop = boxes.from_xywh(F.col("g.x"), F.col("g.y"), F.col("g.w"), F.col("g.h"))
-    rows = rows.withColumn("crop", crop)
-    inside = F.transform("faces", lambda f: F.struct(boxes.contained(boxes.intersect(f["core"], frame), F.col("crop")).alias("f"), boxes.contained(f["b"], F.col("crop")).alias("c"), f["w"].alias("w")))
-    rows = rows.withColumn("inside", inside)
-    total = lambda each: F.aggregate("inside", F.lit(0.0), lambda a, x: a + each(x))
-    one = F.lit(1.0)
-    loss = total(lambda x: F.when(x["f"] >= INTACT, 0.0).when(x["f"] <= GONE, DROP_PENALTY * F.least(one, x["w"])).otherwise(CLIP_PENALTY * (1 - x["f"]) * F.least(one, x["w"])))
-    coverage = total(lambda x: x["w"] * x["c"]) / total(lambda x: x["w"])
-    biggest = max(c[1] * c[2] for c in candidates(width, height, aspect, 1.0, 1, 2))
-    score = W_COVERAGE * coverage + W_COMPOSITION * composition(F.col("primary"), F.col("crop")) + W_SCALE * F.sqrt(F.col("g.w") * F.col("g.h") / float(biggest)) - loss
-    count = lambda test: F.size(F.filter("inside", test))
-    scored = rows.select(by, "g", F.round(score, 6).alias("score"), count(lambda x: x["f"] >= INTACT).alias("intact"), count(lambda x: (x["f"] > GONE) & (x["f"] < INTACT)).alias("clipped"), count(lambda x: x["f"] <= GONE).alias("dropped"))
-    best = scored.groupBy(by).agg(F.max_by(F.struct("g", "score", "intact", "clipped", "dropped"), F.struct("score", -F.col("g.o"))).alias("b"))
-    return best.select(by, "b.g.x", "b.g.y", "b.g.w", "b.g.h", "b.score", "b.intact", "b.clipped", "b.dropped")
+    windows = sizes(width, height, aspect, min_scale, scales)
+    biggest = float(math.prod(windows[0]))
+    parts = ("x1", "y1", "x2", "y2", "conf")
+    face = F.struct("face_no", *[F.col(c).cast("double").alias(c) for c in parts])
+    held = faces.groupBy(by).agg(F.array_sort(F.collect_list(face)).alias("faces"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                lists = part.column("faces")
+                number = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(-number, kind="stable")
+                place = np.argsort(order, kind="stable")
+                frame = np.repeat(np.arange(len(number)), number)
+                nth = np.arange(len(frame)) - np.repeat(np.cumsum(number) - number, number)
+                padded = np.zeros((5, number.max(), len(number), 1, 1))
+                flat = lists.flatten()
+                for i, c in enumerate(parts):
+                    padded[i, nth, place[frame], 0, 0] = flat.field(c).to_numpy(zero_copy_only=False)
+                found = Frames(padded[:4], padded[4], number[order], width, height).search(windows, biggest, steps, rounds, rules)
+                columns = [pa.array(v[place], kind) for v, kind in zip(found, (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(by), *columns], names=[by, "x", "y", "w", "h", "score", "intact", "clipped", "dropped"])
+
+    kinds = dict(x=T.DoubleType(), y=T.DoubleType(), w=T.IntegerType(), h=T.IntegerType(), score=T.DoubleType(), intact=T.IntegerType(), clipped=T.IntegerType(), dropped=T.IntegerType())
+    return held.mapInArrow(run, T.StructType([faces.schema[by], *[T.StructField(c, k) for c, k in kinds.items()]]))
 
 
 def tiles(width: int, height: int, overlap: float = 0.25, smallest: int = 420, divisions: tuple[int, ...] = (2, 3, 4, 6, 8), budget: int = 80) -> list[tuple[int, int, int, int, int]]:

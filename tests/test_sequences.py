@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from gatelight.operators import asof, crop, folds, tracking
+from gatelight.plans import queries, views
 from gatelight.streaming import shots
 
 
@@ -169,6 +170,92 @@ def test_crop_follows_the_face(spark):
     assert all(r.intact == 1 and r.clipped == r.dropped == 0 for r in out.values())
 
 
+def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=None, reserved=()):
+    """Grid and three halving rounds per size, one window after the other: x, y, w, h, score, intact, clipped, dropped."""
+    area = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
+    inside = lambda b, o: area((max(b[0], o[0]), max(b[1], o[1]), min(b[2], o[2]), min(b[3], o[3]))) / area(b) if area(b) > 0 else 0.0
+    held, primary, most = [], None, -1.0
+    for b, conf in faces:
+        dx, dy = (b[2] - b[0]) * 0.15, (b[3] - b[1]) * 0.15
+        core = (max(0.0, b[0] + dx), max(0.0, b[1] + dy), min(width, b[2] - dx), min(height, b[3] - dy))
+        held.append((b, core, math.sqrt(max(area(b) / (width * height), 0.02)) * (0.55 + 0.45 * conf)))
+        if area(b) * (0.5 + conf) > most:
+            primary, most = b, area(b) * (0.5 + conf)
+    wide = width / height > aspect
+    big = (math.floor(height * aspect), height) if wide else (width, math.floor(width / aspect))
+
+    def rate(x, y, w, h):
+        crop_, loss, counts = (x, y, x + w, y + h), 0.0, [0, 0, 0]
+        for b, core, weight in held:
+            f = inside(core, crop_)
+            counts[0 if f >= 0.995 else 2 if f <= 0.02 else 1] += 1
+            loss += 0.0 if f >= 0.995 else (0.22 if f <= 0.02 else 3.0 * (1 - f)) * min(1.0, weight)
+            zone = lambda z: inside(core, (x + z[0] * w, y + z[1] * h, x + z[2] * w, y + z[3] * h))  # noqa: B023, E731
+            if f >= 0.5 and action and zone(action) < 0.98:
+                loss += 0.9 * (1 - zone(action)) * weight / 2
+            loss += sum(1.1 * zone(z) * weight / 2 for z in reserved if f >= 0.5 and zone(z) > 0.02)
+        coverage = sum(k[2] * inside(k[0], crop_) for k in held) / sum(k[2] for k in held)
+        composed = 0.0
+        if inside(primary, crop_) >= 0.6:
+            rx, eye, room = ((primary[0] + primary[2]) / 2 - x) / w, (primary[1] + (primary[3] - primary[1]) * 0.42 - y) / h, (primary[1] - y) / h
+            composed = 0.40 * max(0.0, 1 - min(abs(rx - 1 / 3), abs(rx - 2 / 3), abs(rx - 0.5) * 1.15) / 0.30) + 0.34 * max(0.0, 1 - abs(eye - 0.36) / 0.30)
+            composed += 0.26 * (0.0 if room < 0 else room / 0.04 if room < 0.04 else 1.0 if room <= 0.20 else max(0.0, 1 - (room - 0.20) / 0.28))
+        return round(coverage + 0.55 * min(1.0, composed) + 0.22 * math.sqrt(w * h / (big[0] * big[1])) - loss, 6), *counts
+
+    best = None
+    for i in range(scales):
+        scale = 1 - (1 - min_scale) * i / max(1, scales - 1)
+        w, h = (min(full, max(16, round(side * scale))) for full, side in ((width, big[0]), (height, big[1])))
+        xs, ys = (np.linspace(0, s, min(steps, max(2, s + 1))) if s > 0 else np.zeros(1) for s in (width - w, height - h))
+        top = None
+        for y in ys:
+            for x in xs:
+                r = rate(x, y, w, h)
+                top = (r, x, y) if top is None or r[0] > top[0][0] else top
+        dx, dy = (a[1] if len(a) > 1 else 0.0 for a in (xs, ys))
+        for _ in range(3):
+            dx, dy, better = dx / 2, dy / 2, False
+            for mx, my in itertools.product((-dx, 0.0, dx), (-dy, 0.0, dy)):
+                x, y = min(max(top[1] + mx, 0.0), width - w), min(max(top[2] + my, 0.0), height - h)
+                r = rate(x, y, w, h)
+                if (mx or my) and r[0] > top[0][0]:
+                    top, better = (r, x, y), True
+            if not better and dx < 0.5 and dy < 0.5:
+                break
+        if best is None or top[0][0] > best[4]:
+            best = (top[1], top[2], w, h, *top[0])
+    return best
+
+
+CROP = ("x", "y", "w", "h", "score", "intact", "clipped", "dropped")
+
+
+def test_crop_equals_the_plain_search(spark):
+    rng = random.Random(21)
+    frames = {}
+    for frame in range(20):
+        frames[frame] = []
+        for _ in range(rng.randrange(1, 6)):
+            x, y, s = rng.uniform(-60, 1200), rng.uniform(-60, 650), rng.uniform(30, 260)
+            frames[frame].append(((x, y, x + 0.8 * s, y + s), rng.random()))
+    df = spark.createDataFrame([(f, n, c, *b) for f, faces in frames.items() for n, (b, c) in enumerate(faces)], "frame_id long, face_no int, conf double, x1 double, y1 double, x2 double, y2 double")
+    action, reserved = (0.05, 0.14, 0.95, 0.84), ((0.0, 0.0, 1.0, 0.12), (0.82, 0.55, 1.0, 0.86))
+    found = crop.solve(df, 1280, 720, 9 / 16, min_scale=0.6, scales=3, steps=7, rules=crop.Rules(action=action, reserved=reserved)).collect()
+    assert len(found) == 20
+    for r in found:
+        assert tuple(r[c] for c in CROP) == pytest.approx(plain_crop(frames[r.frame_id], 1280, 720, 9 / 16, 0.6, 3, 7, action, reserved), abs=2e-6)
+
+
+def test_crop_solve_searches_the_whole_grid(spark, sf_dir):
+    faces = {}
+    for r in views.Tables(spark, sf_dir).v_faces.orderBy("frame_id", "face_no").collect():
+        faces.setdefault(r.frame_id, []).append(((r.x1, r.y1, r.x2, r.y2), float(r.conf)))
+    found = {r.frame_id: r for r in queries.QUERIES["crop_solve"](spark, sf_dir).collect()}
+    assert found.keys() == faces.keys()
+    for frame in sorted(faces)[::300]:
+        assert tuple(found[frame][c] for c in CROP) == pytest.approx(plain_crop(faces[frame], 1080, 1920, 4 / 5, 0.45, 8, 28, (0.05, 0.06, 0.95, 0.94)), abs=2e-6)
+
+
 def test_subject_map_peaks_at_the_head():
     m = tracking.subject_map(pd.DataFrame([(900.0, 200.0, 1000.0, 320.0, 0.9)], columns=["x1", "y1", "x2", "y2", "conf"]), 1920, 1080)
     y, x = np.unravel_index(m.argmax(), m.shape)
