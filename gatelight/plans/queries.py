@@ -425,9 +425,13 @@ _SIDES = _PROBES + """, n as (select p.clip_id, p.i, p.t, b.t as bt, b.speech as
   from p asof left join s b on p.clip_id = b.clip_id and p.t >= b.t asof left join s a on p.clip_id = a.clip_id and p.t <= a.t)"""
 
 
-def _sides(t):
-    # every third step, shifted, against the steps on which the subject was seen
-    probes = t.v_steps.filter("i % 3 = 1").select("clip_id", "i", (F.col("t") + 0.03).alias("t"))
+_EVERY_SIDE = _SIDES.replace(" where i % 3 = 1", "")
+
+
+def _sides(t, every=False):
+    # every third step or every step, shifted, against the steps on which the subject was seen
+    steps = t.v_steps if every else t.v_steps.filter("i % 3 = 1")
+    probes = steps.select("clip_id", "i", (F.col("t") + 0.03).alias("t"))
     seen = sequences.shot_ids(t.v_steps.filter("seen"), "low_corr").select("clip_id", "t", "speech", "cx", "shot_id")
     return probes, seen
 
@@ -447,6 +451,21 @@ def path_interp(t):
     return asof.path_lookup(*_sides(t), "clip_id", "t", ["cx"], "shot_id").select("clip_id", "i", r6("cx").alias("cx"))
 
 
+@query(f"with {_EVERY_SIDE} select clip_id, i, case when bt is null or (at_ is not null and round(at_ - t, 6) < round(t - bt, 6)) then as_ else bs end as nearest from n")
+def nearest_every_step(t):
+    return asof.nearest(*_sides(t, every=True), "clip_id", "t", "speech").select("clip_id", "i", "nearest")
+
+
+@query(f"with {_EVERY_SIDE} select clip_id, i, case when bt is null then as_ when at_ is null or at_ <= bt then bs else bs + (as_ - bs) * (t - bt) / (at_ - bt) end as speech from n")
+def interp_every_step(t):
+    return asof.interpolate(*_sides(t, every=True), "clip_id", "t", "speech").select("clip_id", "i", "speech")
+
+
+@query(f"with {_EVERY_SIDE} select clip_id, i, round(case when bshot <> ashot then ax when bt is null then ax when at_ is null or at_ <= bt then bx else bx + (ax - bx) * (t - bt) / (at_ - bt) end, 6) as cx from n")
+def path_every_step(t):
+    return asof.path_lookup(*_sides(t, every=True), "clip_id", "t", ["cx"], "shot_id").select("clip_id", "i", r6("cx").alias("cx"))
+
+
 @query("""with c as (select clip_id, t from {v_steps} where low_corr)
 select s.clip_id, s.i, round(coalesce(least(s.t - b.t, a.t - s.t), 10), 6) as cut_distance from {v_steps} s asof left join c b on s.clip_id = b.clip_id and s.t >= b.t asof left join c a on s.clip_id = a.clip_id and s.t <= a.t""")
 def cut_distance(t):

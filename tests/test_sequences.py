@@ -162,6 +162,12 @@ def test_nearest_and_interpolation(spark):
         assert lerp[c, i] == pytest.approx(float(np.interp(t, [x for x, _ in own], [v for _, v in own])))
 
 
+@pytest.mark.parametrize("name", ["nearest_every_step", "interp_every_step", "path_every_step"])
+def test_every_step_is_a_probe(spark, sf_dir, name):
+    steps = sorted((r.clip_id, r.i) for r in views.Tables(spark, sf_dir).v_steps.select("clip_id", "i").collect())
+    assert sorted((r.clip_id, r.i) for r in queries.QUERIES[name](spark, sf_dir).collect()) == steps
+
+
 def test_crop_follows_the_face(spark):
     rows = [(1, 1, 0.95, 100.0, 300.0, 300.0, 560.0), (2, 1, 0.95, 1600.0, 300.0, 1800.0, 560.0)]
     df = spark.createDataFrame(rows, "frame_id long, face_no int, conf double, x1 double, y1 double, x2 double, y2 double")
