@@ -35,9 +35,10 @@ def _push(state: Column, so_far: Column) -> Column:
     return F.struct(state.alias("now"), F.concat(so_far, F.array(state)).alias("all"))
 
 
-def hysteresis(steps: DataFrame, by: str, track: str, score: str, gate: str, shot: str) -> DataFrame:
+def hysteresis(steps: DataFrame, by: str, track: str, score: str, gate: str, shot: str, scores: str | None = None) -> DataFrame:
     """The active track per step from each step's best candidate: a cut clears it, silence and weak scores hold it, and a challenger needs the
-    margin over the incumbent's score (0, as only the best is known) and the dwell."""
+    margin over the incumbent's score and the dwell. ``scores`` is a map of the step's scores by track; an incumbent that it lacks is absent and
+    counts 0. Without ``scores`` every incumbent counts 0, and the margin, lower than the least score, does not act."""
     zero = F.struct(F.lit(-1).alias("current"), F.lit(0).alias("dwell"), F.lit(None).cast("int").alias("shot"))
 
     def step(s, r):
@@ -45,10 +46,13 @@ def hysteresis(steps: DataFrame, by: str, track: str, score: str, gate: str, sho
         current = F.when(cut, -1).otherwise(s["current"])
         dwell = F.when(cut, 0).otherwise(s["dwell"])
         hold = (r[gate] < GATE) | (r[score] < FLOOR)
-        change = ~hold & ((current == -1) | ((r[track] != current) & (r[score] >= MARGIN) & (dwell >= DWELL)))
+        incumbent = F.coalesce(F.get(F.filter(r[scores], lambda e: e["key"] == current), F.lit(0))["value"], F.lit(0.0)) if scores else F.lit(0.0)
+        change = ~hold & ((current == -1) | ((r[track] != current) & (r[score] >= incumbent + MARGIN) & (dwell >= DWELL)))
         return F.struct(F.when(change, r[track]).otherwise(current).alias("current"), F.when(change, 0).otherwise(dwell + 1).alias("dwell"), r[shot].cast("int").alias("shot"))
 
-    out = fold(steps, [by], ["i"], ["i", track, score, gate, shot], zero, step)
+    if scores:
+        steps = steps.withColumn(scores, F.map_entries(scores))  # maps have no order, which the fold's sort asks of its rows
+    out = fold(steps, [by], ["i"], ["i", track, score, gate, shot, *([scores] if scores else [])], zero, step)
     return out.select(by, "i", F.col("state.current").alias("active"), F.col("state.dwell").alias("dwell"))
 
 

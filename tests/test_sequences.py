@@ -44,6 +44,28 @@ def test_hysteresis(spark, clip):
             assert found[clip_id, r[1]] == current
 
 
+def test_hysteresis_holds_an_incumbent_within_the_margin(spark):
+    rng = random.Random(12)
+    rows, want, without = [], {}, {}
+    for clip_id in range(6):
+        current, dwell, plain, plain_dwell = -1, 0, -1, 0
+        for i in range(120):
+            scores = {k: rng.uniform(0.2, 0.7) for k in (1, 2, 3) if rng.random() < 0.9} or {1: 0.5}
+            best = max(scores, key=scores.get)
+            rows.append((clip_id, i, best, scores[best], 1.0, i // 50, scores))
+            if i and i % 50 == 0:
+                current, dwell, plain, plain_dwell = -1, 0, -1, 0
+            hold = scores[best] < 0.30
+            change = not hold and (current == -1 or (best != current and scores[best] >= scores.get(current, 0.0) + 0.22 and dwell >= 12))
+            current, dwell = (best, 0) if change else (current, dwell + 1)
+            change = not hold and (plain == -1 or (best != plain and plain_dwell >= 12))
+            plain, plain_dwell = (best, 0) if change else (plain, plain_dwell + 1)
+            want[clip_id, i], without[clip_id, i] = current, plain
+    df = spark.createDataFrame(rows, "clip_id long, i int, track int, score double, gate double, shot_id int, scores map<int,double>")
+    found = {(r.clip_id, r.i): r.active for r in folds.hysteresis(df, "clip_id", "track", "score", "gate", "shot_id", "scores").collect()}
+    assert found == want != without
+
+
 def test_spring(spark, clip):
     df = spark.createDataFrame(clip, SCHEMA)
     found = {(r.clip_id, r.i): (r.cx, r.cy, r.w) for r in folds.spring_smooth(df, "clip_id", 1280.0, 720.0).collect()}
