@@ -544,17 +544,26 @@ def finished_tracks(t):
     return tracking.finished(tracking.track_faces(_clip_faces(t), "clip_id", (FRAME_W**2 + FRAME_H**2) ** 0.5), "clip_id")
 
 
-@query("""with p as (select a.frame_id, a.face_no as a, b.face_no as b, a.x2 - a.x1 as wa, b.x2 - b.x1 as wb, (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ab,
+_MATCH_COST = """with p as (select a.frame_id, a.face_no as a, b.face_no as b, a.x2 - a.x1 as wa, b.x2 - b.x1 as wb, (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ab,
   greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as common,
   sqrt(pow((a.x1 + a.x2 - b.x1 - b.x2) / 2, 2) + pow((a.y1 + a.y2 - b.y1 - b.y2) / 2, 2)) / sqrt(1080 * 1080 + 1920 * 1920) as away from {v_faces} a join {v_faces} b on a.frame_id = b.frame_id and b.face_no = a.face_no + 1),
 q as (select *, common / (aa + ab - common) as iou, greatest(wa, wb) / least(wa, wb) as scale from p)
-select frame_id, a, b, round(case when (iou < 0.02 and away > 0.22) or scale > 2.6 then null else (1 - iou) * 0.55 + away * 1.6 + (scale - 1) * 0.25 end, 6) as cost from q""")
+select frame_id, a, b, round(case when (iou < 0.02 and away > 0.22) or scale > 2.6 then null else (1 - iou) * 0.55 + away * 1.6 + (scale - 1) * 0.25 end, 6) as cost from q"""
+
+
+@query(_MATCH_COST)
 def match_cost(t):
     a = t.v_faces.select("frame_id", F.col("face_no").alias("a"), _box().alias("box_a"))
     b = t.v_faces.select("frame_id", (F.col("face_no") - 1).alias("a"), F.col("face_no").alias("b"), _box().alias("box_b"))
     return a.join(b, ["frame_id", "a"]).select("frame_id", "a", "b", r6(tracking.match_cost(F.col("box_a"), F.col("box_b"), (FRAME_W**2 + FRAME_H**2) ** 0.5)).alias("cost"))
 
 
+@query(_MATCH_COST.replace("b.face_no = a.face_no + 1", "b.face_no > a.face_no"))
+def match_cost_pairs(t):
+    a, b = (t.v_faces.select("frame_id", F.col("face_no").alias(n), _box().alias(f"box_{n}")) for n in "ab")
+    return a.join(b, "frame_id").filter("a < b").select("frame_id", "a", "b", r6(tracking.match_cost(F.col("box_a"), F.col("box_b"), (FRAME_W**2 + FRAME_H**2) ** 0.5)).alias("cost"))
+
+
 @query()
 def ncc_speaker(t):
     return tracking.speaker_scores(t.v_steps.withColumn("gate", F.col("speech")), "clip_id", "mouth", "speech", "gate").select("clip_id", "i", r6("score").alias("score"))

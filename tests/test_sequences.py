@@ -190,6 +190,14 @@ def test_every_step_is_a_probe(spark, sf_dir, name):
     assert sorted((r.clip_id, r.i) for r in queries.QUERIES[name](spark, sf_dir).collect()) == steps
 
 
+def test_every_pair_of_a_frame_has_a_cost(spark, sf_dir):
+    faces = {}
+    for r in views.Tables(spark, sf_dir).v_faces.select("frame_id", "face_no").collect():
+        faces.setdefault(r.frame_id, []).append(r.face_no)
+    want = sorted((f, *pair) for f, numbers in faces.items() for pair in itertools.combinations(sorted(numbers), 2))
+    assert sorted((r.frame_id, r.a, r.b) for r in queries.QUERIES["match_cost_pairs"](spark, sf_dir).collect()) == want
+
+
 def test_crop_follows_the_face(spark):
     rows = [(1, 1, 0.95, 100.0, 300.0, 300.0, 560.0), (2, 1, 0.95, 1600.0, 300.0, 1800.0, 560.0)]
     df = spark.createDataFrame(rows, "frame_id long, face_no int, conf double, x1 double, y1 double, x2 double, y2 double")
