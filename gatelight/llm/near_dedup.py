@@ -3,12 +3,15 @@
 A document is the set of its word shingles. Each of its registers is the truncated logarithm of a minimum of exponential variables
 over the set: register values of two sets agree with a probability that follows their similarity, and the registers of a union
 are the maxima of the registers. Bands of registers propose pairs, the joint likelihood of all registers (with the set
-sizes, which are known exactly) drops pairs that cannot reach the threshold, and the full sets decide.
+sizes, which are known exactly) drops pairs that cannot reach the threshold, and the full sets decide. The likelihood acts on the first
+round (each member against the leads of its buckets) only; in the second, full sets are compared right inside the join, after set
+sizes alone: a test of registers there would have to write the pairs first.
 
 Documents with equal sets are one class from the start. In a bucket of a band, every member is first tried against one member
 (three random orders choose it); what is linked is merged. Only buckets that still hold several components are then gone
 through, and only between components: copies of one text cost work in proportion to their number, and no link is lost. What
-remains quadratic are documents of one bucket that resemble each other but are not linked, which only their full sets can tell.
+remains quadratic are documents of one bucket that resemble each other but are not linked, which only their full sets can tell; a
+bucket with many of them is dealt over salts.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, salted_lookup, ship
+from .common import SALTS, Scratch, salted_lookup, ship
 from .hashing import buffers, constants, mix, window_hashes, word_hashes
 from .tokens import in_pieces
 
@@ -32,6 +35,7 @@ BANDS, ROWS = 36, 6  # at similarity .8 a linked pair shares no band with probab
 B, A, Q = 1.001, 20.0, (1 << 16) - 2  # base, rate and largest register of the sketch
 SURE = 18.0  # a pair goes unverified only if the threshold is e**18 times less likely than the best fit
 PART_CHARS = 500_000
+SPREAD = 1000  # members outside a bucket's largest component that one salt holds, up to SALTS salts
 
 
 class Sketcher:
@@ -207,6 +211,13 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     return labels
 
 
+def _dealt(load: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a bucket's pairs, to meet on (band, salt): members outside the largest component, each in one of its bucket's ``salts``, and
+    all members, repeated for each of them. So every pair meets once, and a hot bucket falls to as many tasks as it has salts."""
+    salt = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("salts")).cast("int")
+    return load.filter("label <> main").withColumn("salt", salt), load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
 def _between(scratch: Scratch, members: DataFrame, labels: DataFrame | None, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that the first round left in different components.
 
@@ -218,18 +229,20 @@ def _between(scratch: Scratch, members: DataFrame, labels: DataFrame | None, hea
     placed = placed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels is not None else placed.withColumn("label", F.col("id"))
     placed = scratch.keep(placed, "placed")
     per_label = placed.groupBy("band", "label").agg(F.count("*").alias("m"))
-    open_ = per_label.groupBy("band").agg(F.count("*").alias("labels"), F.sum("m").alias("w"), F.max_by("label", F.col("m")).alias("main")).filter("labels > 1")
+    open_ = per_label.groupBy("band").agg(F.count("*").alias("labels"), F.sum("m").alias("w"), F.max_by("label", F.col("m")).alias("main"), F.max("m").alias("most")).filter("labels > 1")
+    open_ = open_.withColumn("salts", F.least(F.ceil((F.col("w") - F.col("most")) / SPREAD), F.lit(SALTS)).cast("int")).drop("most")
     open_ = scratch.keep(open_.drop("labels"), "open")
     split = scratch.keep(salted_lookup(placed, open_.drop("w"), ["band"], open_, "w", ["id"]), "split")
     load = split.join(sets.select("id", "set"), "id").join(heads.select("id", "bands"), "id")
-    x = load.filter("label <> main").select(*[F.col(c).alias(f"x_{c}") for c in ("band", "k", "id", "n", "label", "set", "bands")])
+    x, load = _dealt(load)
+    x = x.select(*[F.col(c).alias(f"x_{c}") for c in ("band", "salt", "k", "id", "n", "label", "set", "bands")])
     n_x, n = F.col("x_n"), F.col("n")
     met = (F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("x_id") < F.col("id")))
     alike = 100 * F.least(n_x, n) >= percent * F.greatest(n_x, n)
     here = F.array_position(F.zip_with("x_bands", "bands", lambda p, q: p == q), F.lit(True)) == F.col("k") + 1
     both = F.size(F.array_intersect("x_set", "set"))
     linked = 100 * both >= percent * (n_x + n - both)
-    found = x.join(load, (F.col("x_band") == F.col("band")) & met & alike & F.when(here, linked).otherwise(False))
+    found = x.join(load, (F.col("x_band") == F.col("band")) & (F.col("x_salt") == F.col("salt")) & met & alike & F.when(here, linked).otherwise(False))
     return scratch.keep(found.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")), "between")
 
 

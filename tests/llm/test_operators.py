@@ -176,6 +176,21 @@ def test_near_groups_chains_and_nulls(spark):
     assert sorted(x.doc_id or -1 for x in near_dedup.keep_one(df).collect()) == [-1, -1, 70]
 
 
+def test_near_groups_with_dealt_buckets(docs, rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SPREAD", 1)
+    want = brute.components(dict(rows).items(), 5)
+    assert got(near_dedup.near_groups(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(((i, *want[i], i == want[i][1]) for i, _ in rows), key=repr)
+
+
+def test_a_hot_bucket_is_dealt_over_salts_and_every_pair_meets_once(spark):
+    load = spark.createDataFrame([(9, i, max(i, 20), 20, 8) for i in range(120)], "band long, id long, label long, main long, salts int")
+    x, y = near_dedup._dealt(load)
+    per_salt = x.groupBy("salt").count().collect()
+    assert len(per_salt) == 8 and max(r["count"] for r in per_salt) < 30
+    pairs = x.select("band", "salt", F.col("id").alias("a")).join(y, ["band", "salt"]).select("a", "id")
+    assert pairs.count() == pairs.distinct().count() == 99 * 120
+
+
 def test_sketch_likelihood_keeps_true_pairs():
     import pyarrow as pa
 
