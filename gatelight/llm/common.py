@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -23,10 +22,16 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's checkpoint folder, or a local one where none is set (tests)."""
+    """Folder that driver and executors share: the session's checkpoint folder. In local mode alone a folder of this machine will do.
+
+    Raises ValueError on a cluster without ``spark.checkpoint.dir``: executors could not read what is written on the driver's machine.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gatelight-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gatelight-"))
     return context.getCheckpointDir()
 
 
@@ -45,7 +50,12 @@ def ship(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written once to the shared folder: they cut lineage, survive lost executors and are computed a single time."""
+    """Tables written once to the shared folder: they cut lineage, survive lost executors and are computed a single time.
+
+    Once a table is written its query's shuffle files are of no use; Spark is told to remove them at the end of the write.
+    """
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -55,16 +65,16 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(self.CLEANUP) if before is None else self.spark.conf.set(self.CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def tidy(self) -> None:
-        """Let Spark remove the shuffle files behind tables written so far: it does so once the driver has collected their handles."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for table in tables:

@@ -1,12 +1,16 @@
 """Substring dedup by level-wise doubling.
 
 Windows that repeat across documents are found at a short length first, and only those are extended to (at most) twice that length, until
-the wanted length is reached or no candidate survives. A window of 2n - 1 words or fewer contains windows of n words; of these the one
-with the smallest hash is its seed at that level. Equal windows have equal seeds, so a window whose seed occurs in no other
-document cannot repeat and is never built; seeds are about a quarter of the words.
+the wanted length is reached or no candidate survives. A window of the wanted length contains windows of the level's length; of these the
+one with the smallest hash is its seed at that level. Equal windows have equal seeds, so a window whose seed occurs in no
+other document cannot repeat and is not looked at again; seeds are about a quarter of the words.
 
-Skew: each Arrow batch sends one witness per hash, however many of its documents share it, so the rows of a very common passage are as many
-as the batches. Everything else about them is settled inside the batch.
+At the wanted length, neighbouring candidate windows with one seed are first compared as a stretch (up to twice as long as one window). A stretch
+that an earlier document holds whole settles all its windows at once. The first holder of a stretch is the only one whose windows are then
+compared singly: the first document with a window is also the first with the stretch around it, so no earlier holder is overlooked.
+
+Skew: what repeats is found by an aggregate (smallest and largest id per hash), which combines before its shuffle, and carried back to the
+rows by a salted lookup, so a very common passage never gathers in one task. Stretches and windows are compared by 128 bits.
 """
 
 from __future__ import annotations
@@ -16,17 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import Scratch, ship
-from .hashing import buffers, mix, window_hashes, word_hashes
+from .common import Scratch, salted_lookup, ship
+from .hashing import buffers, constants, mix, window_hashes, word_hashes
 from .tokens import in_pieces
 
 WORDS = 13
 FIRST = 7
 PART_BYTES = 4_000_000
-SETTLED = 1 << 30  # added to positions that need no look at other batches
-WITNESS = -1
+SEEDS = 41  # picks the constants of the windows' hashes
 
 
 def levels(words: int, first: int) -> list[int]:
@@ -50,6 +52,33 @@ def seeds(windows: np.ndarray, at: np.ndarray, rows: np.ndarray, span: int) -> t
     return at[whole], best
 
 
+def seed_runs(words: np.ndarray, rows: np.ndarray, length: int, size: int, live: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed hash, first start, number of starts) of the runs of neighbouring ``size``-word windows that share a seed of ``length`` words.
+
+    ``live``, if given, marks the words at which a window that is still a candidate starts; others are left out.
+    """
+    value, at = window_hashes(words, rows, length, SEEDS)
+    starts, best = seeds(value, at, rows, size - length + 1)
+    if live is not None:
+        open_ = live[starts]
+        starts, best = starts[open_], best[open_]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, starts
+    new = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (starts[1:] != starts[:-1] + 1)))
+    return value[best[new]], starts[new], np.diff(np.append(new, len(starts)))
+
+
+def hashes_at(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows of ``size`` words that start at ``at``."""
+    out = []
+    for family in (SEEDS + 1, SEEDS + 2):
+        value = np.zeros(len(at), dtype=np.uint64)
+        for k, c in enumerate(constants(size, family)):
+            value += words[at + k] * c
+        out.append(mix(value))
+    return out[0], out[1]
+
+
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, row of each word, first word of each row)."""
     data, offsets = buffers(column)
@@ -66,109 +95,106 @@ def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), many), flat.field("p").to_numpy(), flat.field("n").to_numpy()
 
 
-def _emit(ids: pa.Array, h: np.ndarray, row: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "d", "p", "n"])
+def _marked(column: pa.Array, first: np.ndarray, n: int) -> np.ndarray:
+    """Flags of the ``n`` words at which a run of the list column has a start."""
+    edge = np.zeros(n + 1, dtype=np.int32)
+    row, p, many = _runs(column)
+    np.add.at(edge, first[row] + p, 1)
+    np.add.at(edge, first[row] + p + many, -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
-def _ranks(ids: pa.Array) -> np.ndarray:
-    """Dense ranks of the ids of a batch: equal ids share one, order is kept."""
-    import pyarrow.compute as pc
+def _scanned(texts: DataFrame, keys: list[str], work) -> DataFrame:
+    """Rows (keys, d, th, p, n): ``work(part, words, rows, first)`` gives key arrays, first words and lengths of runs for a part of ``texts`` (d, th, t, ...)."""
 
-    return pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy() if len(ids) else np.zeros(0, np.int64)
+    def run(batches):
+        for batch in batches:
+            for part in in_pieces(batch, [], "t", size=1 << 20, most=PART_BYTES):
+                words, rows, first = _words(part.column("t"))
+                found, at, n = work(part, words, rows, first)
+                row = rows[at]
+                owner = pa.array(row)
+                columns = [*[pa.array(h.view(np.int64)) for h in found], part.column("d").take(owner), part.column("th").take(owner)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array((at - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=[*keys, "d", "th", "p", "n"])
 
+    ship(texts.sparkSession)
+    fields = [T.StructField(k, T.LongType()) for k in keys] + [texts.schema["d"], texts.schema["th"]]
+    return texts.mapInArrow(run, T.StructType([*fields, T.StructField("p", T.IntegerType()), T.StructField("n", T.IntegerType())]))
 
-def _per_batch(ids: pa.Array, h: np.ndarray, row: np.ndarray, p: np.ndarray, smallest_first: bool) -> list[pa.RecordBatch]:
-    """Rows of one batch for the comparison across batches.
 
-    A hash that several of its documents hold: all their positions (all but the smallest document's, if ``smallest_first``) are settled, and one
-    row speaks for the batch. A hash of one document: its positions stand open.
-    """
-    rank = _ranks(ids)[row] if len(row) else row
-    order = np.lexsort((p, rank, h))
-    h, row, p, rank = h[order], row[order], p[order], rank[order]
-    if not len(h):
-        return []
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
-    low, high = rank[start][group], np.maximum.reduceat(rank, start)[group]
-    several, least = low != high, rank == low
-    settled = several & ~least if smallest_first else several
-    still = ~settled
-    out = []
-    if still.any():
-        out.append(_emit(ids, h[still], row[still], p[still], np.ones(int(still.sum()))))
-    if settled.any():
-        # runs of consecutive positions of one document travel as one row under a key of their own
-        r, q = row[settled], p[settled]
-        order = np.lexsort((q, r))
-        r, q = r[order], q[order]
-        new = np.append(True, (r[1:] != r[:-1]) | (q[1:] - q[:-1] > 1))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(q)) - 1
-        out.append(_emit(ids, mix((r[first].astype(np.uint64) << np.uint64(32)) ^ q[first].astype(np.uint64) ^ h[0]), r[first], q[first] + SETTLED, q[last] - q[first] + 1))
-        if not smallest_first:
-            speak = start[(low != high)[start]]
-            out.append(_emit(ids, h[speak], row[speak], np.full(len(speak), WITNESS), np.ones(len(speak))))
-    return out
+def _repeated(scratch: Scratch, rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys that several documents hold, with the smallest id (``lo``) and the number of rows (``w``); None if there are none."""
+    ends = rows.groupBy(*keys).agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("w"))
+    shared = scratch.keep(ends.filter("lo < hi").drop("hi"), "shared")
+    return None if shared.isEmpty() else shared
 
 
-def _level(texts: DataFrame, length: int, following: int, before: int, last: bool) -> DataFrame:
-    """Rows (h, d, p, n) of one level, from texts (d, t, and the surviving seeds ``runs`` of the level before, if any).
+def _lookup(rows: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
+    return salted_lookup(rows, shared.drop("w"), keys, shared, "w", ["d", "p"]).select("d", "th", "p", "n", "lo")
 
-    ``length``: words of this level's windows. ``following``: the next level's length; only this level's seeds of those are built.
-    ``before``: the length of the seeds in ``runs``. At the last level every candidate window is built.
-    """
 
-    def run(batches):
-        for batch in batches:
-            for part in in_pieces(batch, [], "t", size=1 << 20, most=PART_BYTES):
-                words, rows, first = _words(part.column("t"))
-                value, at = window_hashes(words, rows, length, 41)
-                live = np.ones(len(at), dtype=bool)
-                if before:
-                    short, short_at = window_hashes(words, rows, before, 41)
-                    starts, best = seeds(short, short_at, rows, length - before + 1)
-                    alive = np.zeros(len(words) + 1, dtype=np.int32)
-                    owner, p, n = _runs(part.column("runs"))
-                    np.add.at(alive, first[owner] + p, 1)
-                    np.add.at(alive, first[owner] + p + n, -1)
-                    alive = np.cumsum(alive)[:-1] > 0
-                    live = np.zeros(len(words), dtype=bool)
-                    live[starts] = alive[short_at[best]]
-                    live = live[at]
-                if last:
-                    chosen = np.flatnonzero(live)
-                else:
-                    starts, best = seeds(value, at, rows, following - length + 1)
-                    chosen = np.unique(best)
-                    chosen = chosen[live[chosen]]
-                row = rows[at[chosen]]
-                yield from _per_batch(part.column("d"), value[chosen], row, at[chosen] - first[row], last)
+def _per_text(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
+    """Runs (p, n) gathered per text (d, th)."""
+    return scratch.keep(rows.groupBy("d", "th").agg(F.collect_list(F.struct("p", "n")).alias(name)), name)
 
-    ship(texts.sparkSession)
-    kind = texts.schema["d"].dataType
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("d", kind), T.StructField("p", T.IntegerType()), T.StructField("n", T.IntegerType())])
-    return texts.mapInArrow(run, schema)
 
+def repeats(scratch: Scratch, texts: DataFrame, words: int = WORDS, first: int = FIRST) -> DataFrame | None:
+    """Written table of runs of starts of ``words``-word windows that also start in a smaller document, per text of ``texts`` (d, th, t): d, th, runs.
 
-def repeats(scratch: Scratch, texts: DataFrame, words: int = WORDS, first: int = FIRST) -> DataFrame:
-    """Written table per document of ``texts`` (d, t): d and runs (array of p, n) of window starts whose ``words``-word window also starts in a smaller document."""
+    None if no window repeats. ``th`` tells texts of one id apart.
+    """
     lengths = levels(words, first)
-    found: DataFrame | None = None
-    for i, length in enumerate(lengths):
-        last = i == len(lengths) - 1
-        source = texts
-        if found is not None:
-            source = texts.join(found, "d")
-        rows = _level(source, length, 0 if last else lengths[i + 1], lengths[i - 1] if i else 0, last)
-        same = Window.partitionBy("h")
-        low, high = F.min("d").over(same), F.max("d").over(same)
-        hit = (F.col("d") > low) if last else (low < high)
-        rows = rows.withColumn("hit", (F.col("p") >= SETTLED) | (hit & (F.col("p") >= 0))).filter("hit")
-        spot = F.struct((F.col("p") % SETTLED).alias("p"), "n")
-        found = scratch.keep(rows.groupBy("d").agg(F.collect_list(spot).alias("runs")), "repeats")
-        scratch.tidy()  # a level's shuffle is not needed by the next
-    return found
+    live: DataFrame | None = None
+    for length in lengths[:-1] or lengths:
+        source = texts if live is None else texts.join(live, ["d", "th"])
+
+        def candidates(part, w, rows, start, length=length, later=live is not None):
+            alive = _marked(part.column("live"), start, len(w)) if later else None
+            h, at, n = seed_runs(w, rows, length, words, alive)
+            return (h,), at, n
+
+        found = _scanned(source, ["h"], candidates)
+        if live is not None:  # behind a join of the texts: written, not made twice
+            found = scratch.keep(found, "seeds")
+        shared = _repeated(scratch, found, ["h"])
+        if shared is None:
+            return None  # no candidate survives
+        before, live = live, _per_text(scratch, _lookup(found, shared, ["h"]), "live")
+        scratch.drop(shared, *([before, found] if before is not None else []))
+    length, keys = (lengths[:-1] or lengths)[-1], ["h1", "h2"]
+
+    def stretches(part, w, rows, start):
+        _, at, n = seed_runs(w, rows, length, words, _marked(part.column("live"), start, len(w)))
+        (a1, a2), (b1, b2) = hashes_at(w, at, words), hashes_at(w, at + n - 1, words)
+        many, (c1, c2) = n.astype(np.uint64), constants(2, SEEDS + 3)
+        return (mix(a1 * c1 + b1 + many), mix(a2 * c2 + b2 + many)), at, n
+
+    found = scratch.keep(_scanned(texts.join(live, ["d", "th"]), keys, stretches), "stretches")
+    shared = _repeated(scratch, found, keys)
+    settled = None
+    if shared is not None:
+        settled = _per_text(scratch, _lookup(found, shared, keys).filter("d > lo"), "settled")
+        scratch.drop(shared)
+    scratch.drop(found)
+    left = live.join(settled, ["d", "th"], "left") if settled is not None else live
+
+    def single(part, w, rows, start, some=settled is not None):
+        open_ = _marked(part.column("live"), start, len(w))
+        if some:
+            open_ &= ~_marked(part.column("settled"), start, len(w))
+        at = np.flatnonzero(open_)
+        return hashes_at(w, at, words), at, np.ones(len(at), dtype=np.int32)
+
+    found = scratch.keep(_scanned(texts.join(left, ["d", "th"]), keys, single), "windows")
+    shared = _repeated(scratch, found, keys)
+    parts = [] if settled is None else [settled.select("d", "th", F.explode("settled").alias("r")).select("d", "th", "r.p", "r.n")]
+    if shared is not None:
+        parts.append(_lookup(found, shared, keys).filter("d > lo").select("d", "th", "p", "n"))
+    out = None
+    if parts:
+        out = _per_text(scratch, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "runs")
+    scratch.drop(live, found, *[t for t in (shared, settled) if t is not None])
+    return out
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, first: int = FIRST) -> DataFrame:
@@ -178,15 +204,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     on the input. Words are separated by ASCII white space and compared as they are.
 
     Defined cases: a null, empty or blank text has no words and gives an empty text. Rows of one id are one document and never remove each other's
-    words. A row with a null id takes no part: it keeps its words. A text shorter than a window keeps its words. Repeated rows are
-    all returned. Other columns pass through. An empty table gives an empty table.
+    words, whether their texts are equal or not. A row with a null id takes no part: it keeps its words. A text shorter than a window keeps its
+    words. Repeated rows are all returned. Other columns pass through, whatever their names. An empty table gives an empty table.
     """
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.coalesce(text_col, F.lit("")).alias("t"))
-    found = repeats(scratch, texts, words, first)
+    scratch, text = Scratch(docs.sparkSession), F.coalesce(text_col, F.lit(""))
+    key = (F.col(id_col).alias("d"), F.hash(text).alias("th"), text.alias("t"))
+    found = repeats(scratch, docs.filter(F.col(id_col).isNotNull()).select(*key), words, first)
     own = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
-    flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(id_col).alias("d"), F.coalesce(text_col, F.lit("")).alias("t"))
-    joined = flat.join(found, "d", "left").drop("d")
+    names = [f"c{i}" for i in range(len(own))]
+    flat = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, names)], *key)
+    none = F.lit(None).cast("array<struct<p:int,n:int>>").alias("runs")
+    joined = flat.join(found, ["d", "th"], "left") if found is not None else flat.withColumn("runs", none)
 
     def run(batches):
         for batch in batches:
@@ -206,12 +234,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     gone.append(total[-1] - len(parts))
                     kept.append(b" ".join(parts))
                 text = pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*[part.column(f"c{i}") for i in range(len(own))], text, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*[f"c{i}" for i in range(len(own))], "t", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], text, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "t", "n_words", "n_removed"])
 
     ship(docs.sparkSession)
-    schema = T.StructType([*[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(own)], T.StructField("t", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = joined.select(*[f"c{i}" for i in range(len(own))], "t", "runs").mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], F.col("t").alias(text_col), "n_words", "n_removed")
+    schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for c, n in zip(own, names)], T.StructField("t", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    out = joined.select(*names, "t", "runs").mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(own, names)], F.col("t").alias(text_col), "n_words", "n_removed")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

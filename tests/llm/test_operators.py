@@ -311,6 +311,27 @@ def test_substring_null_id_keeps_its_words(spark):
     assert got(substring_dedup.drop_repeats(df), "doc_id", "n_removed") == sorted([(None, 0), (4, 0), (9, 40)], key=repr)
 
 
+def test_substring_texts_of_one_id(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(30))
+    df = spark.createDataFrame([(4, a), (4, b), (9, "x y " + b), (9, "z " + a), (9, "z " + a), (11, None)], "doc_id long, text string")
+    assert got(substring_dedup.drop_repeats(df), "doc_id", "n_removed") == sorted([(4, 0), (4, 0), (9, 30), (9, 40), (9, 40), (11, 0)], key=repr)
+
+
+def test_substring_stops_when_no_candidate_survives(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(20)], "d long, t string").withColumn("th", F.hash("t"))
+    assert substring_dedup.repeats(substring_dedup.Scratch(spark), df) is None
+
+
+def test_substring_first_holder_of_a_window_outside_its_stretch(spark):
+    """A window whose surroundings differ in every document is still found in the first of them."""
+    rng = random.Random(8)
+    words = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    core = words(16)
+    rows = [(i, " ".join(words(rng.randrange(9)) + core[rng.randrange(3) : 16 - rng.randrange(2)] + words(rng.randrange(9)))) for i in range(40)]
+    out = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id", "n_removed") == sorted(((i, gone) for i, _, gone, _ in brute.substring_dedup(rows, 13)), key=repr)
+
+
 def test_topk(spark):
     rng = random.Random(9)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
