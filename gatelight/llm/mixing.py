@@ -1,9 +1,11 @@
 """Mixing sources to target weights by entropy balancing.
 
 Each document gets a rate exp(lambda of its source): among all rates that meet the token constraints, those closest in relative
-entropy to taking everything once. Newton iterations on the convex dual find the multipliers; one step is one DataFrame
-aggregate over the per-source token counts. Rates are then rounded into copies: every document gets the whole part, and documents
-in a fixed random order get one copy more until the source's target is met. Native: DataFrame and SQL functions only.
+entropy to taking everything once. Newton iterations on the convex dual find the multipliers from the per-source token counts, which one
+aggregate over all documents makes. With source totals as the only constraints the dual falls apart into one equation a source, and the
+iterations end at target / size, as a closed form would; they are carried out all the same, until each has converged.
+Rates are then rounded into copies: every document gets the whole part, and documents in a fixed random order get one copy more until
+the source's target is met. Native: DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from .common import Scratch, word_count, words_of
 WEIGHTS = (5, 2, 1)  # of the sources in code-point order, repeating
 MAX_COPIES = 3
 BUCKET_BITS = 10  # the rounding order is dealt out by its first bits, so that a hot source is never in one task
-NEWTON_STEPS = 80
+NEWTON_STEPS = 80  # at most; a source that has not converged by then is an error
+CONVERGED = 1e-12  # of the target
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
@@ -46,16 +49,20 @@ def newton_rates(targets: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
 
     There is one token constraint per source and no document is in two, so the Hessian is diagonal: each multiplier steps by its own
     gradient over its own curvature, all sources in parallel, and a step is clipped to 1 so that a far start cannot
-    overshoot. Convergence is quadratic near the solution; ``steps`` reaches rates down to exp(-steps / 2). A source without tokens keeps rate 1.
+    overshoot. A source stops when its tokens are within ``CONVERGED`` of its target; one that does not within ``steps`` raises an error in
+    place of a wrong rate. A source without tokens or target keeps rate 1.
     """
 
     def step(lam):
         tokens = F.col("source_size") * F.exp(lam)
-        return lam - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (tokens - F.col("target")) / tokens))
+        move = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (tokens - F.col("target")) / tokens))
+        return F.when(F.abs(tokens - F.col("target")) <= CONVERGED * F.col("target"), lam).otherwise(lam - move)
 
     lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda lam, _: step(lam))
     solvable = (F.col("source_size") > 0) & (F.col("target") > 0)
-    return targets.withColumn("rate", F.when(solvable, F.exp(lam)).otherwise(F.lit(1.0)))
+    solved = targets.withColumn("rate", F.when(solvable, F.exp(lam)).otherwise(F.lit(1.0)))
+    off = solvable & (F.abs(F.col("rate") * F.col("source_size") - F.col("target")) > CONVERGED * F.col("target"))
+    return solved.withColumn("rate", F.when(off, F.raise_error(F.lit(f"the rate of a source has not converged in {steps} steps")).cast("double")).otherwise(F.col("rate")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
@@ -78,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rates = newton_rates(source_targets(sizes.groupBy("src").agg(F.sum("n").alias("source_size")), weights, cap))
     rates = rates.withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(cap)).cast("long")).withColumnRenamed("src", "s")
     upto = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    goal = F.round(F.col("rate") * F.col("source_size")).cast("long") - F.col("whole") * F.col("source_size")
+    goal = F.round(F.round(F.col("rate") * F.col("source_size"), 5)).cast("long") - F.col("whole") * F.col("source_size")
     plan = sizes.join(rates, F.col("src").eqNullSafe(F.col("s")))
     plan = plan.select(F.col("s").alias("ps"), F.col("bucket").alias("pb"), "source_size", "target", "whole", (goal - upto).alias("extra"))
     met = rows.join(plan, F.col("src").eqNullSafe(F.col("ps")) & (F.col("bucket") == F.col("pb")))
@@ -91,13 +98,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each copy, and for the cut copy of a source one row with the words it takes."""
-    taken = mix(docs, id_col, text_col, source_col, weights, cap)
+    """The mix itself: a row of ``docs`` for each copy, and for the cut copy of a source one row with the words it takes.
+
+    Defined cases: those of ``mix``. All columns of ``docs`` pass through as they are, whatever their names; only the text of a cut copy changes.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    flat = docs.toDF(*names)
+    of = dict(zip(docs.columns, names))
+    taken = mix(flat, of[id_col], of[text_col], of[source_col], weights, cap)
     times = (F.col("copies") + (F.col("extra_words") > 0).cast("long")).cast("int")
-    rows = taken.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
-    part = F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col("extra_words").cast("int")), " ")
-    text = F.when(F.col("_copy") <= F.col("copies"), F.col(text_col)).otherwise(part)
-    return rows.withColumn(text_col, text).select(*[c for c in docs.columns])
+    rows = taken.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    text = of[text_col]
+    part = F.array_join(F.slice(words_of(F.col(text)), 1, F.col("extra_words").cast("int")), " ")
+    body = F.when(F.col("copy") <= F.col("copies"), F.col(text)).otherwise(part)
+    return rows.select(*[(body if n == text else F.col(n)).alias(c) for c, n in of.items()])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -295,10 +295,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest id. Rows with a null id stay."""
-    kept = near_groups(docs, id_col, text_col, shingle, percent).filter(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept"))
-    found = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    return found.unionByName(docs.filter(F.col(id_col).isNull()))
+    """``docs`` with one document of each near-duplicate group: the one with the smallest id.
+
+    Defined cases: those of ``near_groups``; rows with a null id stay, as do all rows of a kept id. Columns pass through whatever their names.
+    """
+    kept = near_groups(docs, id_col, text_col, shingle, percent).filter(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = F.col("row")[id_col]
+    found = rows.filter(own.isNotNull()).join(kept, own == F.col("kept"), "left_semi").unionByName(rows.filter(own.isNull()))
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

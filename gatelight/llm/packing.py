@@ -26,7 +26,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Weights of the residual norm: tokens, documents, attention cost. Tokens decide; the others break ties between equal room.
 NORM = (1.0, 1e-4, 1e-4)
-RANK_BUCKETS = 256  # parts a length's pieces are ranked in, so that one frequent length is never in one task
+#: Pieces of one length are ranked in parts of about this many, so that one frequent length is never in one task.
+RANKED_TOGETHER = 500_000
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str) -> DataFrame:
@@ -115,19 +116,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     pieces = scratch.keep(pieces_of(docs, id_col, text_col, capacity, vocabulary or default_vocabulary()), "pieces")
-    bucket = F.pmod(F.xxhash64("d", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int")
-    dealt = pieces.withColumn("bucket", bucket)
-    counts = scratch.keep(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     steps = plan(histogram, capacity, max_docs or capacity, max_cost or capacity * capacity)
+    parts = math.ceil(max(histogram.values(), default=1) / RANKED_TOGETHER)
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("d", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    counts = scratch.keep(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     names = ("length", "from", "to", "each", "first", "base")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
     steps = spark.createDataFrame(steps, schema)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    spans = counts.select("length", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    # each part of a length meets only the steps that its own ranks fall into
+    spans = spans.join(steps, "length").filter((F.col("from") < F.col("skip") + F.col("n")) & (F.col("to") > F.col("skip"))).drop("n")
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("d", "piece", "ids_crc32", "start")) - 1
-    ranked = dealt.withColumn("own", own).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("skip"))
-    placed = ranked.join(F.broadcast(steps), "length").filter((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    placed = dealt.withColumn("own", own).join(spans, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("skip"))
+    placed = placed.filter((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
     at = F.col("rank") - F.col("from")
     sequence = F.col("first") + F.floor(at / F.col("each"))
     offset = F.col("base") + (at % F.col("each")) * F.col("length")

@@ -9,6 +9,7 @@ DataFrame and SQL functions only.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ MIN_WORDS = 10
 MAX_REPEAT_SHARE = 20  # percent of the words
 SYMBOLS = "[#*$%&|<>]"
 THRESHOLD = 0.5
-MAX_ITERATIONS = 50
+MAX_ITERATIONS = 300
+TOLERANCE = 1e-4  # largest move of any probability at which EM has converged
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -85,7 +87,8 @@ def fit(patterns: DataFrame, rules: int, iterations: int = MAX_ITERATIONS) -> di
 
     Starts from bad votes that fall on bad documents far more often than on good ones, and a prior of .8 for good; each
     step is one aggregate over at most 3**rules rows. The polarity of the start fixes which class is good. Counts are smoothed by one
-    vote, so no rule ever gets a probability of 0. Stops when the prior moves by less than 1e-5.
+    vote, so no rule ever gets a probability of 0. Stops when neither the prior nor any vote's probability moves by more than
+    ``TOLERANCE``; ``converged`` in the result says whether it did, and a fit that has not gives a warning.
     """
     model = {"prior": 0.8, "good": [0.02, 0.68, 0.3] * rules, "bad": [0.3, 0.55, 0.15] * rules}
     for _ in range(iterations):
@@ -94,15 +97,16 @@ def fit(patterns: DataFrame, rules: int, iterations: int = MAX_ITERATIONS) -> di
         n = sum(r["n"] for r in sums if r["rule"] == 0)
         good = math.fsum(r["good"] for r in sums if r["rule"] == 0)
         prior = (good + 1) / (n + 2)
-        moved = abs(prior - model["prior"])
-        model = {"prior": prior, "good": [1 / (good + 3)] * (3 * rules), "bad": [1 / (n - good + 3)] * (3 * rules)}
+        last, model = model, {"prior": prior, "good": [1 / (good + 3)] * (3 * rules), "bad": [1 / (n - good + 3)] * (3 * rules)}
         for r in sums:
             at = 3 * r["rule"] + r["vote"] + 1
             model["good"][at] = (r["good"] + 1) / (good + 3)
             model["bad"][at] = (r["n"] - r["good"] + 1) / (n - good + 3)
-        if moved < 1e-5:
-            break
-    return model
+        moves = [abs(prior - last["prior"]), *(abs(a - b) for c in ("good", "bad") for a, b in zip(model[c], last[c]))]
+        if max(moves) <= TOLERANCE:
+            return model | {"converged": True}
+    warnings.warn(f"EM has not converged in {iterations} steps", stacklevel=2)
+    return model | {"converged": False}
 
 
 def posterior(model: dict, rules: int) -> Column:

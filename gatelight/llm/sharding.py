@@ -8,9 +8,10 @@ along the id hash instead, so a group is only cut when keeping it whole would br
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Scratch
@@ -18,7 +19,8 @@ from .common import Scratch
 SHARDS = 8
 TOLERANCE = 0.002  # of a shard's ideal bytes
 STEP_BITS = 10  # each pass divides a bucket into 1024 probes
-SLICES = 16  # key ranges a shard is dealt to, so that no task holds a whole shard
+SLICES = 16  # key ranges a shard is dealt to, found by the same counts as the shards
+SLICE_BYTES = 256 << 20  # a larger range is dealt on by the hash's place within it
 WIDTH = 126  # key bits: 63 of the text hash, then 63 of the id hash
 
 
@@ -114,18 +116,27 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     for b, is_shard in bounds:
         shard += is_shard
         edges.append((b, shard))
-    schema = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("shard", T.IntegerType())])
-    owner = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(edges)], schema)  # shards * SLICES rows at most
+    top = 1 << WIDTH
+    ends = [*[e[0] for e in edges[1:]], top]
+    limit, cut = (1 << 63) - 1, max(1, math.ceil(total / len(edges) / SLICE_BYTES))
+    names = {"slice": "int", "shard": "int", "from1": "long", "to1": "long", "from2": "long", "to2": "long"}
+    spans = [(i, shard, min(lo >> 63, limit), min(hi >> 63, limit), lo & limit, hi & limit) for i, ((lo, shard), hi) in enumerate(zip(edges, ends))]
+    owner = spark.createDataFrame(spans, ", ".join(f"{c} {k}" for c, k in names.items()))  # shards * SLICES rows
     slice_of = _slice_expr([e[0] for e in edges[1:]])
-    counts = keys.select(slice_of.alias("slice")).groupBy("slice").count()
-    w = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.join(F.broadcast(owner), "slice").select("slice", "shard", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
+    one = F.col("from1") == F.col("to1")  # a range within one text's copies goes by the hash of the id
+    place = lambda k, lo, hi: (F.col(k) - F.col(lo)).cast("double") / F.greatest((F.col(hi) - F.col(lo)).cast("double"), F.lit(1.0))
+    share = F.when(one, place("k2", "from2", "to2")).otherwise(place("k1", "from1", "to1"))
+    part = F.least(F.floor(share * cut), F.lit(cut - 1)).cast("int")  # rises with the key, so parts keep its order
+    dealt = lambda df: df.withColumn("slice", slice_of).join(F.broadcast(owner), "slice").withColumn("part", part)
+    counts = dealt(keys).groupBy("shard", "slice", "part").count()
+    w = Window.partitionBy("shard").orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("slice", "part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
     own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
     flat = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]
-    rows = docs.select(*flat, k1.alias("k1"), k2.alias("k2"), size.alias("size")).withColumn("slice", slice_of)
-    place = F.row_number().over(Window.partitionBy("slice").orderBy("k1", "k2"))
-    out = rows.withColumn("place", place).join(F.broadcast(offsets), "slice")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "size", "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"))
+    rows = dealt(docs.select(*flat, k1.alias("k1"), k2.alias("k2"), size.alias("size")))
+    nth = F.row_number().over(Window.partitionBy("slice", "part").orderBy("k1", "k2"))
+    out = rows.withColumn("nth", nth).join(offsets, ["slice", "part"])
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "size", "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"))
 
 
 def _slice_expr(bounds: list[int]) -> Column:

@@ -44,31 +44,37 @@ class Encoder:
     The vocabulary's pattern never joins characters across a lone blank or newline that stands between other characters, and such a
     blank opens the next token while such a newline is a token of its own. So a text with no other white space is the sum of its
     words, each encoded once with the blank or newline before it; any other text is encoded whole. The words go through the faster of the two
-    libraries that read this vocabulary; both give the same ids.
+    libraries that read this vocabulary; both give the same ids. A text that spells out one of the vocabulary's added tokens goes whole through
+    the library the vocabulary is written for, which gives that token its own id.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        added = [t.content for t in library.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self._exact = lambda text: library.encode(text, add_special_tokens=False).ids
         ranks = byte_ranks(path)
         if ranks is None:
-            from tokenizers import Tokenizer
-
-            slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
-            self._ids = lambda text: slow.encode(text, add_special_tokens=False).ids
+            self._ids = self._exact
         else:
             import tiktoken
 
             self._ids = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
 
+    def added(self, text: str) -> bool:
+        return self._added is not None and self._added.search(text) is not None
+
     def whole(self, text: str) -> bytes:
-        return array("I", self._ids(text)).tobytes()
+        return array("I", self._exact(text) if self.added(text) else self._ids(text)).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[str] | None] = []
         for text in texts:
-            regular = text and not text[0].isspace() and not text[-1].isspace() and not _IRREGULAR.search(text)
+            regular = text and not text[0].isspace() and not text[-1].isspace() and not _IRREGULAR.search(text) and not self.added(text)
             split.append(text.replace("\n", " \n").split(" ") if regular else None)
         fresh = set().union(*[s[1:] for s in split if s]).difference(self.cache)
         known = {w: self.whole(w if w[0] == "\n" else " " + w) for w in fresh}

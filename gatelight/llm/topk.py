@@ -21,15 +21,18 @@ from .common import Scratch, ship
 K = 5
 SCALE = 256
 QUERY_EVERY = 50
-VECTORS_PER_BLOCK = 8192
-QUERIES_PER_BLOCK = 1024
+#: A vector is repeated for each block of queries and a query for each block of vectors; blocks are as large as a task's memory allows.
+VECTORS_PER_BLOCK = 32768
+QUERIES_PER_BLOCK = 8192
+LONG = (1 << 63) - 1
 FIRST_DEPTH = 4
 
 
 def threshold_search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, id, score) of the k best of each query among ``vectors``, without the query's own id; ties to the smaller id.
 
-    Scores are exact: in doubles while every sum is below 2**53, else in Python integers.
+    ``vectors`` and ``queries`` hold whole numbers as doubles. Scores are exact: in doubles while every sum is below 2**53, else in Python
+    integers. A score beyond 64 bits counts as the nearest 64-bit number.
     """
     n, dims = vectors.shape
     out: list[tuple[int, int, int]] = []
@@ -37,9 +40,11 @@ def threshold_search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray,
         return out
     largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dims, 1)
     exact = np.float64 if largest < 2**53 else object
-    v, q = vectors.astype(exact), queries.astype(exact)
+    whole = (lambda a: a) if exact is np.float64 else np.vectorize(int, otypes=[object])
+    fit = (lambda a: a) if exact is np.float64 else np.vectorize(lambda s: max(-LONG - 1, min(LONG, s)), otypes=[object])
+    v, q = whole(vectors), whole(queries)
     order = np.argsort(vectors, axis=0, kind="stable").T.copy() if dims else np.zeros((0, n), np.int64)  # per dimension, ascending
-    values = np.take_along_axis(vectors.T, order, axis=1).astype(exact) if dims else np.zeros((0, n))
+    values = whole(np.take_along_axis(vectors.T, order, axis=1)) if dims else np.zeros((0, n))
     axis = np.arange(dims)
     for query, own in zip(q, query_ids):
         up = query < 0  # a negative component prefers small values
@@ -54,13 +59,13 @@ def threshold_search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray,
             fresh[rows] = True
             fresh &= ~seen
             new = np.flatnonzero(fresh)
-            scores[new] = v[new] @ query
+            scores[new] = fit(v[new] @ query)
             seen |= fresh
             found = np.flatnonzero(seen & others)
             if len(found) >= k:
                 kth = np.sort(scores[found])[-k] if exact is object else np.partition(scores[found], len(found) - k)[-k]
                 last = np.where(up, values[axis, stop - 1], values[axis, n - stop]) if dims else values[:0, 0]
-                if (query * last).sum() < kth:
+                if fit((query * last).sum()) < kth:
                     break
             if seen.all():
                 break
@@ -78,7 +83,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
 
     Components become floor(scale * x); the score is their inner product as an integer. Ties go to the smaller id.
 
-    Defined cases: rows with a null id, a null vector or a null or non-finite component take no part on either side. Vectors are only compared
+    Defined cases: rows with a null id, a null vector or a null or non-finite component (before or after scaling) take no part on either side.
+    Components of any size are multiplied exactly; a score beyond 64 bits counts as the nearest 64-bit number. Vectors are only compared
     with those of equal length. A row is not its query's own result, nor is another row of the same id. Repeated rows count as one. If a query
     has fewer than ``k`` candidates all are returned; an empty table gives an empty result.
     """
@@ -86,8 +92,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
 
     def whole(df: DataFrame) -> DataFrame:
         x = F.col(vector_col)
-        valid = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-        ints = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
+        valid = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < float("inf")))
+        small = lambda c: F.abs(c) < 2.0**52  # noqa: E731  a larger double is whole already
+        ints = F.transform(F.transform(x, lambda c: c.cast("double") * scale), lambda c: F.when(small(c), F.floor(F.when(small(c), c)).cast("double")).otherwise(c))
         return df.filter(valid).select(F.col(id_col).cast("long").alias("id"), ints.alias("x"), F.size(x).alias("dims")).dropDuplicates(["id", "x"])
 
     vecs, asks = scratch.keep(whole(vectors), "vectors"), scratch.keep(whole(queries), "queries")
@@ -98,7 +105,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     right = asks.withColumn("qb", block(q_blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
 
     def matrix(frame: pd.DataFrame) -> np.ndarray:
-        return np.stack(frame["x"].to_numpy()).astype(np.int64) if len(frame) else np.zeros((0, 0), np.int64)
+        return np.stack(frame["x"].to_numpy()) if len(frame) else np.zeros((0, 0))
 
     def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
