@@ -28,6 +28,7 @@ END_ID = 0
 NORM = (1.0, 1e-4, 1e-4)
 #: Pieces of one length are ranked in parts of about this many, so that one frequent length is never in one task.
 RANKED_TOGETHER = 500_000
+LEAST_PARTS = 32
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str) -> DataFrame:
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     pieces = scratch.keep(pieces_of(docs, id_col, text_col, capacity, vocabulary or default_vocabulary()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     steps = plan(histogram, capacity, max_docs or capacity, max_cost or capacity * capacity)
-    parts = math.ceil(max(histogram.values(), default=1) / RANKED_TOGETHER)
+    parts = max(LEAST_PARTS, math.ceil(max(histogram.values(), default=1) / RANKED_TOGETHER))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("d", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     counts = scratch.keep(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     names = ("length", "from", "to", "each", "first", "base")
