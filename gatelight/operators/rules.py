@@ -1,6 +1,7 @@
 """Compliance rules as columns: each applicable rule of a row becomes a result row, and results fold into a verdict and a gate.
 
-A rule that does not apply emits no row. Only a failed rule of severity error blocks publication; warnings and skips never do.
+A rule that does not apply emits no row. Only a failed rule of severity error blocks publication; warnings and skips never do. All limits are
+columns of the row, joined from the profile sheet (``gatelight.plans.spec.profile_table``), so that a sheet's own numbers decide.
 """
 
 from __future__ import annotations
@@ -9,30 +10,42 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gatelight.functions import boxes
 
 PASS, WARN, FAIL, SKIP = "pass", "warn", "fail", "skip"
 OUTCOMES = (PASS, WARN, FAIL, SKIP)
 
-#: Limits per media kind and the ranges of the one profile that states them.
-MAX_MB = {"image": 8, "video": 120}
+#: Tolerances that no sheet states.
 ASPECT_TOLERANCE = 0.012
-RANGES = {"reel_vertical_9x16": {"fps": (23.0, 61.0), "duration_s": (3.0, 90.0), "bitrate_kbps": (1500.0, 14000.0)}}
-CONTAINERS, VIDEO_CODEC, PIXEL_FORMAT, AUDIO_CODEC, CHANNELS, SAMPLE_RATE = ("mp4", "mov"), "h264", "yuv420p", "aac", 2, 48000
-MAX_LETTERBOX, LUMA = 0.01, (22.0, 238.0)
+GONE, TIGHT_HEAD, SAFE_INSIDE, RESERVED_OVERLAP = 0.02, 0.90, 0.97, 0.12
+RATE_OK, RATE_WARN = 0.05, 0.20
+SUBJECT_MOVED, LEAST_TRAVEL, OFF_CENTRE, CENTRED = 0.02, 0.01, 0.04, 0.01
+EVIDENCE = 12  # offences listed; all are counted
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``outcome`` is one of OUTCOMES; ``applies`` null or false means no row. ``severity`` is that of a failure."""
+    """``outcome`` is one of OUTCOMES; ``applies`` null or false means no row. ``severity`` is that of a failure.
+
+    ``expected`` and ``actual`` are short texts, ``evidence`` a JSON text. A rule of a user's own is one more of these in the list that
+    ``evaluate`` gets. A null outcome (a measurement that could not be judged) counts as a failure.
+    """
 
     id: str
     severity: str
     applies: Column
     outcome: Column
+    expected: Column | None = None
+    actual: Column | None = None
+    evidence: Column | None = None
 
     def result(self) -> Column:
-        level = F.when(self.outcome == FAIL, self.severity).when(self.outcome == WARN, "warning").otherwise("info")
-        row = F.struct(F.lit(self.id).alias("rule_id"), self.outcome.alias("outcome"), level.alias("severity"))
+        outcome = F.coalesce(self.outcome, F.lit(FAIL))
+        level = F.when(outcome == FAIL, self.severity).when(outcome == WARN, "warning").otherwise("info")
+        text = lambda c: (F.lit(None) if c is None else c).cast("string")
+        row = F.struct(F.lit(self.id).alias("rule_id"), outcome.alias("outcome"), level.alias("severity"), text(self.expected).alias("expected"), text(self.actual).alias("actual"), text(self.evidence).alias("evidence"))
         return F.when(self.applies, row)
 
 
@@ -40,91 +53,234 @@ def ok_unless(bad: Column, otherwise: str = FAIL) -> Column:
     return F.when(bad, otherwise).otherwise(PASS)
 
 
-def _range(column: str, bound: str, outside: str) -> Rule | tuple[Column, Column]:
-    lo, hi = (F.element_at(F.create_map(*[x for p, r in RANGES.items() for x in (F.lit(p), F.lit(r[bound][k]))]), F.col("profile_id")) for k in (0, 1))
-    return F.col("kind").eqNullSafe("video") & lo.isNotNull(), F.when(F.col(column).isNull(), WARN).when(~F.col(column).between(lo, hi), outside).otherwise(PASS)
+def fixed(value: Column, places: int, unit: str = "") -> Column:
+    """A number to so many places, halves away from zero, with its unit."""
+    return F.format_string(f"%.{places}f{unit.replace('%', '%%')}", F.round(value.cast("double"), places))
+
+
+def _ranged(rule: str, severity: str, column: str, lo: str, hi: str, outside: str, places: int, unit: str) -> Rule:
+    value = F.col(column)
+    bounds = F.concat(F.col(lo).cast("string"), F.lit("-"), F.col(hi).cast("string"), F.lit(unit))
+    outcome = F.when(value.isNull(), WARN).when(~value.between(F.col(lo), F.col(hi)), outside).otherwise(PASS)
+    actual = F.when(value.isNull(), "unknown").otherwise(fixed(value, places, unit))
+    return Rule(rule, severity, F.col("kind").eqNullSafe("video") & F.col(lo).isNotNull(), outcome, bounds, actual)
 
 
 def technical_rules(columns: list[str]) -> list[Rule]:
     """The technical and quality rules whose measurements are among ``columns``.
 
-    Expected columns: kind, profile_id, want_w, want_h, ratio_value, width, height, and any of container, video_codec, pix_fmt,
-    audio_codec, audio_channels, audio_rate, fps, duration_s, bitrate_kbps, size_bytes, letterbox, sharpness, min_sharpness, luma.
+    Expected: the profile's columns, width, height, and any of container, video_codec, pix_fmt, audio_codec, audio_channels, audio_rate, fps,
+    duration_s, bitrate_kbps, size_bytes, letterbox (worst sample), sharpness (typical sample), luma (mean of the samples).
     """
     has = set(columns).issuperset
-    video = F.col("kind") == "video"
-    true = F.lit(True)
+    video, true = F.col("kind") == "video", F.lit(True)
+    size = lambda w, h: F.concat_ws("x", F.col(w).cast("string"), F.col(h).cast("string"))
     rules = [
-        Rule("tech.dimensions", "error", true, ok_unless((F.col("width") != F.col("want_w")) | (F.col("height") != F.col("want_h")))),
-        Rule("tech.aspect_ratio", "error", true, _aspect()),
+        Rule("tech.dimensions", "error", true, ok_unless((F.col("width") != F.col("want_w")) | (F.col("height") != F.col("want_h"))), size("want_w", "want_h"), size("width", "height")),
+        _aspect(),
     ]
     if has(["container", "video_codec"]):
-        bad = ~F.col("container").isin(*CONTAINERS) | (F.col("video_codec") != VIDEO_CODEC)
-        if has(["pix_fmt"]):
-            bad = bad | (F.col("pix_fmt").isNotNull() & (F.col("pix_fmt") != PIXEL_FORMAT))
-        rules.append(Rule("tech.container_codec", "error", video, ok_unless(F.coalesce(bad, F.lit(True)))))
+        rules.append(_container(has(["pix_fmt"])))
     if has(["audio_codec"]):
-        bad = F.col("audio_codec").isNull() | (F.col("audio_codec") != AUDIO_CODEC)
-        if has(["audio_channels"]):
-            bad = bad | (F.col("audio_channels").isNotNull() & (F.col("audio_channels") != CHANNELS))
-        if has(["audio_rate"]):
-            bad = bad | (F.col("audio_rate").isNotNull() & (F.col("audio_rate") != SAMPLE_RATE))
-        rules.append(Rule("tech.audio", "error", video, ok_unless(bad)))
-    for column, rule, severity, outside in (("fps", "tech.frame_rate", "error", FAIL), ("duration_s", "tech.duration", "error", FAIL), ("bitrate_kbps", "tech.bitrate", "warning", WARN)):
-        if has([column]):
-            rules.append(Rule(rule, severity, *_range(column, column, outside)))
+        rules.append(_audio(has(["audio_channels"]), has(["audio_rate"])))
+    if has(["fps"]):
+        rules.append(_ranged("tech.frame_rate", "error", "fps", "fps_lo", "fps_hi", FAIL, 2, " fps"))
+    if has(["duration_s"]):
+        rules.append(_ranged("tech.duration", "error", "duration_s", "duration_lo", "duration_hi", FAIL, 2, "s"))
+    if has(["bitrate_kbps"]):
+        rules.append(_ranged("tech.bitrate", "warning", "bitrate_kbps", "bitrate_lo", "bitrate_hi", WARN, 0, " kbps"))
     if has(["size_bytes"]):
-        limit = F.when(video, MAX_MB["video"]).otherwise(MAX_MB["image"]) * F.lit(1024 * 1024)
-        rules.append(Rule("tech.file_size", "error", true, ok_unless(F.col("size_bytes") > limit)))
+        mb = F.col("size_bytes") / (1024 * 1024)
+        rules.append(Rule("tech.file_size", "error", true, ok_unless(mb > F.col("max_mb")), F.concat(F.lit("<= "), fixed(F.col("max_mb"), 0, " MB")), fixed(mb, 2, " MB")))
     if has(["letterbox"]):
-        rules.append(Rule("quality.letterbox", "error", true, F.when(F.col("letterbox").isNull(), SKIP).otherwise(ok_unless(F.col("letterbox") > MAX_LETTERBOX))))
-    if has(["sharpness", "min_sharpness"]):
-        rules.append(Rule("quality.sharpness", "error", true, F.when(F.col("sharpness").isNull(), SKIP).otherwise(ok_unless(F.col("sharpness") < F.col("min_sharpness")))))
+        worst = F.col("letterbox")
+        rules.append(_sampled("quality.letterbox", "error", worst, ok_unless(worst > F.col("max_letterbox")), F.concat(F.lit("<= "), fixed(F.col("max_letterbox") * 100, 1, "%")), fixed(worst * 100, 2, "%")))
+    if has(["sharpness"]):
+        sharp = F.col("sharpness")
+        rules.append(_sampled("quality.sharpness", "error", sharp, ok_unless(sharp < F.col("min_sharpness")), F.concat(F.lit(">= "), fixed(F.col("min_sharpness"), 0)), fixed(sharp, 1)))
     if has(["luma"]):
-        rules.append(Rule("quality.luminance", "warning", true, F.when(F.col("luma").isNull(), SKIP).otherwise(ok_unless(~F.col("luma").between(*LUMA), WARN))))
+        luma, bounds = F.col("luma"), F.concat_ws("-", F.col("luma_lo").cast("string"), F.col("luma_hi").cast("string"))
+        rules.append(_sampled("quality.luminance", "warning", luma, ok_unless(~luma.between(F.col("luma_lo"), F.col("luma_hi")), WARN), bounds, fixed(luma, 1)))
     return rules
 
 
-def _aspect() -> Column:
+def _sampled(rule: str, severity: str, value: Column, outcome: Column, expected: Column, actual: Column) -> Rule:
+    """A rule on sampled frames: without a sample there is nothing to judge."""
+    there = value.isNotNull()
+    return Rule(rule, severity, F.lit(True), F.when(~there, SKIP).otherwise(outcome), F.when(there, expected), F.when(there, actual))
+
+
+def _aspect() -> Rule:
     actual = F.when(F.col("height") != 0, F.col("width") / F.col("height")).otherwise(0.0)
     off = F.when(F.col("ratio_value") != 0, F.abs(actual - F.col("ratio_value")) / F.col("ratio_value")).otherwise(1.0)
-    return ok_unless(off > ASPECT_TOLERANCE)
+    return Rule("tech.aspect_ratio", "error", F.lit(True), ok_unless(off > ASPECT_TOLERANCE), F.col("ratio"), fixed(actual, 4))
 
 
-def hint_rules() -> list[Rule]:
-    """Rules judged from the renderer's own hints: motion_static, motion_travel, subject_motion, speaker_coverage, has_hints, subject_offset, crop_offset.
+def _container(pixels: bool) -> Rule:
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    bad = (~F.contains(low("container"), F.lower("want_container")) & ~low("container").isin("mp4", "mov")) | (low("video_codec") != F.lower("want_video_codec"))
+    pix = low("pix_fmt") if pixels else F.lit("")
+    bad = bad | ((pix != "") & (pix != F.lower("want_pix_fmt")))
+    shown = F.when(pix == "", "unknown").otherwise(pix)
+    return Rule("tech.container_codec", "error", F.col("kind") == "video", ok_unless(bad), F.concat_ws("/", "want_container", "want_video_codec", "want_pix_fmt"), F.concat_ws("/", low("container"), low("video_codec"), shown))
 
-    They are only as honest as the hints; a null hint skips, as the outcome of nothing measured.
+
+def _audio(channels: bool, hz: bool) -> Rule:
+    codec = F.coalesce(F.col("audio_codec"), F.lit(""))
+    n, rate = (F.coalesce(F.col(c), F.lit(0)) if there else F.lit(0) for c, there in (("audio_channels", channels), ("audio_rate", hz)))
+    bad = (F.lower(codec) != F.lower("want_audio_codec")) | ((n != 0) & (n != F.col("want_channels"))) | ((rate != 0) & (rate != F.col("want_rate")))
+    show = lambda c, a, b: F.format_string("%s/%dch/%dHz", c, a, b)
+    expected = F.when(codec == "", F.col("want_audio_codec")).otherwise(show(F.col("want_audio_codec"), F.col("want_channels"), F.col("want_rate")))
+    return Rule("tech.audio", "error", F.col("kind") == "video", ok_unless(bad), expected, F.when(codec == "", "none").otherwise(show(codec, n, rate)))
+
+
+def sample_facts(samples: DataFrame, by: str = "media_id", at: str = "t") -> DataFrame:
+    """Per medium what its sampled frames say: samples, with_face, letterbox (worst), luma (mean), sharpness (median of more than two, else largest),
+    coverage and longest_gap (time since a face was last seen; what comes before the first does not count).
+
+    ``samples``: by, sample, t, faces, letterbox, luma, sharpness.
     """
-    video = F.col("kind") == "video"
-    still = (F.col("motion_static") >= 0.95) | (F.col("motion_travel") < 0.01)
-    moved = F.col("subject_motion").isNull() | (F.col("subject_motion") > 0.02)
-    centred = (F.col("subject_offset") > 0.04) & (F.col("crop_offset") < 0.01)
+    order = Window.partitionBy(by).orderBy("sample").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.col("faces") > 0
+    gap = samples.withColumn("gap", F.when(~seen, F.col(at) - F.last(F.when(seen, F.col(at)), ignorenulls=True).over(order)))
+    typical = F.when(F.count("sharpness") > 2, F.percentile("sharpness", F.lit(0.5))).otherwise(F.max("sharpness"))
+    return gap.groupBy(by).agg(
+        F.count("*").alias("samples"), F.count_if(seen).alias("with_face"), F.max("letterbox").alias("letterbox"), F.avg("luma").alias("luma"),
+        typical.alias("sharpness"), F.avg(seen.cast("double")).alias("coverage"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("longest_gap"),
+    )
+
+
+def face_facts(faces: DataFrame, media: DataFrame, by: str = "media_id") -> DataFrame:
+    """Per medium what its sampled faces say: counts of faces, subjects and each kind of offence, and the first offences of each kind.
+
+    ``faces``: by, sample, t, face_no, x1, y1, x2, y2. ``media``: by, width, height and the profile's columns. A face is a subject by its height
+    beside the tallest of its frame or the frame itself. Its core decides whether it is cut, leaves the action-safe area or lies under
+    reserved zones (one face may lie under several); a subject whole but for its head is noted as tight.
+    """
+    facts = media.select(by, "width", "height", "clip_tolerance", "relative_size", "frame_fraction", "action", "reserved")
+    f = faces.join(facts, by).withColumn("face", boxes.box("x1", "y1", "x2", "y2"))
+    tall = boxes.height(F.col("face"))
+    top = F.max(tall).over(Window.partitionBy(by, "sample"))
+    f = f.withColumn("subject", (tall >= F.col("relative_size") * top) | (tall >= F.col("frame_fraction") * F.col("height")))
+    frame, core = boxes.box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")), boxes.core(F.col("face"))
+    pixels = lambda z: boxes.to_pixels(z, F.col("width"), F.col("height"))
+    f = f.withColumn("core", core).withColumn("inside", boxes.contained(F.col("core"), frame)).withColumn("head", boxes.contained(boxes.head(F.col("face")), frame))
+    f = f.withColumn("safe", boxes.contained(F.col("core"), pixels(F.col("action"))))
+    under = F.filter(F.transform("reserved", lambda z: F.struct(z["name"].alias("zone"), boxes.contained(F.col("core"), pixels(z["rect"])).alias("share"))), lambda z: z["share"] > RESERVED_OVERLAP)
+    whole = F.col("inside") >= F.col("clip_tolerance")
+    cut = ~whole & (F.col("inside") > GONE)
+    offence = lambda kind, value, zone=None: F.struct(F.lit(kind).alias("kind"), F.round(value, 4).alias("share"), F.lit(zone).cast("string").alias("zone"))
+    found = F.concat(
+        F.array_compact(F.array(
+            F.when(cut & F.col("subject"), offence("clipped", F.col("inside"))), F.when(cut & ~F.col("subject"), offence("extra", F.col("inside"))),
+            F.when(whole & F.col("subject") & (F.col("head") < TIGHT_HEAD), offence("tight", F.col("head"))),
+            F.when(F.col("subject") & F.col("action").isNotNull() & (F.col("safe") < SAFE_INSIDE), offence("safe", F.col("safe"))),
+        )),
+        F.when(F.col("subject"), F.transform(under, lambda z: F.struct(F.lit("reserved").alias("kind"), F.round(z["share"], 4).alias("share"), z["zone"].alias("zone")))).otherwise(F.array().cast("array<struct<kind:string,share:double,zone:string>>")),
+    )
+    f = f.select(by, "sample", "t", "face_no", "subject", F.when(cut & F.col("subject"), F.col("inside")).alias("left"), found.alias("offences"))
+    per_face = f.groupBy(by).agg(F.count("*").alias("faces"), F.count_if("subject").alias("subjects"), F.min("left").alias("worst"))
+    each = f.select(by, "sample", "t", "face_no", F.explode("offences").alias("o")).select(by, "sample", "t", "face_no", "o.*")
+    nth = F.row_number().over(Window.partitionBy(by, "kind").orderBy("sample", "face_no", "zone"))
+    listed = F.struct("sample", "face_no", F.round("t", 3).alias("timestamp_s"), "zone", "share")
+    kinds = ("clipped", "extra", "tight", "safe", "reserved")
+    of = lambda k: F.col("kind") == k
+    per_kind = each.withColumn("nth", nth).groupBy(by).agg(
+        *[F.count_if(of(k)).alias(f"n_{k}") for k in kinds],
+        *[F.array_sort(F.collect_list(F.when(of(k) & (F.col("nth") <= EVIDENCE), listed))).alias(f"first_{k}") for k in kinds],
+    )
+    return per_face.join(per_kind, by, "left").select(by, "faces", "subjects", "worst", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in kinds], *[f"first_{k}" for k in kinds])
+
+
+def subject_rules() -> list[Rule]:
+    """The rules on sampled faces, over columns of ``sample_facts`` and ``face_facts`` (null where a medium has none) and source_has_faces."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    sampled = n("samples") > 0
+    evidence = lambda *ks: F.to_json(F.struct("faces", "subjects", *[F.col(f"n_{k}") for k in ks], *[F.col(f"first_{k}") for k in ks]))
+    percent = lambda c, p=0: fixed(c * 100, p, "%")
+
+    clipped, extra, tight = (n(f"n_{k}") > 0 for k in ("clipped", "extra", "tight"))
+    integrity = F.when(~sampled, SKIP).when(clipped, FAIL).when(n("faces") == 0, SKIP).when(extra | tight, WARN).otherwise(PASS)
+    wanted = F.when(clipped, F.concat(F.lit(">= "), percent(F.col("clip_tolerance"), 1), F.lit(" of each subject in frame"))).when(extra, "no clipped subjects").when(tight, "no sliced faces").otherwise("no clipped subjects")
+    seen = F.when(clipped, F.concat(percent(F.col("worst"), 1), F.lit(" worst case"))).when(extra, "background faces clipped").when(tight, "tight head framing").otherwise("none")
+    judged = sampled & (n("faces") > 0)
+
+    none = ~F.col("require_subject") | ~sampled | ~F.coalesce(F.col("source_has_faces"), F.lit(False))
+    image = F.col("kind") == "image"
+    lost, thin = F.round("longest_gap", 6) > F.col("max_absence"), F.col("coverage") < F.col("min_coverage")
+    presence = F.when(none, SKIP).when(F.when(image, F.col("with_face") == 0).otherwise(lost | thin), FAIL).otherwise(PASS)
+    limit = F.format_string("%.1fs", F.col("max_absence"))
+    least = F.concat(F.lit(">= "), percent(F.col("min_coverage")))
+    p_expected = F.when(image, "subject present").when(lost, F.concat(F.lit("no absence longer than "), limit)).when(thin, least).otherwise(F.concat(least, F.lit(", no gap over "), limit))
+    p_actual = F.when(image, F.when(F.col("with_face") > 0, "present").otherwise("absent")).when(lost, fixed(F.col("longest_gap"), 2, "s")).otherwise(percent(F.col("coverage"), 1))
+
+    def banded(rule: str, kind: str, applies: Column, expected: str, fine: str, word: str) -> Rule:
+        rate = n(f"n_{kind}") / F.greatest(n("subjects"), F.lit(1))
+        outcome = F.when(n("subjects") == 0, SKIP).when(rate <= RATE_OK, PASS).when(rate <= RATE_WARN, WARN).otherwise(FAIL)
+        there = n("subjects") > 0
+        return Rule(rule, "error", applies, outcome, F.when(there, expected), F.when(there, F.when(rate <= RATE_OK, fine).otherwise(F.concat(percent(rate), F.lit(f" {word}")))), evidence(kind))
+
     return [
-        Rule("subject.reframe_motion", "error", video, F.when(F.col("motion_static").isNull(), SKIP).otherwise(ok_unless(still & moved))),
-        Rule("subject.active_speaker", "error", video, F.when(F.col("speaker_coverage").isNull(), SKIP).otherwise(ok_unless(F.col("speaker_coverage") < 0.80))),
-        Rule("subject.crop_provenance", "warning", F.lit(True), F.when(~F.coalesce(F.col("has_hints"), F.lit(False)), SKIP).otherwise(ok_unless(F.coalesce(centred, F.lit(False)), WARN))),
+        Rule("subject.face_integrity", "error", F.lit(True), integrity, F.when(judged, wanted), F.when(judged, seen), evidence("clipped", "extra", "tight")),
+        Rule("subject.presence", "error", F.lit(True), presence, F.when(~none, p_expected), F.when(~none, p_actual), F.to_json(F.struct("samples", "with_face", "coverage", "longest_gap"))),
+        banded("subject.safe_zone", "safe", F.col("action").isNotNull(), "subject within action-safe", "within", "outside"),
+        banded("subject.reserved_zone", "reserved", F.size("reserved") > 0, "no face under UI chrome", "clear", "overlapping"),
     ]
 
 
-def presence_rule(kind: str = "kind") -> Rule:
-    """Columns required, samples, source_has_faces, coverage, longest_gap_s."""
-    skip = ~F.col("required") | (F.col("samples") == 0) | F.col("source_has_faces").eqNullSafe(False)
-    image = F.col("coverage") == 0
-    video = (F.col("longest_gap_s") > 1.5) | (F.col("coverage") < 0.70)
-    return Rule("subject.presence", "error", F.lit(True), F.when(skip, SKIP).when(F.when(F.col(kind) == "image", image).otherwise(video), FAIL).otherwise(PASS))
+def hint_rules() -> list[Rule]:
+    """Rules judged from the renderer's own hints: moving_fraction, total_travel, subject_motion, speaker_coverage, speech_steps, subject_offset, crop_offset.
+
+    They are only as honest as the hints; a null hint skips, as the outcome of nothing measured.
+    """
+    video, percent = F.col("kind") == "video", lambda c, p=0: fixed(c * 100, p, "%")
+    moving, travel = F.col("moving_fraction"), F.coalesce(F.col("total_travel"), F.lit(0.0))
+    moved = F.col("subject_motion").isNull() | (F.col("subject_motion") > SUBJECT_MOVED)
+    static, held = (1 - moving >= F.col("max_static")) & moved, (travel < LEAST_TRAVEL) & moved
+    there = moving.isNotNull()
+    needed = F.concat(F.lit("crop moves in > "), percent(1 - F.col("max_static")), F.lit(" of frames"))
+    m_actual = F.when(static, F.concat(F.lit("moves in "), percent(moving, 1))).when(held, "static crop").when(~moved, "subject static").otherwise(F.concat(F.lit("moving in "), percent(moving, 1), F.lit(" of frames")))
+
+    coverage = F.col("speaker_coverage")
+    silent = coverage.isNull() | (F.coalesce(F.col("speech_steps"), F.lit(0)) == 0)
+
+    offset, crop = F.col("subject_offset"), F.col("crop_offset")
+    unknown = offset.isNull() | crop.isNull()
+    centred = (offset > OFF_CENTRE) & (crop < CENTRED)
+    c_actual = F.when(centred, "crop centred despite off-centre subject").when(offset <= OFF_CENTRE, "subject centred").otherwise(F.concat(F.lit("crop offset "), percent(crop, 1)))
+    return [
+        Rule("subject.reframe_motion", "error", video, F.when(~there, SKIP).otherwise(ok_unless(static | held)), F.when(there, F.when(static, needed).otherwise("crop follows the subject")), F.when(there, m_actual), F.to_json(F.struct("moving_fraction", "total_travel", "subject_motion"))),
+        Rule("subject.active_speaker", "error", video, F.when(silent, SKIP).otherwise(ok_unless(coverage < F.col("min_speaker"))), F.when(~silent, F.concat(F.lit(">= "), percent(F.col("min_speaker")), F.lit(" of speech time"))), F.when(~silent, percent(coverage, 1)), F.to_json(F.struct("speech_steps", "speaker_coverage"))),
+        Rule("subject.crop_provenance", "warning", F.lit(True), F.when(unknown, SKIP).otherwise(ok_unless(centred, WARN)), F.when(~unknown, "crop centre tracks subject centre"), F.when(~unknown, c_actual), F.to_json(F.struct("crop_offset", "subject_offset"))),
+    ]
 
 
-def with_profile(media: DataFrame, profiles: DataFrame, ratio: Column) -> DataFrame:
-    """Media rows with what their profile asks for; profiles are a fixed sheet of a few rows."""
-    sheet = profiles.select("profile_id", "kind", F.col("width").alias("want_w"), F.col("height").alias("want_h"), ratio.alias("ratio_value"), "min_sharpness")
+def with_profile(media: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Media rows with the limits of their profile; a sheet is a few rows, fixed by its file."""
     return media.join(F.broadcast(sheet), "profile_id")
 
 
+def gathered(media: DataFrame, sheet: DataFrame, samples: DataFrame, faces: DataFrame, hints: DataFrame, by: str = "media_id") -> DataFrame:
+    """One row per medium with everything that ``all_rules`` looks at. Samples, faces and hints are reduced per medium before they are joined."""
+    judged = with_profile(media, sheet)
+    return judged.join(sample_facts(samples, by), by, "left").join(face_facts(faces, judged, by), by, "left").join(hints, by, "left")
+
+
+def all_rules(columns: list[str]) -> list[Rule]:
+    """Every rule, in the order reports list them."""
+    return [*technical_rules(columns), *subject_rules(), *hint_rules()]
+
+
 def evaluate(df: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
-    """One row per key and applicable rule: rule_id, outcome, severity. One projection and one explode; no shuffle."""
+    """One row per key and applicable rule: rule_id, outcome, severity, expected, actual, evidence. One projection and one explode; no shuffle."""
     results = F.array_compact(F.array(*[r.result() for r in rules]))
-    return df.select(*keys, F.explode(results).alias("r")).select(*keys, "r.rule_id", "r.outcome", "r.severity")
+    return df.select(*keys, F.explode(results).alias("r")).select(*keys, "r.*")
+
+
+def display_order(results: DataFrame, keys: list[str]) -> DataFrame:
+    """``results`` with ``place``: failures first, then warnings, passes and skips, by rule id within each."""
+    rank = F.when(F.col("outcome") == FAIL, 0).when(F.col("outcome") == WARN, 1).when(F.col("outcome") == PASS, 2).otherwise(3)
+    return results.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(rank, "rule_id")))
 
 
 def summary(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,92 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gatelight.functions import boxes, network
-from gatelight.operators import asof, crop, folds, rules, sequences, store, tracking
+from gatelight.operators import asof, crop, folds, sequences, store, tracking
 from gatelight.streaming import audit
 
-from .views import Tables, oracle
+from . import gate  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 NOW = dt.datetime(2024, 1, 20)
 FRAME_W, FRAME_H = 1080.0, 1920.0
 CLIP_W, CLIP_H = 1280.0, 720.0
 
 
-def query(sql: str | None = None):
-    """Register ``f(tables)`` under its name; ``sql`` is the DuckDB equivalent over tables and views."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = oracle(sql)
-        return f
-
-    return add
-
-
 def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-# --- the publication gate -------------------------------------------------------------------------------------------------
-
-_RULES = """
-with m as (select v.*, p.kind, p.width as want_w, p.height as want_h, p.min_sharpness,
-    cast(split_part(p.ratio, ':', 1) as double) / cast(split_part(p.ratio, ':', 2) as double) as ratio_value
-  from {v_media} v join {v_profiles} p using (profile_id)),
-results as (
-  select media_id, 'tech.dimensions' as rule_id, case when width = want_w and height = want_h then 'pass' else 'fail' end as outcome, 'error' as level from m
-  union all select media_id, 'tech.aspect_ratio', case when abs(width / height::double - ratio_value) / ratio_value <= 0.012 then 'pass' else 'fail' end, 'error' from m
-  union all select media_id, 'tech.audio', case when audio_codec is null or audio_codec <> 'aac' or audio_channels <> 2 then 'fail' else 'pass' end, 'error' from m where kind = 'video'
-  union all select media_id, 'tech.frame_rate', case when fps between 23 and 61 then 'pass' else 'fail' end, 'error' from m where profile_id = 'reel_vertical_9x16'
-  union all select media_id, 'tech.duration', case when duration_s between 3 and 90 then 'pass' else 'fail' end, 'error' from m where profile_id = 'reel_vertical_9x16'
-  union all select media_id, 'tech.bitrate', case when bitrate_kbps between 1500 and 14000 then 'pass' else 'warn' end, 'warning' from m where profile_id = 'reel_vertical_9x16'
-  union all select media_id, 'tech.file_size', case when size_bytes > (case when kind = 'video' then 120 else 8 end) * 1048576 then 'fail' else 'pass' end, 'error' from m
-  union all select media_id, 'quality.sharpness', case when sharpness < min_sharpness then 'fail' else 'pass' end, 'error' from m),
-rated as (select media_id, rule_id, outcome, case outcome when 'fail' then level when 'warn' then 'warning' else 'info' end as severity from results)
-"""
-
-
-def _results(t: Tables) -> DataFrame:
-    media = rules.with_profile(t.v_media, t.v_profiles, boxes.parse_aspect(F.col("ratio")))
-    return rules.evaluate(media, ["media_id"], rules.technical_rules(media.columns))
-
-
-@query(_RULES + "select * from rated")
-def rule_results(t):
-    return _results(t)
-
-
-@query(_RULES + """select media_id, case when bool_or(outcome = 'fail' and severity = 'error') then 'fail' else 'pass' end as verdict,
-  case when bool_or(outcome = 'fail' and severity = 'error') then 'quarantined' else 'published' end as status,
-  coalesce(string_agg(rule_id, ',' order by rule_id) filter (where outcome = 'fail'), '') as failing,
-  coalesce(string_agg(rule_id, ',' order by rule_id) filter (where outcome = 'warn'), '') as warned from rated group by media_id""")
-def gate_verdict(t):
-    return rules.gate(_results(t), ["media_id"])
-
-
-@query(_RULES + """select media_id, count(*) filter (where outcome = 'pass') as n_pass, count(*) filter (where outcome = 'warn') as n_warn,
-  count(*) filter (where outcome = 'fail') as n_fail, count(*) filter (where outcome = 'skip') as n_skip from rated group by media_id""")
-def report_summary(t):
-    return rules.summary(_results(t), ["media_id"])
-
-
-@query(_RULES + """, g as (select media_id, bool_or(outcome = 'fail' and severity = 'error') as b from rated group by media_id)
-select 'variant.' || case when b then 'quarantined' else 'published' end as action, case when b then 'failure' else 'success' end as outcome, count(*) as n from g group by all""")
-def decision_audit(t):
-    rows = store.decision_audit(rules.gate(_results(t), ["media_id"]), "media_id")
-    return rows.groupBy("action", "outcome").agg(F.count("*").alias("n"))
-
-
-@query("""select profile_id, kind, case kind when 'video' then 120 else 8 end as max_mb, min_sharpness,
-  case when profile_id = 'reel_vertical_9x16' then 23.0::double end as fps_min, case when profile_id = 'reel_vertical_9x16' then 61.0::double end as fps_max from {v_profiles}""")
-def settings_merge(t):
-    limits = t._spark.createDataFrame([("image", 8), ("video", 120)], "kind string, max_mb int")
-    own = t._spark.createDataFrame([(p, r["fps"][0], r["fps"][1]) for p, r in rules.RANGES.items()], "profile_id string, fps_min double, fps_max double")
-    return t.v_profiles.join(F.broadcast(limits), "kind").join(F.broadcast(own), "profile_id", "left").select("profile_id", "kind", "max_mb", "min_sharpness", "fps_min", "fps_max")
-
-
 # --- metadata store -------------------------------------------------------------------------------------------------------
 
 @query("select * from {v_variants} where status = 'published'")
@@ -197,18 +127,27 @@ def variant_labels(t):
 
 # --- requests -------------------------------------------------------------------------------------------------------------
 
-_HOPS = """with raw as (select id, peer, unnest(string_split(x_forwarded_for, ',')) as h, generate_subscripts(string_split(x_forwarded_for, ','), 1) as k from {v_audit}),
-bare as (select id, k, case when trim(h) like '[%' then regexp_extract(trim(h), '^\\[([^\\]]*)', 1) when length(trim(h)) - length(replace(trim(h), ':', '')) = 1 then split_part(trim(h), ':', 1) else trim(h) end as ip from raw),
-chain as (select id, list(ip order by k) as c from bare where regexp_matches(ip, '^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$') or regexp_matches(ip, '^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$') group by id),
+#: Hops as they come in, with the text each stands for or null where it is no address.
+_SPELLINGS = """(values (' 198.51.100.7 ', '198.51.100.7'), ('198.51.100.7:51234', '198.51.100.7'), ('[2001:db8::1]:443', '2001:db8::1'), ('2001:DB8:0:0:0:0:0:1', '2001:db8::1'), ('1:2:3', null),
+  ('12:30:45', null), ('::ffff:300.1.1.1', null), ('::ffff:1.2.3.4', '::ffff:1.2.3.4'), ('1:0:0:2:0:0:0:3', '1:0:0:2::3'), ('0:0:1::', '0:0:1::'), ('1:2:3:4:5:6:7::', '1:2:3:4:5:6:7:0'),
+  ('::', '::'), ('1::2::3', null), (':::1', null), ('1.2.3.04', null), ('256.1.1.1', null), ('::1.2.3.4', '::102:304'), ('fe80::1%eth0', 'fe80::1%eth0'), ('not-an-ip', null), ('', null),
+  ('1:2:3:4:5:6:7:8:9', null), ('12345::', null), ('g::1', null), ('1:0:2:0:3:0:4:0', '1:0:2:0:3:0:4:0'), ('70.132.0.9', '70.132.0.9')) s(raw, ip)"""
+_HOPS = f"""with spelled as (select raw, ip, (row_number() over () - 1)::int as k from {_SPELLINGS}),
+chain as (select a.id, list(s.ip order by j) filter (where s.ip is not null) as c
+  from {{v_audit}} a cross join (select unnest([0, 1, 2]) as j) cross join spelled s where s.k = (a.id * (j + 2) + j) % 25 and a.id % 7 <> 0 and j <= a.id % 4 group by a.id),
 n as (select unnest([0, 1, 2, 3]) as hops)
 select a.id, n.hops, case when hops = 0 or c is null then a.peer else c[greatest(len(c) - hops + 1, 1)] end as ip, hops > 0 and c is not null as forwarded
-from {v_audit} a cross join n left join chain on a.id = chain.id"""
+from {{v_audit}} a cross join n left join chain on a.id = chain.id"""
 
 
 @query(_HOPS)
 def client_ip(t):
-    picks = F.array(*[F.struct(F.lit(n).alias("hops"), network.client_ip(F.col("peer"), F.col("x_forwarded_for"), n).alias("c")) for n in range(4)])
-    return t.v_audit.select("id", F.explode(picks).alias("p")).select("id", "p.hops", "p.c.ip", "p.c.forwarded")
+    raw = F.array(*[F.lit(x) for x in re.findall(r"\('([^']*)', ", _SPELLINGS)])
+    parts = F.transform(F.sequence(F.lit(0), F.least(F.col("id") % 4, F.lit(2))), lambda j: raw[((F.col("id") * (j + 2) + j) % 25).cast("int")])
+    header = t.v_audit.select("id", "peer", F.when(F.col("id") % 7 != 0, F.array_join(parts, ",")).alias("forwarded"))
+    chained = header.withColumn("chain", network.hops(F.col("forwarded")))
+    picks = F.array(*[F.struct(F.lit(n).alias("hops"), network.client_ip(F.col("peer"), F.col("chain"), n).alias("c")) for n in range(4)])
+    return chained.select("id", F.explode(picks).alias("p")).select("id", "p.hops", "p.c.ip", "p.c.forwarded")
 
 
 @query("""with x as (select event_id as id, case event_id % 4 when 0 then '["a", "b"]' when 1 then ' a, b ,,c' when 2 then '{"k": 1}' else '' end as s from {events})
@@ -315,9 +254,8 @@ _GAP = "with s as (select *, last_value(case when seen then t end ignore nulls)
 @query(_GAP + " select clip_id, samples, round(coverage, 6) as coverage, round(gap, 6) as longest_gap_s, case when round(gap, 6) > 1.5 or coverage < 0.70 then 'fail' else 'pass' end as outcome from g")
 def presence_gap(t):
     gaps = sequences.presence_gap(t.v_steps, "seen").withColumn("longest_gap_s", r6("longest_gap_s"))
-    judged = gaps.withColumns({"required": F.lit(True), "source_has_faces": F.lit(True), "kind": F.lit("video")})
-    outcome = rules.presence_rule().outcome
-    return judged.select("clip_id", "samples", r6("coverage").alias("coverage"), "longest_gap_s", outcome.alias("outcome"))
+    lost = (F.col("longest_gap_s") > 1.5) | (F.col("coverage") < 0.70)
+    return gaps.select("clip_id", "samples", r6("coverage").alias("coverage"), "longest_gap_s", F.when(lost, "fail").otherwise("pass").alias("outcome"))
 
 
 @query("select frame_id, arg_max(face_no, (round((x2 - x1) * (y2 - y1) * (0.5 + conf), 6), -face_no)) as face_no from {v_faces} group by frame_id")

@@ -61,12 +61,31 @@ from (select l_orderkey as frame_id,
   cast((event_id*53) % 720 as double) as cy
 from (select *, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as i from {events}) e""",
     "v_media": f"""select m.media_id, m.profile_id, cast(p.width - case when m.sz > 45 then 2*m.sz else 0 end as int) as width, p.height,
-  cast(15 + m.sz as double) as fps, cast(m.sz as double)*2 as duration_s, m.price*4 as bitrate_kbps,
-  cast(m.price*100000 as bigint) as size_bytes,
+  case when m.media_id % 41 <> 0 then cast(15 + m.sz as double) end as fps, case when m.media_id % 43 <> 0 then cast(m.sz as double)*2 end as duration_s,
+  case when m.media_id % 47 <> 0 then m.price*4 end as bitrate_kbps, cast(m.price*100000 as bigint) as size_bytes,
+  case when m.media_id % 19 = 0 then 'matroska,webm' else 'mov,mp4,m4a,3gp,3g2,mj2' end as container, case when m.media_id % 23 = 0 then 'hevc' else 'H264' end as video_codec,
+  case when m.media_id % 29 = 0 then null when m.media_id % 31 = 0 then 'yuv420p10le' else 'yuv420p' end as pix_fmt,
   case when m.media_id % 11 = 0 then null when m.media_id % 7 = 0 then 'mp3' else 'aac' end as audio_codec,
-  case when m.media_id % 13 = 0 then 1 else 2 end as audio_channels, m.price % 100 as sharpness
+  case when m.media_id % 13 = 0 then 1 else 2 end as audio_channels, case when m.media_id % 17 = 0 then null when m.media_id % 37 = 0 then 44100 else 48000 end as audio_rate,
+  m.price % 100 as sharpness
 from (select p_partkey as media_id, p_size as sz, p_retailprice as price, {_PROFILE_OF.format("p_partkey")} as profile_id from {{part}}) m
   join {{v_profiles}} p on m.profile_id = p.profile_id""",
+    "v_samples": """select l_partkey as media_id, cast(l_linenumber as int) as sample, cast(l_linenumber as double) * 0.4 as t,
+  count(case when l_returnflag <> 'R' and l_partkey % 5 <> 0 then 1 end) as faces, max(l_tax) / 7.5 as letterbox, avg(l_quantity) * 5 as luma, max(l_extendedprice) / 700 as sharpness
+from {lineitem} where l_partkey % 17 <> 0 group by l_partkey, l_linenumber""",
+    "v_media_faces": """select media_id, sample, t, face_no, conf, cx - s*0.4 as x1, cy - s*0.5 as y1, cx + s*0.4 as x2, cy + s*0.5 as y2
+from (select l_partkey as media_id, cast(l_linenumber as int) as sample, cast(l_linenumber as double) * 0.4 as t,
+    cast(row_number() over (partition by l_partkey, l_linenumber order by l_orderkey, l_suppkey, l_quantity, l_extendedprice) as int) as face_no,
+    0.55 + l_discount*4 as conf, 30 + case when l_partkey % 3 = 0 then 1 else 7 end * l_quantity as s,
+    cast(case when l_partkey % 3 = 0 then 300 + (l_suppkey*31) % 480 else (l_partkey*37 + l_suppkey*211) % 1080 end as double) as cx,
+    cast(case when l_partkey % 3 = 0 then 500 + (l_suppkey*17) % 300 else (l_suppkey*113 + l_orderkey*7) % 1350 end as double) as cy
+  from {lineitem} where l_returnflag <> 'R' and l_partkey % 5 <> 0 and l_partkey % 17 <> 0) f""",
+    "v_hints": """select p_partkey as media_id, p_partkey % 9 <> 0 as source_has_faces,
+  case when p_partkey % 10 <> 3 then cast((p_partkey * 7) % 41 as double) / 40 end as moving_fraction, cast(p_size as double) / 400 - 0.005 as total_travel,
+  case when p_partkey % 8 <> 1 then cast(p_partkey % 30 as double) / 250 end as subject_motion, cast((p_partkey * 3) % 25 as int) as speech_steps,
+  case when p_partkey % 14 <> 5 then cast(60 + p_size % 41 as double) / 100 end as speaker_coverage,
+  case when p_partkey % 6 <> 5 then cast(p_partkey % 20 as double) / 250 end as subject_offset, cast(p_size % 12 as double) / 500 as crop_offset
+from {part}""",
 }
 
 
