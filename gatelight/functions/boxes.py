@@ -104,6 +104,16 @@ def core(face: Column) -> Column:
     return expand(face, CORE_SHRINK)
 
 
+#: How far a standing body reaches beside, above and below its face, in faces.
+BODY = (1.5, 0.35, 3.2)
+
+
+def body(face: Column, w, h) -> Column:
+    """The body that a face suggests, within the frame."""
+    across, above, below = BODY
+    return clamp(box(center_x(face) - width(face) * across, face["y1"] - height(face) * above, center_x(face) + width(face) * across, face["y2"] + height(face) * below), w, h)
+
+
 def parse_aspect(text: Column) -> Column:
     """'16:9', '16/9' or a plain number; null where it is neither or not positive."""
     parts = F.split(F.trim(text), "[:/]")

@@ -8,9 +8,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from gatelight.functions import boxes
 
@@ -66,18 +67,24 @@ class Frames:
         side = np.maximum(box[2:] - box[:2], 0.0)
         area = side[0] * side[1]
         self.frame, self.number, self.box = (width, height), number, box
-        self.weight = np.sqrt(np.maximum(area / float(width * height), 0.02)) * (0.55 + 0.45 * conf)
+        there = np.arange(len(conf)).reshape(-1, 1, 1, 1) < number.reshape(1, -1, 1, 1)
+        top = np.where(there, area, 0.0).max(axis=0, keepdims=True)  # a face counts beside the largest of its frame
+        self.weight = np.sqrt(np.maximum(np.where(top > 0, area / np.where(top > 0, top, 1.0), 1.0), 0.02)) * (0.55 + 0.45 * conf)
         cut = side * (-boxes.CORE_SHRINK / 2)
         limit = np.array([width, height], dtype=float).reshape(2, 1, 1, 1, 1)
         self.core = np.concatenate([np.maximum(box[:2] + cut, 0.0), np.minimum(box[2:] - cut, limit)])
-        rank = np.where(np.arange(len(conf)).reshape(-1, 1, 1, 1) < number.reshape(1, -1, 1, 1), area * (0.5 + conf), -1.0)
+        left, above, right, below = boxes.HEAD_PAD
+        pad = np.stack([left * side[0], above * side[1]]), np.stack([right * side[0], below * side[1]])
+        self.head = np.concatenate([np.maximum(box[:2] - pad[0], 0.0), np.minimum(box[2:] + pad[1], limit)])
+        room = np.maximum(self.head[2:] - self.head[:2], 0.0)
+        rank = np.where(there, self.weight * room[0] * room[1], -1.0)
         self.first = np.argmax(rank[:, :, 0, 0], axis=0)
 
     def part(self, lo: int, hi: int) -> Frames:
         out = object.__new__(Frames)
         most = self.number[lo]
         out.frame, out.number, out.first = self.frame, self.number[lo:hi], self.first[lo:hi]
-        out.box, out.core, out.weight = self.box[:, :most, lo:hi], self.core[:, :most, lo:hi], self.weight[:most, lo:hi]
+        out.box, out.core, out.head, out.weight = self.box[:, :most, lo:hi], self.core[:, :most, lo:hi], self.head[:, :most, lo:hi], self.weight[:most, lo:hi]
         return out
 
     def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules):
@@ -109,7 +116,7 @@ class Frames:
             for zone in rules.reserved:
                 under = held(core, zone, cut)
                 loss[cut] += np.where((f >= 0.5) & (under > 0.02), RESERVED_PENALTY * under * (weight / 2), 0.0)
-        primary = self.box[:, self.first, np.arange(shape[0])]
+        primary = self.head[:, self.first, np.arange(shape[0])]
         composed = _composition(primary, w, h, x, y, held(primary), rules)
         score = W_COVERAGE * inside / whole + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
         return np.round(score, 6), intact, self.number.reshape(-1, 1, 1) - intact - dropped, dropped
@@ -152,8 +159,8 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
     """Best crop per frame: x, y, w, h, score (6 places) and how many faces are intact, clipped and dropped.
 
     Each size is tried on a grid of ``steps`` places a side, then in ``rounds`` rounds on the eight neighbours of its best place, which moves as
-    soon as one is better; the step halves each round. Importance is the faces' own: weight sqrt(area share) * (.55 + .45 conf) spread over
-    each box. Faces of a frame form one array; one shuffle in all.
+    soon as one is better; the step halves each round. Importance is the faces' own: weight sqrt(area beside the largest) * (.55 + .45 conf) spread over
+    each box; composition goes by the head of the primary face, the largest by weight and area. Faces of a frame form one array; one shuffle in all.
     """
     windows = sizes(width, height, aspect, min_scale, scales)
     biggest = float(math.prod(windows[0]))
@@ -183,15 +190,29 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
     return held.mapInArrow(run, T.StructType([faces.schema[by], *[T.StructField(c, k) for c, k in kinds.items()]]))
 
 
-def tiles(width: int, height: int, overlap: float = 0.25, smallest: int = 420, divisions: tuple[int, ...] = (2, 3, 4, 6, 8), budget: int = 80) -> list[tuple[int, int, int, int, int]]:
-    """(division, x, y, w, h) of the detection pyramid: overlapping grids while tiles stay large enough, finest kept within the budget."""
-    out: list[tuple[int, int, int, int, int]] = []
-    for d in divisions:
-        w, h = math.ceil(width / d * (1 + overlap)), math.ceil(height / d * (1 + overlap))
-        if min(w, h) < smallest:
-            break
-        grid = [(d, min(round(width / d * i), width - w), min(round(height / d * j), height - h), w, h) for j in range(d) for i in range(d)]
-        if len(out) + len(grid) > budget:
-            break
-        out += grid
-    return out
+#: How a frame is cut for detectors of small faces.
+DIVISIONS, LEAST_TILE, TILE_STEP, TILE_BUDGET, LEVELS = (2, 3, 4, 6, 8), 420, 0.75, 80, 4
+
+
+def tiles(frames: DataFrame, by: str, levels: int = LEVELS, budget: int = TILE_BUDGET) -> DataFrame:
+    """The detection pyramid of each frame (by, width, height): by, division, x, y, w, h.
+
+    Divisions as long as a part of the long edge has 420 pixels, the finest ``levels`` of them; a grid's tiles step by three quarters of their
+    size and end with the frame. Grids are taken while they fit the ``budget`` of tiles; the first that does not ends the pyramid.
+    """
+    w, h = F.col("width"), F.col("height")
+    fine = F.filter(F.array(*[F.lit(d) for d in DIVISIONS]), lambda d: F.greatest(w, h) / d >= LEAST_TILE)
+    kept = F.slice(fine, F.greatest(F.size(fine) - levels + 1, F.lit(1)), F.lit(levels)) if levels else F.slice(fine, 1, 0)
+
+    def starts(size: Column, d: Column) -> Column:
+        tile = F.greatest(F.floor(size / d), F.lit(1)).cast("int")
+        step = F.greatest(F.floor(tile * TILE_STEP), F.lit(1)).cast("int")
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), size - 1, step), lambda x: F.least(x, F.greatest(size - tile, F.lit(0)))))
+
+    grids = frames.select(by, "width", "height", F.posexplode(kept).alias("level", "division"))
+    grids = grids.withColumn("xs", starts(w, F.col("division"))).withColumn("ys", starts(h, F.col("division"))).withColumn("n", F.size("xs") * F.size("ys"))
+    used = F.sum("n").over(Window.partitionBy(by).orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
+    fits = grids.withColumn("used", used).filter(F.col("used") <= budget)  # sums only grow, so what follows the first misfit does not fit either
+    spots = fits.select(by, "width", "height", "division", "xs", F.explode("ys").alias("y")).select(by, "width", "height", "division", F.explode("xs").alias("x"), "y")
+    part = lambda size, at: F.least(F.greatest(F.floor(size / F.col("division")), F.lit(1)), size - F.col(at)).cast("int")
+    return spots.select(by, "division", "x", "y", part(w, "x").alias("w"), part(h, "y").alias("h"))

@@ -115,3 +115,79 @@ def significant(faces: DataFrame, height: Column, frame_height: float, relative:
     """Faces of subjects: comparable to the tallest of the frame, or tall enough within the frame."""
     top = F.max(height).over(Window.partitionBy(by))
     return faces.withColumn("subject", (height >= relative * top) | (height >= fraction * frame_height))
+
+
+def confident(faces: DataFrame, least: float, pixels: float = 10.0) -> DataFrame:
+    """Detections sure enough and at least ``pixels`` wide and tall."""
+    return faces.filter((F.col("conf") >= least) & (F.col("x2") - F.col("x1") >= pixels) & (F.col("y2") - F.col("y1") >= pixels))
+
+
+def confirmed(faces: DataFrame, sure: float = 0.85) -> DataFrame:
+    """Detections whose mouth was measured, and those sure enough without."""
+    return faces.filter(F.col("mouth").isNotNull() | (F.col("conf") >= sure))
+
+
+def speaker_face(steps: DataFrame, faces: DataFrame, by: list[str], track: str = "track") -> DataFrame:
+    """``steps`` with the values of the speaker's own detection in the frame, null where there is none; of several the smallest row counts."""
+    rest = [c for c in faces.columns if c not in (*by, track)]
+    one = faces.groupBy(*by, track).agg(F.min(F.struct(*rest)).alias("f")).select(*by, F.col(track).alias("speaker"), *[F.col(f"f.{c}").alias(c) for c in rest])
+    return steps.join(one, [*by, "speaker"], "left")
+
+
+def best_of_step(rows: DataFrame, by: list[str], track: str, score: str) -> DataFrame:
+    """The highest score per step and its track, the smaller track on a tie."""
+    top = F.max_by(F.struct(track, score), F.struct(F.col(score), -F.col(track)))
+    return rows.groupBy(*by).agg(top.alias("b")).select(*by, F.col(f"b.{track}").alias(track), F.col(f"b.{score}").alias(score))
+
+
+def presence(steps: DataFrame, seen: DataFrame, by: str, track: str, edge: float = 1e-6) -> DataFrame:
+    """Steps at which each track is present: from its first detection to its last. Spans are few per clip and join on the clip."""
+    spans = seen.groupBy(by, track).agg(F.min("t").alias("_from"), F.max("t").alias("_to"))
+    return steps.join(spans, by).filter(F.col("t").between(F.col("_from") - edge, F.col("_to") + edge)).drop("_from", "_to")
+
+
+def hann(steps: DataFrame, value: str, width: int, by: str = "clip_id") -> DataFrame:
+    """``value`` smoothed by a Hann window of ``width`` steps as ``smooth``; zeros beyond the ends, unchanged in clips shorter than the window."""
+    import math
+
+    raw = [0.5 - 0.5 * math.cos(2 * math.pi * k / (width - 1)) for k in range(width)] if width > 1 else [1.0]
+    w, half = _w(by), (width - 1) // 2
+    parts = [F.coalesce(F.lag(value, k - half).over(w), F.lit(0.0)) * (x / sum(raw)) for k, x in enumerate(raw) if x > 1e-15]
+    smooth = sum(parts[1:], parts[0])
+    return steps.withColumn("smooth", F.when(F.count("*").over(Window.partitionBy(by)) < width, F.col(value)).otherwise(smooth))
+
+
+def cut_marks(steps: DataFrame, shot: str, by: str = "clip_id") -> DataFrame:
+    """1 where the shot differs from the step before, else 0."""
+    return steps.withColumn("cut", F.coalesce((F.col(shot) != F.lag(shot).over(_w(by))).cast("int"), F.lit(0)))
+
+
+def min_max(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``value`` between its group's extremes as ``level``, 0 where the group is flat."""
+    w = Window.partitionBy(*by)
+    lo, hi = F.min(value).over(w), F.max(value).over(w)
+    return rows.withColumn("level", F.when(hi - lo < 1e-8, 0.0).otherwise((F.col(value) - lo) / (hi - lo)))
+
+
+def path_summary(steps: DataFrame, x: str, cut: str, track: str, by: str = "clip_id") -> DataFrame:
+    """Way the crop goes sideways, cuts and distinct speakers per clip."""
+    moved = steps.withColumn("_d", F.abs(F.col(x) - F.lag(x).over(_w(by))))
+    return moved.groupBy(by).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("travel"), F.count_if(cut).alias("cuts"), F.countDistinct(track).alias("speakers"))
+
+
+def face_weight(faces: DataFrame, by: str = "frame_id", speaking: Column | None = None, is_speaker: Column | None = None) -> DataFrame:
+    """``faces`` with ``weight``: the root of the area beside the frame's largest, by confidence; who speaks counts more."""
+    area = F.greatest(F.col("x2") - F.col("x1"), F.lit(0.0)) * F.greatest(F.col("y2") - F.col("y1"), F.lit(0.0))
+    top = F.max(area).over(Window.partitionBy(by))
+    weight = F.sqrt(F.greatest(F.when(top > 0, area / top).otherwise(1.0), F.lit(0.02))) * (0.55 + 0.45 * F.col("conf"))
+    louder = weight if speaking is None else weight * (1 + 0.8 * F.greatest(speaking, F.lit(0.0)))
+    return faces.withColumn("weight", louder if is_speaker is None else F.when(is_speaker, weight * 2.2).otherwise(louder))
+
+
+def primary_subject(faces: DataFrame, width: float, height: float, by: str = "frame_id") -> DataFrame:
+    """The face of the largest weight times head area (to 4 places) per frame, the first on a tie."""
+    from gatelight.functions import boxes
+
+    head = boxes.clamp(boxes.head(boxes.box("x1", "y1", "x2", "y2")), width, height)
+    rated = face_weight(faces, by).withColumn("_r", F.round(F.col("weight") * boxes.area(head), 4))
+    return rated.groupBy(by).agg(F.max_by("face_no", F.struct("_r", -F.col("face_no"))).alias("face_no"))

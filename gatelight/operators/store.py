@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def library(variants: DataFrame) -> DataFrame:
@@ -90,5 +89,69 @@ def decision_audit(gated: DataFrame, key: str) -> DataFrame:
     return gated.select(F.col(key), action.alias("action"), F.when(F.col("status") == "published", "success").otherwise("failure").alias("outcome"), F.to_json(F.struct("failing", "warned")).alias("detail"))
 
 
-def running_rank(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def by_id(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of an id; none if there is none."""
+    return df.filter(F.col(key) == value).limit(1)
+
+
+def of_assets(events: DataFrame, assets: DataFrame) -> DataFrame:
+    """Jobs or audit events of the given assets, by the value of asset_id."""
+    return events.join(assets.select("asset_id"), "asset_id", "left_semi")
+
+
+def variant_ids(assets: DataFrame, variants: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Per asset and profile of its kind the variant id that a re-render takes over (the first one given), null where there is none."""
+    held = variants.groupBy("asset_id", "profile_id").agg(F.min("variant_id").alias("variant_id"))
+    offered = assets.select("asset_id", "kind").join(F.broadcast(profiles.select("profile_id", "kind")), "kind")
+    return offered.join(held, ["asset_id", "profile_id"], "left").select("asset_id", "profile_id", "variant_id")
+
+
+def document(df: DataFrame, key: str) -> DataFrame:
+    """Rows as JSON documents under their key."""
+    return df.select(F.col(key).alias("id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("doc"))
+
+
+def from_document(docs: DataFrame, schema) -> DataFrame:
+    """Documents back as rows of ``schema``."""
+    return docs.select(F.from_json("doc", schema).alias("r")).select("r.*")
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, one file per partition."""
+    df.write.mode("overwrite").json(path)
+
+
+def library_key(asset, profile, suffix):
+    return F.concat(F.concat_ws("/", F.lit("library"), asset.cast("string"), profile), F.lit("."), suffix)
+
+
+def master_key(asset, suffix):
+    return F.concat(F.concat_ws("/", F.lit("masters"), asset.cast("string")), F.lit("."), suffix)
+
+
+def record(events: DataFrame, path: str) -> bool:
+    """Append audit events; False, with a warning, if that failed: an audit must never stop the work it describes."""
+    import warnings
+
+    try:
+        events.write.mode("append").parquet(path)
+        return True
+    except Exception as error:
+        warnings.warn(f"audit not recorded: {error}", stacklevel=2)
+        return False
+
+
+def diagnostics(variants: DataFrame, results: DataFrame, audit: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Per asset a short text report: its variants by status, its failed rules, and how many audit events it has.
+
+    ``results`` has the key, rule_id and outcome. All three tables are reduced per asset before they are joined.
+    """
+    v = variants.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "published").alias("p"))
+    r = results.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("outcome") == "fail", F.col("rule_id")))), ", ").alias("failed"))
+    a = audit.groupBy(key).agg(F.count("*").alias("events"))
+    joined = v.join(r, key, "left").join(a, key, "left")
+    lines = F.concat_ws(
+        "\n", F.format_string("# asset %s", F.col(key).cast("string")), F.format_string("%d variant(s), %d published", "n", "p"),
+        F.concat(F.lit("failed rules: "), F.when(F.coalesce(F.col("failed"), F.lit("")) == "", "none").otherwise(F.col("failed"))), F.format_string("%d audit event(s)", F.coalesce("events", F.lit(0))),
+    )
+    return joined.select(key, lines.alias("summary"))

@@ -69,14 +69,17 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 def track_clip(frames: pd.DataFrame, diagonal: float) -> pd.DataFrame:
     """Track ids for the detections of one clip, ordered by frame: columns frame_i, face_no, x1, y1, x2, y2, shot_id.
 
-    A cut retires all live tracks. A track unmatched for more than six frames can no longer be matched. Ids count up from 1.
+    A cut retires all live tracks. A track unmatched for more than six frames can no longer be matched; frames without any detection, which
+    have no row, count by the gap in the frame numbers. Ids count up from 1.
     """
     live: dict[int, dict] = {}
-    next_id, shot, out = 1, None, []
+    next_id, shot, last, out = 1, None, None, []
     for (shot_id, frame_i), rows in frames.sort_values(["frame_i", "face_no"]).groupby(["shot_id", "frame_i"], sort=False):
         if shot is not None and shot_id != shot:
             live.clear()
-        shot = shot_id
+        for s in live.values():
+            s["misses"] += frame_i - last - 1
+        shot, last = shot_id, frame_i
         found = rows[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
         ids = [t for t, s in live.items() if s["misses"] <= MAX_MISSES]
         taken: dict[int, int] = {}
@@ -111,52 +114,133 @@ def finished(tracked: DataFrame, by: str, least: int = MIN_HITS) -> DataFrame:
     return tracked.groupBy(by, "track_id").agg(F.count("*").alias("hits"), F.min("frame_i").alias("first_frame"), F.max("frame_i").alias("last_frame")).filter(F.col("hits") >= least)
 
 
-def windowed_ncc(a: np.ndarray, b: np.ndarray, half: int, max_lag: int) -> np.ndarray:
-    """Per position the best normalised cross-correlation over the lags, never negative. A lag whose window leaves the series is not tried."""
-    n, out = len(a), np.zeros(len(a))
-    for at in range(n):
-        lo, hi = max(0, at - half), min(n, at + half + 1)
-        if hi - lo < 3:
-            continue
-        x = a[lo:hi] - a[lo:hi].mean()
-        for lag in range(-max_lag, max_lag + 1):
-            if lo + lag < 0 or hi + lag > len(b):
-                continue
-            y = b[lo + lag : hi + lag]
-            y = y - y.mean()
-            norm = np.sqrt((x * x).sum() * (y * y).sum())
-            if norm >= 1e-8:
-                out[at] = max(out[at], float((x * y).sum() / norm))
-    return out
-
-
-def speaker_scores(steps: DataFrame, by: str, mouth: str, energy: str, gate: str, half: int = 5, max_lag: int = 2) -> DataFrame:
-    """Per step how well the mouth's motion follows the sound: gate * (.62 * correlation + .38 * mean motion), 0 under a gate of .25."""
-    kind = steps.schema[by].dataType.simpleString()
+def _sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums of x[lo:hi] for arrays of bounds, from one running sum."""
+    run = np.concatenate([[0.0], np.cumsum(x)])
+    return run[hi] - run[lo]
+
+
+def correlation(motion: np.ndarray, sound: np.ndarray, half: int, max_lag: int) -> np.ndarray:
+    """Per step the best correlation, 0 at least, of the motion around it with the sound shifted by up to ``max_lag`` steps either way.
+
+    All steps at once, by running sums of the products of each shift. Windows are cut at the ends of the motion; a shift that would take a window
+    beyond the sound does not count there, nor do windows of under three steps or without variance.
+    """
+    n = len(motion)
+    lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
+    size = hi - lo
+    best = np.zeros(n)
+    a = motion - motion.mean() if n else motion  # centred, so that the sums lose no digits
+    b = sound - sound.mean() if len(sound) else sound
+    mean_a, square_a = _sums(a, lo, hi) / np.maximum(size, 1), _sums(a * a, lo, hi)
+    for shift in range(-max_lag, max_lag + 1):
+        moved = np.zeros(n)
+        source = np.arange(n) + shift
+        there = (source >= 0) & (source < len(b))
+        moved[there] = b[source[there]]
+        mean_b = _sums(moved, lo, hi) / np.maximum(size, 1)
+        common = _sums(a * moved, lo, hi) - size * mean_a * mean_b
+        norm = np.sqrt(np.maximum(square_a - size * mean_a**2, 0) * np.maximum(_sums(moved * moved, lo, hi) - size * mean_b**2, 0))
+        fine = (size >= 3) & (lo + shift >= 0) & (hi + shift <= len(b)) & (norm >= 1e-8)
+        best = np.where(fine, np.maximum(best, common / np.where(fine, norm, 1.0)), best)
+    return best
+
+
+def mouth_motion(aperture: np.ndarray, t: np.ndarray) -> np.ndarray | None:
+    """Motion of a mouth per step, 1 at its 95th percentile and above; None with under three measurements.
+
+    Missing apertures are interpolated between the first and the last measured step; outside them the mouth is absent, has no motion and does not
+    count for the percentile.
+    """
+    known = ~np.isnan(aperture)
+    if known.sum() < 3:
+        return None
+    there = (t >= t[known][0]) & (t <= t[known][-1])
+    filled = np.where(there, np.interp(t, t[known], aperture[known]), 0.0)
+    motion = np.where(there, np.abs(np.gradient(filled)), 0.0)
+    peak = np.percentile(motion[there], 95)
+    return np.clip(motion / peak, 0, 1) if peak > 1e-6 else motion
+
+
+def speaker_scores(steps: DataFrame, by: str | list[str], mouth: str, energy: str, gate: str, half: int = 5, max_lag: int = 2, present: str | None = None) -> DataFrame:
+    """Per step how well a mouth's motion follows the sound: by, i, score.
+
+    gate * (.62 * correlation + .38 * mean motion), 0 under a gate of .25. Without any sound (all ``energy`` null) half the mean motion; without a
+    measured mouth .05. Steps at which the track is not ``present`` (a boolean column) score 0. ``by`` names clip and track; rows have t.
+    """
+    keys = [by] if isinstance(by, str) else by
+    kinds = [f"{k} {steps.schema[k].dataType.simpleString()}" for k in keys]
+    columns = [*keys, "i", "t", mouth, energy, gate, *([present] if present else [])]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
-        aperture, sound, open_ = (rows[c].to_numpy(dtype=float) for c in (mouth, energy, gate))
-        motion = np.abs(np.gradient(aperture)) if len(aperture) >= 3 else np.zeros(len(aperture))
-        peak = np.percentile(motion, 95) if len(motion) else 0.0
-        motion = np.clip(motion / peak, 0, 1) if peak > 1e-9 else np.zeros(len(motion))
-        mean = pd.Series(motion).rolling(2 * half + 1, center=True, min_periods=1).mean().to_numpy()
-        score = open_ * (0.62 * windowed_ncc(motion, sound, half, max_lag) + 0.38 * mean)
-        return pd.DataFrame({by: rows[by], "i": rows["i"], "score": np.where(open_ < 0.25, 0.0, score)})
-
-    return steps.select(by, "i", mouth, energy, gate).groupBy(by).applyInPandas(run, f"{by} {kind}, i int, score double")
-
-
-def subject_map(faces: pd.DataFrame, width: int, height: int, cells: int = 96) -> np.ndarray:
-    """Importance of each cell of a frame: a Gaussian per head, weighted by size and confidence, scaled to a peak of 1; flat without faces."""
-    h = max(1, round(cells * height / width))
-    ys, xs = np.mgrid[0:h, 0:cells]
-    out = np.zeros((h, cells))
-    for f in faces.itertuples():
-        w, t = f.x2 - f.x1, f.y2 - f.y1
-        cx, cy = (f.x1 + f.x2) / 2 * cells / width, (f.y1 + f.y2 - 0.18 * t) / 2 * h / height
-        sx, sy = max(0.55 * 1.36 * w * cells / width, 1e-6), max(0.55 * 1.58 * t * h / height, 1e-6)
-        d = ((xs + 0.5 - cx) / sx) ** 2 + ((ys + 0.5 - cy) / sy) ** 2
-        weight = np.sqrt(max(w * t / (width * height), 0.02)) * (0.55 + 0.45 * f.conf)
-        out += np.where(d <= 9, weight * np.exp(-d / 2), 0)
-    return out / out.max() if out.max() > 0 else np.full_like(out, 1.0)
+        aperture, sound, open_, t = (rows[c].to_numpy(dtype=float) for c in (mouth, energy, gate, "t"))
+        motion = mouth_motion(aperture, t)
+        if motion is None:
+            score = np.full(len(rows), 0.05)
+        else:
+            at = np.arange(len(rows))
+            lo, hi = np.maximum(at - half, 0), np.minimum(at + half + 1, len(rows))
+            mean = _sums(motion, lo, hi) / (hi - lo)
+            heard = ~np.isnan(sound).all()
+            sound, open_ = np.nan_to_num(sound), np.nan_to_num(open_)
+            score = np.where(open_ < 0.25, 0.0, open_ * (0.62 * correlation(motion, sound, half, max_lag) + 0.38 * mean)) if heard else 0.5 * mean
+        if present:
+            score = np.where(rows[present].fillna(False).to_numpy(dtype=bool), score, 0.0)
+        return pd.DataFrame({**{k: rows[k] for k in keys}, "i": rows["i"], "score": score})
+
+    return steps.select(*columns).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, "i int", "score double"]))
+
+
+def face_weights(area: np.ndarray, conf: np.ndarray, speaking: np.ndarray | None = None, is_speaker: np.ndarray | None = None) -> np.ndarray:
+    """What each face of a frame counts: the root of its area beside the largest's, by confidence; more for who speaks."""
+    top = area.max(initial=0.0)
+    weight = np.sqrt(np.maximum(area / top if top > 0 else np.ones_like(area), 0.02)) * (0.55 + 0.45 * conf)
+    if speaking is not None:
+        weight = weight * (1 + 0.8 * np.maximum(speaking, 0))
+    return weight if is_speaker is None else np.where(is_speaker, face_weights(area, conf) * 2.2, weight)
+
+
+def importance(faces: pd.DataFrame, width: int, height: int, cells: int = 96) -> np.ndarray:
+    """Importance of each cell of a frame: a Gaussian over each head, by the face's weight, scaled to a peak of 1; flat without faces."""
+    cells = min(cells, width)
+    rows = max(1, round(cells * height / width))
+    out = np.zeros((rows, cells))
+    if len(faces):
+        scale = cells / width
+        x1, y1, x2, y2, conf = (faces[c].to_numpy(dtype=float) for c in ("x1", "y1", "x2", "y2", "conf"))
+        w, h = np.maximum(x2 - x1, 0), np.maximum(y2 - y1, 0)
+        left, top, right, bottom = boxes.HEAD_PAD
+        hx1, hx2, hy1, hy2 = (v * scale for v in (x1 - left * w, x2 + right * w, y1 - top * h, y2 + bottom * h))
+        for cx, cy, sx, sy, weight in zip((hx1 + hx2) / 2, (hy1 + hy2) / 2, np.maximum(1, 0.55 * (hx2 - hx1)), np.maximum(1, 0.55 * (hy2 - hy1)), face_weights(w * h, conf)):
+            dx, dy = np.arange(cells) - cx, np.arange(rows) - cy
+            near = lambda d, s: np.where(np.abs(d) <= 3 * s, np.exp(-0.5 * (d / s) ** 2), 0.0)
+            out += weight * np.outer(near(dy, sy), near(dx, sx))
+    return out / out.max() if out.max(initial=0) > 1e-8 else np.ones_like(out)
+
+
+def subject_maps(faces: DataFrame, width: int, height: int, by: str = "frame_id", cells: int = 96) -> DataFrame:
+    """Per frame with faces its importance as rows of running sums: by, row, upto (array: sums over all cells above and left of each edge).
+
+    Row r holds the integral at the r-th edge from the top, so that ``box_sums`` needs two rows and four cells for any box.
+    """
+    kind = faces.schema[by].dataType.simpleString()
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.pad(importance(rows, width, height, cells), ((1, 0), (1, 0))).cumsum(axis=0).cumsum(axis=1)
+        return pd.DataFrame({by: [key[0]] * len(total), "row": np.arange(len(total), dtype=np.int32), "upto": list(total)})
+
+    return faces.select(by, "x1", "y1", "x2", "y2", "conf").groupBy(by).applyInPandas(run, f"{by} {kind}, row int, upto array<double>")
+
+
+def box_sums(crops: DataFrame, maps: DataFrame, width: int, height: int, by: str = "frame_id", cells: int = 96) -> DataFrame:
+    """``crops`` (by, x1, y1, x2, y2 in frame pixels) plus ``held``, the importance inside each, from four running sums; two equi-joins."""
+    scale, rows = min(cells, width) / width, max(1, round(min(cells, width) * height / width))
+    edge = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most), F.bround(F.col(c) * scale).cast("int")))
+    asked = crops.withColumns({"_l": edge("x1", min(cells, width)), "_r": edge("x2", min(cells, width)), "_t": edge("y1", rows), "_b": edge("y2", rows)})
+    top = maps.select(by, F.col("row").alias("_t"), F.col("upto").alias("_above"))
+    bottom = maps.select(by, F.col("row").alias("_b"), F.col("upto").alias("_below"))
+    met = asked.join(top, [by, "_t"]).join(bottom, [by, "_b"])
+    at = lambda a, c: F.get(F.col(a), F.col(c))
+    held = at("_below", "_r") - at("_above", "_r") - at("_below", "_l") + at("_above", "_l")
+    return met.withColumn("held", F.when((F.col("_r") > F.col("_l")) & (F.col("_b") > F.col("_t")), held).otherwise(0.0)).select(*crops.columns, "held")

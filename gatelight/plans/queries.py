@@ -14,7 +14,7 @@ from gatelight.functions import boxes, network
 from gatelight.operators import asof, crop, folds, sequences, store, tracking
 from gatelight.streaming import audit
 
-from . import gate  # noqa: F401  registers its queries
+from . import clips, gate, service  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, query
 
 NOW = dt.datetime(2024, 1, 20)
@@ -434,39 +434,6 @@ def hysteresis(t):
     return folds.hysteresis(steps, "clip_id", "candidate_track", "q", "speech", "shot_id")
 
 
-@query()
-def shot_state(t):
-    return folds.shot_state(t.v_steps.withColumn("corr", 1 - F.col("speech") * F.col("low_corr").cast("int")), "clip_id", "corr")
-
-
-def _targets(t):
-    steps = sequences.shot_ids(t.v_steps, "low_corr")
-    return steps.select("clip_id", "i", "t", "cx", "cy", F.lit(405.0).alias("w"), F.lit(720.0).alias("h"), "shot_id", F.when(F.col("seen"), F.col("candidate_track")).alias("active_track"))
-
-
-@query()
-def spring_smooth(t):
-    return folds.spring_smooth(_targets(t), "clip_id", CLIP_W, CLIP_H).select("clip_id", "i", *[r6(c).alias(c) for c in ("cx", "cy", "w")])
-
-
-@query()
-def smooth_two_pass(t):
-    """The follower run forward, then backward over its own output, and the mean of the two passes."""
-    ahead = folds.spring_smooth(_targets(t), "clip_id", CLIP_W, CLIP_H)
-    base = _targets(t).select("clip_id", "i", "t", "h", "shot_id", "active_track")
-    turn = Window.partitionBy("clip_id")
-    again = base.join(ahead, ["clip_id", "i"]).withColumn("last_i", F.max("i").over(turn)).withColumn("last_t", F.max("t").over(turn))
-    again = again.select("clip_id", (F.col("last_i") - F.col("i")).alias("i"), (F.col("last_t") - F.col("t")).alias("t"), "cx", "cy", "w", "h", "shot_id", "active_track", F.col("i").alias("j"))
-    back = folds.spring_smooth(again, "clip_id", CLIP_W, CLIP_H).join(again.select("clip_id", "i", "j"), ["clip_id", "i"]).select("clip_id", F.col("j").alias("i"), *[F.col(c).alias(f"b_{c}") for c in ("cx", "cy", "w")])
-    both = ahead.join(back, ["clip_id", "i"])
-    return both.select("clip_id", "i", *[r6((F.col(c) + F.col(f"b_{c}")) / 2).alias(c) for c in ("cx", "cy", "w")])
-
-
-@query()
-def nms(t):
-    return folds.nms(t.v_faces).select("frame_id", "face_no", r6("conf").alias("conf"))
-
-
 def _clip_faces(t):
     # seven detections of a frame are spread over steps of a clip: frame number is the order's low digits
     return t.v_faces.select((F.col("frame_id") % 997).alias("clip_id"), (F.col("frame_id") / 997).cast("int").alias("frame_i"), "face_no", "x1", "y1", "x2", "y2", F.lit(0).alias("shot_id"))

@@ -60,6 +60,8 @@ from (select l_orderkey as frame_id,
   least(value / 60, cast(1 as double)) as speech, value as mouth, cast((event_id*37) % 1280 as double) as cx,
   cast((event_id*53) % 720 as double) as cy
 from (select *, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as i from {events}) e""",
+    "v_track_scores": """select clip_id, i, track, cast((cast(cx as int) * track + cast(cy as int)) % 100 as double) / 100 as score, (cast(cx as int) + track) % 5 <> 0 as present
+from (select clip_id, i, cx, cy, 1 as track from {v_steps} union all select clip_id, i, cx, cy, 2 as track from {v_steps} union all select clip_id, i, cx, cy, 3 as track from {v_steps}) s""",
     "v_media": f"""select m.media_id, m.profile_id, cast(p.width - case when m.sz > 45 then 2*m.sz else 0 end as int) as width, p.height,
   case when m.media_id % 41 <> 0 then cast(15 + m.sz as double) end as fps, case when m.media_id % 43 <> 0 then cast(m.sz as double)*2 end as duration_s,
   case when m.media_id % 47 <> 0 then m.price*4 end as bitrate_kbps, cast(m.price*100000 as bigint) as size_bytes,

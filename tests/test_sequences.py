@@ -7,9 +7,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from gatelight.operators import asof, crop, folds, tracking
+from gatelight.operators import asof, crop, folds, framing, store, tracking
 from gatelight.plans import queries, views
 from gatelight.streaming import shots
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -152,19 +153,59 @@ def test_assignment_is_optimal():
 
 def test_tracks():
     step = lambda i, x, shot=0: (i, 0, x, 100.0, x + 120, 220.0, shot)
-    frames = [step(i, 100.0 + 5 * i) for i in range(5)] + [step(i, 125.0) for i in range(9, 12)] + [step(i, 130.0) for i in range(30, 32)] + [step(i, 130.0, 1) for i in range(32, 34)]
+    frames = [step(i, 100.0 + 5 * i) for i in range(5)] + [step(i, 125.0) for i in range(9, 12)] + [step(18, 125.0)] + [step(i, 130.0) for i in range(30, 32)] + [step(i, 130.0, 1) for i in range(32, 34)]
     out = tracking.track_clip(pd.DataFrame(frames, columns=["frame_i", "face_no", "x1", "y1", "x2", "y2", "shot_id"]), 2203.0)
     ids = dict(zip(out["frame_i"], out["track_id"]))
     assert len({ids[i] for i in (0, 4, 9, 11)}) == 1  # movement and a short dropout keep the identity
-    assert ids[31] == ids[11]  # misses count frames with detections, of which there were none between
+    assert ids[18] == ids[11] and ids[30] != ids[18]  # six frames without any detection are six misses; more end the track
     assert ids[32] not in (ids[0], ids[31])  # never across a cut
 
 
 def test_correlation_follows_the_sound():
     t = np.arange(100)
     sound = np.sin(t / 3)
-    assert tracking.windowed_ncc(sound, np.roll(sound, 1), 5, 2)[20:80].min() > 0.95
-    assert tracking.windowed_ncc(np.zeros(10), sound[:10], 5, 2).max() == 0
+    assert tracking.correlation(sound, np.roll(sound, 1), 5, 2)[20:80].min() > 0.95
+    assert tracking.correlation(np.zeros(10), sound[:10], 5, 2).max() == 0
+
+
+def test_correlation_against_numpy_step_by_step():
+    rng = np.random.default_rng(4)
+    for n, half, lag in ((40, 5, 2), (7, 5, 3), (2, 3, 1), (25, 1, 4)):
+        a, b = rng.random(n), rng.random(n)
+        found = tracking.correlation(a, b, half, lag)
+        for i in range(n):
+            window = np.arange(max(0, i - half), min(n, i + half + 1))
+            tried = [np.corrcoef(a[window], b[window + k])[0, 1] for k in range(-lag, lag + 1) if len(window) >= 3 and window[0] + k >= 0 and window[-1] + k < n]
+            assert found[i] == pytest.approx(max([0.0, *tried]))
+
+
+def test_mouth_motion_bridges_gaps_and_ends_with_the_track():
+    t = np.arange(30) / 10
+    aperture = np.sin(t * 9)
+    aperture[[4, 5, 12]] = np.nan
+    aperture[:2] = aperture[26:] = np.nan
+    motion = tracking.mouth_motion(aperture, t)
+    assert not np.isnan(motion).any() and (motion[:2] == 0).all() and (motion[26:] == 0).all() and 0.5 < motion.max() <= 1
+    assert tracking.mouth_motion(np.full(5, np.nan), t[:5]) is None
+
+
+def test_speaker_scores_without_sound_without_a_mouth_and_when_absent(spark):
+    rows = [(1, 1, i, i / 10, math.sin(i), None, 0.0, i != 7) for i in range(20)] + [(1, 2, i, i / 10, None, 0.5, 1.0, True) for i in range(20)]
+    df = spark.createDataFrame(rows, "clip long, track int, i int, t double, mouth double, energy double, gate double, present boolean")
+    found = {(r.track, r.i): r.score for r in tracking.speaker_scores(df, ["clip", "track"], "mouth", "energy", "gate", present="present").collect()}
+    assert found[2, 3] == 0.05 and found[1, 7] == 0 and 0 < found[1, 8] <= 0.5
+
+
+def test_finished_tracks(spark):
+    df = spark.createDataFrame([(1, 5, f, 1) for f in (3, 4, 9)] + [(1, 6, 3, 2)], "clip_id long, track_id int, frame_i int, face_no int")
+    assert [tuple(r) for r in tracking.finished(df, "clip_id").collect()] == [(1, 5, 3, 3, 9)]
+
+
+def test_folds_of_more_than_a_chunk(spark):
+    for n in (1, 63, 64, 65, 200):
+        df = spark.createDataFrame([(1, i, 1.0) for i in range(n)], "c long, i int, x double")
+        out = folds.fold(df, ["c"], ["i"], ["i", "x"], F.lit(0.0), lambda s, r: s + r["x"])
+        assert [(r.i, r.state) for r in out.orderBy("i").collect()] == [(i, i + 1.0) for i in range(n)]
 
 
 def test_nearest_and_interpolation(spark):
@@ -214,9 +255,12 @@ def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=No
     for b, conf in faces:
         dx, dy = (b[2] - b[0]) * 0.15, (b[3] - b[1]) * 0.15
         core = (max(0.0, b[0] + dx), max(0.0, b[1] + dy), min(width, b[2] - dx), min(height, b[3] - dy))
-        held.append((b, core, math.sqrt(max(area(b) / (width * height), 0.02)) * (0.55 + 0.45 * conf)))
-        if area(b) * (0.5 + conf) > most:
-            primary, most = b, area(b) * (0.5 + conf)
+        weight = math.sqrt(max(area(b) / max(area(k) for k, _ in faces), 0.02)) * (0.55 + 0.45 * conf)
+        held.append((b, core, weight))
+        fw, fh = b[2] - b[0], b[3] - b[1]
+        head = (max(0.0, b[0] - 0.18 * fw), max(0.0, b[1] - 0.38 * fh), min(width, b[2] + 0.18 * fw), min(height, b[3] + 0.20 * fh))
+        if weight * area(head) > most:
+            primary, most = head, weight * area(head)
     wide = width / height > aspect
     big = (math.floor(height * aspect), height) if wide else (width, math.floor(width / aspect))
 
@@ -292,14 +336,59 @@ def test_crop_solve_searches_the_whole_grid(spark, sf_dir):
         assert tuple(found[frame][c] for c in CROP) == pytest.approx(plain_crop(faces[frame], 1080, 1920, 4 / 5, 0.45, 8, 28, (0.05, 0.06, 0.95, 0.94)), abs=2e-6)
 
 
-def test_subject_map_peaks_at_the_head():
-    m = tracking.subject_map(pd.DataFrame([(900.0, 200.0, 1000.0, 320.0, 0.9)], columns=["x1", "y1", "x2", "y2", "conf"]), 1920, 1080)
-    y, x = np.unravel_index(m.argmax(), m.shape)
-    assert m.max() == 1 and abs(x / m.shape[1] - 950 / 1920) < 0.03 and abs(y / m.shape[0] - 240 / 1080) < 0.06
-    assert (tracking.subject_map(pd.DataFrame(columns=["x1", "y1", "x2", "y2", "conf"]), 1920, 1080) == 1).all()
+FACE = ["x1", "y1", "x2", "y2", "conf"]
 
 
-def test_tiles_stay_in_frame_and_budget():
-    found = crop.tiles(4000, 4000)
-    assert 0 < len(found) <= 80 and all(x >= 0 and y >= 0 and x + w <= 4000 and y + h <= 4000 for _, x, y, w, h in found)
-    assert crop.tiles(600, 600) == []
+def test_importance_peaks_at_the_head():
+    m = tracking.importance(pd.DataFrame([(900.0, 200.0, 1000.0, 320.0, 0.9)], columns=FACE), 1920, 1080)
+    y, x = np.unravel_index(m.argmax(), m.shape)
+    assert m.max() == 1 and abs(x / m.shape[1] - 950 / 1920) < 0.03 and abs(y / m.shape[0] - 240 / 1080) < 0.06
+    assert (tracking.importance(pd.DataFrame(columns=FACE), 1920, 1080) == 1).all()
+
+
+def test_face_weights_go_by_the_largest_face_and_the_speaker():
+    w = tracking.face_weights(np.array([400.0, 100.0, 1.0]), np.array([1.0, 1.0, 0.0]), np.array([0.0, 0.5, 0.0]), np.array([False, False, True]))
+    assert w == pytest.approx([1.0, 0.5 * 1.4, math.sqrt(0.02) * 0.55 * 2.2])
+
+
+def test_box_sums_equal_sums_over_cells(spark):
+    faces = [(1, 900.0, 200.0, 1000.0, 320.0, 0.9), (1, 100.0, 500.0, 300.0, 700.0, 0.6)]
+    maps = tracking.subject_maps(spark.createDataFrame(faces, "frame_id long, x1 double, y1 double, x2 double, y2 double, conf double"), 1920, 1080)
+    crops = [(1, 0.0, 0.0, 1920.0, 1080.0), (1, 600.0, 100.0, 1210.0, 800.0), (1, 50.0, 50.0, 50.0, 90.0), (1, -200.0, -9.0, 400.0, 5000.0)]
+    found = {tuple(r)[1:5]: r.held for r in tracking.box_sums(spark.createDataFrame(crops, "frame_id long, x1 double, y1 double, x2 double, y2 double"), maps, 1920, 1080).collect()}
+    cells = tracking.importance(pd.DataFrame([f[1:] for f in faces], columns=FACE), 1920, 1080)
+    for _, x1, y1, x2, y2 in crops:
+        a, b, c, d = (round(v / 20) for v in (x1, y1, x2, y2))
+        assert found[x1, y1, x2, y2] == pytest.approx(cells[max(b, 0) : max(d, 0), max(a, 0) : max(c, 0)].sum())
+
+
+def test_tiles_stay_in_frame_and_budget(spark):
+    df = spark.createDataFrame([(1, 4000, 4000), (2, 600, 600), (3, 1920, 1080)], "id long, width int, height int")
+    found = [tuple(r) for r in crop.tiles(df, "id").collect()]
+    of = lambda i, d: sorted(t[2:] for t in found if t[:2] == (i, d))
+    assert not [t for t in found if t[0] == 2] and len([t for t in found if t[0] == 1]) <= 80
+    assert {t[1] for t in found if t[0] == 3} == {2, 3, 4}
+    assert of(3, 2) == [(x, y, 960, 540) for x in (0, 720, 960) for y in (0, 405, 540)]
+    assert all(0 <= x and x + w <= 4000 and 0 <= y and y + h <= 4000 for i, _, x, y, w, h in found if i == 1)
+
+
+def test_rationale_says_each_thing_once(spark):
+    df = spark.createDataFrame([(1, 300.0, 0.0, 400, 720, 1.0, 2, 1, 0), (2, 440.0, 0.0, 400, 720, 1.0, 0, 0, 1)], "id long, x double, y double, w int, h int, score double, intact int, clipped int, dropped int")
+    lines = {r.id: r.rationale for r in framing.rationale(df, 1280.0, 720.0).collect()}
+    assert lines[1][0].startswith("crop centre is off the frame centre by 10.9% across") and lines[1][1:] == ["2 face(s) whole in the frame", "WARNING: 1 face(s) cut"]
+    assert lines[2] == ["the subject is centred, and so is the crop", "1 face(s) left out for the primary subject"]
+
+
+def test_audit_record_diagnostics_and_export(spark, tmp_path):
+    events = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c")], "asset_id long, action string")
+    assert store.record(events, str(tmp_path / "audit")) and store.record(events, str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 6
+    (tmp_path / "file").write_text("x")
+    with pytest.warns(UserWarning, match="not recorded"):
+        assert not store.record(events, str(tmp_path / "file" / "below"))
+    variants = spark.createDataFrame([(7, "published"), (7, "quarantined"), (9, "failed")], "asset_id long, status string")
+    results = spark.createDataFrame([(7, "tech.audio", "fail"), (7, "tech.bitrate", "warn")], "asset_id long, rule_id string, outcome string")
+    text = {r.asset_id: r.summary for r in store.diagnostics(variants, results, events).collect()}
+    assert text[7] == "# asset 7\n2 variant(s), 1 published\nfailed rules: tech.audio\n2 audit event(s)" and "failed rules: none" in text[9]
+    store.export_json(variants, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 3

@@ -1,3 +1,5 @@
+import ipaddress
+import random
 import datetime as dt
 import io
 import math
@@ -20,12 +22,29 @@ from pyspark.sql import functions as F
 ])
 def test_client_ip(spark, xff, hops, ip, forwarded):
     df = spark.createDataFrame([("10.0.0.9", xff)], "peer string, xff string")
-    assert tuple(df.select(network.client_ip(F.col("peer"), F.col("xff"), hops).alias("c")).first().c) == (ip, forwarded)
-
-
-def test_canonical_ip_and_agent(spark):
-    df = spark.createDataFrame([("2001:DB8:0::1",), ("256.1.1.1",), (None,)], "v string")
-    assert [r.c for r in df.select(network.canonical_ip("v").alias("c")).collect()] == ["2001:db8::1", None, None]
+    assert tuple(df.select(network.client_ip(F.col("peer"), network.hops(F.col("xff")), hops).alias("c")).first().c) == (ip, forwarded)
+
+
+def test_addresses_equal_the_standard_library(spark):
+    rng = random.Random(31)
+    texts = ["2001:DB8:0::1", "256.1.1.1", "1:2:3", "12:30:45", "::ffff:300.1.1.1", "::", "::1", "1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2::3", ":1", "1:", "fe80::1%eth0", "fe80::1%", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.4", "01.2.3.4", "1.2.3", "", "%", "::%a%b", "1.2.3.4%x"]
+    for _ in range(600):
+        groups = [rng.choice(["0", "0", "00", "1", "ab", "FFFF", "0a0b", "12345", "g"][: 7 + (rng.random() < 0.1) * 2]) for _ in range(rng.choice([8, 8, 8, rng.randrange(1, 10)]))]
+        text = ":".join(groups)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(groups) + 1)
+            text = ":".join(groups[:at]) + "::" + ":".join(groups[at + rng.randrange(3) :])
+        texts.append(text)
+
+    def want(text):
+        try:
+            return str(ipaddress.ip_address(text))
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    found = {r.v: r.c for r in df.select("v", network.address(F.col("v")).alias("c")).collect()}
+    assert {t: c for t, c in found.items() if c != want(t)} == {}
     assert len(df.select(network.user_agent(F.lit("x" * 900)).alias("a")).first().a) == 400
 
 
@@ -34,7 +53,7 @@ defaults: {image: {min_sharpness: 45, unknown: 3}}
 render_sets: {image: [wide]}
 profiles:
   - {id: wide, ratio: "16:9", kind: image, width: 1920, height: 1080, overrides: {min_sharpness: 60}}
-  - {id: reel, ratio: "9:16", kind: video, width: 1080, height: 1920, action: [0.05, 0.14, 0.95, 0.84]}
+  - {id: reel, ratio: "9:16", kind: video, width: 1080, height: 1920, safe_zones: {action: [0.05, 0.14, 0.95, 0.84]}}
 """
 
 
@@ -43,7 +62,8 @@ def test_spec(spark, tmp_path):
     path.write_text(SHEET)
     sheet = spec.load(str(path))
     assert spec.load(str(path)) is sheet
-    assert spec.settings(sheet, sheet["profiles"][0])["min_sharpness"] == 60 and "unknown" not in spec.settings(sheet, sheet["profiles"][0])
+    own = spec.settings(sheet, sheet["profiles"][0], "image")
+    assert own["min_sharpness"] == 60 and "unknown" not in own
     assert spec.profiles_of(sheet, "image") == ["wide"] and spec.profiles_of(sheet, "video") == ["reel"]
     assert {r.profile_id: r.min_sharpness for r in spec.profile_table(spark, sheet).collect()} == {"wide": 60.0, "reel": 6.0}
     path.write_text(SHEET.replace("[wide]", "[gone]").replace("height: 1080", "height: 900").replace("id: reel", "id: wide").replace("0.84]", "1.84]"))
