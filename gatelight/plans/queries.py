@@ -358,18 +358,14 @@ def step_percentiles(t):
 
 # --- as-of ----------------------------------------------------------------------------------------------------------------
 
-_PROBES = "p as (select clip_id, i, t + 0.03 as t from {v_steps} where i % 3 = 1), s as (select clip_id, t, speech, cx, low_corr, sum(low_corr::int) over (partition by clip_id order by i)::int as shot_id from {v_steps} where seen)"
+_PROBES = "p as (select clip_id, i, t + 0.03 as t from {v_steps}), s as (select clip_id, t, speech, cx, low_corr, sum(low_corr::int) over (partition by clip_id order by i)::int as shot_id from {v_steps} where seen)"
 _SIDES = _PROBES + """, n as (select p.clip_id, p.i, p.t, b.t as bt, b.speech as bs, b.cx as bx, b.shot_id as bshot, a.t as at_, a.speech as as_, a.cx as ax, a.shot_id as ashot
   from p asof left join s b on p.clip_id = b.clip_id and p.t >= b.t asof left join s a on p.clip_id = a.clip_id and p.t <= a.t)"""
 
 
-_EVERY_SIDE = _SIDES.replace(" where i % 3 = 1", "")
-
-
-def _sides(t, every=False):
-    # every third step or every step, shifted, against the steps on which the subject was seen
-    steps = t.v_steps if every else t.v_steps.filter("i % 3 = 1")
-    probes = steps.select("clip_id", "i", (F.col("t") + 0.03).alias("t"))
+def _sides(t):
+    # every step, shifted, against the steps on which the subject was seen
+    probes = t.v_steps.select("clip_id", "i", (F.col("t") + 0.03).alias("t"))
     seen = sequences.shot_ids(t.v_steps.filter("seen"), "low_corr").select("clip_id", "t", "speech", "cx", "shot_id")
     return probes, seen
 
@@ -389,21 +385,6 @@ def path_interp(t):
     return asof.path_lookup(*_sides(t), "clip_id", "t", ["cx"], "shot_id").select("clip_id", "i", r6("cx").alias("cx"))
 
 
-@query(f"with {_EVERY_SIDE} select clip_id, i, case when bt is null or (at_ is not null and round(at_ - t, 6) < round(t - bt, 6)) then as_ else bs end as nearest from n")
-def nearest_every_step(t):
-    return asof.nearest(*_sides(t, every=True), "clip_id", "t", "speech").select("clip_id", "i", "nearest")
-
-
-@query(f"with {_EVERY_SIDE} select clip_id, i, case when bt is null then as_ when at_ is null or at_ <= bt then bs else bs + (as_ - bs) * (t - bt) / (at_ - bt) end as speech from n")
-def interp_every_step(t):
-    return asof.interpolate(*_sides(t, every=True), "clip_id", "t", "speech").select("clip_id", "i", "speech")
-
-
-@query(f"with {_EVERY_SIDE} select clip_id, i, round(case when bshot <> ashot then ax when bt is null then ax when at_ is null or at_ <= bt then bx else bx + (ax - bx) * (t - bt) / (at_ - bt) end, 6) as cx from n")
-def path_every_step(t):
-    return asof.path_lookup(*_sides(t, every=True), "clip_id", "t", ["cx"], "shot_id").select("clip_id", "i", r6("cx").alias("cx"))
-
-
 @query("""with c as (select clip_id, t from {v_steps} where low_corr)
 select s.clip_id, s.i, round(coalesce(least(s.t - b.t, a.t - s.t), 10), 6) as cut_distance from {v_steps} s asof left join c b on s.clip_id = b.clip_id and s.t >= b.t asof left join c a on s.clip_id = a.clip_id and s.t <= a.t""")
 def cut_distance(t):
@@ -451,20 +432,13 @@ def finished_tracks(t):
 
 _MATCH_COST = """with p as (select a.frame_id, a.face_no as a, b.face_no as b, a.x2 - a.x1 as wa, b.x2 - b.x1 as wb, (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ab,
   greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as common,
-  sqrt(pow((a.x1 + a.x2 - b.x1 - b.x2) / 2, 2) + pow((a.y1 + a.y2 - b.y1 - b.y2) / 2, 2)) / sqrt(1080 * 1080 + 1920 * 1920) as away from {v_faces} a join {v_faces} b on a.frame_id = b.frame_id and b.face_no = a.face_no + 1),
+  sqrt(pow((a.x1 + a.x2 - b.x1 - b.x2) / 2, 2) + pow((a.y1 + a.y2 - b.y1 - b.y2) / 2, 2)) / sqrt(1080 * 1080 + 1920 * 1920) as away from {v_faces} a join {v_faces} b on a.frame_id = b.frame_id and b.face_no > a.face_no),
 q as (select *, common / (aa + ab - common) as iou, greatest(wa, wb) / least(wa, wb) as scale from p)
 select frame_id, a, b, round(case when (iou < 0.02 and away > 0.22) or scale > 2.6 then null else (1 - iou) * 0.55 + away * 1.6 + (scale - 1) * 0.25 end, 6) as cost from q"""
 
 
 @query(_MATCH_COST)
 def match_cost(t):
-    a = t.v_faces.select("frame_id", F.col("face_no").alias("a"), _box().alias("box_a"))
-    b = t.v_faces.select("frame_id", (F.col("face_no") - 1).alias("a"), F.col("face_no").alias("b"), _box().alias("box_b"))
-    return a.join(b, ["frame_id", "a"]).select("frame_id", "a", "b", r6(tracking.match_cost(F.col("box_a"), F.col("box_b"), (FRAME_W**2 + FRAME_H**2) ** 0.5)).alias("cost"))
-
-
-@query(_MATCH_COST.replace("b.face_no = a.face_no + 1", "b.face_no > a.face_no"))
-def match_cost_pairs(t):
     a, b = (t.v_faces.select("frame_id", F.col("face_no").alias(n), _box().alias(f"box_{n}")) for n in "ab")
     return a.join(b, "frame_id").filter("a < b").select("frame_id", "a", "b", r6(tracking.match_cost(F.col("box_a"), F.col("box_b"), (FRAME_W**2 + FRAME_H**2) ** 0.5)).alias("cost"))
 

@@ -225,7 +225,7 @@ def test_nearest_and_interpolation(spark):
         assert lerp[c, i] == pytest.approx(float(np.interp(t, [x for x, _ in own], [v for _, v in own])))
 
 
-@pytest.mark.parametrize("name", ["nearest_every_step", "interp_every_step", "path_every_step"])
+@pytest.mark.parametrize("name", ["nearest_step", "interp_series", "path_interp"])
 def test_every_step_is_a_probe(spark, sf_dir, name):
     steps = sorted((r.clip_id, r.i) for r in views.Tables(spark, sf_dir).v_steps.select("clip_id", "i").collect())
     assert sorted((r.clip_id, r.i) for r in queries.QUERIES[name](spark, sf_dir).collect()) == steps
@@ -236,7 +236,7 @@ def test_every_pair_of_a_frame_has_a_cost(spark, sf_dir):
     for r in views.Tables(spark, sf_dir).v_faces.select("frame_id", "face_no").collect():
         faces.setdefault(r.frame_id, []).append(r.face_no)
     want = sorted((f, *pair) for f, numbers in faces.items() for pair in itertools.combinations(sorted(numbers), 2))
-    assert sorted((r.frame_id, r.a, r.b) for r in queries.QUERIES["match_cost_pairs"](spark, sf_dir).collect()) == want
+    assert sorted((r.frame_id, r.a, r.b) for r in queries.QUERIES["match_cost"](spark, sf_dir).collect()) == want
 
 
 def test_crop_follows_the_face(spark):
