@@ -18,6 +18,8 @@ from gatelight.functions import boxes
 INTACT, GONE = 0.995, 0.02
 DROP_PENALTY, CLIP_PENALTY = 0.22, 3.0
 SAFE_PENALTY, RESERVED_PENALTY = 0.9, 1.1
+SMALL_FACE = 0.75  # what is left of the composition where the tallest face is under the profile's least height
+ANCHOR, ANCHOR_SIZE = 0.55, 0.6
 W_COVERAGE, W_COMPOSITION, W_SCALE = 1.0, 0.55, 0.22
 BLOCK = 64  # frames whose grid is scored at a time: its arrays stay in the cache
 
@@ -29,6 +31,7 @@ class Rules(NamedTuple):
     headroom: bool = True
     action: tuple[float, float, float, float] | None = None
     reserved: tuple[tuple[float, float, float, float], ...] = ()
+    least_face: float = 0.0
 
 
 def sizes(width: int, height: int, aspect: float, min_scale: float, scales: int) -> list[tuple[int, int]]:
@@ -62,14 +65,17 @@ def _composition(primary, w, h, x, y, kept, rules: Rules):
 class Frames:
     """The faces of some frames, those with most faces first: arrays of face number x frame, boxes with their sides in front."""
 
-    def __init__(self, box: np.ndarray, conf: np.ndarray, number: np.ndarray, width: int, height: int):
-        """``box`` is 4 x faces x frames x 1 x 1, ``conf`` faces x frames x 1 x 1; ``number`` has the faces of each frame."""
+    def __init__(self, box: np.ndarray, conf: np.ndarray, number: np.ndarray, width: int, height: int, boost: np.ndarray | float = 1.0, anchor: np.ndarray | None = None):
+        """``box`` is 4 x faces x frames x 1 x 1, ``conf`` and ``boost`` faces x frames x 1 x 1; ``number`` has the faces of each frame.
+
+        ``anchor`` is 4 x frames x 1 x 1: centre and width of the window that each frame's is drawn to, and how strongly.
+        """
         side = np.maximum(box[2:] - box[:2], 0.0)
         area = side[0] * side[1]
-        self.frame, self.number, self.box = (width, height), number, box
+        self.frame, self.number, self.box, self.anchor = (width, height), number, box, anchor
         there = np.arange(len(conf)).reshape(-1, 1, 1, 1) < number.reshape(1, -1, 1, 1)
         top = np.where(there, area, 0.0).max(axis=0, keepdims=True)  # a face counts beside the largest of its frame
-        self.weight = np.sqrt(np.maximum(np.where(top > 0, area / np.where(top > 0, top, 1.0), 1.0), 0.02)) * (0.55 + 0.45 * conf)
+        self.weight = np.sqrt(np.maximum(np.where(top > 0, area / np.where(top > 0, top, 1.0), 1.0), 0.02)) * (0.55 + 0.45 * conf) * boost
         cut = side * (-boxes.CORE_SHRINK / 2)
         limit = np.array([width, height], dtype=float).reshape(2, 1, 1, 1, 1)
         self.core = np.concatenate([np.maximum(box[:2] + cut, 0.0), np.minimum(box[2:] - cut, limit)])
@@ -79,11 +85,13 @@ class Frames:
         room = np.maximum(self.head[2:] - self.head[:2], 0.0)
         rank = np.where(there, self.weight * room[0] * room[1], -1.0)
         self.first = np.argmax(rank[:, :, 0, 0], axis=0)
+        self.tallest = np.argmax(np.where(there, room[1], -1.0)[:, :, 0, 0], axis=0)
 
     def part(self, lo: int, hi: int) -> Frames:
         out = object.__new__(Frames)
-        most = self.number[lo]
-        out.frame, out.number, out.first = self.frame, self.number[lo:hi], self.first[lo:hi]
+        most = max(1, self.number[lo])
+        out.frame, out.number, out.first, out.tallest = self.frame, self.number[lo:hi], self.first[lo:hi], self.tallest[lo:hi]
+        out.anchor = None if self.anchor is None else self.anchor[:, lo:hi]
         out.box, out.core, out.head, out.weight = self.box[:, :most, lo:hi], self.core[:, :most, lo:hi], self.head[:, :most, lo:hi], self.weight[:most, lo:hi]
         return out
 
@@ -118,7 +126,15 @@ class Frames:
                 loss[cut] += np.where((f >= 0.5) & (under > 0.02), RESERVED_PENALTY * under * (weight / 2), 0.0)
         primary = self.head[:, self.first, np.arange(shape[0])]
         composed = _composition(primary, w, h, x, y, held(primary), rules)
-        score = W_COVERAGE * inside / whole + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
+        if rules.least_face:
+            tall = self.head[:, self.tallest, np.arange(shape[0])]
+            composed = np.where((held(tall) > 0.5) & ((tall[3] - tall[1]) / h < rules.least_face), composed * SMALL_FACE, composed)
+        covered = np.where(whole > 0, inside / np.where(whole > 0, whole, 1.0), w * h / math.prod(self.frame))  # without faces all of the frame counts alike
+        score = W_COVERAGE * covered + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
+        if self.anchor is not None:
+            (at_x, at_y, wide, strength), (width, height) = self.anchor, self.frame
+            way = np.hypot((x + w / 2 - at_x) / width, (y + h / 2 - at_y) / height)
+            score = score - strength * (way + ANCHOR_SIZE * np.abs(w - wide) / width)
         return np.round(score, 6), intact, self.number.reshape(-1, 1, 1) - intact - dropped, dropped
 
     def search(self, windows: list[tuple[int, int]], biggest: float, steps: int, rounds: int, rules: Rules):
@@ -155,6 +171,11 @@ class Frames:
         return x.ravel(), y.ravel(), w.ravel(), h.ravel(), *(v.ravel() for v in self.score(w, h, x, y, biggest, rules))
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    # rows are few bytes for the work a search is, so that partitions merged by bytes would leave cores idle: the number stays as set
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "frame_id", min_scale: float = 0.70, scales: int = 4, steps: int = 9, rounds: int = 3, rules: Rules = Rules()) -> DataFrame:
     """Best crop per frame: x, y, w, h, score (6 places) and how many faces are intact, clipped and dropped.
 
@@ -166,7 +187,7 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
     biggest = float(math.prod(windows[0]))
     parts = ("x1", "y1", "x2", "y2", "conf")
     face = F.struct("face_no", *[F.col(c).cast("double").alias(c) for c in parts])
-    held = faces.groupBy(by).agg(F.array_sort(F.collect_list(face)).alias("faces"))
+    held = _dealt(faces, by).groupBy(by).agg(F.array_sort(F.collect_list(face)).alias("faces"))
 
     def run(batches):
         for batch in batches:
@@ -190,6 +211,86 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
     return held.mapInArrow(run, T.StructType([faces.schema[by], *[T.StructField(c, k) for c, k in kinds.items()]]))
 
 
+class _Clips:
+    """Steps and faces of some clips, flat, with the steps in order of clip and number and the faces in order of step and face number."""
+
+    def __init__(self, clip: np.ndarray, step: np.ndarray, shot: np.ndarray, face: np.ndarray, is_step: np.ndarray, values: np.ndarray):
+        order = np.lexsort((step[is_step], clip[is_step]))
+        self.clip, self.step, self.shot = (a[is_step][order] for a in (clip, step, shot))
+        code = np.unique(step, return_inverse=True)[1]
+        key = clip * np.int64(code.max(initial=0) + 1) + code
+        steps, faces = key[is_step][order], key[~is_step]
+        at = np.searchsorted(steps, faces)
+        known = np.flatnonzero((at < len(steps)) & (steps[np.minimum(at, len(steps) - 1)] == faces)) if len(steps) else np.zeros(0, np.int64)
+        known = known[np.lexsort((face[~is_step][known], at[known]))]
+        self.values = values[:, ~is_step][:, known]
+        self.number = np.bincount(at[known], minlength=len(steps))
+        self.start = np.cumsum(self.number) - self.number
+        begin = np.flatnonzero(np.r_[True, self.clip[1:] != self.clip[:-1]]) if len(steps) else np.zeros(0, np.int64)
+        self.nth = np.arange(len(steps)) - np.repeat(begin, np.diff(np.r_[begin, len(steps)]))
+
+    def follow(self, windows, biggest: float, width: int, height: int, steps: int, rounds: int, rules: Rules, strength: float) -> np.ndarray:
+        """What ``Frames.search`` finds for each step, all clips one step at a time."""
+        found = np.zeros((8, len(self.step)))
+        for rows in np.split(np.argsort(self.nth, kind="stable"), np.cumsum(np.bincount(self.nth))[:-1]) if len(self.nth) else ():
+            rows = rows[np.argsort(-self.number[rows], kind="stable")]
+            number = self.number[rows]
+            frame = np.repeat(np.arange(len(rows)), number)
+            nth = np.arange(len(frame)) - np.repeat(np.cumsum(number) - number, number)
+            padded = np.zeros((6, max(1, number.max()), len(rows), 1, 1))
+            padded[:, nth, frame, 0, 0] = self.values[:, self.start[rows][frame] + nth]
+            follows = (self.nth[rows] > 0) & (self.shot[rows] == self.shot[rows - 1])
+            x, y, w, h = found[:4, rows - 1]
+            alone = ~follows & (number == 0)
+            middle = (width / 2, height / 2, windows[0][0])
+            anchor = [np.where(alone, m, v) for m, v in zip(middle, (x + w / 2, y + h / 2, w))]
+            anchor = np.stack([*anchor, np.where(follows | alone, strength, 0.0)]).reshape(4, -1, 1, 1)
+            found[:, rows] = Frames(padded[:4], padded[4], number, width, height, padded[5], anchor).search(windows, biggest, steps, rounds, rules)
+        return found
+
+
+def path(
+    faces: DataFrame, frames: DataFrame, width: int, height: int, aspect: float, by: str = "clip_id", step: str = "i", shot: str = "shot_id",
+    min_scale: float = 0.72, scales: int = 4, steps: int = 16, rounds: int = 3, rules: Rules = Rules(), strength: float = ANCHOR, boost: Column | None = None,
+) -> DataFrame:
+    """Best crop per step of each clip, drawn to the crop of the step before unless a cut lies between them: columns as of ``solve``.
+
+    ``frames`` has each step once, with its shot; ``faces`` the faces of steps, ``boost`` a factor of their weight (who speaks counts more). The score
+    of a window falls by ``strength`` times the way of its centre, in shares of the frame, and .6 of its change of width. A step without faces takes
+    all of the frame as alike; the first of a shot is then drawn to the middle of the frame. Faces of steps that ``frames`` lacks are left out.
+
+    Steps of a clip depend on one another, clips do not: clips are dealt to tasks by one shuffle, and the clips of a batch go forward together.
+    """
+    windows = sizes(width, height, aspect, min_scale, scales)
+    biggest = float(math.prod(windows[0]))
+    parts = ("x1", "y1", "x2", "y2", "conf", "boost")
+    columns = [F.col(c).cast("double").alias(c) for c in parts[:5]] + [(F.lit(1.0) if boost is None else boost).cast("double").alias("boost")]
+    number = F.col(step).cast("long").alias("step")
+    seen = faces.select(F.col(by).alias("clip"), F.struct(number, F.col("face_no").cast("long").alias("face"), F.lit(None).cast("long").alias("shot"), *columns).alias("row"))
+    nothing = [F.lit(None).cast("double").alias(c) for c in parts]
+    taken = frames.select(F.col(by).alias("clip"), F.struct(number, F.lit(None).cast("long").alias("face"), F.coalesce(F.col(shot), F.lit(0)).cast("long").alias("shot"), *nothing).alias("row"))
+    clips = _dealt(taken.unionByName(seen), "clip").groupBy("clip").agg(F.collect_list("row").alias("rows"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                lists = part.column("rows")
+                flat = lists.flatten()
+                clip = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                is_step = flat.field("face").is_null().to_numpy(zero_copy_only=False)
+                whole = lambda c: flat.field(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+                values = np.stack([flat.field(c).fill_null(0.0).to_numpy(zero_copy_only=False) for c in parts])
+                held = _Clips(clip, whole("step"), whole("shot"), whole("face"), is_step, values)
+                found = held.follow(windows, biggest, width, height, steps, rounds, rules, strength)
+                out = [pa.array(v, pa.float64()).cast(k, safe=False) for v, k in zip(found, (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("clip").take(pa.array(held.clip)), pa.array(held.step), *out], names=[by, step, "x", "y", "w", "h", "score", "intact", "clipped", "dropped"])
+
+    kinds = dict(x=T.DoubleType(), y=T.DoubleType(), w=T.IntegerType(), h=T.IntegerType(), score=T.DoubleType(), intact=T.IntegerType(), clipped=T.IntegerType(), dropped=T.IntegerType())
+    key = T.StructField(by, frames.schema[by].dataType)
+    return clips.mapInArrow(run, T.StructType([key, T.StructField(step, T.LongType()), *[T.StructField(c, k) for c, k in kinds.items()]]))
+
+
 #: How a frame is cut for detectors of small faces.
 DIVISIONS, LEAST_TILE, TILE_STEP, TILE_BUDGET, LEVELS = (2, 3, 4, 6, 8), 420, 0.75, 80, 4
 

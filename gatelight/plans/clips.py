@@ -198,3 +198,22 @@ c as (select media_id, n, sum(count(*)) over (partition by media_id order by n)
 select media_id, n::int as division, x::int as x, y::int as y, least(tw, width - x)::int as w, least(th, height - y)::int as h from t join c using (media_id, n) where used <= 80""")
 def detector_tiles(t):
     return crop.tiles(t.v_media.select("media_id", "width", "height"), "media_id")
+
+
+def path_faces(t):
+    """Faces of the three tracks where they are present; the one heard most in a step with speech is its speaker."""
+    side, high = (F.col("cx").cast("int"), F.col("cy").cast("int"))
+    x, y, size = (side * F.col("track")) % 1280, (high + 97 * F.col("track")) % 720, 40 + (side + 31 * F.col("track")) % 160
+    placed = t.v_track_scores.filter("present").join(t.v_steps.filter("seen"), ["clip_id", "i"])
+    boosted = F.when((F.col("track") == F.col("candidate_track")) & (F.col("speech") > 0.3), 2.2).otherwise(1 + 0.8 * F.col("score"))
+    return placed.select("clip_id", "i", F.col("track").alias("face_no"), (x - size * 0.4).alias("x1"), (y - size * 0.5).alias("y1"), (x + size * 0.4).alias("x2"), (y + size * 0.5).alias("y2"), F.col("score").alias("conf"), boosted.alias("boost"))
+
+
+@query()
+def crop_path(t):
+    """The vertical crop of each step of a landscape clip, anchored to the step before; no SQL: each step is a search from the last one's result."""
+    profile = t.v_profiles.filter("profile_id = 'reel_vertical_9x16'").first()
+    zones = t.v_reserved_zones.filter("profile_id = 'reel_vertical_9x16'").orderBy("zone").collect()
+    rules = crop.Rules(action=tuple(profile[f"safe_{c}"] for c in ("x1", "y1", "x2", "y2")), reserved=tuple(tuple(z[f"z{c}"] for c in ("x1", "y1", "x2", "y2")) for z in zones), least_face=0.10)
+    steps = sequences.shot_ids(t.v_steps, "low_corr").select("clip_id", "i", "shot_id")
+    return crop.path(path_faces(t), steps, int(CLIP_W), int(CLIP_H), 9 / 16, rules=rules, boost=F.col("boost"))

@@ -453,7 +453,7 @@ def crop_solve(t):
     # a still's search as in the behaviour studied; it goes down to .45 where a frame has faces, which all of these have
     profile = t.v_profiles.filter("profile_id = 'feed_portrait_4x5'").first()
     zones = t.v_reserved_zones.filter("profile_id = 'feed_portrait_4x5'").orderBy("zone").collect()
-    rules = crop.Rules(action=tuple(profile[f"safe_{c}"] for c in ("x1", "y1", "x2", "y2")), reserved=tuple(tuple(z[f"z{c}"] for c in ("x1", "y1", "x2", "y2")) for z in zones))
+    rules = crop.Rules(action=tuple(profile[f"safe_{c}"] for c in ("x1", "y1", "x2", "y2")), reserved=tuple(tuple(z[f"z{c}"] for c in ("x1", "y1", "x2", "y2")) for z in zones), least_face=0.08)
     return crop.solve(t.v_faces, int(FRAME_W), int(FRAME_H), 4 / 5, min_scale=0.45, scales=8, steps=28, rules=rules)
 
 

@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from gatelight.operators import asof, crop, folds, framing, store, tracking
+from gatelight.operators import asof, crop, folds, framing, sequences, store, tracking
+from gatelight.plans import clips as clip_queries
 from gatelight.plans import queries, views
 from gatelight.streaming import shots
 from pyspark.sql import functions as F
@@ -247,20 +248,24 @@ def test_crop_follows_the_face(spark):
     assert all(r.intact == 1 and r.clipped == r.dropped == 0 for r in out.values())
 
 
-def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=None, reserved=()):
-    """Grid and three halving rounds per size, one window after the other: x, y, w, h, score, intact, clipped, dropped."""
+def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=None, reserved=(), least_face=0.0, anchor=None):
+    """Grid and three halving rounds per size, one window after the other: x, y, w, h, score, intact, clipped, dropped.
+
+    ``faces`` are (box, confidence) or (box, confidence, factor of the weight); ``anchor`` is (centre x, centre y, width).
+    """
     area = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
     inside = lambda b, o: area((max(b[0], o[0]), max(b[1], o[1]), min(b[2], o[2]), min(b[3], o[3]))) / area(b) if area(b) > 0 else 0.0
-    held, primary, most = [], None, -1.0
-    for b, conf in faces:
+    held, primary, most, tall = [], None, -1.0, (0.0, 0.0, 0.0, -1.0)
+    for b, conf, *boost in faces:
         dx, dy = (b[2] - b[0]) * 0.15, (b[3] - b[1]) * 0.15
         core = (max(0.0, b[0] + dx), max(0.0, b[1] + dy), min(width, b[2] - dx), min(height, b[3] - dy))
-        weight = math.sqrt(max(area(b) / max(area(k) for k, _ in faces), 0.02)) * (0.55 + 0.45 * conf)
+        weight = math.sqrt(max(area(b) / max(area(k[0]) for k in faces), 0.02)) * (0.55 + 0.45 * conf) * (boost or [1.0])[0]
         held.append((b, core, weight))
         fw, fh = b[2] - b[0], b[3] - b[1]
         head = (max(0.0, b[0] - 0.18 * fw), max(0.0, b[1] - 0.38 * fh), min(width, b[2] + 0.18 * fw), min(height, b[3] + 0.20 * fh))
         if weight * area(head) > most:
             primary, most = head, weight * area(head)
+        tall = head if head[3] - head[1] > tall[3] - tall[1] else tall
     wide = width / height > aspect
     big = (math.floor(height * aspect), height) if wide else (width, math.floor(width / aspect))
 
@@ -274,12 +279,16 @@ def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=No
             if f >= 0.5 and action and zone(action) < 0.98:
                 loss += 0.9 * (1 - zone(action)) * weight / 2
             loss += sum(1.1 * zone(z) * weight / 2 for z in reserved if f >= 0.5 and zone(z) > 0.02)
-        coverage = sum(k[2] * inside(k[0], crop_) for k in held) / sum(k[2] for k in held)
+        coverage = sum(k[2] * inside(k[0], crop_) for k in held) / sum(k[2] for k in held) if held else w * h / (width * height)
         composed = 0.0
-        if inside(primary, crop_) >= 0.6:
+        if held and inside(primary, crop_) >= 0.6:
             rx, eye, room = ((primary[0] + primary[2]) / 2 - x) / w, (primary[1] + (primary[3] - primary[1]) * 0.42 - y) / h, (primary[1] - y) / h
             composed = 0.40 * max(0.0, 1 - min(abs(rx - 1 / 3), abs(rx - 2 / 3), abs(rx - 0.5) * 1.15) / 0.30) + 0.34 * max(0.0, 1 - abs(eye - 0.36) / 0.30)
             composed += 0.26 * (0.0 if room < 0 else room / 0.04 if room < 0.04 else 1.0 if room <= 0.20 else max(0.0, 1 - (room - 0.20) / 0.28))
+        if held and least_face and inside(tall, crop_) > 0.5 and (tall[3] - tall[1]) / h < least_face:
+            composed = min(1.0, composed) * 0.75
+        if anchor:
+            loss += 0.55 * (math.sqrt(((x + w / 2 - anchor[0]) / width) ** 2 + ((y + h / 2 - anchor[1]) / height) ** 2) + 0.6 * abs(w - anchor[2]) / width)
         return round(coverage + 0.55 * min(1.0, composed) + 0.22 * math.sqrt(w * h / (big[0] * big[1])) - loss, 6), *counts
 
     best = None
@@ -333,7 +342,57 @@ def test_crop_solve_searches_the_whole_grid(spark, sf_dir):
     found = {r.frame_id: r for r in queries.QUERIES["crop_solve"](spark, sf_dir).collect()}
     assert found.keys() == faces.keys()
     for frame in sorted(faces)[::300]:
-        assert tuple(found[frame][c] for c in CROP) == pytest.approx(plain_crop(faces[frame], 1080, 1920, 4 / 5, 0.45, 8, 28, (0.05, 0.06, 0.95, 0.94)), abs=2e-6)
+        assert tuple(found[frame][c] for c in CROP) == pytest.approx(plain_crop(faces[frame], 1080, 1920, 4 / 5, 0.45, 8, 28, (0.05, 0.06, 0.95, 0.94), least_face=0.08), abs=2e-6)
+
+
+def follow_plainly(rows, width, height, aspect, min_scale, scales, steps, **rules):
+    """``rows`` are the (shot, faces) of a clip's steps in order: each step's plain crop, drawn to the one before within the shot."""
+    wide = width / height > aspect
+    middle = (width / 2, height / 2, math.floor(height * aspect) if wide else width)
+    out = []
+    for k, (shot, faces) in enumerate(rows):
+        before = out[-1] if k and rows[k - 1][0] == shot else None
+        anchor = (before[0] + before[2] / 2, before[1] + before[3] / 2, before[2]) if before else None if faces else middle
+        out.append(plain_crop(faces, width, height, aspect, min_scale, scales, steps, anchor=anchor, **rules))
+    return out
+
+
+def test_crop_path_equals_the_plain_path(spark):
+    rng = random.Random(8)
+    clips = {c: [] for c in ("a", "b", None, "short")}
+    for clip, rows in clips.items():
+        for k in range(3 if clip == "short" else 12):
+            faces = []
+            for _ in range(rng.choice((0, 1, 1, 2, 4))):
+                x, y, s = rng.uniform(-60, 1200), rng.uniform(-60, 650), rng.uniform(20, 260)
+                faces.append(((x, y, x + 0.8 * s, y + s), rng.random(), rng.choice((1.0, 1.4, 2.2))))
+            rows.append((k // 5, faces))
+    steps = spark.createDataFrame([(c, i, s) for c, rows in clips.items() for i, (s, _) in enumerate(rows)], "clip_id string, i int, shot_id int")
+    seen = [(c, i, n, conf, boost, *b) for c, rows in clips.items() for i, (_, faces) in enumerate(rows) for n, (b, conf, boost) in enumerate(faces)]
+    faces = spark.createDataFrame([*seen, ("a", 99, 0, 1.0, 1.0, 0.0, 0.0, 9.0, 9.0), ("lost", 0, 0, 1.0, 1.0, 0.0, 0.0, 9.0, 9.0)], "clip_id string, i int, face_no int, conf double, boost double, x1 double, y1 double, x2 double, y2 double")
+    rules = dict(action=(0.05, 0.14, 0.95, 0.84), reserved=((0.0, 0.0, 1.0, 0.12),), least_face=0.1)
+    found = {(r.clip_id, r.i): r for r in crop.path(faces, steps, 1280, 720, 9 / 16, steps=7, scales=3, rules=crop.Rules(**rules), boost=F.col("boost")).collect()}
+    assert len(found) == sum(map(len, clips.values()))
+    for clip, rows in clips.items():
+        for i, want in enumerate(follow_plainly(rows, 1280, 720, 9 / 16, 0.72, 3, 7, **rules)):
+            assert tuple(found[clip, i][c] for c in CROP) == pytest.approx(want, abs=2e-6), (clip, i)
+    assert crop.path(faces.limit(0), steps.limit(0), 1280, 720, 9 / 16).count() == 0
+
+
+def test_crop_path_covers_every_step(spark, sf_dir):
+    t = views.Tables(spark, sf_dir)
+    steps = {}
+    for r in sequences.shot_ids(t.v_steps, "low_corr").orderBy("clip_id", "i").collect():
+        steps.setdefault(r.clip_id, []).append((r.shot_id, []))
+    for r in clip_queries.path_faces(t).orderBy("clip_id", "i", "face_no").collect():
+        steps[r.clip_id][r.i][1].append(((r.x1, r.y1, r.x2, r.y2), r.conf, r.boost))
+    found = {(r.clip_id, r.i): r for r in queries.QUERIES["crop_path"](spark, sf_dir).collect()}
+    assert found.keys() == {(c, i) for c, rows in steps.items() for i in range(len(rows))}
+    zones = t.v_reserved_zones.filter("profile_id = 'reel_vertical_9x16'").orderBy("zone").collect()
+    rules = dict(action=(0.05, 0.14, 0.95, 0.84), reserved=tuple((z.zx1, z.zy1, z.zx2, z.zy2) for z in zones), least_face=0.1)
+    clip = min(steps, key=lambda c: (len(steps[c]), c))
+    for i, want in enumerate(follow_plainly(steps[clip][:6], 1280, 720, 9 / 16, 0.72, 4, 16, **rules)):
+        assert tuple(found[clip, i][c] for c in CROP) == pytest.approx(want, abs=2e-6)
 
 
 FACE = ["x1", "y1", "x2", "y2", "conf"]
