@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gatelight.functions import boxes
+from gatelight.workers import ship
 
 INTACT, GONE = 0.995, 0.02
 DROP_PENALTY, CLIP_PENALTY = 0.22, 3.0
@@ -208,6 +209,7 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
                 yield pa.RecordBatch.from_arrays([part.column(by), *columns], names=[by, "x", "y", "w", "h", "score", "intact", "clipped", "dropped"])
 
     kinds = dict(x=T.DoubleType(), y=T.DoubleType(), w=T.IntegerType(), h=T.IntegerType(), score=T.DoubleType(), intact=T.IntegerType(), clipped=T.IntegerType(), dropped=T.IntegerType())
+    ship(faces.sparkSession)
     return held.mapInArrow(run, T.StructType([faces.schema[by], *[T.StructField(c, k) for c, k in kinds.items()]]))
 
 
@@ -288,6 +290,7 @@ def path(
 
     kinds = dict(x=T.DoubleType(), y=T.DoubleType(), w=T.IntegerType(), h=T.IntegerType(), score=T.DoubleType(), intact=T.IntegerType(), clipped=T.IntegerType(), dropped=T.IntegerType())
     key = T.StructField(by, frames.schema[by].dataType)
+    ship(frames.sparkSession)
     return clips.mapInArrow(run, T.StructType([key, T.StructField(step, T.LongType()), *[T.StructField(c, k) for c, k in kinds.items()]]))
 
 

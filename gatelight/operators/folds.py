@@ -6,6 +6,7 @@ A sequence is one row while it is folded, so its length bounds memory; clips are
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,7 +190,7 @@ def smooth_two_pass(targets: DataFrame, by: str, width: float, height: float) ->
 def nms(faces: DataFrame, by: str = "frame_id", overlap: float = NMS_IOU, inside: float = NMS_INSIDE) -> DataFrame:
     """Greedy non-maximum suppression per frame: by confidence, then input order, a box goes if a kept one overlaps or contains it too far.
 
-    Passes over whole frames and tiles go in as one table (a union). With ``inside`` of 1 only the overlap counts, as for bodies.
+    Passes over whole frames and tiles go in as one table (``nms_passes``). With ``inside`` of 1 only the overlap counts, as for bodies.
     """
     item = F.struct((-F.col("conf")).alias("neg"), F.col("face_no"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     rows = faces.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("rows"))
@@ -203,3 +204,13 @@ def nms(faces: DataFrame, by: str = "frame_id", overlap: float = NMS_IOU, inside
 
     kept = F.aggregate("rows", F.slice(F.col("rows"), 1, 0), lambda acc, b: F.when(F.exists(acc, lambda k: clash(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
     return rows.select(by, F.explode(kept).alias("k")).select(by, "k.face_no", (-F.col("k.neg")).alias("conf"))
+
+
+def nms_passes(passes: list[DataFrame], by: str = "frame_id", overlap: float = NMS_IOU, inside: float = NMS_INSIDE) -> DataFrame:
+    """``nms`` over several passes on the same frames, such as the whole frame and its tiles, in that order: by, pass_no, face_no, conf.
+
+    At equal confidence an earlier pass comes first. Null confidences come before all others, as in ``nms``; give none.
+    """
+    tagged = [p.select(by, F.struct(F.lit(n).alias("pass_no"), F.col("face_no")).alias("face_no"), "conf", "x1", "y1", "x2", "y2") for n, p in enumerate(passes)]
+    kept = nms(reduce(DataFrame.unionByName, tagged), by, overlap, inside)
+    return kept.select(by, "face_no.pass_no", "face_no.face_no", "conf")

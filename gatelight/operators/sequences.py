@@ -191,3 +191,9 @@ def primary_subject(faces: DataFrame, width: float, height: float, by: str = "fr
     head = boxes.clamp(boxes.head(boxes.box("x1", "y1", "x2", "y2")), width, height)
     rated = face_weight(faces, by).withColumn("_r", F.round(F.col("weight") * boxes.area(head), 4))
     return rated.groupBy(by).agg(F.max_by("face_no", F.struct("_r", -F.col("face_no"))).alias("face_no"))
+
+
+def first_mentions(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """Each value of ``by`` once, numbered (``place``, from 1) in the order of first appearance; repeats go before anything is sorted."""
+    first = df.groupBy(by, value).agg(F.min(F.struct(*order)).alias("_first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("_first"))).select(by, "place", value)

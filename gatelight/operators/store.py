@@ -129,6 +129,12 @@ def master_key(asset, suffix):
     return F.concat(F.concat_ws("/", F.lit("masters"), asset.cast("string")), F.lit("."), suffix)
 
 
+def submit(requests: DataFrame, assets: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Job requests with their first status: queued, or rejected where their asset is unknown (or null)."""
+    known = assets.select(key).distinct().withColumn("_known", F.lit(True))
+    return requests.join(known, key, "left").withColumn("status", F.when(F.col("_known"), "queued").otherwise("rejected")).drop("_known")
+
+
 def record(events: DataFrame, path: str) -> bool:
     """Append audit events; False, with a warning, if that failed: an audit must never stop the work it describes."""
     import warnings

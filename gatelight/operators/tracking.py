@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.functions import boxes
+from gatelight.workers import ship
 
 MAX_MISSES, MIN_HITS = 6, 2
 IMPOSSIBLE = 1e6
@@ -106,6 +107,7 @@ def track_faces(faces: DataFrame, by: str, diagonal: float) -> DataFrame:
         out.insert(0, by, key[0])
         return out
 
+    ship(faces.sparkSession)
     return faces.groupBy(by).applyInPandas(run, f"{by} {kind}, frame_i int, face_no int, track_id int")
 
 
@@ -114,6 +116,13 @@ def finished(tracked: DataFrame, by: str, least: int = MIN_HITS) -> DataFrame:
     return tracked.groupBy(by, "track_id").agg(F.count("*").alias("hits"), F.min("frame_i").alias("first_frame"), F.max("frame_i").alias("last_frame")).filter(F.col("hits") >= least)
 
 
+def all_tracks(live: DataFrame, retired: DataFrame, by: str) -> DataFrame:
+    """Live and retired tracks as one table; a track in both (retired, then reported live late) counts as its longer record."""
+    both = live.select(by, "track_id", "hits", "first_frame", "last_frame").unionByName(retired.select(by, "track_id", "hits", "first_frame", "last_frame"))
+    longest = both.groupBy(by, "track_id").agg(F.max(F.struct("hits", "last_frame", "first_frame")).alias("r"))
+    return longest.select(by, "track_id", "r.hits", "r.first_frame", "r.last_frame")
+
+
 def _sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Sums of x[lo:hi] for arrays of bounds, from one running sum."""
     run = np.concatenate([[0.0], np.cumsum(x)])
@@ -189,6 +198,7 @@ def speaker_scores(steps: DataFrame, by: str | list[str], mouth: str, energy: st
             score = np.where(rows[present].fillna(False).to_numpy(dtype=bool), score, 0.0)
         return pd.DataFrame({**{k: rows[k] for k in keys}, "i": rows["i"], "score": score})
 
+    ship(steps.sparkSession)
     return steps.select(*columns).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, "i int", "score double"]))
 
 
@@ -230,6 +240,7 @@ def subject_maps(faces: DataFrame, width: int, height: int, by: str = "frame_id"
         total = np.pad(importance(rows, width, height, cells), ((1, 0), (1, 0))).cumsum(axis=0).cumsum(axis=1)
         return pd.DataFrame({by: [key[0]] * len(total), "row": np.arange(len(total), dtype=np.int32), "upto": list(total)})
 
+    ship(faces.sparkSession)
     return faces.select(by, "x1", "y1", "x2", "y2", "conf").groupBy(by).applyInPandas(run, f"{by} {kind}, row int, upto array<double>")
 
 

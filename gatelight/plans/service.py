@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatelight.operators import rules, sequences, store
+from gatelight.functions import sql
+from gatelight.operators import rules, sequences, store, tracking
 
 from .registry import query
 
@@ -156,3 +157,42 @@ from (select *, (x2 - x1) * (y2 - y1) as g from {v_faces})""")
 def face_weights(t):
     w = sequences.face_weight(t.v_faces, speaking=F.col("face_no") % 3 / 4, is_speaker=F.col("face_no") == 1)
     return w.select("frame_id", "face_no", F.round("weight", 12).alias("weight"))
+
+
+@query("""select u.id, u.asset_id, case when a.asset_id is null then 'rejected' else 'queued' end as status
+from {v_audit} u left join {v_assets} a on a.asset_id = u.asset_id where u.action = 'job.submitted'""")
+def submitted_jobs(t):
+    return store.submit(store.audit_filter(t.v_audit, None, "job.submitted"), t.v_assets).select("id", "asset_id", "status")
+
+
+@query("""with f as (select asset_id, action, min({'at': "at", 'id': id}) as first from {v_audit} group by all)
+select asset_id, row_number() over (partition by asset_id order by first)::int as place, action from f""")
+def first_actions(t):
+    """What happened to each asset, each action once, in order of its first time."""
+    return sequences.first_mentions(t.v_audit, "asset_id", ["at", "id"], "action")
+
+
+_TRACKS = """with w as (select clip_id, track as track_id, count(*) as hits, min(i) as first_frame, max(i) as last_frame from {v_track_scores} where present group by all),
+l as (select *, max(last_frame) over (partition by clip_id) - last_frame <= 6 as live from w)"""
+
+
+@query(_TRACKS + " select clip_id, track_id, hits, first_frame, last_frame from l where live or hits >= 2")
+def all_tracks(t):
+    """Live tracks (seen in the last six steps of their clip) and retired ones of two hits or more, as one table."""
+    seen = t.v_track_scores.filter("present").groupBy("clip_id", F.col("track").alias("track_id"))
+    found = seen.agg(F.count("*").alias("hits"), F.min("i").alias("first_frame"), F.max("i").alias("last_frame"))
+    marked = found.withColumn("live", F.max("last_frame").over(Window.partitionBy("clip_id")) - F.col("last_frame") <= tracking.MAX_MISSES)
+    return tracking.all_tracks(marked.filter("live"), marked.filter(~F.col("live") & (F.col("hits") >= tracking.MIN_HITS)), "clip_id")
+
+
+@query("""with p as (select a.frame_id, a.face_no as a, b.face_no as b, (a.x2 - a.x1) * (a.y2 - a.y1) as ga, (b.x2 - b.x1) * (b.y2 - b.y1) as gb,
+  greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as common
+  from {v_faces} a join {v_faces} b on a.frame_id = b.frame_id and a.face_no < b.face_no)
+select frame_id, a, b, round(common / (ga + gb - common), 6) as iou, round(common / ga, 6) as inside from p where common > 0""")
+def sql_boxes(t):
+    """Overlapping faces of a frame, asked in SQL with the box functions of the session."""
+    spark = t.v_faces.sparkSession
+    sql.register(spark)
+    boxed = t.v_faces.selectExpr("frame_id", "face_no", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) as box")
+    return spark.sql("""select a.frame_id, a.face_no as a, b.face_no as b, round(box_iou(a.box, b.box), 6) as iou, round(box_contained(a.box, b.box), 6) as inside
+      from {faces} a join {faces} b on a.frame_id = b.frame_id and a.face_no < b.face_no where box_common(a.box, b.box) > 0""", faces=boxed)

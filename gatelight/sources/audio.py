@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelight.workers import ship
+
 from .media import wav_samples
 
 #: The speech band, the order of its filter, and what loudness, band share and zero crossings count.
@@ -78,5 +80,6 @@ def audio_features(spark: SparkSession, path: str, fps: float) -> DataFrame:
                 found.insert(0, "path", r.path)
                 yield found
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", F.col("content"))
     return files.mapInPandas(run, "path string, i int, t double, energy double, speech double")

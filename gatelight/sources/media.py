@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelight.workers import ship
+
 #: File suffixes by kind.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "tif", "tiff", "bmp")
 VIDEO_SUFFIXES = ("mp4", "mov", "m4v", "mkv", "webm", "avi", "mpg", "mpeg")
@@ -71,19 +73,36 @@ def sample_indices(count: Column, most: int = 24) -> Column:
     return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), place))).otherwise(F.array().cast("array<int>"))
 
 
-def wav_samples(data: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in -1..1 and the rate of a PCM WAV file (8, 16 or 32 bit); channels are averaged."""
-    import io
-    import wave
-
-    with wave.open(io.BytesIO(data)) as w:
-        width, channels, hz, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+def mono(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples in -1..1 of raw PCM frames of ``width`` bytes a sample (1, 2 or 4); channels are averaged."""
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
     else:
         kind = {2: np.dtype("<i2"), 4: np.dtype("<i4")}[width]
         x = np.frombuffer(raw, kind) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels).mean(axis=1), hz
+    return x.reshape(-1, channels).mean(axis=1)
+
+
+def wav_samples(data: bytes) -> tuple[np.ndarray, int]:
+    """Mono samples in -1..1 and the rate of a PCM WAV file (8, 16 or 32 bit)."""
+    import io
+    import wave
+
+    with wave.open(io.BytesIO(data)) as w:
+        return mono(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()), w.getframerate()
+
+
+def hop_and_window(count: int, hz: int, fps: float) -> tuple[int, int, int]:
+    """Samples from step to step, samples a step looks at, and the number of steps of a recording of ``count`` samples."""
+    hop = max(1, round(hz / fps))
+    window = min(max(2 * hop, round(0.05 * hz)), count)
+    return hop, window, (count - window) // hop + 1 if count >= 0.1 * hz else 0
+
+
+def energy_of(x: np.ndarray, steps: int, hop: int, window: int) -> np.ndarray:
+    """RMS of each step in dB, over a range of 60 dB as 0 to 1."""
+    rms = np.array([np.sqrt(np.mean(x[i * hop : i * hop + window] ** 2)) for i in range(steps)])
+    return (np.clip(20 * np.log10(np.maximum(rms, 1e-10)), -60, 0) + 60) / 60
 
 
 def audio_energy(spark: SparkSession, path: str, fps: float) -> DataFrame:
@@ -93,12 +112,9 @@ def audio_energy(spark: SparkSession, path: str, fps: float) -> DataFrame:
         for rows in batches:
             for r in rows.itertuples():
                 x, hz = wav_samples(r.content)
-                hop = max(1, round(hz / fps))
-                size = min(max(2 * hop, round(0.05 * hz)), len(x))
-                n = (len(x) - size) // hop + 1 if len(x) >= 0.1 * hz else 0
-                rms = np.array([np.sqrt(np.mean(x[i * hop : i * hop + size] ** 2)) for i in range(n)])
-                energy = (np.clip(20 * np.log10(np.maximum(rms, 1e-10)), -60, 0) + 60) / 60
-                yield pd.DataFrame({"path": r.path, "i": np.arange(n, dtype=np.int32), "t": np.arange(n) * hop / hz, "energy": energy})
+                hop, window, n = hop_and_window(len(x), hz, fps)
+                yield pd.DataFrame({"path": r.path, "i": np.arange(n, dtype=np.int32), "t": np.arange(n) * hop / hz, "energy": energy_of(x, n, hop, window)})
 
+    ship(spark)
     files_ = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
     return files_.mapInPandas(run, "path string, i int, t double, energy double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +30,17 @@ def append_once(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def dispatch(handlers: dict[str, Callable[[DataFrame], DataFrame]], kind: str = "job_type") -> Callable[[DataFrame], DataFrame]:
+    """A ``handle`` for ``consume_jobs`` that gives each job to the handler of its ``kind``; jobs of no known kind come out as failed."""
+
+    def handle(batch: DataFrame) -> DataFrame:
+        known = F.coalesce(F.col(kind).isin(*handlers), F.lit(False))
+        unknown = batch.filter(~known).select("job_id", F.lit("failed").alias("status"))
+        return reduce(DataFrame.unionByName, [run(batch.filter(F.col(kind) == name)).select("job_id", "status") for name, run in handlers.items()], unknown)
+
+    return handle
+
+
 def consume_jobs(jobs: DataFrame, handle, results: str, checkpoint: str) -> StreamingQuery:
     """Run ``handle(batch)`` on each micro-batch of jobs and write its rows under the batch's number.
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: The processor also starts on the driver, in a worker that shipped files do not reach; so it travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WARMUP, WARMUP_THRESHOLD, CEILING, DROP, HISTORY, MIN_SHOT = 8, 0.70, 0.92, 0.10, 60, 3
 
 

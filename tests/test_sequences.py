@@ -451,3 +451,23 @@ def test_audit_record_diagnostics_and_export(spark, tmp_path):
     assert text[7] == "# asset 7\n2 variant(s), 1 published\nfailed rules: tech.audio\n2 audit event(s)" and "failed rules: none" in text[9]
     store.export_json(variants, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
+
+
+def test_first_mentions_keep_the_order_of_first_appearance(spark):
+    rows = [(1, 0, "b"), (1, 1, "a"), (1, 2, "b"), (1, 3, None), (1, 4, None), (2, 0, "a")]
+    found = sequences.first_mentions(spark.createDataFrame(rows, "k int, at int, note string"), "k", ["at"], "note")
+    assert {tuple(r) for r in found.collect()} == {(1, 1, "b"), (1, 2, "a"), (1, 3, None), (2, 1, "a")}
+
+
+def test_a_track_both_live_and_retired_counts_once(spark):
+    shape = "clip int, track_id int, hits long, first_frame int, last_frame int"
+    live = spark.createDataFrame([(1, 1, 5, 0, 9), (1, 2, 1, 9, 9)], shape)
+    retired = spark.createDataFrame([(1, 1, 3, 0, 4), (1, 3, 2, 0, 2)], shape)
+    assert {tuple(r) for r in tracking.all_tracks(live, retired, "clip").collect()} == {(1, 1, 5, 0, 9), (1, 2, 1, 9, 9), (1, 3, 2, 0, 2)}
+
+
+def test_passes_over_one_frame_keep_each_face_once(spark):
+    shape = "frame_id int, face_no int, conf double, x1 double, y1 double, x2 double, y2 double"
+    whole = spark.createDataFrame([(1, 1, 0.9, 0.0, 0.0, 10.0, 10.0)], shape)
+    tile = spark.createDataFrame([(1, 1, 0.9, 1.0, 0.0, 11.0, 10.0), (1, 2, 0.6, 50.0, 50.0, 60.0, 60.0)], shape)
+    assert {tuple(r)[:3] for r in folds.nms_passes([whole, tile]).collect()} == {(1, 0, 1), (1, 1, 2)}

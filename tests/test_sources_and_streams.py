@@ -7,10 +7,10 @@ import struct
 import wave
 
 import pytest
-from gatelight.functions import network
+from gatelight.functions import network, sql
 from gatelight.operators import store
 from gatelight.plans import spec
-from gatelight.sources import media
+from gatelight.sources import media, pcm
 from gatelight.streaming import audit, shots
 from pyspark.sql import functions as F
 
@@ -102,6 +102,46 @@ def test_wav(spark, tmp_path):
     assert io.BytesIO(b"").read() == b""
 
 
+def test_pcm_source_reads_files_in_slices(spark, tmp_path):
+    rate = 8000
+    for name, seconds in (("a", 5), ("b", 1)):
+        raw = b"".join(struct.pack("<hh", v, v // 2) for v in (int(15000 * math.sin(i / 3) * (i % 4000 > 1500)) for i in range(seconds * rate)))
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setparams((2, 2, rate, 0, "NONE", ""))
+            w.writeframes(raw)
+    pcm.register(spark)
+    read = lambda **o: spark.read.format("pcm_energy").options(fps=10, **o).load(str(tmp_path))
+    plain = {(r.path.rsplit("/", 1)[1], r.i): (r.t, r.energy) for r in media.audio_energy(spark, str(tmp_path), 10).collect()}
+    sliced = read(sliceBytes=20_000)
+    assert sliced.rdd.getNumPartitions() > 4
+    found = {(r.path.rsplit("/", 1)[1], r.i): (r.t, r.energy) for r in sliced.collect()}
+    assert found.keys() == plain.keys() and all(found[k] == pytest.approx(plain[k]) for k in plain)
+    window = sorted(r.i for r in read(start=1.05, seconds=1).collect() if r.path.endswith("a.wav"))
+    assert window == [i for (f, i), (t, _) in sorted(plain.items()) if f == "a.wav" and 1.05 <= t < 2.05]
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("pcm_energy").load(str(tmp_path / "none")).count() == 0
+
+
+def test_box_functions_of_empty_and_null_boxes(spark):
+    sql.register(spark)
+    row = spark.sql("""select box_iou(e, e) as a, box_contained(e, f) as b, box_iou(null, f) as c, box_area(named_struct('x1', 4D, 'y1', 4D, 'x2', 1D, 'y2', 9D)) as d, box_pad(f, 0.5D) as p, box_iou(f, g) as i
+      from (select named_struct('x1', 1D, 'y1', 1D, 'x2', 1D, 'y2', 5D) as e, named_struct('x1', 0D, 'y1', 0D, 'x2', 2D, 'y2', 2D) as f, named_struct('x1', 1D, 'y1', 0D, 'x2', 3D, 'y2', 2D) as g)""").first()
+    assert (row.a, row.b, row.c, row.d) == (0, 0, 0, 0) and tuple(row.p) == (-1, -1, 3, 3) and row.i == pytest.approx(1 / 3)
+
+
+def test_jobs_go_to_the_handler_of_their_kind(spark):
+    jobs = spark.createDataFrame([(1, "render"), (2, "purge"), (3, "unheard"), (4, None)], "job_id long, job_type string")
+    mark = lambda status: lambda b: b.withColumn("status", F.lit(status))
+    done = audit.dispatch({"render": mark("rendered"), "purge": mark("purged")})(jobs)
+    assert {tuple(r) for r in done.collect()} == {(1, "rendered"), (2, "purged"), (3, "failed"), (4, "failed")}
+
+
+def test_jobs_for_unknown_assets_are_rejected(spark):
+    jobs = spark.createDataFrame([(1, 7), (2, 8), (3, None), (4, 7)], "job_id long, asset_id long")
+    assets = spark.createDataFrame([(7,), (7,), (None,)], "asset_id long")
+    assert {(r.job_id, r.status) for r in store.submit(jobs, assets).collect()} == {(1, "queued"), (2, "rejected"), (3, "rejected"), (4, "queued")}
+
+
 def test_store_edges(spark):
     events = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 9)), (3, dt.datetime(2024, 1, 10))], "id long, at timestamp_ntz")
     kept, purged = store.retention(events, dt.datetime(2024, 1, 11), 2)
