@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelight.workers import ship  # noqa: F401  the operators take it from here
+
 #: The six ASCII white-space characters that separate words, and the two patterns built from them.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -35,20 +35,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per session; they need no copy installed on their machines."""
-    context = spark.sparkContext
-    if getattr(context, "_gatelight_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="gatelight-"), "gatelight-package.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._gatelight_shipped = True
-
-
 class Scratch:
     """Tables written once to the shared folder: they cut lineage, survive lost executors and are computed a single time.
 

@@ -119,6 +119,10 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Learnt from about ``sample`` documents per language, taken by a hash of their ids (all documents of smaller languages).
     What reaches the driver is ``grams`` codes per language: languages, not documents, decide its size.
+
+    Defined cases: rows with a null text or language teach nothing; a text without letters has no n-gram. Whole texts count, of any length. Rows of
+    one id, or of a null one, are drawn together or not at all; repeated rows count each. Without usable rows there is no profile. A
+    language that is given but has no letter in any of its drawn texts has none either. Other columns are ignored.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 20)).alias("draw"))
