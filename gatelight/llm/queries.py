@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, token_counts, topk
+from . import language_id, line_dedup, mixing, near_dedup, packing, quality, runs, sharding, substring_dedup, token_counts, topk
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_topk": topk.op8_topk,
         "op9_mixing": mixing.op9_mixing,
         "op10_language_id": language_id.op10_language_id,
+        "op13_periodic_runs": runs.op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op4_near_dedup": near_dedup.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_topk": topk.SQL, "op9_mixing": mixing.SQL}
+    return {
+        "op1_line_dedup": line_dedup.SQL,
+        "op4_near_dedup": near_dedup.SQL,
+        "op7_substring_dedup": substring_dedup.SQL,
+        "op8_topk": topk.SQL,
+        "op9_mixing": mixing.SQL,
+        "op13_periodic_runs": runs.SQL,
+    }
