@@ -16,7 +16,7 @@ that meet there. Shares are whole numbers, and so are all sums.
 from __future__ import annotations
 
 import math
-from collections import Counter, OrderedDict
+from collections import Counter
 from operator import itemgetter
 
 import numpy as np
@@ -24,7 +24,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Scratch, ship
@@ -58,11 +57,11 @@ def _texts(part: pa.RecordBatch):
 def _term_batches(counted: dict[tuple[str, ...], Counter], names: tuple[str, ...], value: str):
     """Record batches (keys, term, count) of counts by key; terms are bytes or text."""
     for key, counter in counted.items():
+        if not counter:
+            continue
         terms = pa.array(counter.keys(), pa.binary() if isinstance(next(iter(counter)), bytes) else pa.string()).cast(pa.string())
-        n = len(terms)
-        if n:
-            keys = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([k])).cast(pa.string()) for k in key]
-            yield pa.RecordBatch.from_arrays([*keys, terms, pa.array(counter.values(), pa.int64())], names=[*names, "term", value])
+        keys = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(terms), np.int32)), pa.array([k])).cast(pa.string()) for k in key]
+        yield pa.RecordBatch.from_arrays([*keys, terms, pa.array(counter.values(), pa.int64())], names=[*names, "term", value])
 
 
 def vocabulary(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -87,7 +86,7 @@ def vocabulary(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return counted.groupBy("lang", "term").agg(F.sum("df").alias("df")).filter(F.col("df") >= min_docs)
 
 
-_AUTOMATA: OrderedDict = OrderedDict()
+_AUTOMATA: dict[str, dict] = {}
 
 
 def _automata(name: str, terms: dict[str, list[str]]) -> dict:
@@ -106,43 +105,41 @@ def _automata(name: str, terms: dict[str, list[str]]) -> dict:
     return _AUTOMATA[name]
 
 
-def occurrences(texts: DataFrame, kept: DataFrame, block_terms: int = BLOCK_TERMS) -> list[DataFrame]:
-    """Occurrences (lang, source, term, n) of kept terms (lang, term) in ``texts`` (t, lang, source): a table for each block of the vocabulary.
+def occurrences(scratch: Scratch, texts: DataFrame, kept: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """Written table of the occurrences (lang, source, term, n) of ``kept`` terms (lang, term) in ``texts`` (t, lang, source).
 
     Terms are matched between delimiters, so a term within a longer one does not count; two neighbours share their delimiter, as the automaton
     reports overlapping matches.
     """
-    spark = texts.sparkSession
+    spark, kind = texts.sparkSession, "lang string, source string, term string, n long"
     ship(spark)
-    blocks = max(1, math.ceil(kept.count() / block_terms))
-    dealt = kept.withColumn("block", F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)))
-    out = []
+    blocks = math.ceil(kept.count() / block_terms)
+    dealt = kept.withColumn("block", F.pmod(F.xxhash64("lang", "term"), F.lit(blocks or 1)))
+    out = spark.createDataFrame([], kind)
     for b in range(blocks):
         terms: dict[str, list[str]] = {}
         for row in dealt.filter(F.col("block") == b).select("lang", "term").toLocalIterator():  # about block_terms rows
             terms.setdefault(row.lang, []).append(row.term)
-        if not terms:
-            continue
-        sent = spark.sparkContext.broadcast(terms)
+        sent, name = spark.sparkContext.broadcast(terms), f"{scratch.root}/{b}"
 
-        def run(batches, sent=sent, name=f"{spark.sparkContext.applicationId}/{id(sent)}/{kept._scratch_path}/{b}"):
-            automata, tables, term_of = None, {}, itemgetter(1)
+        def run(batches, sent=sent, name=name):
+            tables: dict[tuple[str, str], Counter] = {}
             for batch in batches:
-                automata = automata or _automata(name, sent.value)
+                automata = _automata(name, sent.value)
                 for part in in_pieces(batch, [], "t", size=4096, most=PART_BYTES):
                     rest, plain = _texts(part)
                     for lang, source, text in zip(rest["lang"], rest["source"], plain):
                         if lang in automata:
                             body = f" {b' '.join(text.split()).decode()} "
-                            tables.setdefault((lang, source), Counter()).update(map(term_of, automata[lang].iter(body)))
+                            tables.setdefault((lang, source), Counter()).update(map(itemgetter(1), automata[lang].iter(body)))
                     if sum(map(len, tables.values())) > TABLE_TERMS:
-                        yield from _term_batches({k: v for k, v in tables.items() if v}, ("lang", "source"), "n")
+                        yield from _term_batches(tables, ("lang", "source"), "n")
                         tables = {}
-            yield from _term_batches({k: v for k, v in tables.items() if v}, ("lang", "source"), "n")
+            yield from _term_batches(tables, ("lang", "source"), "n")
 
-        mine = texts if len(terms) > 1000 else texts.filter(F.col("lang").isin(list(terms)))
-        found = mine.mapInArrow(run, "lang string, source string, term string, n long")
-        out.append(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+        found = texts.mapInArrow(run, kind).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+        out = out.unionByName(scratch.keep(found, "counts")) if b else scratch.keep(found, "counts")
+        sent.unpersist()
     return out
 
 
@@ -198,13 +195,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     texts = _flat(docs, text_col, lang_col, source_col)
     kept = scratch.keep(vocabulary(texts, min_docs), "kept")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    found = occurrences(texts, kept, block_terms)
-    counts = None
-    for table in found:
-        table = scratch.keep(table, "counts")
-        counts = table if counts is None else counts.unionByName(table)
-    if counts is None:
-        counts = docs.sparkSession.createDataFrame([], "lang string, source string, term string, n long")
+    counts = occurrences(scratch, texts, kept, block_terms)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     # the groups of all documents, with what each posts: one row per language and source
     present = texts.groupBy("lang", "source").agg(F.lit(1).alias("one")).drop("one")
