@@ -41,7 +41,7 @@ _HAND_WRITTEN = """
 2 | bsd-3-clause | identifier | spdx license identifier bsd 3 clause
 2 | bsd-3-clause | opensource org | opensource org licenses? bsd(?: 3 clause| license)(?: php| html)?
 2 | bsd-2-clause | opensource org | opensource org licenses? bsd 2 clause
-3 | bsd-2-clause |  bsd  | (?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?
+3 | bsd-2-clause | bsd | (?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?
 3 | bsd-3-clause |  bsd  | (?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)(?: licen[cs]e)?
 3 | bsd-4-clause |  bsd  | (?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[cs]e)?
 3 | bsd |  bsd  | (?:under|with|by) (?:an?|the)(?: terms of the)? bsd(?: style| type)? licen[cs]e
@@ -194,7 +194,7 @@ _HAND_WRITTEN = """
 3 | polyform-noncommercial | polyform | polyform noncommercial license(?: 1 0 0)?
 3 | polyform-small-business | polyform | polyform small business license(?: 1 0 0)?
 3 | commons-clause | commons clause | commons clause(?: license condition)?(?: v1 0| 1 0)?
-3 | openrail | rail | (?:creativeml |bigscience )?open ?rail(?: m| ?\\+\\+ m)?(?: license)?
+3 | openrail | rail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: license)?
 1 | cc0-1.0 | waived all copyright | has waived all copyright and related or neighboring rights
 2 | cc0-1.0 | creativecommons | creativecommons org publicdomain zero 1 0
 2 | cc0-1.0 | identifier | spdx license identifier cc0 1 0
@@ -212,14 +212,14 @@ _HAND_WRITTEN = """
 4 | public-domain | public domain | (?:is|are) (?:now )?in the public domain
 5 | public-domain | public domain | public domain
 3 | proprietary | proprietary | (?:this is |the )?(?:confidential and proprietary|proprietary and confidential)(?: information| property)?
-3 | proprietary | all rights reserved | unauthorized (?:copying|reproduction|distribution|use)(?: or distribution)? of (?:[^ ]+ ){1,8}is strictly prohibited
+3 | proprietary | strictly prohibited | unauthorized (?:copying|reproduction|distribution|use)(?: or distribution)? of (?:[^ ]+ ){1,8}is strictly prohibited
 4 | proprietary | all rights reserved | all rights reserved
 4 | commercial | commercial license | (?:under|with) a commercial license
-4 | non-commercial | non | (?:for )?non ?commercial (?:use|purposes)(?: only)?
+4 | non-commercial | commercial | (?:for )?non ?commercial (?:use|purposes)(?: only)?
 4 | evaluation-only | evaluation | (?:for )?evaluation purposes only
 5 | copyleft | copyleft | copyleft
 5 | open-source | open source license | (?:an |approved )?open source license
-5 | license-notice | licen | (?:released|licen[cs]ed|distributed|available|published) under (?:the|an?)(?: terms of the| terms of an?)?
+5 | license-notice | licen | licen[cs]ed under (?:the|an?|these)(?: terms of (?:the|an?))?
 5 | license-notice | licen | see the (?:accompanying )?licen[cs]e(?: file| txt| md)?(?: for (?:more )?details)?
 5 | license-notice | licen | (?:subject to|in accordance with|under) the terms of (?:the|this) licen[cs]e
 5 | warranty-disclaimer | warrant | without (?:any )?warrant(?:y|ies)(?: or conditions)? of any kind

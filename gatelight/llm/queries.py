@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, language_id, line_dedup, mixing, near_dedup, packing, quality, runs, sharding, substring_dedup, token_counts, topk
+from . import divergence, language_id, licenses, line_dedup, mixing, near_dedup, packing, quality, runs, sharding, substring_dedup, token_counts, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_topk": topk.op8_topk,
         "op9_mixing": mixing.op9_mixing,
         "op10_language_id": language_id.op10_language_id,
+        "op11_license_scans": licenses.op11_license_scans,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op13_periodic_runs": runs.op13_periodic_runs,
     }
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": substring_dedup.SQL,
         "op8_topk": topk.SQL,
         "op9_mixing": mixing.SQL,
+        "op11_license_scans": licenses.SQL,
         "op12_source_divergence": divergence.SQL,
         "op13_periodic_runs": runs.SQL,
     }
