@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,28 +23,15 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(steps) | np.uint64(1)
 
 
-BASE = int(constants(1, 1)[0])
-LETTER = constants(256, 2)
-
-
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64."""
-    n = 1 << bits
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.ones(n, dtype=np.uint64)
-        for k in range(bits):  # doubling: p[2^k : 2^(k+1)] = p[: 2^k] * base^(2^k)
-            p[1 << k : 2 << k] = p[: 1 << k] * np.uint64(pow(base, 1 << k, 1 << 64))
-        out.append(p)
-    return out[0], out[1]
-
-
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SEGMENT = 1 << 19
+SHORT = 15  # bytes of a word that two 64-bit numbers hold as they are, beside its length
+_LENGTH = np.arange(SHORT + 1)
+_LOW_MASK = np.array([(1 << 8 * min(n, 8)) - 1 for n in _LENGTH.tolist()], dtype=np.uint64)
+_HIGH_MASK = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in _LENGTH.tolist()], dtype=np.uint64)
+_FAMILY = constants(4, 1)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +44,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(data) else data, offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, rows, first byte and end byte as an n x 2 array) of the words of each row, in order.
+def _eight_bytes(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers; ``padded`` goes on for 16 bytes at least behind the last place."""
+    cells, cell, shift = padded.view("<u8"), at >> 3, ((at & 7) << 3).astype(np.uint64)
+    return (cells[cell] >> shift) | (cells[cell + 1] << (np.uint64(63) - shift) << np.uint64(1))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first hash, second hash, row, first byte and end byte as an n x 2 array) of the words of each row, in order.
 
-    Words are the runs of bytes other than the six ASCII white-space characters; they never cross rows. Bytes are hashed in segments cut
-    between words, so memory beyond the words themselves stays constant.
+    Words are the runs of bytes other than the six ASCII white-space characters; they never cross rows. A word of up to ``SHORT`` bytes is taken as it is into two
+    numbers, its length beside it, so unlike words are unlike numbers; a longer one gives the 127 bits of a BLAKE2b digest, apart from those of all short
+    words. Both hashes are one-to-one mixes of these numbers when the other is given: words that agree in one are told apart by the other.
     """
+    if lower:
+        data = _LOWER[data]
     nonspace = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -73,20 +69,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     after[:-1] = nonspace[1:]
     ends = np.flatnonzero(nonspace & (~after | edge[1:])) + 1
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = int(np.searchsorted(ends, starts[i] + SEGMENT, side="right"))
-        j = max(j, i + 1)
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        piece = data[lo:hi]
-        power, inverse = _powers(max(20, int(hi - lo).bit_length()))
-        value = LETTER[_LOWER[piece] if lower else piece] * power[: hi - lo]
-        value[_SPACE[piece]] = 0
-        at = starts[i:j] - lo
-        hashes[i:j] = np.add.reduceat(value, at) * inverse[at]
-        i = j
-    return mix(hashes ^ (ends - starts).astype(np.uint64)), rows, np.stack([starts, ends], axis=1)
+    length = ends - starts
+    padded = np.zeros((len(data) + 39) // 8 * 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    known = np.minimum(length, SHORT)
+    low = _eight_bytes(padded, starts) & _LOW_MASK[known]
+    high = (_eight_bytes(padded, starts + 8) & _HIGH_MASK[known]) | (known.astype(np.uint64) << np.uint64(56))
+    for i in np.flatnonzero(length > SHORT).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest()
+        low[i], high[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little") | 1 << 63
+    k = _FAMILY
+    first, second = mix(mix(low ^ k[0]) + high * k[1]), mix(mix(high ^ k[2]) + low * k[3])
+    return first, second, rows, np.stack([starts, ends], axis=1)
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ sizes, which are known exactly) drops pairs that cannot reach the threshold, and
 round (each member against the leads of its buckets) only; in the second, full sets are compared right inside the join, after set
 sizes alone: a test of registers there would have to write the pairs first.
 
-Documents with equal sets are one class from the start. In a bucket of a band, every member is first tried against one member
+Documents with equal sets are one class from the start, told apart by 128 bits that go back to two hashes of each word. In a bucket of a band, every member is first tried against one member
 (three random orders choose it); what is linked is merged. Only buckets that still hold several components are then gone
 through, and only between components: copies of one text cost work in proportion to their number, and no link is lost. What
 remains quadratic are documents of one bucket that resemble each other but are not linked, which only their full sets can tell; a
@@ -46,32 +46,33 @@ class Sketcher:
         self.factors, self.shifts = constants(bands * rows, 11), constants(bands * rows, 12)
         self.band_factors = constants(bands * rows, 13).reshape(bands, rows)
 
-    def sets(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shingle hashes, first index per row, number per row): each row's distinct shingles in order of hash.
+    def sets(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle hashes, second hashes of the same shingles, first index per row, number per row): each row's distinct shingles in order of hash.
 
         A text of fewer words than a shingle has its whole sequence as one; a text without words has none.
         """
         data, offsets = buffers(column)
-        words, rows, _ = word_hashes(data, offsets, lower=True)
-        value, first = window_hashes(words, rows, self.size, 21)
-        owner = rows[first]
+        *both, rows, _ = word_hashes(data, offsets, lower=True)
         count = np.bincount(rows, minlength=len(column))
         few = np.flatnonzero((count > 0) & (count < self.size))
-        if len(few):
-            place = np.cumsum(count) - count
+        place = np.cumsum(count) - count
+        values = []
+        for words, seed in zip(both, (21, 22)):
+            value, first = window_hashes(words, rows, self.size, seed)
             short = np.zeros(len(few), dtype=np.uint64)
-            for k, c in enumerate(constants(self.size, 21)):
+            for k, c in enumerate(constants(self.size, seed)):
                 has = count[few] > k
                 short[has] += words[place[few][has] + k] * c
-            short = mix(short ^ (count[few].astype(np.uint64) << np.uint64(56)))
-            value, owner = np.concatenate([value, short]), np.concatenate([owner, few])
+            values.append(np.concatenate([value, mix(short ^ (count[few].astype(np.uint64) << np.uint64(56)))]))
+        value, second = values
+        owner = np.concatenate([rows[first], few])
         order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
+        value, second, owner = value[order], second[order], owner[order]
         if len(value):
             new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))
-            value, owner = value[new], owner[new]
+            value, second, owner = value[new], second[new], owner[new]
         n = np.bincount(owner, minlength=len(column))
-        return value, np.cumsum(n) - n, n
+        return value, second, np.cumsum(n) - n, n
 
     def registers(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows x registers, uint16. ``first`` lists the starts of the sets, none of them empty."""
@@ -117,13 +118,13 @@ def _sketched(docs: DataFrame, sketcher: Sketcher) -> DataFrame:
         a, b = constants(2, 31)
         for batch in batches:
             for part in in_pieces(batch, [], "t", size=4096, most=PART_CHARS):
-                value, first, n = sketcher.sets(part.column("t"))
+                value, second, first, n = sketcher.sets(part.column("t"))
                 full = n > 0
                 keys = sketcher.band_keys(sketcher.registers(value, first[full]))
                 sums = [np.zeros(len(n), dtype=np.int64) for _ in range(2)]
-                for s, c in zip(sums, (a, b)):
+                for s, hashes, c in zip(sums, (value, second), (a, b)):
                     if len(value):
-                        s[full] = np.add.reduceat(mix(value ^ c), first[full]).view(np.int64)
+                        s[full] = np.add.reduceat(mix(hashes ^ c), first[full]).view(np.int64)
                 ends = np.cumsum(np.where(full, sketcher.bands, 0))
                 bands = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("d"), part.column("th"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bands], names=["d", "th", "n", "s1", "s2", "bands"])
@@ -141,7 +142,7 @@ def _sets(texts: DataFrame, sketcher: Sketcher) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in in_pieces(batch, [], "t", size=4096, most=PART_CHARS):
-                value, first, n = sketcher.sets(part.column("t"))
+                value, _, first, n = sketcher.sets(part.column("t"))
                 keep = np.flatnonzero(n > 0)
                 regs = sketcher.registers(value, first[keep])
                 sets = pa.ListArray.from_arrays(pa.array(np.append(first[keep], len(value)), pa.int32()), pa.array(value.view(np.int64)))
@@ -317,7 +318,7 @@ shingles as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(
     else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from words),
 sized as (select doc_id, len(s)::bigint as n, s from shingles),
 flat as (select doc_id, n, unnest(s) as g from sized),
-rare as (select g from flat group by g having count(*) between 2 and 2000000000),
+rare as (select g from flat group by g having count(*) >= 2),
 shared as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as shared_n from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id
   and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) where a.g in (select g from rare) group by all),
 links as (select a, b from shared where 100 * shared_n >= 80 * (na + nb - shared_n) union all select b, a from shared where 100 * shared_n >= 80 * (na + nb - shared_n)),

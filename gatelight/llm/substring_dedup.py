@@ -10,7 +10,8 @@ that an earlier document holds whole settles all its windows at once. The first
 compared singly: the first document with a window is also the first with the stretch around it, so no earlier holder is overlooked.
 
 Skew: what repeats is found by an aggregate (smallest and largest id per hash), which combines before its shuffle, and carried back to the
-rows by a salted lookup, so a very common passage never gathers in one task. Stretches and windows are compared by 128 bits.
+rows by a salted lookup, so a very common passage never gathers in one task. Stretches and windows are compared by 128 bits, from the words up: each
+half is made of word hashes of its own.
 """
 
 from __future__ import annotations
@@ -68,10 +69,10 @@ def seed_runs(words: np.ndarray, rows: np.ndarray, length: int, size: int, live:
     return value[best[new]], starts[new], np.diff(np.append(new, len(starts)))
 
 
-def hashes_at(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the windows of ``size`` words that start at ``at``."""
+def hashes_at(both: tuple[np.ndarray, np.ndarray], at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows of ``size`` words that start at ``at``; ``both``: the two hashes of each word."""
     out = []
-    for family in (SEEDS + 1, SEEDS + 2):
+    for words, family in zip(both, (SEEDS + 1, SEEDS + 2)):
         value = np.zeros(len(at), dtype=np.uint64)
         for k, c in enumerate(constants(size, family)):
             value += words[at + k] * c
@@ -79,11 +80,11 @@ def hashes_at(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, row of each word, first word of each row)."""
+def _words(column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """(the two hashes of each word, row of each word, first word of each row)."""
     data, offsets = buffers(column)
-    words, rows, _ = word_hashes(data, offsets, lower=False)
-    return words, rows, np.searchsorted(rows, np.arange(len(column)))
+    first, second, rows, _ = word_hashes(data, offsets, lower=False)
+    return (first, second), rows, np.searchsorted(rows, np.arange(len(column)))
 
 
 def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,8 +150,8 @@ def repeats(scratch: Scratch, texts: DataFrame, words: int = WORDS, first: int =
         source = texts if live is None else texts.join(live, ["d", "th"])
 
         def candidates(part, w, rows, start, length=length, later=live is not None):
-            alive = _marked(part.column("live"), start, len(w)) if later else None
-            h, at, n = seed_runs(w, rows, length, words, alive)
+            alive = _marked(part.column("live"), start, len(w[0])) if later else None
+            h, at, n = seed_runs(w[0], rows, length, words, alive)
             return (h,), at, n
 
         found = _scanned(source, ["h"], candidates)
@@ -164,7 +165,7 @@ def repeats(scratch: Scratch, texts: DataFrame, words: int = WORDS, first: int =
     length, keys = (lengths[:-1] or lengths)[-1], ["h1", "h2"]
 
     def stretches(part, w, rows, start):
-        _, at, n = seed_runs(w, rows, length, words, _marked(part.column("live"), start, len(w)))
+        _, at, n = seed_runs(w[0], rows, length, words, _marked(part.column("live"), start, len(w[0])))
         (a1, a2), (b1, b2) = hashes_at(w, at, words), hashes_at(w, at + n - 1, words)
         many, (c1, c2) = n.astype(np.uint64), constants(2, SEEDS + 3)
         return (mix(a1 * c1 + b1 + many), mix(a2 * c2 + b2 + many)), at, n
@@ -179,9 +180,9 @@ def repeats(scratch: Scratch, texts: DataFrame, words: int = WORDS, first: int =
     left = live.join(settled, ["d", "th"], "left") if settled is not None else live
 
     def single(part, w, rows, start, some=settled is not None):
-        open_ = _marked(part.column("live"), start, len(w))
+        open_ = _marked(part.column("live"), start, len(w[0]))
         if some:
-            open_ &= ~_marked(part.column("settled"), start, len(w))
+            open_ &= ~_marked(part.column("settled"), start, len(w[0]))
         at = np.flatnonzero(open_)
         return hashes_at(w, at, words), at, np.ones(len(at), dtype=np.int32)
 
@@ -208,7 +209,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words. Repeated rows are all returned. Other columns pass through, whatever their names. An empty table gives an empty table.
     """
     scratch, text = Scratch(docs.sparkSession), F.coalesce(text_col, F.lit(""))
-    key = (F.col(id_col).alias("d"), F.hash(text).alias("th"), text.alias("t"))
+    key = (F.col(id_col).alias("d"), F.xxhash64(text).alias("th"), text.alias("t"))
     found = repeats(scratch, docs.filter(F.col(id_col).isNotNull()).select(*key), words, first)
     own = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
     names = [f"c{i}" for i in range(len(own))]

@@ -188,10 +188,42 @@ def test_word_hashes_equal_words():
 
     texts = ["a bb\tccc  a", None, "", " bb", "Ab aB", "é" * 3 + " ab"]
     data, offsets = hashing.buffers(pa.array(texts))
-    h, row, span = hashing.word_hashes(data, offsets, lower=False)
+    h, g, row, span = hashing.word_hashes(data, offsets, lower=False)
     seen = [(int(r), bytes(data[s:e]).decode()) for r, (s, e) in zip(row, span)]
     assert seen == [(i, w) for i, t in enumerate(texts) for w in brute.words(t)]
-    assert len(set(h)) == len({w for _, w in seen})
+    assert len(set(h)) == len(set(g)) == len({w for _, w in seen})
+
+
+def thue_morse(bits):
+    """A word over a and b and its complement: polynomial hashes modulo a power of two take them for equal from 1,024 letters on."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_word_hashes_of_awkward_words():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    words = {"a" * n for n in range(1, 40)} | {"a" * n + "\0" * m for n in range(1, 18) for m in range(3)} | {x for b in range(1, 15) for x in thue_morse(b)}
+    words |= {"".join(rng.choice("ab\0é") for _ in range(rng.randint(1, 20))) for _ in range(5000)}
+    words = sorted(words)
+    data, offsets = hashing.buffers(pa.array([" ".join(words), *words]))
+    h, g, row, _ = hashing.word_hashes(data, offsets, lower=False)
+    assert len(set(h)) == len(set(g)) == len(words)
+    for x in (h, g):
+        assert (x[row == 0] == x[row > 0]).all()  # wherever a word stands
+        assert len(set((x >> np.uint64(32)).tolist())) > len(words) - 10  # in every part of the number
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12])
+def test_unlike_long_words_stay_unlike(spark, bits):
+    start = " ".join(f"u{i}" for i in range(12))
+    df = spark.createDataFrame([(i, f"{start} {w}") for i, w in enumerate(thue_morse(bits))], "doc_id long, text string")
+    assert got(substring_dedup.drop_repeats(df), "doc_id", "n_words", "n_removed") == [(0, 13, 0), (1, 13, 0)]
+    alone = spark.createDataFrame(list(enumerate(thue_morse(bits))), "doc_id long, text string")
+    assert got(near_dedup.near_groups(alone), "doc_id", "component_id") == [(0, 0), (1, 1)]
 
 
 @pytest.mark.parametrize("shingle", [4, 5])
@@ -261,7 +293,7 @@ def test_sketch_likelihood_keeps_true_pairs():
             b = a[cut:] + [f"w{rng.randrange(10**9)}" for _ in range(cut)]
             texts += [" ".join(a), " ".join(b)]
             truth.append(share)
-    value, first, n = sketcher.sets(pa.array(texts))
+    value, _, first, n = sketcher.sets(pa.array(texts))
     regs = sketcher.registers(value, first)
     more, less = (regs[::2] > regs[1::2]).sum(axis=1), (regs[::2] < regs[1::2]).sum(axis=1)
     same = regs.shape[1] - more - less
