@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A key is heavy when it holds more than 1/PARTS of all rows, so there are fewer than PARTS heavy keys at any input size.
 PARTS = 1000
-SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,37 +35,79 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+class _Cleanup:
+    """A setting of a session that holds while any write of the package runs, and is then as it was, whatever order the writes end in."""
+
+    KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    lock = threading.Lock()
+    held: dict[str, tuple[int, str | None]] = {}  # by session: writes that run, the setting before them
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.session = spark, spark._jsparkSession.sessionUUID()
+
+    def __enter__(self):
+        with self.lock:
+            running, before = self.held.get(self.session) or (0, self.spark.conf.get(self.KEY, None))
+            self.held[self.session] = running + 1, before
+            self.spark.conf.set(self.KEY, "true")
+
+    def __exit__(self, *_):
+        with self.lock:
+            running, before = self.held.pop(self.session)
+            if running > 1:
+                self.held[self.session] = running - 1, before
+            elif before is None:
+                self.spark.conf.unset(self.KEY)
+            else:
+                self.spark.conf.set(self.KEY, before)
+
+
 class Scratch:
     """Tables written once to the shared folder: they cut lineage, survive lost executors and are computed a single time.
 
-    Once a table is written its query's shuffle files are of no use; Spark is told to remove them at the end of the write.
+    Once a table is written its query's shuffle files are of no use; Spark is told to remove them at the end of the write. An operator drops
+    the tables that its result does not read (``drop``, ``only``); those that it reads go with the application, or with ``close``.
     """
 
-    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/gatelight-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[DataFrame] = []
+
+    def _path(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        if not self.count:
+            path, files = self._path(self.root)
+            files.deleteOnExit(path)
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
-        before = self.spark.conf.get(self.CLEANUP, None)
-        self.spark.conf.set(self.CLEANUP, "true")
-        try:
+        with _Cleanup(self.spark):
             df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.unset(self.CLEANUP) if before is None else self.spark.conf.set(self.CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(table._scratch_path)
+            files.delete(path, True)
+        self.tables = [t for t in self.tables if all(t is not x for x in tables)]
+
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these, which the result reads."""
+        self.drop(*[t for t in self.tables if all(t is not x for x in tables)])
+
+    def close(self) -> None:
+        """Delete everything. Results that read from here can no longer be read."""
+        path, files = self._path(self.root)
+        files.delete(path, True)
+        self.tables = []
 
 
 def ascii_lower(text: Column) -> Column:
@@ -88,19 +130,20 @@ def hash128(*values: Column) -> tuple[Column, Column]:
     return F.xxhash64(*values), F.xxhash64(F.lit(7919), *values)
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], weights: DataFrame, weight: str, spread: list[str], parts: int = PARTS) -> DataFrame:
-    """Inner join of ``left`` with ``right`` (unique on ``keys``), dealt evenly whatever the skew.
+def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], weights: DataFrame, weight: str, spread: list[str], parts: int = PARTS, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``left`` with ``right`` (unique on ``keys``), dealt evenly whatever the skew.
 
     ``weights`` is a written table with ``keys`` and ``weight``, the number of left rows of a key. A key with more than 1/parts of
-    them is heavy: its left rows are spread over ``SALTS`` salts and its right row is repeated for each. Shares sum to one, so under ``parts``
-    keys are heavy; their hashes are all that the driver learns, and at most ``parts * SALTS`` right rows are added. ``spread``
+    them is heavy: its left rows are spread over so many salts that each has 1/parts of all rows at most, and its right row is repeated for each. Shares sum to one, so under
+    ``parts`` keys are heavy, and salts number under ``2 * parts`` in all; the heavy keys' hashes and salts are all that the driver learns. ``spread``
     names left columns whose hash picks the salt. Keys must have the same types on all sides.
     """
     total = weights.agg(F.sum(weight)).first()[0] or 0
     key = F.xxhash64(*keys)
-    heavy = [r["h"] for r in weights.filter(F.col(weight) * parts > total).select(key.alias("h")).collect()]
+    heavy = {r["h"]: -(-r["w"] * parts // total) for r in weights.filter(F.col(weight) * parts > total).select(key.alias("h"), F.col(weight).alias("w")).collect()}
     if not heavy:
-        return left.join(right, keys)
-    dealt = left.withColumn("_salt", F.when(key.isin(heavy), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0))
-    salts = F.when(key.isin(heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(right.withColumn("_salt", F.explode(salts)), [*keys, "_salt"]).drop("_salt")
+        return left.join(right, keys, how)
+    salts = F.when(key.isin(list(heavy)), F.element_at(F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair]), key)).otherwise(1).cast("int")
+    dealt = left.withColumn("_salts", salts).withColumn("_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*spread), F.col("_salts"))).otherwise(0).cast("int")).drop("_salts")
+    repeated = right.withColumn("_salts", salts).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

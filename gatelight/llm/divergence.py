@@ -204,6 +204,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     groups = scratch.keep(groups.withColumn("p0", share(F.lit(0), F.col("total"), F.col("v"))), "groups")
     posts = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0")
     posts = scratch.keep(posts, "posts")
+    scratch.drop(kept)
     by_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
     base = by_term.join(whole, "lang").select("lang", "term", share(F.col("n"), F.col("total"), F.col("v")).alias("q"))

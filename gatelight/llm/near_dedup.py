@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SALTS, Scratch, salted_lookup, ship
+from .common import Scratch, salted_lookup, ship
 from .hashing import buffers, constants, mix, window_hashes, word_hashes
 from .tokens import in_pieces
 
@@ -35,7 +35,8 @@ BANDS, ROWS = 36, 6  # at similarity .8 a linked pair shares no band with probab
 B, A, Q = 1.001, 20.0, (1 << 16) - 2  # base, rate and largest register of the sketch
 SURE = 18.0  # a pair goes unverified only if the threshold is e**18 times less likely than the best fit
 PART_CHARS = 500_000
-SPREAD = 1000  # members outside a bucket's largest component that one salt holds, up to SALTS salts
+SPREAD = 1000  # members outside a bucket's largest component that one salt holds
+PLAIN_ROWS = 100_000  # edges or labels that a plain join moves: one task of them is small even if all meet in one key
 
 
 class Sketcher:
@@ -191,24 +192,40 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     """Per endpoint of ``edges`` (a, b): id and label, equal within a connected component; None without edges.
 
     Each round every node joins its smallest neighbour, in order of id and of a hash of it by turns (the first settles stars whose centre is the
-    smallest, the second bounds the rounds on long chains), and edges are carried over to what their ends have joined.
+    smallest, the second bounds the rounds on long chains), and edges are carried over to what their ends have joined. A star of many members is one key on
+    the edges' side and then one label, so both are carried over by salted lookups; what each end weighs is counted along with its smallest neighbour.
     """
     edges = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     labels, turn = None, 0
-    while not edges.isEmpty():
+    while size := edges.count():
         turn += 1
         rank = (lambda c: F.col(c)) if turn % 2 else (lambda c, t=turn: F.xxhash64(F.lit(t), F.col(c)))
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y"))
-        best = both.groupBy("x").agg(F.min_by("y", rank("y")).alias("y"))
-        parents = scratch.keep(best.select("x", F.when(rank("y") < rank("x"), F.col("y")).otherwise(F.col("x")).alias("p")), "parents")
-        to = lambda end: parents.select(F.col("x").alias(end), F.col("p").alias(f"p_{end}"))
-        moved = edges.join(to("a"), "a").join(to("b"), "b").filter("p_a <> p_b")
-        edges = scratch.keep(moved.select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b")).distinct(), "edges")
+        one = F.lit(1).cast("long")
+        both = edges.select("a", "b", one.alias("from_a")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), (one - 1).alias("from_a")))
+        best = both.groupBy(F.col("a").alias("x")).agg(F.min_by("b", rank("b")).alias("y"), F.sum("from_a").alias("w_a"), F.sum(1 - F.col("from_a")).alias("w_b"))
+        parents = scratch.keep(best.select("x", F.when(rank("y") < rank("x"), F.col("y")).otherwise(F.col("x")).alias("p"), "w_a", "w_b"), "parents")
+        moved = edges
+        for end, other in (("a", "b"), ("b", "a")):
+            to = parents.select(F.col("x").alias(end), F.col("p").alias(f"p_{end}"), f"w_{end}")
+            moved = moved.join(to.drop(f"w_{end}"), end) if size <= PLAIN_ROWS else salted_lookup(moved, to.drop(f"w_{end}"), [end], to, f"w_{end}", [other])
+        moved = moved.filter("p_a <> p_b").select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b")).distinct()
+        before = [edges, parents]
+        edges = scratch.keep(moved, "edges")
         if labels is None:
-            labels = parents.select(F.col("x").alias("id"), F.col("p").alias("label"))
+            named = parents.select(F.col("x").alias("id"), F.col("p").alias("label"))
         else:
-            labels = labels.join(parents.withColumnRenamed("x", "label"), "label", "left").select("id", F.coalesce("p", "label").alias("label"))
-        labels = scratch.keep(labels, "labels")
+            to, held = parents.select(F.col("x").alias("label"), "p"), labels.count()
+            if held <= PLAIN_ROWS:
+                named = labels.join(to, "label", "left")
+            else:
+                weights = scratch.keep(labels.groupBy("label").agg(F.count("*").alias("w")), "weights")
+                named = salted_lookup(labels, to, ["label"], weights, "w", ["id"], how="left")
+                before.append(weights)
+            named = named.select("id", F.coalesce("p", "label").alias("label"))
+            before.append(labels)
+        labels = scratch.keep(named, "labels")
+        scratch.drop(*before)
+    scratch.drop(edges)
     return labels
 
 
@@ -231,7 +248,7 @@ def _between(scratch: Scratch, members: DataFrame, labels: DataFrame | None, hea
     placed = scratch.keep(placed, "placed")
     per_label = placed.groupBy("band", "label").agg(F.count("*").alias("m"))
     open_ = per_label.groupBy("band").agg(F.count("*").alias("labels"), F.sum("m").alias("w"), F.max_by("label", F.col("m")).alias("main"), F.max("m").alias("most")).filter("labels > 1")
-    open_ = open_.withColumn("salts", F.least(F.ceil((F.col("w") - F.col("most")) / SPREAD), F.lit(SALTS)).cast("int")).drop("most")
+    open_ = open_.withColumn("salts", F.ceil((F.col("w") - F.col("most")) / SPREAD).cast("int")).drop("most")
     open_ = scratch.keep(open_.drop("labels"), "open")
     split = scratch.keep(salted_lookup(placed, open_.drop("w"), ["band"], open_, "w", ["id"]), "split")
     load = split.join(sets.select("id", "set"), "id").join(heads.select("id", "bands"), "id")
@@ -290,6 +307,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         grouped = classes.join(named, "id", "left")
     grouped = scratch.keep(grouped.select(*key, "w", (F.coalesce("component", "id") if labels is not None else F.col("id")).alias("component")), "grouped")
     linked = salted_lookup(usable.select("d", "th", *key), grouped.drop("w"), key, grouped, "w", ["d"])
+    scratch.only(sketched, grouped)
     alone = sketched.filter("d is null or n = 0").select("d", "n", F.col("d").alias("component"))
     out = linked.select("d", "n", "component").unionByName(alone)
     return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("d") == F.col("component"), F.lit(True)).alias("kept"))

@@ -8,6 +8,9 @@ entry per committed batch, in order; it names the attempt whose files count.
 A batch writes its ledger rows and its totals to a folder of its own attempt and becomes visible by one log entry, which is renamed into its
 place without overwriting. Repeating a batch (a retry, a replay, a lost driver) finds the entry and changes nothing. Two writers cannot take
 one place of the log: the second starts again from the totals that the first has left.
+
+Every FOLD-th batch writes the net ledger in place of its own rows alone, and the names of all batches so far. Readers open the log from the last such entry
+on, so a batch reads FOLD entries and ledger parts at most however long the history is; data from before the fold before the last one is deleted.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from .common import Scratch, ship
 from .tokens import default_vocabulary, encoder, in_pieces
 
 CELL = ("source", "lang", "tokenizer")
+FOLD = 50  # batches between two folded ledgers
 BUCKETS = 256  # parts of the ledger by hash of the document's id; a batch reads those its documents fall into
 
 
@@ -62,23 +66,51 @@ class TokenRollup:
     def _at(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
-    def log(self) -> list[dict]:
-        """Committed batches in order: place, batch, attempt."""
+    def _places(self) -> list[int]:
+        """Taken places of the log, in order. They are listed, not opened."""
         if not self.fs.exists(self._at("log")):
             return []
-        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._at("log")) if s.getPath().getName().isdigit())
+        return sorted(int(n) for s in self.fs.listStatus(self._at("log")) if (n := s.getPath().getName()).isdigit())
+
+    def _entries(self, places: list[int]) -> list[dict]:
         out = []
-        for name in names:
-            stream = self.fs.open(self._at("log", name))
+        for place in places:
+            stream = self.fs.open(self._at("log", f"{place:010d}"))
             try:
-                out.append({"place": int(name), **json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))})
+                out.append({"place": place, **json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))})
             finally:
                 stream.close()
         return out
 
+    @staticmethod
+    def _folds(place: int) -> bool:
+        return (place + 1) % FOLD == 0
+
+    def log(self) -> list[dict]:
+        """Committed batches in order (place, batch, attempt), from the last folded one on."""
+        places = self._places()
+        last = max((p for p in places if self._folds(p)), default=0)
+        return self._entries([p for p in places if p >= last])
+
+    def _names(self, log: list[dict]) -> DataFrame:
+        """Names (place, batch) of all batches up to a log's last entry."""
+        rows = [(e["place"], e["batch"]) for e in log]
+        tail = self.spark.createDataFrame(rows, "place int, batch string")
+        if not log or not self._folds(log[0]["place"]):
+            return tail
+        return self.spark.read.schema(tail.schema).parquet(f"{self.path}/attempts/{log[0]['attempt']}/names").unionByName(tail.filter(F.col("place") > log[0]["place"]))
+
     def committed(self) -> list[str]:
         """Names of the committed batches, in order of commit."""
-        return [e["batch"] for e in self.log()]
+        return [r.batch for r in self._names(self.log()).orderBy("place").toLocalIterator()]
+
+    def _has(self, log: list[dict], batch: str) -> bool:
+        return any(e["batch"] == batch for e in log) or (bool(log) and self._folds(log[0]["place"]) and not self._names(log).filter(F.col("batch") == batch).isEmpty())
+
+    def _forget(self, place: int) -> None:
+        """Delete the data of what was committed before the fold before the one at ``place``."""
+        for e in self._entries([p for p in self._places() if place - 2 * FOLD <= p < place - FOLD]):
+            self.fs.delete(self._at("attempts", e["attempt"]), True)
 
     def _commit(self, place: int, batch: str, attempt: str) -> bool:
         """Take a place of the log; False if another writer has it."""
@@ -106,7 +138,7 @@ class TokenRollup:
         return T.StructType([T.StructField("doc_id", T.LongType()), *cell, T.StructField("docs", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("bucket", T.IntegerType())])
 
     def ledger(self) -> DataFrame:
-        """Signed rows of all committed batches: doc_id, source, lang, tokenizer, docs, tokens, bucket."""
+        """Signed rows of all committed batches, folded up to the last fold: doc_id, source, lang, tokenizer, docs, tokens, bucket."""
         return self._ledger(self.log())
 
     def _ledger(self, log: list[dict]) -> DataFrame:
@@ -141,7 +173,7 @@ class TokenRollup:
         latest = None
         while True:
             log = self.log()
-            if any(e["batch"] == batch for e in log):
+            if self._has(log, batch):
                 if latest is not None:
                     scratch.drop(latest)
                 return False
@@ -157,12 +189,22 @@ class TokenRollup:
                 held = self._ledger(log).filter(F.col("bucket").isin(touched)).join(keys, (F.col("doc_id") == F.col("k1")) & F.col("tokenizer").eqNullSafe(F.col("k2")), "left_semi")
                 net = held.groupBy("doc_id", *CELL, "bucket").agg(*[F.sum(a).alias(a) for a in self.AMOUNTS]).filter((F.col("docs") != 0) | (F.col("tokens") != 0))
                 delta = delta.unionByName(net.select("doc_id", *CELL, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"), "bucket"))
+            place = log[-1]["place"] + 1 if log else 0
+            summed = [F.sum(a).alias(a) for a in self.AMOUNTS]
+            before = self._cells(log)
+            if self._folds(place):
+                # rows without an id cannot change any more: they are folded by cell
+                delta = self._ledger(log).unionByName(delta).groupBy("doc_id", *CELL, "bucket").agg(*summed).filter((F.col("docs") != 0) | (F.col("tokens") != 0))
+                self._names([*log, {"place": place, "batch": batch}]).coalesce(1).write.parquet(f"{folder}/names")
+                before = before.limit(0)  # the ledger holds all of it
             delta.hint("rebalance", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/ledger")
             written = self._ledger([{"attempt": attempt}])
-            cells = self._cells(log).unionByName(written.select(*CELL, *self.AMOUNTS)).groupBy(*CELL).agg(*[F.sum(a).alias(a) for a in self.AMOUNTS])
+            cells = before.unionByName(written.select(*CELL, *self.AMOUNTS)).groupBy(*CELL).agg(*summed)
             cells.coalesce(1).write.parquet(f"{folder}/totals")  # cells, not documents
-            if self._commit(log[-1]["place"] + 1 if log else 0, batch, attempt):
+            if self._commit(place, batch, attempt):
                 scratch.drop(latest)
+                if self._folds(place):
+                    self._forget(place)
                 return True
             self.fs.delete(self._at("attempts", attempt), True)
 
@@ -184,19 +226,31 @@ def changes_of(docs: DataFrame, vocabulary: str | None = None, version: str = "b
     return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens", F.lit(op).alias("op"))
 
 
+def one_per_document(counted: DataFrame) -> DataFrame:
+    """Changes with one row per document and version: of repeated rows the one with the largest count, then the larger source and language. Rows without an id all stay."""
+    rest = F.max(F.struct("n_tokens", "source", "lang")).alias("c")
+    named = counted.filter("doc_id is not null").groupBy("doc_id", "tokenizer", "op").agg(rest)
+    return named.select("doc_id", "c.source", "c.lang", "tokenizer", "c.n_tokens", "op").unionByName(counted.filter("doc_id is null"))
+
+
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     """Totals of the whole table after a history of batches, each text tokenized once.
 
     Documents arrive without a language; a revision gives each its language; those without a token are deleted and come back;
-    the deletion is replayed, which must not count again.
+    the deletion is replayed, which must not count again. Rows without an id, which no later batch can find, arrive as they are and take part in nothing
+    else; repeated rows of an id are one document (``one_per_document``).
     """
     scratch = Scratch(spark)
-    docs = scratch.keep(changes_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), "counted")
+    counted = scratch.keep(changes_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), "counted")
+    docs = scratch.keep(one_per_document(counted), "docs")
+    scratch.drop(counted)
     rollup = TokenRollup(spark, f"{scratch.root}/rollup")
-    rollup.apply("arrival", docs.withColumn("lang", F.lit(None).cast("string")))
-    rollup.apply("languages", docs)
-    bare = docs.filter("n_tokens = 0")
+    named = docs.filter("doc_id is not null")
+    rollup.apply("arrival", named.withColumn("lang", F.lit(None).cast("string")).unionByName(docs.filter("doc_id is null")))
+    rollup.apply("languages", named)
+    bare = named.filter("n_tokens = 0")
     rollup.apply("withdrawn", bare.withColumn("op", F.lit("delete")))
     rollup.apply("restored", bare)
     rollup.apply("withdrawn", bare.withColumn("op", F.lit("delete")))
+    scratch.drop(docs)
     return rollup.totals()

@@ -150,6 +150,26 @@ def test_token_rollup_history_against_a_plain_version(spark, tmp_path):
         assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()} == dict(want)
 
 
+def test_token_rollup_folds_its_ledger(spark, tmp_path, monkeypatch):
+    """However many batches there were, a batch opens the entries since the last fold alone; totals, names and revisions stay right across folds."""
+    monkeypatch.setattr(token_counts, "FOLD", 3)
+    rng, rollup, held = random.Random(8), token_counts.TokenRollup(spark, str(tmp_path / "folded")), {}
+    kind, opened, alone = "doc_id long, source string, lang string, tokenizer string, n_tokens long, op string", [], 0
+    read = rollup._entries
+    monkeypatch.setattr(rollup, "_entries", lambda places: opened.append(len(places)) or read(places))
+    for b in range(11):
+        rows = {i: (i, rng.choice("ab"), None, "v1", rng.randrange(9), rng.choice(["upsert", "delete"])) for i in rng.sample(range(12), 5)}
+        assert rollup.apply(f"b{b}", spark.createDataFrame([*rows.values(), (None, "a", None, "v1", 1, "upsert")], kind))
+        held = {i: v for i, v in (held | rows).items() if v[5] == "upsert"}
+        alone += 1
+        want = {s: (sum(v[1] == s for v in held.values()) + alone * (s == "a"), sum(v[4] for v in held.values() if v[1] == s) + alone * (s == "a")) for s in "ab"}
+        assert {r.source: (r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == {s: w for s, w in want.items() if w[0]}
+        assert len(rollup.log()) <= 3 and rollup.ledger()._jdf.queryExecution().analyzed().toString().count("Relation") <= 3
+    assert max(opened) <= 3 and rollup.committed() == [f"b{b}" for b in range(11)]
+    assert not any(rollup.apply(f"b{b}", spark.createDataFrame([(1, "a", None, "v1", 99, "upsert")], kind)) for b in (0, 2, 5, 10))
+    assert len(list((tmp_path / "folded/attempts").iterdir())) <= 6
+
+
 def test_token_rollup_attempts_that_do_not_win_count_nothing(spark, tmp_path):
     rollup = token_counts.TokenRollup(spark, str(tmp_path / "race"))
     kind = "doc_id long, source string, lang string, tokenizer string, n_tokens long, op string"
@@ -183,6 +203,18 @@ def test_token_query(spark, sf_dir):
     assert found == dict(want)
 
 
+def test_token_query_with_null_ids_and_repeated_rows(spark, tmp_path):
+    rows = [(1, "hello world", "a", "en"), (2, "hello world", None, None), (3, "hello", "a", "en"), (None, "hello world", None, None)]
+    kind = "doc_id long, text string, source string, lang string"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "one/documents.parquet"))
+    found = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_counts.op3_token_counts(spark, str(tmp_path / "one")).collect()}
+    assert found == {("a", "en"): (2, 3), (None, None): (2, 4)}
+    rows += [(None, "hello world", None, None), (None, None, "a", None), (1, "hello world", "a", "en"), (2, None, "b", None), (4, "", "b", "de"), (4, "", "b", "de")]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "two/documents.parquet"))
+    found = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_counts.op3_token_counts(spark, str(tmp_path / "two")).collect()}
+    assert found == {("a", "en"): (2, 3), (None, None): (3, 6), ("a", None): (1, 0), ("b", "de"): (1, 0)}
+
+
 def test_word_hashes_equal_words():
     import pyarrow as pa
 
@@ -263,6 +295,51 @@ def test_a_hot_bucket_is_dealt_over_salts_and_every_pair_meets_once(spark):
     assert pairs.count() == pairs.distinct().count() == 99 * 120
 
 
+def test_components_of_a_star(spark, monkeypatch):
+    """A centre of many edges is dealt out on both sides, and the labels of its members too; results are those of the plain joins."""
+    from gatelight.llm import common
+
+    monkeypatch.setattr(near_dedup, "PLAIN_ROWS", 0)
+    edges = spark.range(1, 50_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.range(60_000, 60_050).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    scratch = common.Scratch(spark)
+    labels = near_dedup.components(scratch, edges)
+    assert labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("lo")).select("n", "lo").orderBy("lo").collect() == [(50_000, 0), (51, 60_000)]
+    weights = scratch.keep(labels.groupBy("label").agg(F.count("*").alias("w")), "w")
+    met = common.salted_lookup(labels, weights.select("label", F.lit(1).alias("one")), ["label"], weights, "w", ["id"], how="left")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        sizes = met.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for key, value in (("adaptive.enabled", "true"), ("autoBroadcastJoinThreshold", "10485760"), ("shuffle.partitions", "4")):
+            spark.conf.set(f"spark.sql.{key}", value)
+    sizes = sorted(r["count"] for r in sizes)
+    assert sum(sizes) == 50_051 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_scratch_leaves_no_setting_and_few_tables(spark, docs):
+    from pathlib import Path
+    from threading import Thread
+
+    from gatelight.llm.common import Scratch, _Cleanup, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    near_dedup.near_groups(docs).count()
+    assert sum(len(list(x.iterdir())) for x in set(folder.iterdir()) - before) <= 3  # what the result reads
+    scratch, was = Scratch(spark), spark.conf.get(_Cleanup.KEY, None)
+    scratch.keep(spark.range(3))
+    writers = [Thread(target=lambda: Scratch(spark).keep(spark.range(1000).groupBy("id").count())) for _ in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert spark.conf.get(_Cleanup.KEY, None) == was and not _Cleanup.held
+    scratch.close()
+    assert not Path(scratch.root.removeprefix("file:")).exists()
+
+
 def test_near_recall_just_over_the_threshold(spark):
     """Of pairs with a similarity from .80 to .85, as brute force finds them, at least 999 in 1000 are linked, and no pair under .80 is."""
     rng, rows, true = random.Random(21), [], set()
