@@ -14,14 +14,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gatelight.functions import boxes
+from gatelight.operators import maps
 from gatelight.workers import ship
 
 INTACT, GONE = 0.995, 0.02
 DROP_PENALTY, CLIP_PENALTY = 0.22, 3.0
 SAFE_PENALTY, RESERVED_PENALTY = 0.9, 1.1
 SMALL_FACE = 0.75  # what is left of the composition where the tallest face is under the profile's least height
+NO_SUBJECT = 0.5  # composition of a frame without faces and bodies
 ANCHOR, ANCHOR_SIZE = 0.55, 0.6
 W_COVERAGE, W_COMPOSITION, W_SCALE = 1.0, 0.55, 0.22
+PART = 512  # frames whose profiles are held at a time
 BLOCK = 64  # frames whose grid is scored at a time: its arrays stay in the cache
 
 
@@ -66,34 +69,48 @@ def _composition(primary, w, h, x, y, kept, rules: Rules):
 class Frames:
     """The faces of some frames, those with most faces first: arrays of face number x frame, boxes with their sides in front."""
 
-    def __init__(self, box: np.ndarray, conf: np.ndarray, number: np.ndarray, width: int, height: int, boost: np.ndarray | float = 1.0, anchor: np.ndarray | None = None):
+    def __init__(
+        self, box: np.ndarray, conf: np.ndarray, number: np.ndarray, width: int, height: int, boost: np.ndarray | float = 1.0, anchor: np.ndarray | None = None,
+        bodies: tuple[np.ndarray, np.ndarray] | None = None, saliency: np.ndarray | None = None,
+    ):
         """``box`` is 4 x faces x frames x 1 x 1, ``conf`` and ``boost`` faces x frames x 1 x 1; ``number`` has the faces of each frame.
 
-        ``anchor`` is 4 x frames x 1 x 1: centre and width of the window that each frame's is drawn to, and how strongly.
+        ``anchor`` is 4 x frames x 1 x 1: centre and width of the window that each frame's is drawn to, and how strongly. ``bodies``: boxes, 4 x frames x
+        bodies, and weights, frames x bodies (0: none). ``saliency``: frames x rows x columns.
         """
         side = np.maximum(box[2:] - box[:2], 0.0)
         area = side[0] * side[1]
-        self.frame, self.number, self.box, self.anchor = (width, height), number, box, anchor
+        self.frame, self.number, self.anchor = (width, height), number, anchor
         there = np.arange(len(conf)).reshape(-1, 1, 1, 1) < number.reshape(1, -1, 1, 1)
         top = np.where(there, area, 0.0).max(axis=0, keepdims=True)  # a face counts beside the largest of its frame
-        self.weight = np.sqrt(np.maximum(np.where(top > 0, area / np.where(top > 0, top, 1.0), 1.0), 0.02)) * (0.55 + 0.45 * conf) * boost
+        self.weight = maps.face_weights(area, top, conf) * boost
+        flat = lambda v: v[..., 0, 0].swapaxes(-1, -2)  # noqa: E731  frames x faces
+        self.maps = maps.Maps(width, height, flat(maps.heads_of(box)), flat(self.weight * there), *(bodies or (None, None)), saliency)
         cut = side * (-boxes.CORE_SHRINK / 2)
         limit = np.array([width, height], dtype=float).reshape(2, 1, 1, 1, 1)
         self.core = np.concatenate([np.maximum(box[:2] + cut, 0.0), np.minimum(box[2:] - cut, limit)])
-        left, above, right, below = boxes.HEAD_PAD
-        pad = np.stack([left * side[0], above * side[1]]), np.stack([right * side[0], below * side[1]])
-        self.head = np.concatenate([np.maximum(box[:2] - pad[0], 0.0), np.minimum(box[2:] + pad[1], limit)])
+        head = maps.heads_of(box)
+        self.head = np.concatenate([np.maximum(head[:2], 0.0), np.minimum(head[2:], limit)])
         room = np.maximum(self.head[2:] - self.head[:2], 0.0)
-        rank = np.where(there, self.weight * room[0] * room[1], -1.0)
-        self.first = np.argmax(rank[:, :, 0, 0], axis=0)
+        rank = np.where(there, self.weight * room[0] * room[1], -1.0)[:, :, 0, 0]
+        every = np.arange(len(number))
+        first = np.argmax(rank, axis=0)
         self.tallest = np.argmax(np.where(there, room[1], -1.0)[:, :, 0, 0], axis=0)
+        self.subject, self.primary = number > 0, self.head[:, first, every]  # what composition goes by: the largest subject by weight
+        if bodies is not None and bodies[1].shape[1]:
+            at, weight = bodies
+            rank_b = np.where(weight > 0, weight * np.maximum(at[2] - at[0], 0) * np.maximum(at[3] - at[1], 0), -1.0)
+            best = np.argmax(rank_b, axis=1)
+            wins = rank_b[every, best] >= rank[first, every]
+            self.primary = np.where((wins & (weight[every, best] > 0)).reshape(-1, 1, 1), at[:, every, best].reshape(4, -1, 1, 1), self.primary)
+            self.subject = self.subject | (weight > 0).any(axis=1)
 
     def part(self, lo: int, hi: int) -> Frames:
         out = object.__new__(Frames)
         most = max(1, self.number[lo])
-        out.frame, out.number, out.first, out.tallest = self.frame, self.number[lo:hi], self.first[lo:hi], self.tallest[lo:hi]
+        out.frame, out.number, out.tallest, out.subject, out.primary, out.maps = self.frame, self.number[lo:hi], self.tallest[lo:hi], self.subject[lo:hi], self.primary[:, lo:hi], self.maps.part(lo, hi)
         out.anchor = None if self.anchor is None else self.anchor[:, lo:hi]
-        out.box, out.core, out.head, out.weight = self.box[:, :most, lo:hi], self.core[:, :most, lo:hi], self.head[:, :most, lo:hi], self.weight[:most, lo:hi]
+        out.core, out.head, out.weight = self.core[:, :most, lo:hi], self.head[:, :most, lo:hi], self.weight[:most, lo:hi]
         return out
 
     def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules):
@@ -107,7 +124,7 @@ class Frames:
             return np.where(area > 0, across * down, 0.0) / np.where(area > 0, area, 1.0)
 
         shape = np.broadcast_shapes((len(self.number), 1, 1), np.shape(x), np.shape(y))
-        loss, inside, whole = np.zeros(shape), np.zeros(shape), np.zeros((shape[0], 1, 1))
+        loss = np.zeros(shape)
         intact, dropped = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=np.int32)
         for k in range(self.weight.shape[0]):
             cut = slice(0, int((self.number > k).sum()))
@@ -117,21 +134,17 @@ class Frames:
             loss[cut] += np.where(kept, 0.0, np.where(gone, DROP_PENALTY * least, CLIP_PENALTY * (1 - f) * least))
             intact[cut] += kept
             dropped[cut] += gone
-            inside[cut] += weight * held(self.box[:, k, cut], cut=cut)
-            whole[cut] += weight
             if rules.action:
                 safe = held(core, rules.action, cut)
                 loss[cut] += np.where((f >= 0.5) & (safe < 0.98), SAFE_PENALTY * (1 - safe) * (weight / 2), 0.0)
             for zone in rules.reserved:
                 under = held(core, zone, cut)
                 loss[cut] += np.where((f >= 0.5) & (under > 0.02), RESERVED_PENALTY * under * (weight / 2), 0.0)
-        primary = self.head[:, self.first, np.arange(shape[0])]
-        composed = _composition(primary, w, h, x, y, held(primary), rules)
+        composed = np.where(self.subject.reshape(-1, 1, 1), _composition(self.primary, w, h, x, y, held(self.primary), rules), NO_SUBJECT)
         if rules.least_face:
             tall = self.head[:, self.tallest, np.arange(shape[0])]
             composed = np.where((held(tall) > 0.5) & ((tall[3] - tall[1]) / h < rules.least_face), composed * SMALL_FACE, composed)
-        covered = np.where(whole > 0, inside / np.where(whole > 0, whole, 1.0), w * h / math.prod(self.frame))  # without faces all of the frame counts alike
-        score = W_COVERAGE * covered + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
+        score = W_COVERAGE * self.maps.shares(x, y, w, h) + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
         if self.anchor is not None:
             (at_x, at_y, wide, strength), (width, height) = self.anchor, self.frame
             way = np.hypot((x + w / 2 - at_x) / width, (y + h / 2 - at_y) / height)
@@ -177,36 +190,43 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "frame_id", min_scale: float = 0.70, scales: int = 4, steps: int = 9, rounds: int = 3, rules: Rules = Rules()) -> DataFrame:
+def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "frame_id", min_scale: float = 0.70, scales: int = 4, steps: int = 9, rounds: int = 3, rules: Rules = Rules(), bodies: DataFrame | None = None, saliency: DataFrame | None = None, boost: Column | None = None) -> DataFrame:
     """Best crop per frame: x, y, w, h, score (6 places) and how many faces are intact, clipped and dropped.
 
     Each size is tried on a grid of ``steps`` places a side, then in ``rounds`` rounds on the eight neighbours of its best place, which moves as
-    soon as one is better; the step halves each round. Importance is the faces' own: weight sqrt(area beside the largest) * (.55 + .45 conf) spread over
-    each box; composition goes by the head of the primary face, the largest by weight and area. Faces of a frame form one array; one shuffle in all.
+    soon as one is better; the step halves each round. Coverage is the share of the frame's importance (``maps``) inside the window: a Gaussian over each head,
+    by area beside the largest, confidence and ``boost`` (who speaks counts more), a plateau over each of ``bodies`` (by, x1, y1, x2, y2, conf) and ``saliency`` (by, rows: arrays of 0 to 1, of one shape for all
+    frames). Composition goes by the primary subject, the largest by weight and area. Frames are those with a face; subjects of a frame form arrays. One shuffle for each input.
     """
     windows = sizes(width, height, aspect, min_scale, scales)
     biggest = float(math.prod(windows[0]))
-    parts = ("x1", "y1", "x2", "y2", "conf")
-    face = F.struct("face_no", *[F.col(c).cast("double").alias(c) for c in parts])
+    sides = ("x1", "y1", "x2", "y2")
+    value = lambda c: F.col(c).cast("double").alias(c)
+    face = F.struct("face_no", *[value(c) for c in (*sides, "conf")], (F.lit(1.0) if boost is None else boost).cast("double").alias("boost"))
     held = _dealt(faces, by).groupBy(by).agg(F.array_sort(F.collect_list(face)).alias("faces"))
+    if bodies is not None:
+        held = held.join(bodies.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*[value(c) for c in (*sides, "conf")]))).alias("bodies")), by, "left")
+    if saliency is not None:
+        held = held.join(saliency.select(by, F.col("rows").cast("array<array<double>>").alias("saliency")), by)
+
+    embodied, salient = bodies is not None, saliency is not None
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                lists = part.column("faces")
-                number = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(-number, kind="stable")
-                place = np.argsort(order, kind="stable")
-                frame = np.repeat(np.arange(len(number)), number)
-                nth = np.arange(len(frame)) - np.repeat(np.cumsum(number) - number, number)
-                padded = np.zeros((5, number.max(), len(number), 1, 1))
-                flat = lists.flatten()
-                for i, c in enumerate(parts):
-                    padded[i, nth, place[frame], 0, 0] = flat.field(c).to_numpy(zero_copy_only=False)
-                found = Frames(padded[:4], padded[4], number[order], width, height).search(windows, biggest, steps, rounds, rules)
-                columns = [pa.array(v[place], kind) for v, kind in zip(found, (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(by), *columns], names=[by, "x", "y", "w", "h", "score", "intact", "clipped", "dropped"])
+            for lo in range(0, batch.num_rows, PART):
+                part = batch.slice(lo, PART)
+                order = np.argsort(-part.column("faces").value_lengths().to_numpy(zero_copy_only=False), kind="stable")
+                part, place = part.take(pa.array(order)), np.argsort(order, kind="stable")
+                found, number = maps.padded(part.column("faces"), (*sides, "conf", "boost"))
+                found = found.transpose(0, 2, 1)[..., None, None]
+                others = None
+                if embodied:
+                    other, many = maps.padded(part.column("bodies"), (*sides, "conf"))
+                    others = other[:4], maps.body_weights(other[4]) * (np.arange(other.shape[2]) < many[:, None])
+                seen = np.array(part.column("saliency").to_pylist(), dtype=float) if salient else None
+                best = Frames(found[:4], found[4], number, width, height, found[5], None, others, seen).search(windows, biggest, steps, rounds, rules)
+                columns = [pa.array(v[place], kind) for v, kind in zip(best, (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.slice(lo, PART).column(by), *columns], names=[by, "x", "y", "w", "h", "score", "intact", "clipped", "dropped"])
 
     kinds = dict(x=T.DoubleType(), y=T.DoubleType(), w=T.IntegerType(), h=T.IntegerType(), score=T.DoubleType(), intact=T.IntegerType(), clipped=T.IntegerType(), dropped=T.IntegerType())
     ship(faces.sparkSession)
@@ -258,7 +278,7 @@ def path(
     """Best crop per step of each clip, drawn to the crop of the step before unless a cut lies between them: columns as of ``solve``.
 
     ``frames`` has each step once, with its shot; ``faces`` the faces of steps, ``boost`` a factor of their weight (who speaks counts more). The score
-    of a window falls by ``strength`` times the way of its centre, in shares of the frame, and .6 of its change of width. A step without faces takes
+    of a window falls by ``strength`` times the way of its centre, in shares of the frame, and .6 of its change of width. Importance is that of the heads, as in ``solve``. A step without faces takes
     all of the frame as alike; the first of a shot is then drawn to the middle of the frame. Faces of steps that ``frames`` lacks are left out.
 
     Steps of a clip depend on one another, clips do not: clips are dealt to tasks by one shuffle, and the clips of a batch go forward together.

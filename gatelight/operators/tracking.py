@@ -200,58 +200,3 @@ def speaker_scores(steps: DataFrame, by: str | list[str], mouth: str, energy: st
 
     ship(steps.sparkSession)
     return steps.select(*columns).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, "i int", "score double"]))
-
-
-def face_weights(area: np.ndarray, conf: np.ndarray, speaking: np.ndarray | None = None, is_speaker: np.ndarray | None = None) -> np.ndarray:
-    """What each face of a frame counts: the root of its area beside the largest's, by confidence; more for who speaks."""
-    top = area.max(initial=0.0)
-    weight = np.sqrt(np.maximum(area / top if top > 0 else np.ones_like(area), 0.02)) * (0.55 + 0.45 * conf)
-    if speaking is not None:
-        weight = weight * (1 + 0.8 * np.maximum(speaking, 0))
-    return weight if is_speaker is None else np.where(is_speaker, face_weights(area, conf) * 2.2, weight)
-
-
-def importance(faces: pd.DataFrame, width: int, height: int, cells: int = 96) -> np.ndarray:
-    """Importance of each cell of a frame: a Gaussian over each head, by the face's weight, scaled to a peak of 1; flat without faces."""
-    cells = min(cells, width)
-    rows = max(1, round(cells * height / width))
-    out = np.zeros((rows, cells))
-    if len(faces):
-        scale = cells / width
-        x1, y1, x2, y2, conf = (faces[c].to_numpy(dtype=float) for c in ("x1", "y1", "x2", "y2", "conf"))
-        w, h = np.maximum(x2 - x1, 0), np.maximum(y2 - y1, 0)
-        left, top, right, bottom = boxes.HEAD_PAD
-        hx1, hx2, hy1, hy2 = (v * scale for v in (x1 - left * w, x2 + right * w, y1 - top * h, y2 + bottom * h))
-        for cx, cy, sx, sy, weight in zip((hx1 + hx2) / 2, (hy1 + hy2) / 2, np.maximum(1, 0.55 * (hx2 - hx1)), np.maximum(1, 0.55 * (hy2 - hy1)), face_weights(w * h, conf)):
-            dx, dy = np.arange(cells) - cx, np.arange(rows) - cy
-            near = lambda d, s: np.where(np.abs(d) <= 3 * s, np.exp(-0.5 * (d / s) ** 2), 0.0)
-            out += weight * np.outer(near(dy, sy), near(dx, sx))
-    return out / out.max() if out.max(initial=0) > 1e-8 else np.ones_like(out)
-
-
-def subject_maps(faces: DataFrame, width: int, height: int, by: str = "frame_id", cells: int = 96) -> DataFrame:
-    """Per frame with faces its importance as rows of running sums: by, row, upto (array: sums over all cells above and left of each edge).
-
-    Row r holds the integral at the r-th edge from the top, so that ``box_sums`` needs two rows and four cells for any box.
-    """
-    kind = faces.schema[by].dataType.simpleString()
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.pad(importance(rows, width, height, cells), ((1, 0), (1, 0))).cumsum(axis=0).cumsum(axis=1)
-        return pd.DataFrame({by: [key[0]] * len(total), "row": np.arange(len(total), dtype=np.int32), "upto": list(total)})
-
-    ship(faces.sparkSession)
-    return faces.select(by, "x1", "y1", "x2", "y2", "conf").groupBy(by).applyInPandas(run, f"{by} {kind}, row int, upto array<double>")
-
-
-def box_sums(crops: DataFrame, maps: DataFrame, width: int, height: int, by: str = "frame_id", cells: int = 96) -> DataFrame:
-    """``crops`` (by, x1, y1, x2, y2 in frame pixels) plus ``held``, the importance inside each, from four running sums; two equi-joins."""
-    scale, rows = min(cells, width) / width, max(1, round(min(cells, width) * height / width))
-    edge = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most), F.bround(F.col(c) * scale).cast("int")))
-    asked = crops.withColumns({"_l": edge("x1", min(cells, width)), "_r": edge("x2", min(cells, width)), "_t": edge("y1", rows), "_b": edge("y2", rows)})
-    top = maps.select(by, F.col("row").alias("_t"), F.col("upto").alias("_above"))
-    bottom = maps.select(by, F.col("row").alias("_b"), F.col("upto").alias("_below"))
-    met = asked.join(top, [by, "_t"]).join(bottom, [by, "_b"])
-    at = lambda a, c: F.get(F.col(a), F.col(c))
-    held = at("_below", "_r") - at("_above", "_r") - at("_below", "_l") + at("_above", "_l")
-    return met.withColumn("held", F.when((F.col("_r") > F.col("_l")) & (F.col("_b") > F.col("_t")), held).otherwise(0.0)).select(*crops.columns, "held")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatelight.functions import boxes
-from gatelight.operators import crop, folds, framing, sequences
+from gatelight.operators import crop, folds, framing, sequences, speakers, tracking
 
 from .registry import query
 
@@ -231,3 +231,34 @@ def crop_path(t):
     rules = crop.Rules(action=tuple(profile[f"safe_{c}"] for c in ("x1", "y1", "x2", "y2")), reserved=tuple(tuple(z[f"z{c}"] for c in ("x1", "y1", "x2", "y2")) for z in zones), least_face=0.10)
     steps = sequences.shot_ids(t.v_steps, "low_corr").select("clip_id", "i", "shot_id")
     return crop.path(path_faces(t), steps, int(CLIP_W), int(CLIP_H), 9 / 16, rules=rules, boost=F.col("boost"))
+
+
+def clip_detections(t):
+    """Detections of clips with the mouth's aperture where it was seen: boxes as for ``crop_path``, in the step's shot."""
+    shots = sequences.shot_ids(t.v_steps, "low_corr").select("clip_id", "i", "t", "shot_id", "mouth", "speech")
+    aperture = F.when((F.col("i") + F.col("face_no")) % 5 > 0, (F.col("mouth") * F.col("face_no") % 17) / 17)
+    return path_faces(t).join(shots, ["clip_id", "i"]).select("clip_id", F.col("i").alias("frame_i"), "t", "face_no", "x1", "y1", "x2", "y2", "shot_id", aperture.alias("aperture"))
+
+
+def tracked_series(t):
+    """Every detection with its track."""
+    found = clip_detections(t)
+    return found.join(tracking.track_faces(found, "clip_id", (CLIP_W**2 + CLIP_H**2) ** 0.5), ["clip_id", "frame_i", "face_no"])
+
+
+@query()
+def speaker_timeline(t):
+    """From detections to the speaker of each step: tracks, mouths against the clip's sound, shares of those present, hysteresis; no SQL, as tracks come of an assignment."""
+    steps = sequences.shot_ids(t.v_steps, "low_corr")
+    audio = steps.select("clip_id", (F.col("t") + 0.03).alias("t"), F.col("speech").alias("energy"), F.greatest(F.lit(0.0), 1 - F.col("speech") / 2).alias("speech"))
+    return speakers.timeline(tracked_series(t), steps, audio, 10.0).withColumn("score", _r6("score"))
+
+
+@query()
+def clip_tracks(t):
+    """Tracks of clips as their detections are taken up, live ones and retired ones of two hits or more; the live ones were seen in the last steps of their clip."""
+    kept = tracked_series(t)
+    ends = kept.groupBy("clip_id").agg(F.max("frame_i").alias("end"), F.max("shot_id").alias("last_shot"))
+    all_ = tracking.finished(kept, "clip_id", 1).join(kept.groupBy("clip_id", "track_id").agg(F.max("shot_id").alias("shot")), ["clip_id", "track_id"]).join(ends, "clip_id")
+    live = (F.col("end") - F.col("last_frame") <= tracking.MAX_MISSES) & (F.col("shot") == F.col("last_shot"))
+    return tracking.all_tracks(all_.filter(live), tracking.finished(kept, "clip_id"), "clip_id")

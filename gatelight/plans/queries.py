@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gatelight.functions import boxes, network
-from gatelight.operators import asof, crop, folds, sequences, store, tracking
+from gatelight.operators import asof, crop, folds, maps, sequences, store, tracking
 from gatelight.streaming import audit
 
 from . import clips, gate, service  # noqa: F401  they register their queries
@@ -448,13 +448,59 @@ def ncc_speaker(t):
     return tracking.speaker_scores(t.v_steps.withColumn("gate", F.col("speech")), "clip_id", "mouth", "speech", "gate").select("clip_id", "i", r6("score").alias("score"))
 
 
+def frame_bodies(t):
+    """A body below each face, as sure as the face."""
+    return t.v_faces.select("frame_id", "conf", boxes.body(_box(), FRAME_W, FRAME_H).alias("b")).select("frame_id", "conf", "b.*")
+
+
+#: Windows of a frame in shares of it, to ask what each holds.
+_WINDOWS = ((1, 0.0, 0.0, 1.0, 0.5), (2, 0.0, 0.0, 0.5, 1.0), (3, 0.2, 0.2, 0.8, 0.8))
+_MAP_CELLS = 24
+
+
+def _map_sums_sql() -> str:
+    """The importance of every cell of every frame, summed inside each window."""
+    across, down = _MAP_CELLS, round(_MAP_CELLS * 1920 / 1080)
+    unit = f"(1 / (1080 / {across}.0::double))"
+    windows = ", ".join(f"({n}, {x1 * 1080}, {y1 * 1920}, {x2 * 1080}, {y2 * 1920})" for n, x1, y1, x2, y2 in _WINDOWS)
+    kernels = ", ".join(f"({n}, {k - n // 2}, {v})" for n, values in maps.SHORT_KERNELS.items() for k, v in enumerate(values))
+    edge = lambda v, most: f"least({most}, greatest(0, round_even({v} * {unit}, 0)))"
+    bell = lambda lo, hi: f"case when k >= floor(({lo} + {hi}) / 2 - 3 * greatest(1, ({hi} - {lo}) * 0.55)) and k < ceil(({lo} + {hi}) / 2 + 3 * greatest(1, ({hi} - {lo}) * 0.55)) then exp(-0.5 * pow((k - ({lo} + {hi}) / 2) / greatest(1, ({hi} - {lo}) * 0.55), 2)) else 0 end"
+    mirrored = lambda n: f"case when k + o < 0 then -k - o when k + o >= {n} then 2 * {n - 1} - k - o else k + o end"
+    soft = lambda lo, hi, n: f"select frame_id, face_no, k, sum(case when {mirrored(n)} >= greatest(0, floor({lo})) and {mirrored(n)} < least({n}, ceil({hi})) then v else 0 end) as g from (select b.*, unnest(range(0, {n})) as k from bodies b) b join kernels on size = blur group by all"
+    return f"""with f as (select frame_id, face_no, x1, y1, x2, y2, x2 - x1 as fw, y2 - y1 as fh, conf::double as conf from {{v_faces}}),
+w as (select *, sqrt(greatest(fw * fh / max(fw * fh) over (partition by frame_id), 0.02)) * (0.55 + 0.45 * conf) as weight from f),
+heads as (select frame_id, face_no, weight, (x1 - 0.18 * fw) * {unit} as hx1, (y1 - 0.38 * fh) * {unit} as hy1, (x2 + 0.18 * fw) * {unit} as hx2, (y2 + 0.20 * fh) * {unit} as hy2 from w),
+edges as (select frame_id, face_no, 0.30 * (0.5 + 0.5 * conf) as weight, greatest(0, (x1 + x2) / 2 - 1.5 * fw) * {unit} as bx1, greatest(0, y1 - 0.35 * fh) * {unit} as by1,
+  least(1080, (x1 + x2) / 2 + 1.5 * fw) * {unit} as bx2, least(1920, y2 + 3.2 * fh) * {unit} as by2 from f),
+bodies as (select *, greatest(3, trunc(least(bx2 - bx1, by2 - by1) * 0.25)::int | 1) as blur from edges where bx2 > bx1 and by2 > by1),
+kernels(size, o, v) as (values {kernels}),
+hx as (select frame_id, face_no, weight, k, {bell("hx1", "hx2")} as g from (select *, unnest(range(0, {across})) as k from heads) h),
+hy as (select frame_id, face_no, k, {bell("hy1", "hy2")} as g from (select *, unnest(range(0, {down})) as k from heads) h),
+bx as ({soft("bx1", "bx2", across)}), bdy as ({soft("by1", "by2", down)}),
+lit as (select x.frame_id, x.k as cx, y.k as cy, x.weight * x.g * y.g as v from hx x join hy y using (frame_id, face_no) where x.g > 0 and y.g > 0
+  union all select x.frame_id, x.k, y.k, b.weight * x.g * y.g from bx x join bdy y using (frame_id, face_no) join bodies b using (frame_id, face_no) where x.g > 0 and y.g > 0),
+cells as (select frame_id, cx, cy, sum(v) as v from lit group by all),
+windows(crop_no, wx1, wy1, wx2, wy2) as (values {windows})
+select frame_id, crop_no::bigint as crop_no, round(sum(case when cx >= {edge("wx1", across)} and cx < {edge("wx2", across)} and cy >= {edge("wy1", down)} and cy < {edge("wy2", down)} then v else 0 end) / sum(v), 6) as held
+from cells, windows group by all"""
+
+
+@query(_map_sums_sql())
+def map_sums(t):
+    """What the upper half, the left half and the middle of each frame hold of its importance: heads and bodies on a coarse map."""
+    windows = F.explode(F.array(*[F.struct(F.lit(n).alias("crop_no"), *[F.lit(v * side).alias(c) for c, v, side in zip(("x1", "y1", "x2", "y2"), box, (FRAME_W, FRAME_H) * 2)]) for n, *box in _WINDOWS]))
+    crops = t.v_faces.select("frame_id").distinct().select("frame_id", windows.alias("w")).select("frame_id", "w.*")
+    return maps.box_shares(crops, t.v_faces, int(FRAME_W), int(FRAME_H), bodies=frame_bodies(t), cells=_MAP_CELLS).select("frame_id", "crop_no", r6("held").alias("held"))
+
+
 @query()
 def crop_solve(t):
     # a still's search as in the behaviour studied; it goes down to .45 where a frame has faces, which all of these have
     profile = t.v_profiles.filter("profile_id = 'feed_portrait_4x5'").first()
     zones = t.v_reserved_zones.filter("profile_id = 'feed_portrait_4x5'").orderBy("zone").collect()
     rules = crop.Rules(action=tuple(profile[f"safe_{c}"] for c in ("x1", "y1", "x2", "y2")), reserved=tuple(tuple(z[f"z{c}"] for c in ("x1", "y1", "x2", "y2")) for z in zones), least_face=0.08)
-    return crop.solve(t.v_faces, int(FRAME_W), int(FRAME_H), 4 / 5, min_scale=0.45, scales=8, steps=28, rules=rules)
+    return crop.solve(t.v_faces, int(FRAME_W), int(FRAME_H), 4 / 5, min_scale=0.45, scales=8, steps=28, rules=rules, bodies=frame_bodies(t))
 
 
 # --- streams over the audit feed, as tables -------------------------------------------------------------------------------

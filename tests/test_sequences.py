@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from gatelight.operators import asof, crop, folds, framing, sequences, store, tracking
+from gatelight.operators import asof, crop, folds, framing, maps, sequences, speakers, store, tracking
 from gatelight.plans import clips as clip_queries
 from gatelight.plans import queries, views
 from gatelight.streaming import shots
@@ -197,6 +197,160 @@ def test_speaker_scores_without_sound_without_a_mouth_and_when_absent(spark):
     assert found[2, 3] == 0.05 and found[1, 7] == 0 and 0 < found[1, 8] <= 0.5
 
 
+def plain_timeline(t, shots, sound, tracks, fps=10.0):
+    """Speaker per step, one loop after the other. ``sound``: (times, energy, speech) or None; ``tracks``: id -> [(time, aperture or None)] in order."""
+    n, half, lag = len(t), max(3, round(fps)) // 2, max(1, round(0.25 * fps))
+    energy, gate = (np.interp(t, sound[0], x) for x in sound[1:]) if sound else (None, np.zeros(n))
+    present, raw = {}, {}
+    for k, seen in tracks.items():
+        present[k] = [seen[0][0] - 1e-6 <= x <= seen[-1][0] + 1e-6 for x in t]
+        known = [(x, a) for x, a in seen if a is not None]
+        inside = [x for x in t if known and known[0][0] <= x <= known[-1][0]]
+        raw[k] = [0.0] * n
+        if len(known) < 3 or len(inside) < 3:
+            raw[k] = [0.05 if p else 0.0 for p in present[k]]
+            continue
+        filled = np.array([np.interp(x, *zip(*known)) if known[0][0] <= x <= known[-1][0] else 0.0 for x in t])
+        there = np.array([known[0][0] <= x <= known[-1][0] for x in t])
+        motion = np.where(there, np.abs(np.gradient(filled)), 0.0)
+        peak = np.percentile(motion[there], 95)
+        motion = np.clip(motion / peak, 0, 1) if peak > 1e-6 else motion
+        for i in range(n):
+            window = np.arange(max(0, i - half), min(n, i + half + 1))
+            if present[k][i] and sound is None:
+                raw[k][i] = 0.5 * motion[window].mean()
+            elif present[k][i] and gate[i] >= 0.25:
+                best = 0.0
+                for s in range(-lag, lag + 1):
+                    if window[0] + s >= 0 and window[-1] + s < n and len(window) >= 3:
+                        a, b = motion[window] - motion[window].mean(), energy[window + s] - energy[window + s].mean()
+                        norm = math.sqrt((a**2).sum() * (b**2).sum())
+                        best = max(best, (a * b).sum() / norm if norm >= 1e-8 else 0.0)
+                raw[k][i] = gate[i] * (0.62 * best + 0.38 * motion[window].mean())
+    out, current, dwell = [], -1, 0
+    for i in range(n):
+        if i and shots[i] != shots[i - 1]:
+            current, dwell = -1, 0
+        here = {k: raw[k][i] for k in tracks if present[k][i]}
+        top = max(here.values(), default=0.0)
+        share = {k: math.exp((v - top) / 0.18) for k, v in here.items()} if top > 1e-6 else dict.fromkeys(here, 0.0)
+        share = {k: v / (sum(share.values()) or 1.0) for k, v in share.items()}
+        best = max(share, key=lambda k: (round(share[k], 12), -k), default=None)
+        if best is None or gate[i] < 0.25 or share[best] < 0.30:
+            dwell += 1
+        elif current == -1 or (best != current and share[best] >= share.get(current, 0.0) + 0.22 and dwell >= 12):
+            current, dwell = best, 0
+        else:
+            dwell += 1
+        out.append((current, dwell, share.get(current, 0.0)))
+    return out
+
+
+def speaking(rng, on, at):
+    """Apertures of a mouth that moves while ``on``."""
+    return [0.08 + (0.3 + 0.25 * math.sin(2 * math.pi * 3 * x + rng.random())) * on(x) for x in at]
+
+
+def test_speaker_timeline_equals_the_plain_one(spark):
+    rng = random.Random(41)
+    t = [i / 10 for i in range(120)]
+    left, right = (lambda x: x < 6), (lambda x: x >= 6)
+    sound = [k / 25 for k in range(300)]
+    voice = [0.1 + 0.6 * abs(math.sin(9 * x)) + 0.1 * rng.random() for x in sound]
+    clips = {
+        "two": ([0] * 120, (sound, voice, [1.0] * 300), {1: list(zip(t, speaking(rng, left, t))), 2: list(zip(t, speaking(rng, right, t)))}),
+        "cut": ([i // 50 for i in range(120)], (sound, voice, [0.2 if 3 < x < 5 else 0.9 for x in sound]), {1: list(zip(t[:70], speaking(rng, left, t[:70]))), 4: list(zip(t[40:], speaking(rng, right, t[40:]))), 5: [(t[3], None), (t[90], None)]}),
+        "silent": ([0] * 120, None, {1: list(zip(t, speaking(rng, left, t)))}),
+        "gaps": ([0] * 120, (sound, voice, voice), {7: [(x, a if k % 3 else None) for k, (x, a) in enumerate(zip(t, speaking(rng, left, t)))], 8: list(zip(t[10:20], speaking(rng, left, t[10:20])))}),
+        "nobody": ([0] * 120, (sound, voice, voice), {}),
+    }
+    steps = spark.createDataFrame([(c, i, x, s) for c, (shots, _, _) in clips.items() for i, (x, s) in enumerate(zip(t, shots))], "clip_id string, i int, t double, shot_id int")
+    series = spark.createDataFrame([(c, k, x, a) for c, (_, _, tracks) in clips.items() for k, seen in tracks.items() for x, a in seen], "clip_id string, track_id int, t double, aperture double")
+    audio = spark.createDataFrame([(c, *row) for c, (_, heard, _) in clips.items() if heard for row in zip(*heard)], "clip_id string, t double, energy double, speech double")
+    found = {(r.clip_id, r.i): (r.active, r.dwell, r.score) for r in speakers.timeline(series, steps, audio, 10.0).collect()}
+    assert len(found) == 120 * len(clips)
+    for c, (shots, heard, tracks) in clips.items():
+        for i, want in enumerate(plain_timeline(t, shots, heard, tracks)):
+            assert found[c, i] == pytest.approx(want), (c, i)
+    assert sum(found["two", i][0] == 1 for i in range(60)) > 30 and sum(found["two", i][0] == 2 for i in range(75, 120)) > 35
+    assert {found["silent", i][0] for i in range(120)} == {found["nobody", i][0] for i in range(120)} == {-1}
+    silent = {r.clip_id for r in speakers.timeline(series, steps, None, 10.0).filter("active <> -1").collect()}
+    assert not silent
+
+
+def test_speaker_timeline_has_every_step_and_all_tracks(spark, sf_dir):
+    t = views.Tables(spark, sf_dir)
+    found = queries.QUERIES["speaker_timeline"](spark, sf_dir).collect()
+    assert {(r.clip_id, r.i) for r in found} == {(r.clip_id, r.i) for r in t.v_steps.collect()} and any(r.active > 1 for r in found)
+    rows = {}
+    for r in clip_queries.tracked_series(t).orderBy("frame_i").collect():
+        rows.setdefault(r.clip_id, []).append(r)
+    tracks = {(r.clip_id, r.track_id): (r.hits, r.first_frame, r.last_frame) for r in queries.QUERIES["clip_tracks"](spark, sf_dir).collect()}
+    want = {}
+    for clip, seen in rows.items():
+        by_track = {}
+        for r in seen:
+            by_track.setdefault(r.track_id, []).append(r)
+        end, shot = seen[-1].frame_i, max(r.shot_id for r in seen)
+        want |= {(clip, k): (len(v), v[0].frame_i, v[-1].frame_i) for k, v in by_track.items() if len(v) >= 2 or (end - v[-1].frame_i <= 6 and max(r.shot_id for r in v) == shot)}
+    assert tracks == want
+
+
+def plain_tracks(frames, diagonal):
+    """Track ids of a clip's detections with every assignment tried: (frame, face) -> id. ``frames``: {number: (shot, {face: box})}."""
+    def cost(a, b):
+        area = lambda x: max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1])
+        common = area((max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])))
+        iou = common / (area(a) + area(b) - common)
+        away = math.dist(((a[0] + a[2]) / 2, (a[1] + a[3]) / 2), ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)) / diagonal
+        scale = max(a[2] - a[0], b[2] - b[0]) / min(a[2] - a[0], b[2] - b[0])
+        return 1e6 if (iou < 0.02 and away > 0.22) or scale > 2.6 else (1 - iou) * 0.55 + away * 1.6 + (scale - 1) * 0.25
+
+    live, out, fresh, shot = {}, {}, 1, None
+    for number in range(min(frames), max(frames) + 1):
+        here_shot, found = frames.get(number, (shot, {}))
+        if here_shot != shot:
+            live, shot = {}, here_shot
+        live = {k: (box, misses) for k, (box, misses) in live.items() if misses <= 6}
+        ids, faces = list(live), list(found)
+        small, large = (ids, faces) if len(ids) <= len(faces) else (faces, ids)
+        price = lambda x, y: cost(live[x][0], found[y]) if small is ids else cost(live[y][0], found[x])  # noqa: B023, E731
+        best = min(itertools.permutations(large, len(small)), key=lambda p: sum(price(x, y) for x, y in zip(small, p)))
+        pairs = [(x, y) if small is ids else (y, x) for x, y in zip(small, best) if price(x, y) < 1e6]
+        taken = {f: k for k, f in pairs}
+        nxt = {k: (box, misses + 1) for k, (box, misses) in live.items()}
+        for f in faces:
+            if f not in taken:
+                taken[f], fresh = fresh, fresh + 1
+            nxt[taken[f]] = (found[f], 0)
+            out[number, f] = taken[f]
+        live = nxt
+    return out
+
+
+def test_track_faces_equals_all_assignments_tried(spark):
+    rng, clips = random.Random(17), {}
+    for clip in range(12):
+        people = [[rng.uniform(0, 900), rng.uniform(0, 1600), rng.uniform(60, 200), rng.uniform(-25, 25)] for _ in range(rng.randint(1, 4))]
+        frames, number = {}, 0
+        for _ in range(25):
+            number += rng.choice([1, 1, 1, 1, 2, 5, 9])
+            seen = {}
+            for k, p in enumerate(people):
+                p[0] += p[3]
+                if rng.random() < 0.8:
+                    seen[k] = (p[0], p[1], p[0] + 0.8 * p[2] * rng.uniform(0.95, 1.05), p[1] + p[2])
+            if rng.random() < 0.1:
+                people[0][0] = rng.uniform(0, 900)
+            if seen:
+                frames[number] = (number // 30, seen)
+        clips[clip] = frames
+    rows = [(c, n, f, *box, shot) for c, frames in clips.items() for n, (shot, seen) in frames.items() for f, box in seen.items()]
+    df = spark.createDataFrame(rows, f"clip_id int, frame_i int, face_no int, {BOX}, shot_id int")
+    found = {(r.clip_id, r.frame_i, r.face_no): r.track_id for r in tracking.track_faces(df, "clip_id", 2203.0).collect()}
+    assert found == {(c, *k): v for c, frames in clips.items() for k, v in plain_tracks(frames, 2203.0).items()}
+
+
 def test_finished_tracks(spark):
     df = spark.createDataFrame([(1, 5, f, 1) for f in (3, 4, 9)] + [(1, 6, 3, 2)], "clip_id long, track_id int, frame_i int, face_no int")
     assert [tuple(r) for r in tracking.finished(df, "clip_id").collect()] == [(1, 5, 3, 3, 9)]
@@ -248,7 +402,51 @@ def test_crop_follows_the_face(spark):
     assert all(r.intact == 1 and r.clipped == r.dropped == 0 for r in out.values())
 
 
-def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=None, reserved=(), least_face=0.0, anchor=None):
+def plain_map(faces, width, height, bodies=(), saliency=None, cells=384):
+    """Importance cell by cell. ``faces`` as in ``plain_crop``; ``bodies`` are (box, confidence)."""
+    across = min(cells, width)
+    down = max(1, round(across * height / width))
+    scale, out = across / width, np.zeros((down, across))
+    if saliency is not None:
+        rows, columns = len(saliency), len(saliency[0])
+        for j in range(down):
+            for i in range(across):
+                y, x = (min(max((k + 0.5) * n / m - 0.5, 0), n - 1) for k, n, m in ((j, rows, down), (i, columns, across)))
+                a, b = int(y), int(x)
+                c, d = min(a + 1, rows - 1), min(b + 1, columns - 1)
+                out[j, i] = 0.18 * ((saliency[a][b] * (b + 1 - x) + saliency[a][d] * (x - b)) * (a + 1 - y) + (saliency[c][b] * (b + 1 - x) + saliency[c][d] * (x - b)) * (y - a))
+    for (x1, y1, x2, y2), conf in bodies:
+        x1, y1, x2, y2 = (v * scale for v in (x1, y1, x2, y2))
+        patch = np.zeros_like(out)
+        patch[max(0, math.floor(y1)) : max(0, math.ceil(y2)), max(0, math.floor(x1)) : max(0, math.ceil(x2))] = 0.30 * (0.5 + 0.5 * conf)
+        n = max(3, int(min(x2 - x1, y2 - y1) * 0.25) | 1)
+        spread = 0.3 * ((n - 1) * 0.5 - 1) + 0.8
+        bell = np.array({3: [1, 2, 1], 5: [1, 4, 6, 4, 1], 7: [1, 3.5, 7, 9, 7, 3.5, 1]}.get(n) or [math.exp(-((k - n // 2) ** 2) / (2 * spread**2)) for k in range(n)])
+        bell, r = bell / bell.sum(), n // 2
+        wide = np.pad(patch, r, mode="reflect")
+        out += sum(bell[a] * bell[b] * wide[a : a + down, b : b + across] for a in range(n) for b in range(n))
+    area = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
+    top = max((area(k[0]) for k in faces), default=0.0)
+    for b, conf, *boost in faces:
+        weight = math.sqrt(max(area(b) / top, 0.02) if top else 1.0) * (0.55 + 0.45 * conf) * (boost or [1.0])[0]
+        fw, fh = b[2] - b[0], b[3] - b[1]
+        head = [v * scale for v in (b[0] - 0.18 * fw, b[1] - 0.38 * fh, b[2] + 0.18 * fw, b[3] + 0.20 * fh)]
+        lines = []
+        for lo, hi, most in ((head[0], head[2], across), (head[1], head[3], down)):
+            middle, spread = (lo + hi) / 2, max(1.0, 0.55 * (hi - lo))
+            lines.append([math.exp(-0.5 * ((k - middle) / spread) ** 2) if math.floor(middle - 3 * spread) <= k < math.ceil(middle + 3 * spread) else 0.0 for k in range(most)])
+        if fw > 0 and fh > 0:
+            out += weight * np.outer(lines[1], lines[0])
+    return out if out.max() > 1e-8 else np.ones_like(out)
+
+
+def plain_share(cells, x1, y1, x2, y2, width):
+    scale = 1 / (width / cells.shape[1])
+    (a, c), (b, d) = ([min(max(round(v * scale), 0), most) for v in pair] for pair, most in (((x1, x2), cells.shape[1]), ((y1, y2), cells.shape[0])))
+    return cells[b:d, a:c].sum() / cells.sum() if c > a and d > b else 0.0
+
+
+def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=None, reserved=(), least_face=0.0, anchor=None, bodies=(), saliency=None):
     """Grid and three halving rounds per size, one window after the other: x, y, w, h, score, intact, clipped, dropped.
 
     ``faces`` are (box, confidence) or (box, confidence, factor of the weight); ``anchor`` is (centre x, centre y, width).
@@ -266,8 +464,14 @@ def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=No
         if weight * area(head) > most:
             primary, most = head, weight * area(head)
         tall = head if head[3] - head[1] > tall[3] - tall[1] else tall
+    for b, conf in bodies:
+        if 0.30 * (0.5 + 0.5 * conf) * area(b) >= most:
+            primary, most = b, 0.30 * (0.5 + 0.5 * conf) * area(b)
     wide = width / height > aspect
     big = (math.floor(height * aspect), height) if wide else (width, math.floor(width / aspect))
+    cells = plain_map(faces, width, height, bodies, saliency)
+    upto, unit = np.pad(cells, ((1, 0), (1, 0))).cumsum(axis=0).cumsum(axis=1), 1 / (width / cells.shape[1])
+    edge = lambda v, most: min(max(round(v * unit), 0), most)
 
     def rate(x, y, w, h):
         crop_, loss, counts = (x, y, x + w, y + h), 0.0, [0, 0, 0]
@@ -279,9 +483,10 @@ def plain_crop(faces, width, height, aspect, min_scale, scales, steps, action=No
             if f >= 0.5 and action and zone(action) < 0.98:
                 loss += 0.9 * (1 - zone(action)) * weight / 2
             loss += sum(1.1 * zone(z) * weight / 2 for z in reserved if f >= 0.5 and zone(z) > 0.02)
-        coverage = sum(k[2] * inside(k[0], crop_) for k in held) / sum(k[2] for k in held) if held else w * h / (width * height)
-        composed = 0.0
-        if held and inside(primary, crop_) >= 0.6:
+        a, c, b, d = edge(x, cells.shape[1]), edge(x + w, cells.shape[1]), edge(y, cells.shape[0]), edge(y + h, cells.shape[0])
+        coverage = (upto[d, c] - upto[b, c] - upto[d, a] + upto[b, a]) / upto[-1, -1]
+        composed = 0.0 if held or bodies else 0.5
+        if primary and inside(primary, crop_) >= 0.6:
             rx, eye, room = ((primary[0] + primary[2]) / 2 - x) / w, (primary[1] + (primary[3] - primary[1]) * 0.42 - y) / h, (primary[1] - y) / h
             composed = 0.40 * max(0.0, 1 - min(abs(rx - 1 / 3), abs(rx - 2 / 3), abs(rx - 0.5) * 1.15) / 0.30) + 0.34 * max(0.0, 1 - abs(eye - 0.36) / 0.30)
             composed += 0.26 * (0.0 if room < 0 else room / 0.04 if room < 0.04 else 1.0 if room <= 0.20 else max(0.0, 1 - (room - 0.20) / 0.28))
@@ -341,8 +546,11 @@ def test_crop_solve_searches_the_whole_grid(spark, sf_dir):
         faces.setdefault(r.frame_id, []).append(((r.x1, r.y1, r.x2, r.y2), float(r.conf)))
     found = {r.frame_id: r for r in queries.QUERIES["crop_solve"](spark, sf_dir).collect()}
     assert found.keys() == faces.keys()
+    bodies = {}
+    for r in queries.frame_bodies(views.Tables(spark, sf_dir)).collect():
+        bodies.setdefault(r.frame_id, []).append(((r.x1, r.y1, r.x2, r.y2), float(r.conf)))
     for frame in sorted(faces)[::300]:
-        assert tuple(found[frame][c] for c in CROP) == pytest.approx(plain_crop(faces[frame], 1080, 1920, 4 / 5, 0.45, 8, 28, (0.05, 0.06, 0.95, 0.94), least_face=0.08), abs=2e-6)
+        assert tuple(found[frame][c] for c in CROP) == pytest.approx(plain_crop(faces[frame], 1080, 1920, 4 / 5, 0.45, 8, 28, (0.05, 0.06, 0.95, 0.94), least_face=0.08, bodies=bodies[frame]), abs=2e-6)
 
 
 def follow_plainly(rows, width, height, aspect, min_scale, scales, steps, **rules):
@@ -395,30 +603,54 @@ def test_crop_path_covers_every_step(spark, sf_dir):
         assert tuple(found[clip, i][c] for c in CROP) == pytest.approx(want, abs=2e-6)
 
 
-FACE = ["x1", "y1", "x2", "y2", "conf"]
-
-
-def test_importance_peaks_at_the_head():
-    m = tracking.importance(pd.DataFrame([(900.0, 200.0, 1000.0, 320.0, 0.9)], columns=FACE), 1920, 1080)
-    y, x = np.unravel_index(m.argmax(), m.shape)
-    assert m.max() == 1 and abs(x / m.shape[1] - 950 / 1920) < 0.03 and abs(y / m.shape[0] - 240 / 1080) < 0.06
-    assert (tracking.importance(pd.DataFrame(columns=FACE), 1920, 1080) == 1).all()
-
-
-def test_face_weights_go_by_the_largest_face_and_the_speaker():
-    w = tracking.face_weights(np.array([400.0, 100.0, 1.0]), np.array([1.0, 1.0, 0.0]), np.array([0.0, 0.5, 0.0]), np.array([False, False, True]))
-    assert w == pytest.approx([1.0, 0.5 * 1.4, math.sqrt(0.02) * 0.55 * 2.2])
-
-
-def test_box_sums_equal_sums_over_cells(spark):
-    faces = [(1, 900.0, 200.0, 1000.0, 320.0, 0.9), (1, 100.0, 500.0, 300.0, 700.0, 0.6)]
-    maps = tracking.subject_maps(spark.createDataFrame(faces, "frame_id long, x1 double, y1 double, x2 double, y2 double, conf double"), 1920, 1080)
-    crops = [(1, 0.0, 0.0, 1920.0, 1080.0), (1, 600.0, 100.0, 1210.0, 800.0), (1, 50.0, 50.0, 50.0, 90.0), (1, -200.0, -9.0, 400.0, 5000.0)]
-    found = {tuple(r)[1:5]: r.held for r in tracking.box_sums(spark.createDataFrame(crops, "frame_id long, x1 double, y1 double, x2 double, y2 double"), maps, 1920, 1080).collect()}
-    cells = tracking.importance(pd.DataFrame([f[1:] for f in faces], columns=FACE), 1920, 1080)
-    for _, x1, y1, x2, y2 in crops:
-        a, b, c, d = (round(v / 20) for v in (x1, y1, x2, y2))
-        assert found[x1, y1, x2, y2] == pytest.approx(cells[max(b, 0) : max(d, 0), max(a, 0) : max(c, 0)].sum())
+BOX = "x1 double, y1 double, x2 double, y2 double"
+
+
+def some_boxes(rng, n, width=1280, height=720):
+    return [((x, y, x + 0.8 * s, y + s), rng.random()) for x, y, s in ((rng.uniform(-60, width), rng.uniform(-60, height), rng.uniform(5, 400)) for _ in range(n))]
+
+
+def test_map_shares_equal_sums_over_cells(spark):
+    rng, width, height = random.Random(31), 1280, 720
+    frames = {f: (some_boxes(rng, rng.randrange(0, 4)), some_boxes(rng, rng.randrange(0, 3))) for f in range(12)}
+    frames[12] = ([], [])  # nothing found: all cells alike
+    frames[13] = ([((50.0, 50.0, 50.0, 90.0), 0.9)], [((3000.0, 0.0, 3100.0, 90.0), 0.5)])  # without area, and outside
+    crops = [(f, n, *c) for f in frames for n, c in enumerate([(0.0, 0.0, 1280.0, 720.0), (333.3, 100.0, 900.0, 650.5), (50.0, 50.0, 50.0, 90.0), (-200.0, -9.0, 400.0, 5000.0), (700.0, 300.0, 600.0, 200.0)])]
+    faces = spark.createDataFrame([(f, *b, c, k % 2 + 1.0) for f, (found, _) in frames.items() for k, (b, c) in enumerate(found)], f"frame_id long, {BOX}, conf double, boost double")
+    bodies = spark.createDataFrame([(f, *b, c) for f, (_, found) in frames.items() for b, c in found], f"frame_id long, {BOX}, conf double")
+    asked = spark.createDataFrame(crops, f"frame_id long, crop_no long, {BOX}")
+    for cells in (384, 23):
+        got = {(r.frame_id, r.crop_no): r.held for r in maps.box_shares(asked, faces, width, height, bodies=bodies, boost="boost", cells=cells).collect()}
+        assert len(got) == len(crops)
+        plain = {f: plain_map([(b, c, k % 2 + 1.0) for k, (b, c) in enumerate(found)], width, height, others, cells=cells) for f, (found, others) in frames.items()}
+        for f, n, *box in crops:
+            assert got[f, n] == pytest.approx(plain_share(plain[f], *box, width), abs=1e-9), (f, n)
+    assert maps.box_shares(asked.limit(0), faces, width, height).count() == 0
+
+
+def test_saliency_is_read_between_its_samples():
+    rng = np.random.default_rng(2)
+    for rows, columns in ((5, 9), (1, 1), (100, 3)):
+        image = rng.random((rows, columns))
+        none = np.zeros((4, 1, 0)), np.zeros((1, 0))
+        found = maps.Maps(640, 360, *none, saliency=image[None], cells=40)
+        cells = plain_map([], 640, 360, saliency=image, cells=40)
+        for box in ((0, 0, 640, 360), (100, 30, 420, 300), (17, 200, 18, 201)):
+            x, y, w, h = box[0], box[1], box[2] - box[0], box[3] - box[1]
+            assert found.shares(x, y, w, h)[0, 0, 0] == pytest.approx(plain_share(cells, *box, 640), abs=1e-12)
+
+
+def test_crop_with_bodies_and_saliency_equals_the_plain_search(spark):
+    rng = random.Random(33)
+    frames = {f: (some_boxes(rng, rng.randrange(1, 4)), some_boxes(rng, rng.randrange(0, 3)), [[rng.random() for _ in range(8)] for _ in range(5)]) for f in range(6)}
+    faces = spark.createDataFrame([(f, n, c, *b) for f, (found, _, _) in frames.items() for n, (b, c) in enumerate(found)], f"frame_id long, face_no int, conf double, {BOX}")
+    bodies = spark.createDataFrame([(f, c, *b) for f, (_, found, _) in frames.items() for b, c in found], f"frame_id long, conf double, {BOX}")
+    saliency = spark.createDataFrame([(f, s) for f, (_, _, s) in frames.items()], "frame_id long, rows array<array<double>>")
+    found = crop.solve(faces, 1280, 720, 1.0, min_scale=0.6, scales=2, steps=5, bodies=bodies, saliency=saliency).collect()
+    assert len(found) == len(frames)
+    for r in found:
+        held, others, seen = frames[r.frame_id]
+        assert tuple(r[c] for c in CROP) == pytest.approx(plain_crop(held, 1280, 720, 1.0, 0.6, 2, 5, bodies=others, saliency=seen), abs=2e-6), r.frame_id
 
 
 def test_tiles_stay_in_frame_and_budget(spark):
