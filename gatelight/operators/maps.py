@@ -139,10 +139,10 @@ class Maps:
         x, y, w, h = (np.asarray(v, dtype=float) for v in (x, y, w, h))
         lift = lambda v: v.reshape((1,) * (3 - v.ndim) + v.shape)
         left, right, above, below = (lift(self._edges(v, n)) for v, n in ((x, self.across), (x + w, self.across), (y, self.down), (y + h, self.down)))
-        left, right = np.broadcast_arrays(left, right)
-        above, below = np.broadcast_arrays(above, below)
+        left, right = np.broadcast_arrays(left, np.maximum(left, right))
+        above, below = np.broadcast_arrays(above, np.maximum(above, below))
         held = self._held(left, right, above, below)
-        flat = np.maximum(right - left, 0) * np.maximum(below - above, 0) / (self.across * self.down)  # all cells alike where nothing was found
+        flat = (right - left) * (below - above) / (self.across * self.down)  # all cells alike where nothing was found
         known = self.total > 1e-8
         return np.where(known[:, None, None], held / np.where(known, self.total, 1.0)[:, None, None], flat)
 
