@@ -23,6 +23,8 @@ GONE, TIGHT_HEAD, SAFE_INSIDE, RESERVED_OVERLAP = 0.02, 0.90, 0.97, 0.12
 RATE_OK, RATE_WARN = 0.05, 0.20
 SUBJECT_MOVED, LEAST_TRAVEL, OFF_CENTRE, CENTRED = 0.02, 0.01, 0.04, 0.01
 EVIDENCE = 12  # offences listed; all are counted
+DETAILS = ("expected", "actual", "evidence")
+OFFENCES = ("clipped", "extra", "tight", "safe", "reserved")
 
 
 @dataclass(frozen=True)
@@ -41,9 +43,9 @@ class Rule:
     actual: Column | None = None
     evidence: Column | None = None
 
-    def result(self) -> Column:
+    def result(self, details: tuple[str, ...]) -> Column:
         text = lambda c: (F.lit(None) if c is None else c).cast("string")
-        row = F.struct(F.lit(self.id).alias("rule_id"), F.lit(self.severity).alias("level"), self.outcome.alias("outcome"), text(self.expected).alias("expected"), text(self.actual).alias("actual"), text(self.evidence).alias("evidence"))
+        row = F.struct(F.lit(self.id).alias("rule_id"), F.lit(self.severity).alias("level"), self.outcome.alias("outcome"), *[text(getattr(self, d)).alias(d) for d in details])
         return F.when(self.applies, row)
 
 
@@ -155,8 +157,11 @@ def _share(inner: tuple[str, ...], outer: tuple[str, ...]) -> str:
     return f"coalesce({common} / nullif(greatest({c} - {a}, 0D) * greatest({d} - {b}, 0D), 0D), 0D)"
 
 
-def face_facts(faces: DataFrame, media: DataFrame, by: str = "media_id") -> DataFrame:
-    """Per medium what its sampled faces say: counts of faces, subjects and each kind of offence, and the first offences of each kind.
+def face_facts(faces: DataFrame, media: DataFrame, by: str = "media_id", evidence: bool = True) -> DataFrame:
+    """Per medium what its sampled faces say: counts of faces, subjects and each kind of offence, and with ``evidence`` the first offences of each kind.
+
+    Counts are one aggregate over faces. Evidence ranks offences with a limit that acts before the shuffle: of a medium with a million offences a task
+    hands on twelve of a kind.
 
     ``faces``: by, sample, t, face_no, x1, y1, x2, y2. ``media``: by, width, height and the profile's columns. A face is a subject by its height
     beside the tallest of its frame or the frame itself. Its core decides whether it is cut, leaves the action-safe area or lies under
@@ -179,32 +184,33 @@ def face_facts(faces: DataFrame, media: DataFrame, by: str = "media_id") -> Data
     f = f.withColumn("whole", F.expr("inside >= clip_tolerance")).withColumn("cut", F.expr(f"inside < clip_tolerance and inside > {GONE}D"))
     offence = lambda kind, value, when: f"case when {when} then struct('{kind}' as kind, round({value}, 4) as share, cast(null as string) as zone) end"
     own = ", ".join([offence("clipped", "inside", "cut and subject"), offence("extra", "inside", "cut and not subject"), offence("tight", "head", f"whole and subject and head < {TIGHT_HEAD}D"), offence("safe", "safe", f"subject and safe < {SAFE_INSIDE}D")])
+    counts = {"clipped": "cut and subject", "extra": "cut and not subject", "tight": f"whole and subject and head < {TIGHT_HEAD}D", "safe": f"subject and safe < {SAFE_INSIDE}D"}
+    counted = [F.count_if(F.expr(when)).alias(f"n_{k}") for k, when in counts.items()] + [F.sum(F.coalesce(F.expr("size(filter(under, z -> true))"), F.lit(0))).alias("n_reserved")]
+    worst = F.min(F.expr("case when cut and subject then inside end")).alias("worst")
+    per_face = f.groupBy(by).agg(F.count("*").alias("faces"), F.count_if("subject").alias("subjects"), worst, *counted)
+    if not evidence:
+        return per_face
     listed_under = "coalesce(transform(under, z -> struct(z.kind as kind, round(z.share, 4) as share, z.zone as zone)), array())"
-    f = f.selectExpr(by, "sample", "t", "face_no", "subject", "case when cut and subject then inside end as left", f"concat(array_compact(array({own})), {listed_under}) as offences")
-    per_face = f.groupBy(by).agg(F.count("*").alias("faces"), F.count_if("subject").alias("subjects"), F.min("left").alias("worst"))
+    f = f.selectExpr(by, "sample", "t", "face_no", f"concat(array_compact(array({own})), {listed_under}) as offences")
     each = f.select(by, "sample", "t", "face_no", F.explode("offences").alias("o")).select(by, "sample", "t", "face_no", "o.*")
     nth = F.row_number().over(Window.partitionBy(by, "kind").orderBy("sample", "face_no", "zone"))
     listed = F.struct("sample", "face_no", F.round("t", 3).alias("timestamp_s"), "zone", "share")
-    kinds = ("clipped", "extra", "tight", "safe", "reserved")
-    of = lambda k: F.col("kind") == k
-    per_kind = each.withColumn("nth", nth).groupBy(by).agg(
-        *[F.count_if(of(k)).alias(f"n_{k}") for k in kinds],
-        *[F.array_sort(F.collect_list(F.when(of(k) & (F.col("nth") <= EVIDENCE), listed))).alias(f"first_{k}") for k in kinds],
-    )
-    return per_face.join(per_kind, by, "left").select(by, "faces", "subjects", "worst", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in kinds], *[f"first_{k}" for k in kinds])
+    first = each.withColumn("nth", nth).filter(F.col("nth") <= EVIDENCE)
+    per_kind = first.groupBy(by).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, listed))).alias(f"first_{k}") for k in OFFENCES])
+    return per_face.join(per_kind, by, "left")
 
 
-def subject_rules() -> list[Rule]:
-    """The rules on sampled faces, over columns of ``sample_facts`` and ``face_facts`` (null where a medium has none) and source_has_faces."""
+def subject_rules(listed: bool = True) -> list[Rule]:
+    """The rules on sampled faces, over columns of ``sample_facts`` and ``face_facts`` (null where a medium has none) and source_has_faces. ``listed``: the facts have evidence."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     sampled = n("samples") > 0
-    evidence = lambda *ks: F.to_json(F.struct("faces", "subjects", *[F.col(f"n_{k}") for k in ks], *[F.col(f"first_{k}") for k in ks]))
+    evidence = lambda *ks: F.to_json(F.struct("faces", "subjects", *[F.col(f"n_{k}") for k in ks], *[F.col(f"first_{k}") for k in ks])) if listed else None
     percent = lambda c, p=0: fixed(c * 100, p, "%")
 
     clipped, extra, tight = (n(f"n_{k}") > 0 for k in ("clipped", "extra", "tight"))
     integrity = F.when(~sampled, SKIP).when(clipped, FAIL).when(n("faces") == 0, SKIP).when(extra | tight, WARN).otherwise(PASS)
-    wanted = F.when(clipped, F.concat(F.lit(">= "), percent(F.col("clip_tolerance"), 1), F.lit(" of each subject in frame"))).when(extra, "no clipped subjects").when(tight, "no sliced faces").otherwise("no clipped subjects")
-    seen = F.when(clipped, F.concat(percent(F.col("worst"), 1), F.lit(" worst case"))).when(extra, "background faces clipped").when(tight, "tight head framing").otherwise("none")
+    wanted = F.when(clipped, F.concat(F.lit(">= "), percent(F.col("clip_tolerance"), 1), F.lit(" of every subject kept"))).when(extra, "all subjects whole").when(tight, "all faces whole").otherwise("all subjects whole")
+    seen = F.when(clipped, F.concat(percent(F.col("worst"), 1), F.lit(" is the least kept"))).when(extra, "other faces cut").when(tight, "little room round a head").otherwise("none")
     judged = sampled & (n("faces") > 0)
 
     none = ~F.col("require_subject") | ~sampled | ~F.coalesce(F.col("source_has_faces"), F.lit(False))
@@ -225,8 +231,8 @@ def subject_rules() -> list[Rule]:
     return [
         Rule("subject.face_integrity", "error", F.lit(True), integrity, F.when(judged, wanted), F.when(judged, seen), evidence("clipped", "extra", "tight")),
         Rule("subject.presence", "error", F.lit(True), presence, F.when(~none, p_expected), F.when(~none, p_actual), F.to_json(F.struct("samples", "with_face", "coverage", "longest_gap"))),
-        banded("subject.safe_zone", "safe", F.col("action").isNotNull(), "subject within action-safe", "within", "outside"),
-        banded("subject.reserved_zone", "reserved", F.size("reserved") > 0, "no face under UI chrome", "clear", "overlapping"),
+        banded("subject.safe_zone", "safe", F.col("action").isNotNull(), "subjects inside the safe area", "within", "outside"),
+        banded("subject.reserved_zone", "reserved", F.size("reserved") > 0, "reserved zones free of faces", "clear", "overlapping"),
     ]
 
 
@@ -240,8 +246,8 @@ def hint_rules() -> list[Rule]:
     moved = F.col("subject_motion").isNull() | (F.col("subject_motion") > SUBJECT_MOVED)
     static, held = (1 - moving >= F.col("max_static")) & moved, (travel < LEAST_TRAVEL) & moved
     there = moving.isNotNull()
-    needed = F.concat(F.lit("crop moves in > "), percent(1 - F.col("max_static")), F.lit(" of frames"))
-    m_actual = F.when(static, F.concat(F.lit("moves in "), percent(moving, 1))).when(held, "static crop").when(~moved, "subject static").otherwise(F.concat(F.lit("moving in "), percent(moving, 1), F.lit(" of frames")))
+    needed = F.concat(F.lit("movement in over "), percent(1 - F.col("max_static")), F.lit(" of frames"))
+    m_actual = F.when(static, F.concat(F.lit("moves in "), percent(moving, 1))).when(held, "hardly any travel").when(~moved, "nothing to follow").otherwise(F.concat(F.lit("moving in "), percent(moving, 1), F.lit(" of frames")))
 
     coverage = F.col("speaker_coverage")
     silent = coverage.isNull() | (F.coalesce(F.col("speech_steps"), F.lit(0)) == 0)
@@ -249,11 +255,11 @@ def hint_rules() -> list[Rule]:
     offset, crop = F.col("subject_offset"), F.col("crop_offset")
     unknown = offset.isNull() | crop.isNull()
     centred = (offset > OFF_CENTRE) & (crop < CENTRED)
-    c_actual = F.when(centred, "crop centred despite off-centre subject").when(offset <= OFF_CENTRE, "subject centred").otherwise(F.concat(F.lit("crop offset "), percent(crop, 1)))
+    c_actual = F.when(centred, "centred crop of an off-centre subject").when(offset <= OFF_CENTRE, "subject in the middle").otherwise(F.concat(F.lit("crop offset "), percent(crop, 1)))
     return [
-        Rule("subject.reframe_motion", "error", video, F.when(~there, SKIP).otherwise(ok_unless(static | held)), F.when(there, F.when(static, needed).otherwise("crop follows the subject")), F.when(there, m_actual), F.to_json(F.struct("moving_fraction", "total_travel", "subject_motion"))),
+        Rule("subject.reframe_motion", "error", video, F.when(~there, SKIP).otherwise(ok_unless(static | held)), F.when(there, F.when(static, needed).otherwise("the crop goes along")), F.when(there, m_actual), F.to_json(F.struct("moving_fraction", "total_travel", "subject_motion"))),
         Rule("subject.active_speaker", "error", video, F.when(silent, SKIP).otherwise(ok_unless(coverage < F.col("min_speaker"))), F.when(~silent, F.concat(F.lit(">= "), percent(F.col("min_speaker")), F.lit(" of speech time"))), F.when(~silent, percent(coverage, 1)), F.to_json(F.struct("speech_steps", "speaker_coverage"))),
-        Rule("subject.crop_provenance", "warning", F.lit(True), F.when(unknown, SKIP).otherwise(ok_unless(centred, WARN)), F.when(~unknown, "crop centre tracks subject centre"), F.when(~unknown, c_actual), F.to_json(F.struct("crop_offset", "subject_offset"))),
+        Rule("subject.crop_provenance", "warning", F.lit(True), F.when(unknown, SKIP).otherwise(ok_unless(centred, WARN)), F.when(~unknown, "crop and subject off centre alike"), F.when(~unknown, c_actual), F.to_json(F.struct("crop_offset", "subject_offset"))),
     ]
 
 
@@ -262,23 +268,26 @@ def with_profile(media: DataFrame, sheet: DataFrame) -> DataFrame:
     return media.join(F.broadcast(sheet), "profile_id")
 
 
-def gathered(media: DataFrame, sheet: DataFrame, samples: DataFrame, faces: DataFrame, hints: DataFrame, by: str = "media_id") -> DataFrame:
-    """One row per medium with everything that ``all_rules`` looks at. Samples, faces and hints are reduced per medium before they are joined."""
+def gathered(media: DataFrame, sheet: DataFrame, samples: DataFrame, faces: DataFrame, hints: DataFrame, by: str = "media_id", evidence: bool = True) -> DataFrame:
+    """One row per medium with everything that ``all_rules`` looks at, lists of offences only with ``evidence``. Samples, faces and hints are reduced per medium before they are joined."""
     judged = with_profile(media, sheet)
-    return judged.join(sample_facts(samples, by), by, "left").join(face_facts(faces, judged, by), by, "left").join(hints, by, "left")
+    return judged.join(sample_facts(samples, by), by, "left").join(face_facts(faces, judged, by, evidence), by, "left").join(hints, by, "left")
 
 
 def all_rules(columns: list[str]) -> list[Rule]:
     """Every rule, in the order reports list them."""
-    return [*technical_rules(columns), *subject_rules(), *hint_rules()]
+    return [*technical_rules(columns), *subject_rules("first_safe" in columns), *hint_rules()]
 
 
-def evaluate(df: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
-    """One row per key and applicable rule: rule_id, outcome, severity, expected, actual, evidence. One projection and one explode; no shuffle."""
-    results = F.array_compact(F.array(*[r.result() for r in rules]))
+def evaluate(df: DataFrame, keys: list[str], rules: list[Rule], details: tuple[str, ...] = DETAILS) -> DataFrame:
+    """One row per key and applicable rule: rule_id, outcome, severity and the ``details`` asked for (of expected, actual, evidence). One projection and one explode; no shuffle.
+
+    What no one reads must not be asked for: rows pass through an array of structs, which hides unread fields from the optimiser.
+    """
+    results = F.array_compact(F.array(*[r.result(details) for r in rules]))
     rows = df.select(*keys, F.explode(results).alias("r")).select(*keys, "r.*").withColumn("outcome", F.coalesce("outcome", F.lit(FAIL)))
     level = F.when(F.col("outcome") == FAIL, F.col("level")).when(F.col("outcome") == WARN, "warning").otherwise("info")
-    return rows.select(*keys, "rule_id", "outcome", level.alias("severity"), "expected", "actual", "evidence")
+    return rows.select(*keys, "rule_id", "outcome", level.alias("severity"), *details)
 
 
 def display_order(results: DataFrame, keys: list[str]) -> DataFrame:

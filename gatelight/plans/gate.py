@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelight.operators import rules, store
+from gatelight.operators import revalidation, rules, store
 
 from . import spec
 from .registry import query
@@ -65,40 +67,41 @@ results as (
   union all select media_id, 'quality.sharpness', case when samples is null then 'skip' when sharp < min_sharpness then 'fail' else 'pass' end, 'error', case when samples > 0 then '>= ' || printf('%.0f', min_sharpness) end, case when samples > 0 then printf('%.1f', round(sharp, 1)) end from a
   union all select media_id, 'quality.luminance', case when samples is null then 'skip' when luma between 22 and 238 then 'pass' else 'warn' end, 'warning', case when samples > 0 then '22.0-238.0' end, case when samples > 0 then printf('%.1f', round(luma, 1)) end from a
   union all select media_id, 'subject.face_integrity', case when samples is null then 'skip' when n_clipped > 0 then 'fail' when faces = 0 then 'skip' when n_extra > 0 or n_tight > 0 then 'warn' else 'pass' end, 'error',
-    case when samples > 0 and faces > 0 then case when n_clipped > 0 then '>= 99.5% of each subject in frame' when n_extra > 0 then 'no clipped subjects' when n_tight > 0 then 'no sliced faces' else 'no clipped subjects' end end,
-    case when samples > 0 and faces > 0 then case when n_clipped > 0 then {_pct("worst", 1)} || ' worst case' when n_extra > 0 then 'background faces clipped' when n_tight > 0 then 'tight head framing' else 'none' end end from a
+    case when samples > 0 and faces > 0 then case when n_clipped > 0 then '>= 99.5% of every subject kept' when n_extra > 0 then 'all subjects whole' when n_tight > 0 then 'all faces whole' else 'all subjects whole' end end,
+    case when samples > 0 and faces > 0 then case when n_clipped > 0 then {_pct("worst", 1)} || ' is the least kept' when n_extra > 0 then 'other faces cut' when n_tight > 0 then 'little room round a head' else 'none' end end from a
   union all select media_id, 'subject.presence', case when samples is null or not coalesce(source_has_faces, false) then 'skip' when kind = 'image' then case when with_face > 0 then 'pass' else 'fail' end when round(gap, 6) > 1.5 or coverage < 0.70 then 'fail' else 'pass' end, 'error',
     case when samples > 0 and source_has_faces then case when kind = 'image' then 'subject present' when round(gap, 6) > 1.5 then 'no absence longer than 1.5s' when coverage < 0.70 then '>= 70%' else '>= 70%, no gap over 1.5s' end end,
     case when samples > 0 and source_has_faces then case when kind = 'image' then case when with_face > 0 then 'present' else 'absent' end when round(gap, 6) > 1.5 then printf('%.2fs', round(gap, 2)) else {_pct("coverage", 1)} end end from a
   union all select media_id, 'subject.safe_zone', case when subjects = 0 then 'skip' when safe_rate <= 0.05 then 'pass' when safe_rate <= 0.20 then 'warn' else 'fail' end, 'error',
-    case when subjects > 0 then 'subject within action-safe' end, case when subjects > 0 then case when safe_rate <= 0.05 then 'within' else {_pct("safe_rate")} || ' outside' end end from a
+    case when subjects > 0 then 'subjects inside the safe area' end, case when subjects > 0 then case when safe_rate <= 0.05 then 'within' else {_pct("safe_rate")} || ' outside' end end from a
   union all select media_id, 'subject.reserved_zone', case when subjects = 0 then 'skip' when zone_rate <= 0.05 then 'pass' when zone_rate <= 0.20 then 'warn' else 'fail' end, 'error',
-    case when subjects > 0 then 'no face under UI chrome' end, case when subjects > 0 then case when zone_rate <= 0.05 then 'clear' else {_pct("zone_rate")} || ' overlapping' end end from a where profile_id in (select profile_id from {{v_reserved_zones}})
+    case when subjects > 0 then 'reserved zones free of faces' end, case when subjects > 0 then case when zone_rate <= 0.05 then 'clear' else {_pct("zone_rate")} || ' overlapping' end end from a where profile_id in (select profile_id from {{v_reserved_zones}})
   union all select media_id, 'subject.reframe_motion', case when moving_fraction is null then 'skip' when moved and (1 - moving_fraction >= 0.95 or total_travel < 0.01) then 'fail' else 'pass' end, 'error',
-    case when moving_fraction is not null then case when moved and 1 - moving_fraction >= 0.95 then 'crop moves in > 5% of frames' else 'crop follows the subject' end end,
-    case when moving_fraction is not null then case when moved and 1 - moving_fraction >= 0.95 then 'moves in ' || {_pct("moving_fraction", 1)} when moved and total_travel < 0.01 then 'static crop' when not moved then 'subject static' else 'moving in ' || {_pct("moving_fraction", 1)} || ' of frames' end end from a where kind = 'video'
+    case when moving_fraction is not null then case when moved and 1 - moving_fraction >= 0.95 then 'movement in over 5% of frames' else 'the crop goes along' end end,
+    case when moving_fraction is not null then case when moved and 1 - moving_fraction >= 0.95 then 'moves in ' || {_pct("moving_fraction", 1)} when moved and total_travel < 0.01 then 'hardly any travel' when not moved then 'nothing to follow' else 'moving in ' || {_pct("moving_fraction", 1)} || ' of frames' end end from a where kind = 'video'
   union all select media_id, 'subject.active_speaker', case when speaker_coverage is null or speech_steps = 0 then 'skip' when speaker_coverage < 0.80 then 'fail' else 'pass' end, 'error',
     case when speaker_coverage is not null and speech_steps > 0 then '>= 80% of speech time' end, case when speaker_coverage is not null and speech_steps > 0 then {_pct("speaker_coverage", 1)} end from a where kind = 'video'
   union all select media_id, 'subject.crop_provenance', case when subject_offset is null or crop_offset is null then 'skip' when subject_offset > 0.04 and crop_offset < 0.01 then 'warn' else 'pass' end, 'warning',
-    case when subject_offset is not null and crop_offset is not null then 'crop centre tracks subject centre' end,
-    case when subject_offset is not null and crop_offset is not null then case when subject_offset > 0.04 and crop_offset < 0.01 then 'crop centred despite off-centre subject' when subject_offset <= 0.04 then 'subject centred' else 'crop offset ' || {_pct("crop_offset", 1)} end end from a),
+    case when subject_offset is not null and crop_offset is not null then 'crop and subject off centre alike' end,
+    case when subject_offset is not null and crop_offset is not null then case when subject_offset > 0.04 and crop_offset < 0.01 then 'centred crop of an off-centre subject' when subject_offset <= 0.04 then 'subject in the middle' else 'crop offset ' || {_pct("crop_offset", 1)} end end from a),
 rated as (select media_id, rule_id, outcome, case outcome when 'fail' then level when 'warn' then 'warning' else 'info' end as severity, expected, actual from results)
 """
 
 
-def facts(t) -> DataFrame:
-    sheet = spec.profile_table(t._spark, SHEET)
-    return rules.gathered(t.v_media.drop("sharpness"), sheet, t.v_samples, t.v_media_faces, t.v_hints)
+def facts(t, evidence: bool = True, sheet: dict = SHEET) -> DataFrame:
+    sheet = spec.profile_table(t._spark, sheet)
+    return rules.gathered(t.v_media.drop("sharpness"), sheet, t.v_samples, t.v_media_faces, t.v_hints, evidence=evidence)
 
 
-def results(t) -> DataFrame:
-    df = facts(t)
-    return rules.evaluate(df, ["media_id"], rules.all_rules(df.columns))
+def results(t, *details: str) -> DataFrame:
+    """Every rule's outcome and severity, with the ``details`` asked for."""
+    df = facts(t, "evidence" in details)
+    return rules.evaluate(df, ["media_id"], rules.all_rules(df.columns), details)
 
 
 @query(RULES + "select * from rated")
 def rule_results(t):
-    return results(t).drop("evidence")
+    return results(t, "expected", "actual")
 
 
 @query(RULES + """select media_id, case when bool_or(outcome = 'fail' and severity = 'error') then 'fail' else 'pass' end as verdict,
@@ -136,12 +139,62 @@ def decision_audit(t):
     return store.decision_audit(rules.gate(results(t), ["media_id"]), "media_id")
 
 
-@query("""select profile_id, kind, case kind when 'video' then 120 else 8 end::double as max_mb, min_sharpness,
-  case when profile_id = 'reel_vertical_9x16' then 23.0::double end as fps_lo, case when profile_id = 'reel_vertical_9x16' then 61.0::double end as fps_hi,
-  0.995::double as clip_tolerance, 0.8::double as min_speaker, 22.0::double as luma_lo from {v_profiles}""")
+@query("""select m.media_id, p.profile_id, p.kind, case p.kind when 'video' then 120 else 8 end::double as max_mb, p.min_sharpness,
+  case when p.profile_id = 'reel_vertical_9x16' then 23.0::double end as fps_lo, case when p.profile_id = 'reel_vertical_9x16' then 61.0::double end as fps_hi,
+  0.995::double as clip_tolerance, 0.8::double as min_speaker, 22.0::double as luma_lo from {v_media} m join {v_profiles} p using (profile_id)""")
 def settings_merge(t):
-    """Built-in limits, the sheet's defaults and each profile's overrides, merged from the sheet itself."""
-    return spec.profile_table(t._spark, SHEET).select("profile_id", "kind", "max_mb", "min_sharpness", "fps_lo", "fps_hi", "clip_tolerance", "min_speaker", "luma_lo")
+    """The limits each medium is held to: built in, the sheet's defaults and its profile's overrides, merged from the sheet itself."""
+    merged = rules.with_profile(t.v_media.select("media_id", "profile_id"), spec.profile_table(t._spark, SHEET))
+    return merged.select("media_id", "profile_id", "kind", "max_mb", "min_sharpness", "fps_lo", "fps_hi", "clip_tolerance", "min_speaker", "luma_lo")
+
+
+def newer_sheet() -> dict:
+    """The sheet's next version: images may be larger and must be sharper."""
+    sheet = copy.deepcopy(SHEET)
+    sheet["defaults"]["image"] |= {"max_file_size_mb": 160, "min_sharpness": 55.0}
+    return sheet
+
+
+_NEWER = RULES.replace("then 120 else 8 end as max_mb", "then 120 else 160 end as max_mb").replace("p.ratio, p.min_sharpness,", "p.ratio, case p.min_sharpness when 45 then 55 else p.min_sharpness end as min_sharpness,")
+
+
+@query(f"""select media_id, case when o.b then 'fail' else 'pass' end as old_verdict, case when n.b then 'fail' else 'pass' end as new_verdict, rules from (
+  select media_id, bool_or(coalesce(o.outcome = 'fail' and o.severity = 'error', false)) as ob, bool_or(coalesce(n.outcome = 'fail' and n.severity = 'error', false)) as nb,
+    coalesce(string_agg(rule_id, ',' order by rule_id) filter (where o.outcome is distinct from n.outcome), '') as rules
+  from ({RULES} select * from rated) o full join ({_NEWER} select * from rated) n using (media_id, rule_id) group by media_id) x, lateral (select ob as b) o, lateral (select nb as b) n where ob <> nb""")
+def revalidation_flips(t):
+    """Media whose verdict another version of the sheet turns; only rules whose limits it changes are judged again."""
+    newer = newer_sheet()
+    old, new = (spec.profile_table(t._spark, s) for s in (SHEET, newer))
+    return revalidation.flips(revalidation.revalidate(facts(t, False, newer), results(t), old, new, rules.all_rules))
+
+
+_VERSIONS = [(v, at) for v, at in ((1, "2024-01-01"), (2, "2024-01-09"), (3, "2024-01-21"))]
+
+
+@query("""with v as (select *, lead(valid_from) over (order by valid_from) as valid_to from (values (1, timestamp '2024-01-01'), (2, timestamp '2024-01-09'), (3, timestamp '2024-01-21')) v(version, valid_from))
+select id, version from {v_audit} a left join v on a.at >= valid_from and (valid_to is null or a.at < valid_to) where action in ('variant.published', 'variant.quarantined')""")
+def decision_sheets(t):
+    """The version of the sheet each decision was made by."""
+    profiles = t.v_profiles.select("profile_id", F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(d).cast("timestamp_ntz").alias("valid_from")) for v, d in _VERSIONS])).alias("v")).select("profile_id", "v.*")
+    ids = F.array(*[F.lit(p) for p in ("hero_landscape_16x9", "social_square_1x1", "story_vertical_9x16", "feed_portrait_4x5", "reel_vertical_9x16", "video_still_16x9")])
+    decisions = t.v_audit.filter(F.col("action").isin("variant.published", "variant.quarantined")).select("id", F.col("at").alias("decided_at"), F.element_at(ids, F.col("profile_no") + 1).alias("profile_id"))
+    return revalidation.decided_by(decisions, profiles).select("id", "version")
+
+
+@query(RULES + """, e as (select f.media_id, min(sample) filter (where subject and safe < 0.97) as first_safe from f group by f.media_id)
+select media_id, rule_id, faces::int as faces, subjects::int as subjects, case rule_id when 'subject.safe_zone' then n_safe when 'subject.face_integrity' then n_clipped end::int as n,
+  case when rule_id = 'subject.safe_zone' then first_safe end as first_sample
+from (select media_id, rule_id from rated where rule_id in ('subject.safe_zone', 'subject.face_integrity')) r join (select media_id, subjects as s, n_safe, n_clipped, nullif(subjects, 0) as _, faces, subjects from a) a using (media_id)
+left join e using (media_id) where faces > 0""")
+def evidence_paths(t):
+    """Evidence as VARIANT, asked by path."""
+    from gatelight.operators.evidence import paths
+
+    held = results(t, "evidence").filter(F.col("rule_id").isin("subject.safe_zone", "subject.face_integrity"))
+    own = F.when(F.col("rule_id") == "subject.safe_zone", F.col("n_safe")).otherwise(F.col("n_clipped"))
+    asked = paths(held, faces="$.faces int", subjects="$.subjects int", n_safe="$.n_safe int", n_clipped="$.n_clipped int", first_sample="$.first_safe[0].sample int")
+    return asked.filter("faces > 0").select("media_id", "rule_id", "faces", "subjects", own.alias("n"), "first_sample")
 
 
 @query("""with r as (select * from (values ('image', 'hero_landscape_16x9'), ('image', 'social_square_1x1'), ('image', 'story_vertical_9x16'), ('image', 'feed_portrait_4x5'), ('video', 'reel_vertical_9x16'), ('video', 'video_still_16x9')) r(kind, profile_id))

@@ -68,9 +68,10 @@ def audit_page(t):
     return store.page(t.v_audit, "at", "id", 200, 50).select(*_AUDIT.split(", "))
 
 
-@query("select asset_id, title, kind, created_at from {v_assets} where created_at is not null order by created_at desc, asset_id desc limit 100")
+@query("select asset_id, title, kind, created_at from {v_assets} order by created_at desc nulls last, asset_id desc limit 100")
 def assets_page(t):
-    return store.page(t.v_assets.filter("created_at is not null"), "created_at", "asset_id", 100).select("asset_id", "title", "kind", "created_at")
+    """The newest assets; those without a time come last."""
+    return store.page(t.v_assets, "created_at", "asset_id", 100).select("asset_id", "title", "kind", "created_at")
 
 
 @query(f"select {_AUDIT} from {{v_audit}} where asset_id = 7 and action = 'variant.published'")
@@ -190,10 +191,13 @@ def box_forms(t):
     return t.v_faces.select("frame_id", "face_no", px["x"].alias("x"), px["y"].alias("y"), px["w"].alias("w"), px["h"].alias("h"), clamped["x1"].alias("nx1"), clamped["y2"].alias("ny2"))
 
 
-@query("""select profile_id, round(cast(split_part(ratio, ':', 1) as double) / cast(split_part(ratio, ':', 2) as double), 6) as ratio_value, ratio as label from {v_profiles}""")
+@query("""with n as (select n, k, r from (select unnest(['16:9', '9:16', '1:1', '4:5']) as n, unnest([16/9::double, 9/16::double, 1.0, 0.8]) as r, unnest([1, 2, 3, 4]) as k) x),
+m as (select media_id, round(cast(split_part(p.ratio, ':', 1) as double) / cast(split_part(p.ratio, ':', 2) as double), 6) as wanted, m.width / m.height::double as value from {v_media} m join {v_profiles} p using (profile_id))
+select media_id, wanted, coalesce(arg_min(n, k), printf('%.4f', any_value(value))) as label from m left join n on abs(value - r) <= 0.02 * r group by media_id, wanted""")
 def aspect_parse_label(t):
-    ratio = boxes.parse_aspect(F.col("ratio"))
-    return t.v_profiles.select("profile_id", r6(ratio).alias("ratio_value"), boxes.aspect_label(ratio).alias("label"))
+    """Per medium the ratio its profile writes, as a number, and the name of the ratio it has."""
+    media = t.v_media.join(F.broadcast(t.v_profiles.select("profile_id", "ratio")), "profile_id")
+    return media.select("media_id", r6(boxes.parse_aspect(F.col("ratio"))).alias("wanted"), boxes.aspect_label(F.col("width") / F.col("height")).alias("label"))
 
 
 @query("""select m.media_id, greatest(floor(case when w > r * h then h * r else w end), 1)::int as w, greatest(floor(case when w > r * h then h else w / r end), 1)::int as h
@@ -258,10 +262,11 @@ def presence_gap(t):
     return gaps.select("clip_id", "samples", r6("coverage").alias("coverage"), "longest_gap_s", F.when(lost, "fail").otherwise("pass").alias("outcome"))
 
 
-@query("select frame_id, arg_max(face_no, (round((x2 - x1) * (y2 - y1) * (0.5 + conf), 6), -face_no)) as face_no from {v_faces} group by frame_id")
+@query("select frame_id, arg_max(face_no, (round((x2 - x1) * (y2 - y1) * (0.5 + conf) * (1 + 2 * (face_no % 3) / 4.0::double), 6), -face_no)) as face_no from {v_faces} group by frame_id")
 def primary_face(t):
-    b = _box()
-    rank = F.struct(F.round(boxes.area(b) * (0.5 + F.col("conf")), 6).alias("r"), (-F.col("face_no")).alias("n"))
+    """The largest face of a frame, by confidence and by how much it speaks."""
+    speaking = F.col("face_no") % 3 / 4
+    rank = F.struct(F.round(boxes.area(_box()) * (0.5 + F.col("conf")) * (1 + 2 * speaking), 6).alias("r"), (-F.col("face_no")).alias("n"))
     return t.v_faces.groupBy("frame_id").agg(F.max_by("face_no", rank).alias("face_no"))
 
 

@@ -3,7 +3,7 @@
 #: Profiles, zones and limits of the delivery contract.
 SHEET = {
     "defaults": {
-        "image": {"max_file_size_mb": 8, "min_sharpness": 45.0, "max_letterbox_fraction": 0.01, "luma_mean_range": [22, 238], "jpeg_quality": 92},
+        "image": {"max_file_size_mb": 8, "min_sharpness": 45.0, "max_letterbox_fraction": 0.01, "luma_mean_range": [22, 238]},
         "video": {
             "container": "mp4", "video_codec": "h264", "pixel_format": "yuv420p", "audio_codec": "aac", "audio_channels": 2,
             "audio_sample_rate": 48000, "max_file_size_mb": 120, "max_letterbox_fraction": 0.01, "min_sharpness": 6.0,
@@ -15,18 +15,18 @@ SHEET = {
         },
     },
     "profiles": [
-        {"id": "hero_landscape_16x9", "label": "Hero Landscape", "ratio": "16:9", "kind": "image", "width": 1920, "height": 1080, "safe_zones": {"action": [0.04, 0.04, 0.96, 0.96]}, "min_face": 0.06},
-        {"id": "social_square_1x1", "label": "Social Square", "ratio": "1:1", "kind": "image", "width": 1080, "height": 1080, "safe_zones": {"action": [0.05, 0.05, 0.95, 0.95]}, "min_face": 0.08},
+        {"id": "hero_landscape_16x9", "ratio": "16:9", "kind": "image", "width": 1920, "height": 1080, "safe_zones": {"action": [0.04, 0.04, 0.96, 0.96]}, "min_face": 0.06},
+        {"id": "social_square_1x1", "ratio": "1:1", "kind": "image", "width": 1080, "height": 1080, "safe_zones": {"action": [0.05, 0.05, 0.95, 0.95]}, "min_face": 0.08},
         {
-            "id": "story_vertical_9x16", "label": "Story / Vertical", "ratio": "9:16", "kind": "image", "width": 1080, "height": 1920, "safe_zones": {"action": [0.05, 0.14, 0.95, 0.84]}, "min_face": 0.09,
+            "id": "story_vertical_9x16", "ratio": "9:16", "kind": "image", "width": 1080, "height": 1920, "safe_zones": {"action": [0.05, 0.14, 0.95, 0.84]}, "min_face": 0.09,
             "reserved_zones": [
                 {"name": "top_chrome", "rect": [0.00, 0.00, 1.00, 0.12]}, {"name": "bottom_chrome", "rect": [0.00, 0.86, 1.00, 1.00]},
                 {"name": "action_rail", "rect": [0.82, 0.55, 1.00, 0.86]},
             ],
         },
-        {"id": "feed_portrait_4x5", "label": "Feed Portrait", "ratio": "4:5", "kind": "image", "width": 1080, "height": 1350, "safe_zones": {"action": [0.05, 0.06, 0.95, 0.94]}, "min_face": 0.08},
+        {"id": "feed_portrait_4x5", "ratio": "4:5", "kind": "image", "width": 1080, "height": 1350, "safe_zones": {"action": [0.05, 0.06, 0.95, 0.94]}, "min_face": 0.08},
         {
-            "id": "reel_vertical_9x16", "label": "Vertical Reel (speaker-aware)", "ratio": "9:16", "kind": "video", "width": 1080, "height": 1920,
+            "id": "reel_vertical_9x16", "ratio": "9:16", "kind": "video", "width": 1080, "height": 1920,
             "fps_range": [23.0, 61.0], "duration_range_s": [3.0, 90.0], "bitrate_kbps_range": [1500, 14000], "safe_zones": {"action": [0.05, 0.14, 0.95, 0.84]}, "min_face": 0.10,
             "reserved_zones": [
                 {"name": "top_chrome", "rect": [0.00, 0.00, 1.00, 0.12]}, {"name": "bottom_chrome", "rect": [0.00, 0.86, 1.00, 1.00]},
@@ -34,7 +34,7 @@ SHEET = {
             ],
             "overrides": {"min_active_speaker_coverage": 0.80},
         },
-        {"id": "video_still_16x9", "label": "Key Still (from video)", "ratio": "16:9", "kind": "image", "width": 1920, "height": 1080, "safe_zones": {"action": [0.04, 0.04, 0.96, 0.96]}, "min_face": 0.05, "overrides": {"min_sharpness": 60.0}},
+        {"id": "video_still_16x9", "ratio": "16:9", "kind": "image", "width": 1920, "height": 1080, "safe_zones": {"action": [0.04, 0.04, 0.96, 0.96]}, "min_face": 0.05, "overrides": {"min_sharpness": 60.0}},
     ],
     "render_sets": {
         "image": ["hero_landscape_16x9", "social_square_1x1", "story_vertical_9x16", "feed_portrait_4x5"],

@@ -100,3 +100,16 @@ def test_a_rule_of_ones_own_and_one_that_cannot_be_judged(spark):
     broken = rules.Rule("own.null", "error", F.lit(True), F.when(F.col("x") > 3, "pass"))
     found = {(r.id, r.rule_id): (r.outcome, r.severity) for r in rules.evaluate(df, ["id"], [own, broken]).collect()}
     assert found == {(1, "own.small"): ("fail", "error"), (2, "own.small"): ("pass", "info"), (1, "own.null"): ("pass", "info"), (2, "own.null"): ("fail", "error")}
+
+
+def test_plans_hold_only_what_is_read(spark, sf_dir):
+    """No text or evidence is made for queries that read outcomes alone, and evidence is limited before its shuffle."""
+    from gatelight.plans import gate, views
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    t = views.Tables(spark, sf_dir)
+    for q in (gate.report_summary, gate.gate_verdict, gate.report_order, gate.decision_audit):
+        assert not any(x in plan(q(t)) for x in ("first_safe", "format_string")), q
+        assert q is gate.decision_audit or "to_json" not in plan(q(t)).lower()  # the audit writes JSON of its own
+    full = plan(gate.results(t, "expected", "actual", "evidence"))
+    assert "first_safe" in full and "WindowGroupLimit" in full
