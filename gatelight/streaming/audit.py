@@ -44,12 +44,13 @@ def dispatch(handlers: dict[str, Callable[[DataFrame], DataFrame]], kind: str =
 def consume_jobs(jobs: DataFrame, handle, results: str, checkpoint: str) -> StreamingQuery:
     """Run ``handle(batch)`` on each micro-batch of jobs and write its rows under the batch's number.
 
-    A batch that is retried overwrites its own folder, so results count once. A job listed more than ``ATTEMPTS`` times (``attempt`` column)
-    is not run again and comes out as dead.
+    A batch that is retried overwrites its own folder, so results count once. Of several listings of a job the one of most attempts holds; one listed more than
+    ``ATTEMPTS`` times (``attempt`` column) is not run again and comes out as dead. ``leases`` counts attempts itself.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        once = batch.dropDuplicates(["job_id"])
+        rest = [c for c in batch.columns if c != "job_id"]
+        once = batch.groupBy("job_id").agg(F.max_by(F.struct(*rest), "attempt").alias("r")).select("job_id", *[f"r.{c}" for c in rest])
         done = handle(once.filter(F.col("attempt") <= ATTEMPTS))
         dead = once.filter(F.col("attempt") > ATTEMPTS).select("job_id", F.lit("dead").alias("status"))
         done.select("job_id", "status").unionByName(dead).write.mode("overwrite").parquet(f"{results}/batch={number}")

@@ -11,7 +11,7 @@ from gatelight.functions import network, sql
 from gatelight.operators import store
 from gatelight.plans import spec
 from gatelight.sources import media, pcm
-from gatelight.streaming import audit, shots
+from gatelight.streaming import audit, leases, shots
 from pyspark.sql import functions as F
 
 
@@ -163,12 +163,74 @@ def test_audit_stream_equals_batch(spark, tmp_path):
 
 
 def test_jobs_run_once_and_dead_letters(spark, tmp_path):
-    spark.createDataFrame([(1, 1), (1, 1), (2, 3), (3, 4)], "job_id long, attempt int").coalesce(1).write.parquet(str(tmp_path / "jobs"))
+    spark.createDataFrame([(1, 1), (1, 1), (2, 3), (3, 4), (3, 1)], "job_id long, attempt int").coalesce(1).write.parquet(str(tmp_path / "jobs"))
     jobs = spark.readStream.schema("job_id long, attempt int").parquet(str(tmp_path / "jobs"))
     audit.consume_jobs(jobs, lambda b: b.withColumn("status", F.lit("succeeded")), str(tmp_path / "done"), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "done")).select("job_id", "status").collect()) == [(1, "succeeded"), (2, "succeeded"), (3, "dead")]
 
 
+def plain_queue(events, moved_to, lease=100):
+    """Outputs of a queue that sees ``events`` (job, event, second) in order of time, with the clock at ``moved_to`` in the end."""
+    jobs, out = {}, []
+
+    def deliver(job, now):
+        if jobs[job]["tries"] == 3:
+            jobs[job]["state"] = "dead"
+            out.append((job, "dead", 3, now))
+        else:
+            jobs[job] |= {"tries": jobs[job]["tries"] + 1, "due": now + lease}
+            out.append((job, "deliver", jobs[job]["tries"], now))
+
+    for job, event, now in [*sorted(events, key=lambda e: e[2]), (None, None, moved_to)]:
+        while lapsed := [(j["due"], k) for k, j in jobs.items() if j["state"] == "leased" and j["due"] < now]:
+            due, k = min(lapsed)
+            deliver(k, due)
+        if event == "submit" and job not in jobs:
+            jobs[job] = {"state": "leased", "tries": 0}
+            deliver(job, now)
+        elif job in jobs and jobs[job]["state"] == "leased":
+            if event == "ack":
+                jobs[job]["state"] = "done"
+                out.append((job, "done", jobs[job]["tries"], now))
+            elif event == "nack":
+                deliver(job, now)
+            elif event == "extend":
+                jobs[job]["due"] = now + lease
+    return sorted(out)
+
+
+def test_leases_lapse_and_come_back_across_restarts(spark, tmp_path):
+    """Each run stops and starts the stream again: attempts are the queue's own count, a job is dead after three, one that is done is never run again."""
+    start, events, clock = dt.datetime(2024, 5, 1, tzinfo=dt.timezone.utc), [], 0
+    feeds = [
+        [("a", "submit", 0), ("b", "submit", 1), ("c", "submit", 2), ("c", "submit", 3)],
+        [("a", "ack", 50), ("b", "extend", 60), ("tick1", "submit", 130)],  # c lapses
+        [("c", "nack", 135), ("a", "submit", 140), ("tick1", "ack", 150), ("tick2", "submit", 170)],  # b lapses
+        [("b", "ack", 180), ("b", "nack", 181), ("nobody", "ack", 182), ("tick2", "ack", 190), ("tick3", "submit", 400)],  # c lapses for good
+        [("c", "submit", 410), ("tick3", "ack", 420), ("tick4", "submit", 500)],
+    ]
+    for k, feed in enumerate(feeds):
+        rows = [(j, e, start + dt.timedelta(seconds=s), j) for j, e, s in feed] + [(None, "submit", start, None), ("x", "ack", None, None)]
+        spark.createDataFrame(rows, "job_id string, event string, at timestamp, payload string").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        stream = spark.readStream.schema("job_id string, event string, at timestamp, payload string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+        handle = lambda batch: batch.select("job_id", F.concat(F.lit("ran "), "payload").alias("status"))
+        leases.work(leases.deliveries(stream, lease_s=100), handle, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(180)
+        events, clock = events + feed, max(s for _, _, s in feed)
+    found = sorted((r.job_id, "deliver" if r.status.startswith("ran ") else r.status, r.attempt, round((r.at.timestamp() - start.timestamp()))) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = plain_queue(events, clock)
+    assert found == want
+    assert [x[1:3] for x in found if x[0] == "c"] == [("dead", 3), ("deliver", 1), ("deliver", 2), ("deliver", 3)]
+    assert [x[1:3] for x in found if x[0] == "a"] == [("deliver", 1), ("done", 1)]
+
+
+def test_a_lease_of_a_job_without_state():
+    assert leases.on_event(None, "ack", 5, None, 100) == (None, None) and leases.on_timer(None, 5, 100) == (None, None)
+    held, _ = leases.on_event(None, "submit", 5, "p", 100)
+    assert leases.on_timer(held, 104, 100) == (held, None)  # a timer of an earlier lease
+    ended, _ = leases.on_event(held, "ack", 9, None, 100)
+    assert leases.on_event(ended, "nack", 10, None, 100) == (ended, None) and leases.on_timer(ended, ended[2], 100) == (None, None)
+
+
 def test_shot_stream(spark, tmp_path):
     values = [None, *[0.99] * 9, 0.3, *[0.98] * 5]
     rows = [(c, i, v) for c in (1, 2) for i, v in enumerate(values)]
