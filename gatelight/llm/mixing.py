@@ -3,13 +3,15 @@
 Each document gets a rate exp(lambda of its source): among all rates that meet the token constraints, those closest in relative
 entropy to taking everything once. Newton iterations on the convex dual find the multipliers from the per-source token counts, which one
 aggregate over all documents makes. With source totals as the only constraints the dual falls apart into one equation a source, and the
-iterations end at target / size, as a closed form would; they are carried out all the same, until each has converged.
+iterations end at target / size, as a closed form would; they are carried out all the same, until each has converged. Targets by source and by language (or any
+columns) at once do not fall apart: ``coupled_rates`` takes Newton steps with the whole Hessian, which one aggregate over the cells of the columns gives a step.
 Rates are then rounded into copies: every document gets the whole part, and documents in a fixed random order get one copy more until
 the source's target is met. Native: DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,13 +78,94 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Repeated rows are equal in order: the words they take are the same whichever comes first. Null ids come first in the
     rounding order. An empty table gives an empty table.
     """
+    return _mixed(docs, id_col, text_col, F.col(source_col), lambda sizes: newton_rates(source_targets(sizes, weights, cap)), cap)
+
+
+def mix_by(docs: DataFrame, targets: dict[str, dict], id_col: str = "doc_id", text_col: str = "text", cap: int = 1000) -> DataFrame:
+    """``mix`` under targets by several columns at once: ``targets`` has, per column of ``docs``, the words of each of its values (those of a null under None).
+
+    Targets are met per cell of the columns to the word, so those of each value to a word per cell. Added columns and cases are those of ``mix``, where "source" is the cell.
+    A value without a target is not taken. Rates over ``cap`` are an error, as are targets that no rates can meet.
+    """
+    dims = list(targets)
+    cell = F.struct(*[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(dims)])
+
+    def rates(sizes: DataFrame) -> DataFrame:
+        cells = sizes.select("src", "source_size", *[F.col("src")[f"v{i}"].alias(c) for i, c in enumerate(dims)])
+        solved = coupled_rates(cells, targets, "source_size").select("src", "source_size", (F.col("rate") * F.col("source_size")).alias("target"), "rate")
+        over = F.raise_error(F.lit(f"a rate is over {cap}")).cast("double")
+        return solved.withColumn("rate", F.when(F.col("rate") > cap, over).otherwise(F.col("rate")))
+
+    return _mixed(docs, id_col, text_col, cell, rates, cap)
+
+
+def coupled_rates(cells: DataFrame, targets: dict[str, dict], size: str = "size", steps: int = NEWTON_STEPS) -> DataFrame:
+    """``cells`` plus ``rate`` = exp(sum of one multiplier per column of ``targets``): nearest, in relative entropy, to taking everything once.
+
+    ``cells``: one row per combination of the columns, with ``size``; ``targets``: per column the tokens wanted of each value. The dual is convex and its Hessian couples
+    columns through the cells: each step sums gradient and Hessian over the cells in one aggregate (a row per pair of values that meet), solves the system of all values on the driver
+    (values, not documents: thousands at most), and halves the step while the dual does not fall. Values without a target, or with target 0, get rate 0, and so do cells without
+    tokens. Raises ValueError if the columns' targets do not sum to the same or cannot be met.
+    """
+    dims, scratch = list(targets), Scratch(cells.sparkSession)
+    wanted = {c: {v: float(t) for v, t in targets[c].items() if t > 0} for c in dims}
+    sums = [sum(w.values()) for w in wanted.values()]
+    if max(sums) - min(sums) > 1e-9 * max(sums):
+        raise ValueError(f"targets must sum to the same over each column: {dict(zip(dims, sums))}")
+    place = {(c, v): k for k, (c, v) in enumerate((c, v) for c in dims for v in wanted[c])}
+    goal = np.array([wanted[c][v] for c, v in place])
+
+    def of(c: str, values: dict):
+        out = F.lit(None).cast("double")
+        for v, x in values.items():
+            out = F.when(F.col(c).eqNullSafe(F.lit(v)), F.lit(float(x))).otherwise(out)
+        return out
+
+    cells_kept = scratch.keep(cells, "cells")
+    open_ = F.col(size) > 0
+    for c in dims:
+        open_ = open_ & of(c, dict.fromkeys(wanted[c], 0.0)).isNotNull()
+    # the multipliers sum to the cell's exponent
+    exponent = lambda lam: sum((of(c, {v: lam[place[c, v]] for v in wanted[c]}) for c in dims[1:]), of(dims[0], {v: lam[place[dims[0], v]] for v in wanted[dims[0]]}))
+
+    def measured(lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        taken = cells_kept.filter(open_).withColumn("_w", F.col(size) * F.exp(exponent(lam)))
+        met = taken.groupBy(*dims).agg(F.sum("_w").alias("_w")).collect()  # cells of the targets' values
+        hessian = np.zeros((len(goal), len(goal)))
+        for r in met:
+            at = [place[c, r[c]] for c in dims]
+            hessian[np.ix_(at, at)] += r["_w"]
+        return np.diag(hessian).copy(), hessian
+
+    lam = np.zeros(len(goal))
+    got, hessian = measured(lam)
+    dual = lambda lam, got: got.sum() / len(dims) - goal @ lam
+    for _ in range(steps):
+        if (np.abs(got - goal) <= 1e-9 * goal).all():
+            rate = F.when(open_, F.exp(exponent(lam))).otherwise(0.0)
+            return cells_kept.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
+        move = np.linalg.lstsq(hessian, got - goal, rcond=1e-12)[0]  # columns share one degree of freedom: the least move of those that do
+        size_of = 1.0 / max(1.0, np.abs(move).max() / 2)
+        before = dual(lam, got)
+        while size_of > 1e-6:
+            tried = lam - size_of * move
+            new, curved = measured(tried)
+            if dual(tried, new) <= before + 1e-12 * abs(before):
+                break
+            size_of /= 2
+        lam, got, hessian = tried, new, curved
+    raise ValueError(f"targets cannot be met: off by {np.abs(got - goal).max():.3g} tokens after {steps} steps")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source, rates_of, cap: int) -> DataFrame:
+    """``mix`` under the rates that ``rates_of`` gives to sizes (src, source_size)."""
     scratch, added = Scratch(docs.sparkSession), ("size", "source_size", "target", "copies", "extra_words", "taken")
     own = [c for c in docs.columns if c not in added]
-    flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(source_col).alias("src"), F.col(id_col).alias("d"), word_count(F.col(text_col)).alias("size"))
+    flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], source.alias("src"), F.col(id_col).alias("d"), word_count(F.col(text_col)).alias("size"))
     rows = flat.withColumn("o", F.md5(F.coalesce(F.col("d").cast("string"), F.lit(""))))
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("o", 1, 3), 16, 10).cast("int"), 12 - BUCKET_BITS))
     sizes = scratch.keep(rows.groupBy("src", "bucket").agg(F.sum("size").alias("n")), "sizes")
-    rates = newton_rates(source_targets(sizes.groupBy("src").agg(F.sum("n").alias("source_size")), weights, cap))
+    rates = rates_of(sizes.groupBy("src").agg(F.sum("n").alias("source_size")))
     rates = rates.withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(cap)).cast("long")).withColumnRenamed("src", "s")
     upto = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     goal = F.round(F.round(F.col("rate") * F.col("source_size"), 5)).cast("long") - F.col("whole") * F.col("source_size")

@@ -46,6 +46,46 @@ def quality(text, window=5):
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def quality_votes(text):
+    """The ten rules' votes, from the text itself."""
+    import unicodedata
+
+    text = text or ""
+    n, chars, symbols, dup_lines, repeats = quality(text)
+    kinds = Counter(unicodedata.category(c) for c in text)
+    letters, capitals = sum(v for k, v in kinds.items() if k[0] == "L"), kinds["Lu"]
+    lines = [x for x in text.split("\n") if words(x)]
+    per = lambda a, b: a / max(b, 1)
+    stops, mean = per(text.count(".") + text.count("?"), n), per(chars, n)
+    bad = [n < 10, per(symbols, n) > 0.1, per(text.count("|"), n) > 0.1, per(capitals, letters) > 0.3, per(text.count("!"), n) > 0.2, per(repeats, n) > 0.2, per(dup_lines, len(lines)) > 0.3, per(letters, chars) < 0.7]
+    prose = [1 if 0.02 <= stops <= 0.4 else -1 if stops < 0.005 and n >= 50 else 0, 1 if 2.5 <= mean <= 12 else -1 if mean < 2 or mean > 15 else 0]
+    return (*[-1 if b else 0 for b in bad], *prose)
+
+
+def quality_fit(votes, steps=300, tolerance=1e-4):
+    """EM over the votes of all documents; the posterior of good as a function of votes."""
+    import math
+
+    counts, rules = Counter(votes), len(votes[0])
+    prior, good, bad = 0.8, [[0.02, 0.68, 0.3] for _ in range(rules)], [[0.3, 0.55, 0.15] for _ in range(rules)]
+
+    def posterior(v):
+        a, b = (x * math.prod(table[r][v[r] + 1] for r in range(rules)) for x, table in ((prior, good), (1 - prior, bad)))
+        return a / (a + b)
+
+    for _ in range(steps):
+        p = {v: posterior(v) for v in counts}
+        n, g = sum(counts.values()), sum(counts[v] * p[v] for v in counts)
+        new = (g + 1) / (n + 2)
+        to = lambda weight, whole: [[(sum(counts[v] * weight(v) for v in counts if v[r] == x) + 1) / (whole + 3) for x in (-1, 0, 1)] for r in range(rules)]
+        tables = to(lambda v: p[v], g), to(lambda v: 1 - p[v], n - g)  # noqa: B023
+        moved = max(abs(new - prior), *(abs(a - b) for old, now in zip((good, bad), tables) for x, y in zip(old, now) for a, b in zip(x, y)))
+        prior, (good, bad) = new, tables
+        if moved <= tolerance:
+            break
+    return posterior
+
+
 def shingles(text, n):
     w = words((text or "").translate(LOWER))
     return set() if not w else {tuple(w)} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}

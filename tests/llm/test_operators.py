@@ -71,6 +71,29 @@ def test_quality_counts(docs, rows):
         assert not (r.base_failed and r.kept) and 0 <= r.quality <= 1
 
 
+def plain_verdicts(table):
+    """(id, base_failed, kept) of each row, from the texts alone."""
+    votes = [brute.quality_votes(t) for _, t in table]
+    posterior = brute.quality_fit(votes)
+    out = []
+    for (i, t), v in zip(table, votes):
+        n, *_, repeats = brute.quality(t)
+        failed = n < 10 or 100 * repeats > 20 * n
+        out.append((i, failed, not failed and posterior(v) >= 0.5))
+    return sorted(out, key=repr)
+
+
+def test_quality_verdict_against_a_plain_fit(docs, rows):
+    out = quality.judge(docs)
+    want = plain_verdicts(rows)
+    assert got(out, "doc_id", "base_failed", "kept") == want and {k for *_, k in want} == {True, False}
+
+
+def test_quality_query_against_a_plain_fit(spark, sf_dir):
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert got(queries.queries()["op2_quality_rules"](spark, sf_dir), "doc_id", "base_failed", "kept") == plain_verdicts(table)
+
+
 def test_quality_em_finds_the_classes(spark):
     rng = random.Random(3)
     pattern = lambda good: [1 if rng.random() < 0.9 else 0] * 2 if good else [0, 0]
@@ -599,6 +622,58 @@ def test_mixing(docs, rows):
     assert sum(len(brute.words(r["text"])) for r in whole) == sum(taken.values())
 
 
+def plain_fit(cells, targets, rounds=5000):
+    """Iterative proportional fitting, one column after the other; its limit is the entropy balance."""
+    rate = {c: 1.0 for c in cells}
+    for _ in range(rounds):
+        for k, wanted in enumerate(targets):
+            held = defaultdict(float)
+            for c, n in cells.items():
+                held[c[k]] += n * rate[c]
+            rate = {c: r * wanted.get(c[k], 0.0) / held[c[k]] if held[c[k]] else 0.0 for c, r in rate.items()}
+    return rate
+
+
+def test_coupled_targets_against_a_plain_solver(spark):
+    rng = random.Random(6)
+    cells = {(a, b): rng.randrange(1, 5000) for a in ("web", "code", "books", None) for b in ("en", "de", "fr", None) if (a, b) != ("code", "fr")}
+    cells[("web", "xx")] = 700  # a language without a target
+    cells[("books", "de")] = 0
+    df = spark.createDataFrame([(a, b, n) for (a, b), n in cells.items()], "source string, lang string, size long")
+    targets = {"source": {"web": 4000, "code": 3000, "books": 2500, None: 500}, "lang": {"en": 6000, "de": 2500, "fr": 1000, None: 500}}
+    found = {(r.source, r.lang): r.rate for r in mixing.coupled_rates(df, targets).collect()}
+    want = plain_fit(cells, list(targets.values()))
+    for c, n in cells.items():
+        assert found[c] * n == pytest.approx(want[c] * n, abs=1e-3), c
+    assert found["web", "xx"] == 0 and len(found) == len(cells)
+    with pytest.raises(ValueError, match="sum to the same"):
+        mixing.coupled_rates(df, {"source": {"web": 1}, "lang": {"en": 2}})
+    apart = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "source string, lang string, size long")
+    with pytest.raises(ValueError, match="cannot be met"):
+        mixing.coupled_rates(apart, {"source": {"a": 3, "b": 7}, "lang": {"x": 7, "y": 3}}, steps=12)
+
+
+def test_mix_by_two_columns(docs, rows):
+    sizes = defaultdict(int)
+    for r in docs.select("source", "lang", "text").collect():
+        sizes[r.source, r.lang] += len(brute.words(r.text))
+    targets = [defaultdict(float), defaultdict(float)]
+    for k, (c, n) in enumerate(sorted(sizes.items(), key=repr)):  # what some rates by cell would take can be met
+        for t, v in zip(targets, c):
+            t[v] += n * (0.5 + k % 4 * 0.5)
+    targets = [{v: round(x) for v, x in t.items()} for t in targets]
+    gap = sum(targets[0].values()) - sum(targets[1].values())
+    targets[1][max(targets[1], key=targets[1].get)] += gap
+    out = mixing.mix_by(docs, dict(zip(("source", "lang"), targets))).collect()
+    assert len(out) == len(rows)
+    for k, c in enumerate(("source", "lang")):
+        taken = defaultdict(int)
+        for r in out:
+            taken[r[c]] += r.taken
+        cells = len({x for x in sizes})
+        assert all(abs(taken[v] - t) <= cells for v, t in targets[k].items())
+
+
 def test_language_profiles(spark):
     rng = random.Random(4)
     stems = {"aa": ["kala", "maki", "tuka", "lika"], "bb": ["strend", "gruft", "schwor", "drangt"], "cc": ["éole", "mûrie", "naïa", "çavoir"]}
