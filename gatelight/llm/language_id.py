@@ -33,7 +33,7 @@ SAMPLE_DOCS = 20_000
 UNKNOWN = "und"
 #: Rows handled together: row, n-gram length and three 16-bit letters then share one 64-bit sort key.
 ROWS = 256
-CHARS = 1 << 20
+CHARS = 1 << 19  # characters whose n-grams are counted at a time; their arrays take about 100 bytes a character
 BLANK = 1
 
 
