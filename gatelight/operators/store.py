@@ -161,3 +161,8 @@ def diagnostics(variants: DataFrame, results: DataFrame, audit: DataFrame, key:
         F.concat(F.lit("failed rules: "), F.when(F.coalesce(F.col("failed"), F.lit("")) == "", "none").otherwise(F.col("failed"))), F.format_string("%d audit event(s)", F.coalesce("events", F.lit(0))),
     )
     return joined.select(key, lines.alias("summary"))
+
+
+def write_diagnostics(reports: DataFrame, path: str, key: str = "asset_id") -> None:
+    """Reports as text documents, a folder for each asset; a repeat replaces the folders of the assets it holds, and no others."""
+    reports.select(key, "summary").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n\n").partitionBy(key).text(path)

@@ -2,8 +2,8 @@
 
 A table is a folder of Parquet partitioned by its own columns. A change reads the partitions that it may touch (by their own values, so the others
 are not opened), writes what stays or comes anew to a staging folder beside the table, and puts it in place of those partitions alone by a dynamic partition
-overwrite. The counts that a caller wants come from an ``Observation`` in the same pass. Repeating a change finds nothing left to do; a change that dies before
-its overwrite has changed nothing. Deletions count rows, as tables may hold equal ones.
+overwrite. The counts that a caller wants come from an ``Observation`` in the same pass. Repeating a change finds nothing left to do. A change that dies before
+its overwrite has changed nothing; one that dies in it may have changed some partitions and not others, and repeating it finishes it. One writer at a time.
 """
 
 from __future__ import annotations

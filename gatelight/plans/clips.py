@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatelight.functions import boxes
+from gatelight.functions import boxes, tables
 from gatelight.operators import crop, folds, framing, sequences, speakers, tracking
 
 from .registry import query
@@ -202,18 +202,28 @@ def body_boxes(t):
     return t.v_faces.select("frame_id", "face_no", *[_r6(body[c]).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("""with d as (select *, unnest([2, 3, 4, 6, 8]) as n from (select media_id, width, height from {v_media})),
+_TILES = """with d as (select *, unnest([2, 3, 4, 6, 8]) as n from (select media_id, width, height from {v_media})),
 l as (select *, row_number() over (partition by media_id order by n desc) as back from d where greatest(width, height) / n >= 420),
 k as (select *, greatest(1, width // n) as tw, greatest(1, height // n) as th from l where back <= 4),
 xs as (select distinct media_id, n, width, height, tw, th, least(x, greatest(width - tw, 0)) as x from (select *, unnest(range(0, width, greatest(1, floor(tw * 0.75)::int))) as x from k) q),
 ys as (select distinct media_id, n, least(y, greatest(height - th, 0)) as y from (select *, unnest(range(0, height, greatest(1, floor(th * 0.75)::int))) as y from k) q),
 t as (select xs.*, y from xs join ys using (media_id, n)),
 c as (select media_id, n, sum(count(*)) over (partition by media_id order by n) as used from t group by media_id, n)
-select media_id, n::int as division, x::int as x, y::int as y, least(tw, width - x)::int as w, least(th, height - y)::int as h from t join c using (media_id, n) where used <= 80""")
+select media_id, n::int as division, x::int as x, y::int as y, least(tw, width - x)::int as w, least(th, height - y)::int as h from t join c using (media_id, n) where used <= 80"""
+
+
+@query(_TILES)
 def detector_tiles(t):
     return crop.tiles(t.v_media.select("media_id", "width", "height"), "media_id")
 
 
+@query(_TILES)
+def lateral_tiles(t):
+    """The same tiles by a table function, joined laterally in SQL."""
+    tables.register(t._spark)
+    return t._spark.sql("select media_id, t.* from {media} m, lateral frame_tiles(m.width, m.height) t", media=t.v_media)
+
+
 def path_faces(t):
     """Faces of the three tracks where they are present; the one heard most in a step with speech is its speaker."""
     side, high = (F.col("cx").cast("int"), F.col("cy").cast("int"))
@@ -246,12 +256,22 @@ def tracked_series(t):
     return found.join(tracking.track_faces(found, "clip_id", (CLIP_W**2 + CLIP_H**2) ** 0.5), ["clip_id", "frame_i", "face_no"])
 
 
+def clip_audio(t):
+    """The sound of clips, sampled beside their steps."""
+    return t.v_steps.select("clip_id", (F.col("t") + 0.03).alias("t"), F.col("speech").alias("energy"), F.greatest(F.lit(0.0), 1 - F.col("speech") / 2).alias("speech"))
+
+
+@query()
+def ncc_speaker(t):
+    """How well each track's mouth follows the sound of its clip, at every step the track is present."""
+    scored = speakers.track_scores(tracked_series(t), t.v_steps, clip_audio(t), 10.0)
+    return scored.select("clip_id", F.col("i").cast("int").alias("i"), "track_id", _r6("score").alias("score"))
+
+
 @query()
 def speaker_timeline(t):
     """From detections to the speaker of each step: tracks, mouths against the clip's sound, shares of those present, hysteresis; no SQL, as tracks come of an assignment."""
-    steps = sequences.shot_ids(t.v_steps, "low_corr")
-    audio = steps.select("clip_id", (F.col("t") + 0.03).alias("t"), F.col("speech").alias("energy"), F.greatest(F.lit(0.0), 1 - F.col("speech") / 2).alias("speech"))
-    return speakers.timeline(tracked_series(t), steps, audio, 10.0).withColumn("score", _r6("score"))
+    return speakers.timeline(tracked_series(t), sequences.shot_ids(t.v_steps, "low_corr"), clip_audio(t), 10.0).withColumn("score", _r6("score"))
 
 
 @query()
@@ -262,3 +282,13 @@ def clip_tracks(t):
     all_ = tracking.finished(kept, "clip_id", 1).join(kept.groupBy("clip_id", "track_id").agg(F.max("shot_id").alias("shot")), ["clip_id", "track_id"]).join(ends, "clip_id")
     live = (F.col("end") - F.col("last_frame") <= tracking.MAX_MISSES) & (F.col("shot") == F.col("last_shot"))
     return tracking.all_tracks(all_.filter(live), tracking.finished(kept, "clip_id"), "clip_id")
+
+
+@query("""with c as (select clip_id, i, least(cx, 875) as x, candidate_track as intact, low_corr::int as clipped, (not seen)::int as dropped from {v_steps}),
+d as (select *, abs(x + 202.5 - 640) / 1280 as dx from c)
+select clip_id, i, case when dx > 0.02 then 'crop centre is off the frame centre by ' || printf('%.1f%%', round(dx * 100, 1)) || ' across and 0.0% down, to hold the subject' else 'the subject is centred, and so is the crop' end
+  || '; ' || intact || ' face(s) whole in the frame' || case when dropped > 0 then '; 1 face(s) left out for the primary subject' else '' end || case when clipped > 0 then '; WARNING: 1 face(s) cut' else '' end as rationale from d""")
+def crop_rationale(t):
+    """Why each step's window lies where it does, as the lines of a report."""
+    crops = t.v_steps.select("clip_id", "i", F.least("cx", F.lit(875.0)).alias("x"), F.lit(0.0).alias("y"), F.lit(405).alias("w"), F.lit(720).alias("h"), F.col("candidate_track").alias("intact"), F.col("low_corr").cast("int").alias("clipped"), (~F.col("seen")).cast("int").alias("dropped"))
+    return framing.rationale(crops, CLIP_W, CLIP_H).select("clip_id", "i", F.array_join("rationale", "; ").alias("rationale"))

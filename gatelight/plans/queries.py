@@ -448,11 +448,6 @@ def match_cost(t):
     return a.join(b, "frame_id").filter("a < b").select("frame_id", "a", "b", r6(tracking.match_cost(F.col("box_a"), F.col("box_b"), (FRAME_W**2 + FRAME_H**2) ** 0.5)).alias("cost"))
 
 
-@query()
-def ncc_speaker(t):
-    return tracking.speaker_scores(t.v_steps.withColumn("gate", F.col("speech")), "clip_id", "mouth", "speech", "gate").select("clip_id", "i", r6("score").alias("score"))
-
-
 def frame_bodies(t):
     """A body below each face, as sure as the face."""
     return t.v_faces.select("frame_id", "conf", boxes.body(_box(), FRAME_W, FRAME_H).alias("b")).select("frame_id", "conf", "b.*")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gatelight.functions import sql
-from gatelight.operators import rules, sequences, store, tracking
+from gatelight.operators import rules, sequences, store, tables, tracking
+from gatelight.workers import shared_folder
 
 from .registry import query
 
@@ -196,3 +199,34 @@ def sql_boxes(t):
     boxed = t.v_faces.selectExpr("frame_id", "face_no", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) as box")
     return spark.sql("""select a.frame_id, a.face_no as a, b.face_no as b, round(box_iou(a.box, b.box), 6) as iou, round(box_contained(a.box, b.box), 6) as inside
       from {faces} a join {faces} b on a.frame_id = b.frame_id and a.face_no < b.face_no where box_common(a.box, b.box) > 0""", faces=boxed)
+
+
+@query("select id, at, action, asset_id from {v_audit} where at >= timestamp '2024-01-20' - interval 10 day")
+def purged_table(t):
+    """The audit table as stored by day, after retention has rewritten the days it touches."""
+    table = tables.StoredTable(t._spark, shared_folder(t._spark), ["day"])
+    table.create(t.v_audit.select("id", "at", "action", "asset_id", F.to_date("at").alias("day")))
+    tables.purge(table, "at", F.lit(dt.datetime(2024, 1, 10)).cast("timestamp_ntz"))
+    return table.read().select("id", "at", "action", "asset_id")
+
+
+@query("""select asset_id, profile_id, arg_max(variant_id, (created_at, variant_id)) as variant_id, arg_max(status, (created_at, variant_id)) as status, max(created_at) as created_at from {v_variants} group by asset_id, profile_id""")
+def upserted_table(t):
+    """Variants as stored by profile: those of the first years, then the later ones put in their place."""
+    columns = ("asset_id", "profile_id", "variant_id", "status", "created_at")
+    table = tables.StoredTable(t._spark, shared_folder(t._spark), ["profile_id"])
+    early = F.col("created_at") < F.lit(dt.datetime(1996, 1, 1)).cast("timestamp_ntz")
+    rows = t.v_variants.select(*columns)
+    table.create(store.upsert_latest(rows.filter(early), ["asset_id", "profile_id"], "created_at", "variant_id"))
+    table.upsert(rows.filter(~early), ["asset_id", "profile_id"], "created_at", "variant_id")
+    return table.read().select(*columns)
+
+
+@query("select variant_id, asset_id, profile_id, status from {v_variants} v where not exists (select 1 from {v_assets} a where a.asset_id = v.asset_id and a.kind = 'video')")
+def cascaded_table(t):
+    """Variants as stored by profile, after the videos' assets have been deleted along with theirs."""
+    columns = ("variant_id", "asset_id", "profile_id", "status")
+    table = tables.StoredTable(t._spark, shared_folder(t._spark), ["profile_id"])
+    table.create(t.v_variants.select(*columns))
+    table.delete_keys(t.v_assets.filter("kind = 'video'"), "asset_id")
+    return table.read().select(*columns)

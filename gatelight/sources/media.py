@@ -22,9 +22,10 @@ def kind_of(path: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path`` with kind, size and content hash; one task reads a file at a time."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.select("path", kind_of(F.col("path")).alias("kind"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Files under ``path`` with kind, size and content hash, read in pieces: see ``store.content_hashes``."""
+    from gatelight.sources.store import content_hashes
+
+    return content_hashes(spark, path)
 
 
 def rate(text: Column) -> Column:
@@ -101,7 +102,9 @@ def hop_and_window(count: int, hz: int, fps: float) -> tuple[int, int, int]:
 
 def energy_of(x: np.ndarray, steps: int, hop: int, window: int) -> np.ndarray:
     """RMS of each step in dB, over a range of 60 dB as 0 to 1."""
-    rms = np.array([np.sqrt(np.mean(x[i * hop : i * hop + window] ** 2)) for i in range(steps)])
+    power, first = np.concatenate([[0.0], np.cumsum(x * x)]), np.arange(steps) * hop
+    last = np.minimum(first + window, len(x))
+    rms = np.sqrt(np.maximum(power[last] - power[first], 0) / np.maximum(last - first, 1))
     return (np.clip(20 * np.log10(np.maximum(rms, 1e-10)), -60, 0) + 60) / 60
 
 

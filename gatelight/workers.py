@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,20 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._gatelight_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under the session's checkpoint folder; it goes with the application.
+
+    Raises ValueError on a cluster without ``spark.checkpoint.dir``; in local mode a folder of this machine will do.
+    """
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="gatelight-")
+    folder = f"{root}/gatelight-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

@@ -685,6 +685,15 @@ def test_audit_record_diagnostics_and_export(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3
 
 
+def test_diagnostics_documents(spark, tmp_path):
+    rows = [(7, "# asset 7\nfine"), (8, "# asset 8")]
+    write = lambda r: store.write_diagnostics(spark.createDataFrame(r, "asset_id long, summary string"), str(tmp_path / "reports"))
+    text = lambda i: "".join(p.read_text() for p in (tmp_path / f"reports/asset_id={i}").glob("*.txt"))
+    write(rows)
+    write([(8, "# asset 8\nagain")])
+    assert text(7) == "# asset 7\nfine\n\n" and text(8) == "# asset 8\nagain\n\n"
+
+
 def test_first_mentions_keep_the_order_of_first_appearance(spark):
     rows = [(1, 0, "b"), (1, 1, "a"), (1, 2, "b"), (1, 3, None), (1, 4, None), (2, 0, "a")]
     found = sequences.first_mentions(spark.createDataFrame(rows, "k int, at int, note string"), "k", ["at"], "note")
