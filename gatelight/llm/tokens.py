@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -9,12 +10,17 @@ from array import array
 from functools import lru_cache
 from itertools import islice
 
+import pyarrow as pa
+
 #: Words kept per worker; words beyond it are encoded each time they occur, with the same result.
 CACHE_WORDS = 200_000
 BATCH = 4096
 #: Fixed value: how a byte-level vocabulary of this kind splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The allocator's own way to give memory back, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Any white space that is not a single blank or newline between other characters.
 _IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]")
 
@@ -105,6 +111,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def hand_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and what they keep for later counts against their executor all the while."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def in_pieces(batch, columns: list[str], text: str, size: int = 256, most: int = 4_000_000):
     """Slices of a record batch of at most ``size`` rows and about ``most`` characters of ``text`` (a longer row comes alone)."""
     import pyarrow.compute as pc
@@ -118,3 +131,4 @@ def in_pieces(batch, columns: list[str], text: str, size: int = 256, most: int =
         held += n
     if start < len(lengths):
         yield batch.slice(start)
+    hand_back()
