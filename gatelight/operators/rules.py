@@ -185,7 +185,7 @@ def face_facts(faces: DataFrame, media: DataFrame, by: str = "media_id", evidenc
     offence = lambda kind, value, when: f"case when {when} then struct('{kind}' as kind, round({value}, 4) as share, cast(null as string) as zone) end"
     own = ", ".join([offence("clipped", "inside", "cut and subject"), offence("extra", "inside", "cut and not subject"), offence("tight", "head", f"whole and subject and head < {TIGHT_HEAD}D"), offence("safe", "safe", f"subject and safe < {SAFE_INSIDE}D")])
     counts = {"clipped": "cut and subject", "extra": "cut and not subject", "tight": f"whole and subject and head < {TIGHT_HEAD}D", "safe": f"subject and safe < {SAFE_INSIDE}D"}
-    counted = [F.count_if(F.expr(when)).alias(f"n_{k}") for k, when in counts.items()] + [F.sum(F.coalesce(F.expr("size(filter(under, z -> true))"), F.lit(0))).alias("n_reserved")]
+    counted = [F.count_if(F.expr(when)).alias(f"n_{k}") for k, when in counts.items()] + [F.sum(F.expr("case when under is null then 0 else size(under) end")).alias("n_reserved")]
     worst = F.min(F.expr("case when cut and subject then inside end")).alias("worst")
     per_face = f.groupBy(by).agg(F.count("*").alias("faces"), F.count_if("subject").alias("subjects"), worst, *counted)
     if not evidence:
