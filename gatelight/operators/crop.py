@@ -121,7 +121,7 @@ class Frames:
             area = np.maximum(bx - ax, 0) * np.maximum(by - ay, 0)
             across = np.maximum(np.minimum(bx, at_x + cw * zone[2]) - np.maximum(ax, at_x + cw * zone[0]), 0)
             down = np.maximum(np.minimum(by, at_y + ch * zone[3]) - np.maximum(ay, at_y + ch * zone[1]), 0)
-            return np.where(area > 0, across * down, 0.0) / np.where(area > 0, area, 1.0)
+            return (across * np.where(area > 0, 1 / np.where(area > 0, area, 1.0), 0.0)) * down  # a row by a column: one pass over all windows
 
         shape = np.broadcast_shapes((len(self.number), 1, 1), np.shape(x), np.shape(y))
         loss = np.zeros(shape)
@@ -131,15 +131,19 @@ class Frames:
             core, weight = self.core[:, k, cut], self.weight[k, cut]
             f, least = held(core, cut=cut), np.minimum(1.0, weight)
             kept, gone = f >= INTACT, f <= GONE
-            loss[cut] += np.where(kept, 0.0, np.where(gone, DROP_PENALTY * least, CLIP_PENALTY * (1 - f) * least))
+            lost = (1 - f) * (CLIP_PENALTY * least)
+            lost[kept] = 0.0
+            np.copyto(lost, DROP_PENALTY * least, where=gone)
             intact[cut] += kept
             dropped[cut] += gone
+            inside = f >= 0.5
             if rules.action:
                 safe = held(core, rules.action, cut)
-                loss[cut] += np.where((f >= 0.5) & (safe < 0.98), SAFE_PENALTY * (1 - safe) * (weight / 2), 0.0)
+                lost += (1 - safe) * (SAFE_PENALTY / 2 * weight) * (inside & (safe < 0.98))
             for zone in rules.reserved:
                 under = held(core, zone, cut)
-                loss[cut] += np.where((f >= 0.5) & (under > 0.02), RESERVED_PENALTY * under * (weight / 2), 0.0)
+                lost += under * (RESERVED_PENALTY / 2 * weight) * (inside & (under > 0.02))
+            loss[cut] += lost
         composed = np.where(self.subject.reshape(-1, 1, 1), _composition(self.primary, w, h, x, y, held(self.primary), rules), NO_SUBJECT)
         if rules.least_face:
             tall = self.head[:, self.tallest, np.arange(shape[0])]
