@@ -57,10 +57,11 @@ def fold(df: DataFrame, by: list[str], order: list[str], fields: list[str], zero
     return rows.select(*by, F.explode(F.arrays_zip("rows", "states")).alias("z")).select(*by, *[F.col(f"z.rows.{f}").alias(f) for f in fields], F.col("z.states").alias("state"))
 
 
-def hysteresis(steps: DataFrame, by: str, track: str, score: str, gate: str, shot: str, scores: str | None = None) -> DataFrame:
+def hysteresis(steps: DataFrame, by: str, track: str, score: str, gate: str, shot: str, scores: str | None = None, per_shot: bool = False) -> DataFrame:
     """The active track per step from each step's best candidate: a cut clears it, silence and weak scores hold it, and a challenger needs the
     margin over the incumbent's score and the dwell. ``scores`` is a map of the step's scores by track; an incumbent that it lacks is absent and
-    counts 0. Without ``scores`` every incumbent counts 0, and the margin, lower than the least score, does not act. A step without a candidate holds."""
+    counts 0. Without ``scores`` every incumbent counts 0, and the margin, lower than the least score, does not act. A step without a candidate holds. With ``per_shot`` the unit of work is a shot, not a clip, so that a feed of any length
+    is dealt out; as a cut clears everything the result is the same, if no shot's number comes back later in its clip."""
     zero = F.struct(F.lit(-1).alias("current"), F.lit(0).alias("dwell"), F.lit(None).cast("int").alias("shot"))
 
     def step(s, r):
@@ -76,16 +77,16 @@ def hysteresis(steps: DataFrame, by: str, track: str, score: str, gate: str, sho
 
     if scores:
         steps = steps.withColumn(scores, F.map_entries(scores))  # maps have no order, which the fold's sort asks of its rows
-    out = fold(steps, [by], ["i"], ["i", track, score, gate, shot, *([scores] if scores else [])], zero, step)
+    out = fold(steps, [by, shot] if per_shot else [by], ["i"], ["i", track, score, gate, shot, *([scores] if scores else [])], zero, step)
     return out.select(by, "i", F.col("state.current").alias("active"), F.col("state.dwell").alias("dwell"))
 
 
-def resolve(steps: DataFrame, by: str, scores: str, gate: str, shot: str) -> DataFrame:
+def resolve(steps: DataFrame, by: str, scores: str, gate: str, shot: str, per_shot: bool = False) -> DataFrame:
     """``hysteresis`` from each step's scores of the present tracks alone (a map): the best is the highest, the smaller track on a tie."""
     best = F.array_max(F.transform(F.map_entries(scores), lambda e: F.struct(e["value"].alias("score"), (-e["key"]).alias("rank"))))
     named = steps.withColumn("_best", best)
     named = named.withColumn("best_track", -F.col("_best.rank")).withColumn("best_score", F.col("_best.score")).drop("_best")
-    return hysteresis(named, by, "best_track", "best_score", gate, shot, scores)
+    return hysteresis(named, by, "best_track", "best_score", gate, shot, scores, per_shot)
 
 
 def shot_state(steps: DataFrame, by: str, value: str) -> DataFrame:

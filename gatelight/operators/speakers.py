@@ -87,12 +87,13 @@ def timeline(series: DataFrame, steps: DataFrame, audio: DataFrame | None, fps:
     """The active speaker per step: by, i, active (track, -1 for nobody), dwell, score (the active track's share among those present, 0 without one).
 
     Scores of a step's present tracks become shares by ``sequences.softmax``, and ``folds.resolve`` hands the crop over only to a clear challenger after a
-    dwell; in silence, or where no one is clear, the framing holds, and a cut frees it. Steps without any track are steps too. ``shot`` names the steps' shot column.
+    dwell; in silence, or where no one is clear, the framing holds, and a cut frees it. Steps without any track are steps too. ``shot`` names the steps' shot column, whose
+    numbers rise; shots are then settled each by itself.
     """
     scored = sequences.softmax(track_scores(series, steps, audio, fps, by), "score", [by, "i"])
     found = scored.groupBy(by, "i").agg(F.map_from_entries(F.collect_list(F.struct(F.col("track_id").cast("int").alias("track"), "p"))).alias("scores"), F.max("gate").alias("gate"))
     rows = steps.select(by, F.col("i").cast("int").alias("i"), (F.col(shot) if shot else F.lit(0)).alias("shot_id")).join(found.withColumn("i", F.col("i").cast("int")), [by, "i"], "left")
     rows = rows.withColumn("gate", F.coalesce("gate", F.lit(0.0)))
-    active = folds.resolve(rows, by, "scores", "gate", "shot_id")
+    active = folds.resolve(rows, by, "scores", "gate", "shot_id", per_shot=bool(shot))
     share = F.coalesce(F.try_element_at("scores", "active"), F.lit(0.0))
     return active.join(rows.select(by, "i", "scores"), [by, "i"]).select(by, "i", "active", "dwell", share.alias("score"))

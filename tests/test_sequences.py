@@ -46,6 +46,16 @@ def test_hysteresis(spark, clip):
             assert found[clip_id, r[1]] == current
 
 
+def test_hysteresis_by_shots_equals_hysteresis_by_clips(spark, clip):
+    df = spark.createDataFrame(clip, SCHEMA)
+    first = {}
+    for r in clip:
+        first.setdefault((r[0], r[7]), []).append(r[1])
+    assert all(max(v) - min(v) + 1 == len(v) for v in first.values()) and len(first) > len({k for k, _ in first})  # no shot comes back
+    whole, parts = (sorted(map(tuple, folds.hysteresis(df, "clip_id", "track", "score", "score", "shot_id", per_shot=p).collect())) for p in (False, True))
+    assert whole == parts
+
+
 def test_hysteresis_holds_an_incumbent_within_the_margin(spark):
     rng = random.Random(12)
     rows, want, without = [], {}, {}
