@@ -361,6 +361,32 @@ def test_track_faces_equals_all_assignments_tried(spark):
     assert found == {(c, *k): v for c, frames in clips.items() for k, v in plain_tracks(frames, 2203.0).items()}
 
 
+def test_tracks_of_many_batches(spark):
+    """Frames and clips cut anywhere by batches; two clips of a task follow one another; of a long clip only its last frames are held."""
+    rng = random.Random(23)
+    frames = {c: {n: (n // 40, {f: (x, y, x + 80.0, y + 100.0) for f in range(rng.randint(1, 4)) for x, y in [(rng.uniform(0, 1000), rng.uniform(0, 1800))]}) for n in range(0, 120, rng.choice((1, 3)))} for c in (None, "a", "b")}
+    rows = [(c, n, f, *box, shot, f"{c}-{n}-{f}") for c, found in frames.items() for n, (shot, seen) in found.items() for f, box in seen.items()]
+    df = spark.createDataFrame(rows, f"clip_id string, frame_i int, face_no int, {BOX}, shot_id int, name string")
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = tracking.track_faces(df, "clip_id", 2203.0, ("name",)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == len(rows) and all(r.name == f"{r.clip_id}-{r.frame_i}-{r.face_no}" for r in found)
+    assert {(r.clip_id, r.frame_i, r.face_no): r.track_id for r in found} == {(c, *k): v for c, seen in frames.items() for k, v in plain_tracks(seen, 2203.0).items()}
+    tracker, most = tracking.Tracker(2203.0), 0
+    for lo in range(0, 20_000, 1000):
+        at = np.arange(lo, lo + 1000)
+        corner = np.random.default_rng(lo).uniform(0, 1000, (2, 1000))
+        tracker.follow(at == 0, at == 0, at, np.concatenate([corner, corner + 50]))
+        most = max(most, len(tracker.held[0]))
+    assert tracker.next_id > 2000 and most <= tracking.REACH
+
+
 def test_finished_tracks(spark):
     df = spark.createDataFrame([(1, 5, f, 1) for f in (3, 4, 9)] + [(1, 6, 3, 2)], "clip_id long, track_id int, frame_i int, face_no int")
     assert [tuple(r) for r in tracking.finished(df, "clip_id").collect()] == [(1, 5, 3, 3, 9)]
