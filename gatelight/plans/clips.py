@@ -252,8 +252,8 @@ def clip_detections(t):
 
 def tracked_series(t):
     """Every detection with its track."""
-    found = clip_detections(t)
-    return found.join(tracking.track_faces(found, "clip_id", (CLIP_W**2 + CLIP_H**2) ** 0.5), ["clip_id", "frame_i", "face_no"])
+    kept = ("t", "x1", "y1", "x2", "y2", "shot_id", "aperture")
+    return tracking.track_faces(clip_detections(t), "clip_id", (CLIP_W**2 + CLIP_H**2) ** 0.5, kept)
 
 
 def clip_audio(t):
