@@ -29,6 +29,8 @@ NORM = (1.0, 1e-4, 1e-4)
 #: Pieces of one length are ranked in parts of about this many, so that one frequent length is never in one task.
 RANKED_TOGETHER = 500_000
 LEAST_PARTS = 32
+#: Texts that a worker is handed at a time: it holds two lots of them, and the executor one more outside its heap.
+TEXTS = 1000
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str) -> DataFrame:
@@ -116,7 +118,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     shorter one. Repeated rows and rows of null id are packed each for itself. An empty table gives an empty table. Other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    pieces = scratch.keep(pieces_of(docs, id_col, text_col, capacity, vocabulary or default_vocabulary()), "pieces")
+    pieces = scratch.keep(pieces_of(docs, id_col, text_col, capacity, vocabulary or default_vocabulary()), "pieces", TEXTS)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     steps = plan(histogram, capacity, max_docs or capacity, max_cost or capacity * capacity)
     parts = max(LEAST_PARTS, math.ceil(max(histogram.values(), default=1) / RANKED_TOGETHER))

@@ -55,13 +55,10 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        added = [t.content for t in library.get_added_tokens_decoder().values()]
+        self._path, self._library = path, None
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens") or ()]
         self._added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self._exact = lambda text: library.encode(text, add_special_tokens=False).ids
         ranks = byte_ranks(path)
         if ranks is None:
             self._ids = self._exact
@@ -71,6 +68,14 @@ class Encoder:
             self._ids = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
 
+    def _exact(self, text: str) -> list[int]:
+        if self._library is None:  # it takes as much memory as all else here, and few texts ask for it
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library.encode(text, add_special_tokens=False).ids
+
     def added(self, text: str) -> bool:
         return self._added is not None and self._added.search(text) is not None
 

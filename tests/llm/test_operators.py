@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from gatelight.llm import hashing, language_id, line_dedup, mixing, near_dedup, packing, quality, queries, sharding, substring_dedup, token_counts, tokens, topk
 from pyspark.sql import functions as F
@@ -784,3 +785,20 @@ def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(none, none).count() == 0
     assert token_counts.changes_of(empty).count() == 0
+
+
+def test_packing_holds_few_texts_and_one_library(spark):
+    from gatelight.llm.common import BATCH_ROWS, Scratch
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    scratch, was = Scratch(spark), spark.conf.get(BATCH_ROWS)
+    most = scratch.keep(spark.range(0, 5000, 1, 1).mapInArrow(count, "n long"), "t", packing.TEXTS).agg({"n": "max"}).first()[0]
+    assert most == packing.TEXTS and spark.conf.get(BATCH_ROWS) == was
+    encoder = tokens.Encoder(tokens.default_vocabulary())
+    encoder.encode(["plain words", None, "two  blanks"])
+    assert encoder._library is None
+    encoder.encode(["the end <|endoftext|>"])
+    assert encoder._library is not None
