@@ -22,10 +22,13 @@ DROP_PENALTY, CLIP_PENALTY = 0.22, 3.0
 SAFE_PENALTY, RESERVED_PENALTY = 0.9, 1.1
 SMALL_FACE = 0.75  # what is left of the composition where the tallest face is under the profile's least height
 NO_SUBJECT = 0.5  # composition of a frame without faces and bodies
+LEAST_KEPT = 0.6  # of the primary face, for any composition
 ANCHOR, ANCHOR_SIZE = 0.55, 0.6
 W_COVERAGE, W_COMPOSITION, W_SCALE = 1.0, 0.55, 0.22
-PART = 512  # frames whose profiles are held at a time
-BLOCK = 64  # frames whose grid is scored at a time: its arrays stay in the cache
+PART = 256  # frames whose profiles are held at a time
+BLOCK = 32  # frames whose grid is bounded at a time: its arrays stay in the cache
+LANES = 2048  # windows scored at a time
+SLACK = 2e-4  # what a bound in single precision may be wrong by, many times over
 
 
 class Rules(NamedTuple):
@@ -51,9 +54,9 @@ def places(span: int, steps: int) -> np.ndarray:
     return np.linspace(0, span, min(steps, max(2, span + 1))) if span > 0 else np.zeros(1)
 
 
-def _composition(primary, w, h, x, y, kept, rules: Rules):
-    """0 to 1: thirds, eye line and headroom of the primary face; 0 if the crop holds under .6 of it."""
-    x1, y1, x2, y2 = primary
+def _placing(primary, w, h, x, y, rules: Rules):
+    """What composition gives for the primary face's place across and down the window; they add up to 1 at most."""
+    x1, y1, x2, y2 = primary[:4]
     rx = ((x1 + x2) / 2 - x) / w
     if rules.centre:
         side = np.maximum(0.0, 1 - np.abs(rx - 0.5) / 0.35)
@@ -63,7 +66,27 @@ def _composition(primary, w, h, x, y, kept, rules: Rules):
     line = np.maximum(0.0, 1 - np.abs(eye - (0.36 if rules.headroom else 0.5)) / 0.30)
     room = (y1 - y) / h
     air = np.where(room < 0, 0.0, np.where(room < 0.04, room / 0.04, np.where(room <= 0.20, 1.0, np.maximum(0.0, 1 - (room - 0.20) / 0.28)))) if rules.headroom else 1.0
-    return np.where(kept < 0.6, 0.0, np.minimum(1.0, 0.40 * side + (0.34 * line + 0.26 * air)))
+    return 0.40 * side, 0.34 * line + 0.26 * air
+
+
+def _composition(primary, w, h, x, y, kept, rules: Rules):
+    """0 to 1: thirds, eye line and headroom of the primary face; 0 if the crop holds under .6 of it."""
+    across, down = _placing(primary, w, h, x, y, rules)
+    return np.where(kept < LEAST_KEPT, 0.0, np.minimum(1.0, across + down))
+
+
+def _overlaps(b, x, y, w, h, zone=(0.0, 0.0, 1.0, 1.0)):
+    """How far boxes reach into windows (or a zone of theirs), across in shares of the box's area and down; their product is the share held."""
+    ax, ay, bx, by = b[:4]
+    across = np.maximum(np.minimum(bx, x + w * zone[2]) - np.maximum(ax, x + w * zone[0]), 0)
+    down = np.maximum(np.minimum(by, y + h * zone[3]) - np.maximum(ay, y + h * zone[1]), 0)
+    return across * b[4], down
+
+
+def _with_area(b: np.ndarray) -> np.ndarray:
+    """Boxes with a fifth row: one by their area, 0 without one."""
+    area = np.maximum(b[2] - b[0], 0) * np.maximum(b[3] - b[1], 0)
+    return np.concatenate([b, np.where(area > 0, 1 / np.where(area > 0, area, 1.0), 0.0)[None]])
 
 
 class Frames:
@@ -104,6 +127,7 @@ class Frames:
             wins = rank_b[every, best] >= rank[first, every]
             self.primary = np.where((wins & (weight[every, best] > 0)).reshape(-1, 1, 1), at[:, every, best].reshape(4, -1, 1, 1), self.primary)
             self.subject = self.subject | (weight > 0).any(axis=1)
+        self.core, self.head, self.primary = _with_area(self.core), _with_area(self.head), _with_area(self.primary)
 
     def part(self, lo: int, hi: int) -> Frames:
         out = object.__new__(Frames)
@@ -113,15 +137,20 @@ class Frames:
         out.core, out.head, out.weight = self.core[:, :most, lo:hi], self.head[:, :most, lo:hi], self.weight[:most, lo:hi]
         return out
 
-    def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules):
-        """Score to 6 places, intact, clipped and dropped faces of the windows at ``x`` and ``y``, whose shapes spread to frames x rows x columns."""
+    def take(self, frame: np.ndarray) -> Frames:
+        """Frames by number, each as often as it is named; numbers must not fall."""
+        out = object.__new__(Frames)
+        out.frame, out.number, out.tallest, out.subject, out.primary, out.maps = self.frame, self.number[frame], self.tallest[frame], self.subject[frame], self.primary[:, frame], self.maps.lanes(frame)
+        out.anchor = None if self.anchor is None else self.anchor[:, frame]
+        out.core, out.head, out.weight = self.core[:, :, frame], self.head[:, :, frame], self.weight[:, frame]
+        return out
+
+    def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules, share: np.ndarray | None = None):
+        """Score to 6 places, intact, clipped and dropped faces of the windows at ``x`` and ``y``, whose shapes spread to frames x rows x columns; ``share`` is their share of importance where it is known."""
 
         def held(b, zone=(0.0, 0.0, 1.0, 1.0), cut=slice(None)):
-            (ax, ay, bx, by), at_x, at_y, cw, ch = b, *(v[cut] if np.ndim(v) and len(v) > 1 else v for v in (x, y, w, h))
-            area = np.maximum(bx - ax, 0) * np.maximum(by - ay, 0)
-            across = np.maximum(np.minimum(bx, at_x + cw * zone[2]) - np.maximum(ax, at_x + cw * zone[0]), 0)
-            down = np.maximum(np.minimum(by, at_y + ch * zone[3]) - np.maximum(ay, at_y + ch * zone[1]), 0)
-            return (across * np.where(area > 0, 1 / np.where(area > 0, area, 1.0), 0.0)) * down  # a row by a column: one pass over all windows
+            across, down = _overlaps(b, *(v[cut] if np.ndim(v) and len(v) > 1 else v for v in (x, y, w, h)), zone)
+            return across * down  # a row by a column: one pass over all windows
 
         shape = np.broadcast_shapes((len(self.number), 1, 1), np.shape(x), np.shape(y))
         loss = np.zeros(shape)
@@ -148,44 +177,107 @@ class Frames:
         if rules.least_face:
             tall = self.head[:, self.tallest, np.arange(shape[0])]
             composed = np.where((held(tall) > 0.5) & ((tall[3] - tall[1]) / h < rules.least_face), composed * SMALL_FACE, composed)
-        score = W_COVERAGE * self.maps.shares(x, y, w, h) + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
+        share = self.maps.shares(x, y, w, h) if share is None else share
+        score = W_COVERAGE * share + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
         if self.anchor is not None:
             (at_x, at_y, wide, strength), (width, height) = self.anchor, self.frame
             way = np.hypot((x + w / 2 - at_x) / width, (y + h / 2 - at_y) / height)
             score = score - strength * (way + ANCHOR_SIZE * np.abs(w - wide) / width)
         return np.round(score, 6), intact, self.number.reshape(-1, 1, 1) - intact - dropped, dropped
 
+    def _bound(self, w: float, h: float, x: np.ndarray, y: np.ndarray, share: np.ndarray, biggest: float, rules: Rules) -> np.ndarray:
+        """What the windows of a grid can score at most, give or take ``SLACK``: everything but zones and small faces, which only take away. Single precision."""
+        single, eps = np.float32, 1e-5
+        out = share.astype(single)
+        (across, down), (side, rest) = _overlaps(self.primary, x, y, w, h), _placing(self.primary, w, h, x, y, rules)
+        composed = (W_COMPOSITION * side).astype(single) + (W_COMPOSITION * rest).astype(single)
+        composed *= across.astype(single) * down.astype(single) >= single(LEAST_KEPT - eps)
+        composed[~self.subject] = W_COMPOSITION * NO_SUBJECT
+        out += composed
+        for k in range(self.weight.shape[0]):
+            cut = slice(0, int((self.number > k).sum()))
+            across, down = _overlaps(self.core[:, k, cut], x, y, w, h)
+            least = np.minimum(1.0, self.weight[k, cut])
+            most = CLIP_PENALTY * least
+            f = (most * across).astype(single) * down.astype(single)  # the share held, times the penalty
+            lost = most.astype(single) - f
+            lost *= f < ((INTACT - eps) * most).astype(single)
+            np.copyto(lost, (DROP_PENALTY * least).astype(single), where=f <= ((GONE + eps) * most).astype(single))
+            out[cut] -= lost
+        if self.anchor is not None:
+            (at_x, at_y, wide, strength), (width, height) = self.anchor, self.frame
+            way = np.hypot((strength * (x + w / 2 - at_x) / width).astype(single), (strength * (y + h / 2 - at_y) / height).astype(single))
+            out -= way
+            out -= (strength * ANCHOR_SIZE * np.abs(w - wide) / width).astype(single)
+        out += single(W_SCALE * math.sqrt(w * h / biggest))
+        odd = (self.weight < 0).any(axis=0).ravel() | (False if self.anchor is None else (self.anchor[3] < 0).ravel())
+        out[odd] = np.inf  # a face that counts against its frame, or a window pushed away: no bound
+        return out
+
+    def grids(self, windows: list[tuple[int, int]], places_of: list[tuple[np.ndarray, np.ndarray]], biggest: float, rules: Rules) -> np.ndarray:
+        """Score, x and y of each frame's best window of each size's grid, 3 x frames x sizes; of equal scores the first, row by row.
+
+        All windows are bounded from above; the one with the highest bound is scored, and then those whose bound is no less than that score. What
+        is left out scores less, so the result is that of scoring all.
+        """
+        n, many, most = len(self.number), len(windows), max(len(xs) * len(ys) for xs, ys in places_of)
+        bound, share, at_x, at_y = np.full((n, many, most), -np.inf, np.float32), np.zeros((n, many, most)), np.zeros((many, most)), np.zeros((many, most))
+        for s, ((w, h), (xs, ys)) in enumerate(zip(windows, places_of)):
+            x, y, size = xs.reshape(1, 1, -1), ys.reshape(1, -1, 1), len(xs) * len(ys)
+            at_x[s, :size], at_y[s, :size] = np.tile(xs, len(ys)), np.repeat(ys, len(xs))
+            for lo in range(0, n, BLOCK):
+                part = self.part(lo, lo + BLOCK)
+                held = np.broadcast_to(part.maps.shares(x, y, w, h), (len(part.number), len(ys), len(xs)))
+                share[lo : lo + BLOCK, s, :size] = held.reshape(-1, size)
+                bound[lo : lo + BLOCK, s, :size] = part._bound(w, h, x, y, held, biggest, rules).reshape(-1, size)
+        wide, high = (np.array(side, dtype=float) for side in zip(*windows))
+        column = lambda v: v.reshape(-1, 1, 1)
+
+        def scored(frame, s, at):
+            out = np.empty(len(frame))
+            for lo in range(0, len(frame), LANES):
+                f, k, a = (v[lo : lo + LANES] for v in (frame, s, at))
+                out[lo : lo + LANES] = self.take(f).score(column(wide[k]), column(high[k]), column(at_x[k, a]), column(at_y[k, a]), biggest, rules, column(share[f, k, a]))[0].ravel()
+            return out
+
+        every, sizes_ = np.repeat(np.arange(n), many), np.tile(np.arange(many), n)
+        least = scored(every, sizes_, bound.argmax(axis=2).ravel()).reshape(n, many)
+        frame, s, at = np.nonzero(~(bound < (least - SLACK).astype(np.float32)[..., None]))
+        score = scored(frame, s, at)
+        lane = frame * many + s
+        order = np.lexsort((at, -score, lane))
+        best = order[np.searchsorted(lane, np.arange(n * many))]
+        return np.stack([score[best], at_x[s[best], at[best]], at_y[s[best], at[best]]]).reshape(3, n, many)
+
     def search(self, windows: list[tuple[int, int]], biggest: float, steps: int, rounds: int, rules: Rules):
         """x, y, w, h, score, intact, clipped and dropped of the best window of each frame; of equal scores the first tried stays."""
-        n, (width, height) = len(self.number), self.frame
-        best = np.full((5, n), -np.inf)  # score, x, y, w, h
-        for w, h in windows:
-            span_x, span_y = width - w, height - h
-            xs, ys = places(span_x, steps), places(span_y, steps)
-            here = np.empty((3, n))  # score, x, y
-            for lo in range(0, n, BLOCK):
-                tried = self.part(lo, lo + BLOCK).score(w, h, xs.reshape(1, 1, -1), ys.reshape(1, -1, 1), biggest, rules)[0]
-                flat = tried.reshape(len(tried), -1)
-                at = flat.argmax(axis=1)
-                here[:, lo : lo + BLOCK] = flat[np.arange(len(at)), at], xs[at % len(xs)], ys[at // len(xs)]
-            step_x, step_y = (s / (len(c) - 1) if len(c) > 1 else 0.0 for s, c in ((span_x, xs), (span_y, ys)))
-            going = np.ones(n, dtype=bool)
-            for _ in range(rounds):
-                step_x, step_y = step_x / 2, step_y / 2
-                better = np.zeros(n, dtype=bool)
-                for dx in (-step_x, 0.0, step_x):
-                    for dy in (-step_y, 0.0, step_y):
-                        if dx == 0 and dy == 0:
-                            continue
-                        x, y = np.clip(here[1] + dx, 0, span_x), np.clip(here[2] + dy, 0, span_y)
-                        score = self.score(w, h, x.reshape(-1, 1, 1), y.reshape(-1, 1, 1), biggest, rules)[0].ravel()
-                        won = going & (score > here[0])
-                        here = np.where(won, (score, x, y), here)
-                        better |= won
-                if step_x < 0.5 and step_y < 0.5:
-                    going &= better
-            best = np.where(here[0] > best[0], (*here, np.full(n, w), np.full(n, h)), best)
-        _, x, y, w, h = (v.reshape(-1, 1, 1) for v in best)
+        n, (width, height), many = len(self.number), self.frame, len(windows)
+        span = np.array([(width - w, height - h) for w, h in windows], dtype=float).T
+        grid = [(places(width - w, steps), places(height - h, steps)) for w, h in windows]
+        here = self.grids(windows, grid, biggest, rules)  # score, x, y
+        step = np.array([[d / (len(c) - 1) if len(c) > 1 else 0.0 for d, c in zip(span[:, s], grid[s])] for s in range(many)]).T
+        # all sizes of all frames go through the rounds together
+        column = lambda v: v.reshape(-1, 1, 1)
+        all_, here = self.take(np.repeat(np.arange(n), many)), here.reshape(3, -1)
+        w, h = (column(np.tile(np.array(side, dtype=float), n)) for side in zip(*windows))
+        (span_x, span_y), (step_x, step_y) = np.tile(span, n), np.tile(step, n)
+        going = np.ones(n * many, dtype=bool)
+        for _ in range(rounds):
+            step_x, step_y = step_x / 2, step_y / 2
+            better = np.zeros(n * many, dtype=bool)
+            for across in (-1, 0, 1):
+                for down in (-1, 0, 1):
+                    if not across and not down:
+                        continue
+                    x, y = np.clip(here[1] + across * step_x, 0, span_x), np.clip(here[2] + down * step_y, 0, span_y)
+                    score = all_.score(w, h, column(x), column(y), biggest, rules)[0].ravel()
+                    won = going & (score > here[0])
+                    here = np.where(won, (score, x, y), here)
+                    better |= won
+            going &= better | (step_x >= 0.5) | (step_y >= 0.5)
+        at = here[0].reshape(n, many).argmax(axis=1)
+        x, y = (column(v.reshape(n, many)[np.arange(n), at]) for v in here[1:])
+        w, h = (column(np.array(side, dtype=float)[at]) for side in zip(*windows))
         return x.ravel(), y.ravel(), w.ravel(), h.ravel(), *(v.ravel() for v in self.score(w, h, x, y, biggest, rules))
 
 
@@ -217,10 +309,11 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
 
     def run(batches):
         for batch in batches:
+            # frames of as many faces lie together, so that few arrays are padded
+            lengths = [batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in ("faces", *(["bodies"] if embodied else []))]
+            batch = batch.take(pa.array(np.lexsort([-v for v in reversed(lengths)])))
             for lo in range(0, batch.num_rows, PART):
                 part = batch.slice(lo, PART)
-                order = np.argsort(-part.column("faces").value_lengths().to_numpy(zero_copy_only=False), kind="stable")
-                part, place = part.take(pa.array(order)), np.argsort(order, kind="stable")
                 found, number = maps.padded(part.column("faces"), (*sides, "conf", "boost"))
                 found = found.transpose(0, 2, 1)[..., None, None]
                 others = None
@@ -229,8 +322,8 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
                     others = other[:4], maps.body_weights(other[4]) * (np.arange(other.shape[2]) < many[:, None])
                 seen = np.array(part.column("saliency").to_pylist(), dtype=float) if salient else None
                 best = Frames(found[:4], found[4], number, width, height, found[5], None, others, seen).search(windows, biggest, steps, rounds, rules)
-                columns = [pa.array(v[place], kind) for v, kind in zip(best, (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.slice(lo, PART).column(by), *columns], names=[by, "x", "y", "w", "h", "score", "intact", "clipped", "dropped"])
+                columns = [pa.array(v, kind) for v, kind in zip(best, (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(by), *columns], names=[by, "x", "y", "w", "h", "score", "intact", "clipped", "dropped"])
 
     kinds = dict(x=T.DoubleType(), y=T.DoubleType(), w=T.IntegerType(), h=T.IntegerType(), score=T.DoubleType(), intact=T.IntegerType(), clipped=T.IntegerType(), dropped=T.IntegerType())
     ship(faces.sparkSession)

@@ -58,6 +58,26 @@ def kernel(size: int) -> np.ndarray:
 def plateau(lo: np.ndarray, hi: np.ndarray, blur: np.ndarray, n: int) -> np.ndarray:
     """Profiles (m x n) of the intervals' whole cells, blurred by kernels of ``blur`` cells; what lies beyond an end mirrors what lies before it."""
     first, last = np.clip(np.floor(lo), 0, n).astype(int), np.clip(np.ceil(hi), 0, n).astype(int)
+    sizes, which = np.unique(blur, return_inverse=True)
+    if n == 1 or not len(sizes) or sizes[-1] // 2 >= n:  # mirrored more than once
+        return _plateau_by_cells(first, last, blur, n)
+    # a blurred interval is a difference of the kernel's running sums; its mirror images beyond either end are intervals too
+    upto = np.zeros((len(sizes), sizes[-1] + 1))
+    for row, size in zip(upto, sizes):
+        row[1 : size + 1] = np.cumsum(kernel(int(size)))
+        row[size + 1 :] = row[size]
+    upto, base = upto.ravel(), (which.reshape(-1) * (sizes[-1] + 1))[:, None]
+    from_middle, top = (blur // 2)[:, None] - np.arange(n), blur[:, None]
+    some = last > first
+    out = np.zeros((len(first), n))
+    for a, b in ((first, last), (1 - last, np.minimum(1 - first, 0)), (np.maximum(2 * n - 1 - last, n), 2 * n - 1 - first)):
+        rows = np.flatnonzero(some & (b > a) & (b > -(blur // 2)) & (a < n + blur // 2))
+        reach, most, at = from_middle[rows], top[rows], base[rows]
+        out[rows] += upto[np.clip(b[rows, None] + reach, 0, most) + at] - upto[np.clip(a[rows, None] + reach, 0, most) + at]
+    return out
+
+
+def _plateau_by_cells(first: np.ndarray, last: np.ndarray, blur: np.ndarray, n: int) -> np.ndarray:
     cell = np.arange(n)
     flat = ((cell >= first[:, None]) & (cell < last[:, None])).astype(float)
     out = np.empty_like(flat)
@@ -116,6 +136,9 @@ class Maps:
             out.saliency = self.saliency[lo:hi]
         return out
 
+    def lanes(self, frame: np.ndarray) -> Lanes:
+        return Lanes(self, frame)
+
     def _edges(self, v, n: int) -> np.ndarray:
         return np.clip(np.rint(np.asarray(v) * self.scale), 0, n).astype(int)
 
@@ -147,6 +170,33 @@ class Maps:
         return np.where(known[:, None, None], held / np.where(known, self.total, 1.0)[:, None, None], flat)
 
 
+class Lanes:
+    """Windows one by one, each of the frame that ``frame`` names: what ``Maps.shares`` says of them, without a copy of the sums for each."""
+
+    def __init__(self, maps: Maps, frame: np.ndarray):
+        self.maps, self.frame = maps, frame
+
+    def lanes(self, frame: np.ndarray) -> Lanes:
+        return Lanes(self.maps, self.frame[frame])
+
+    def shares(self, x, y, w, h) -> np.ndarray:
+        """``x`` and ``y``, and ``w`` and ``h`` where they differ, are lanes x 1 x 1."""
+        maps, frame = self.maps, self.frame
+        x, y, w, h = (np.broadcast_to(np.asarray(v, dtype=float).ravel(), len(frame)) for v in (x, y, w, h))
+        left, right, above, below = (maps._edges(v, n) for v, n in ((x, maps.across), (x + w, maps.across), (y, maps.down), (y + h, maps.down)))
+        right, below = np.maximum(left, right), np.maximum(above, below)
+        held = ((maps.x[frame, :, right] - maps.x[frame, :, left]) * (maps.y[frame, :, below] - maps.y[frame, :, above])).sum(axis=1)
+        if maps.saliency is not None:
+            for lo in range(0, len(frame), 256):
+                cut = slice(lo, lo + 256)
+                across, down = maps.to_x[right[cut]] - maps.to_x[left[cut]], maps.to_y[below[cut]] - maps.to_y[above[cut]]
+                held[cut] += (np.matmul(down[:, None], maps.saliency[frame[cut]])[:, 0] * across).sum(axis=1)
+        total = maps.total[frame]
+        known = total > 1e-8
+        flat = (right - left) * (below - above) / (maps.across * maps.down)
+        return np.where(known, held / np.where(known, total, 1.0), flat).reshape(-1, 1, 1)
+
+
 def padded(lists: pa.Array, parts: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(parts x frames x most subjects, number per frame) of a column of lists of structs; 0 where a frame has fewer."""
     number = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

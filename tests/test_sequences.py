@@ -748,3 +748,31 @@ def test_passes_over_one_frame_keep_each_face_once(spark):
     whole = spark.createDataFrame([(1, 1, 0.9, 0.0, 0.0, 10.0, 10.0)], shape)
     tile = spark.createDataFrame([(1, 1, 0.9, 1.0, 0.0, 11.0, 10.0), (1, 2, 0.6, 50.0, 50.0, 60.0, 60.0)], shape)
     assert {tuple(r)[:3] for r in folds.nms_passes([whole, tile]).collect()} == {(1, 0, 1), (1, 1, 2)}
+
+
+def test_search_scores_few_windows_and_finds_the_best_of_all(monkeypatch):
+    """The grid's best window of each size as scoring every window finds it, first of equal ones, while few windows are scored."""
+    rng, n, tried = np.random.default_rng(9), 40, []
+    number = -np.sort(-rng.integers(0, 6, n))
+    corner, size = rng.uniform(-40, 1000, (2, 5, n)), rng.uniform(30, 400, (5, n))
+    there = np.arange(5)[:, None] < number
+    box = np.where(there, np.stack([corner[0], corner[1], corner[0] + 0.8 * size, corner[1] + size]), 0.0)[..., None, None]
+    conf = np.where(there, rng.random((5, n)), 0.0)[..., None, None]
+    anchor = np.stack([rng.uniform(300, 900, n), rng.uniform(200, 500, n), np.full(n, 405.0), np.where(np.arange(n) % 3, 0.55, 0.0)]).reshape(4, -1, 1, 1)
+    rules = crop.Rules(action=(0.05, 0.14, 0.95, 0.84), reserved=((0.0, 0.0, 1.0, 0.12),), least_face=0.1)
+    windows = crop.sizes(1280, 720, 9 / 16, 0.5, 4)
+    grid = [(crop.places(1280 - w, 28), crop.places(720 - h, 28)) for w, h in windows]
+    score = crop.Frames.score
+    for saliency in (None, rng.random((n, 4, 6))):
+        frames = crop.Frames(box, conf, number, 1280, 720, 1.0, anchor, None, saliency)
+        want = []
+        for (w, h), (xs, ys) in zip(windows, grid):
+            flat = frames.score(w, h, xs.reshape(1, 1, -1), ys.reshape(1, -1, 1), 1e5, rules)[0].reshape(n, -1)
+            at = flat.argmax(axis=1)
+            want.append((flat.max(axis=1), xs[at % len(xs)], ys[at // len(xs)]))
+        tried.clear()
+        with monkeypatch.context() as patch:
+            patch.setattr(crop.Frames, "score", lambda self, *args: tried.append(self) or score(self, *args))
+            found = frames.grids(windows, grid, 1e5, rules)
+        assert found == pytest.approx(np.array(want).transpose(1, 2, 0), abs=1e-9)
+        assert sum(len(f.number) for f in tried) < n * sum(len(xs) * len(ys) for xs, ys in grid) / 5
