@@ -36,6 +36,7 @@ B, A, Q = 1.001, 20.0, (1 << 16) - 2  # base, rate and largest register of the s
 SURE = 18.0  # a pair goes unverified only if the threshold is e**18 times less likely than the best fit
 PART_CHARS = 500_000
 SPREAD = 1000  # members outside a bucket's largest component that one salt holds
+FEW = 10_000  # edges that one task joins at the end
 PLAIN_ROWS = 100_000  # edges or labels that a plain join moves: one task of them is small even if all meet in one key
 
 
@@ -188,47 +189,101 @@ class Verifier:
         return self.scratch.keep(linked, "links")
 
 
+def _joined(batches):
+    """Per endpoint of the edges (a, b) of all ``batches``: x and p, one endpoint of its connected component."""
+    up: dict = {}
+
+    def root(x):
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = x = up[above]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column("a").type
+        for a, b in zip(*(batch.column(c).to_pylist() for c in "ab")):
+            up[root(a)] = root(b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in list(up)], kind)], names=["x", "p"])
+
+
+def _renamed(scratch: Scratch, labels: DataFrame, parents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``labels`` (id, label) with each label that has a row in ``parents`` (x, p) changed to p, and the tables that this reads besides the two."""
+    to = parents.select(F.col("x").alias("label"), "p")
+    if labels.count() <= PLAIN_ROWS:
+        named, read = labels.join(to, "label", "left"), []
+    else:
+        weights = scratch.keep(labels.groupBy("label").agg(F.count("*").alias("w")), "weights")
+        named, read = salted_lookup(labels, to, ["label"], weights, "w", ["id"], how="left"), [weights]
+    return named.select("id", F.coalesce("p", "label").alias("label")), read
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     """Per endpoint of ``edges`` (a, b): id and label, equal within a connected component; None without edges.
 
     Each round every node joins its smallest neighbour, in order of id and of a hash of it by turns (the first settles stars whose centre is the
     smallest, the second bounds the rounds on long chains), and edges are carried over to what their ends have joined. A star of many members is one key on
     the edges' side and then one label, so both are carried over by salted lookups; what each end weighs is counted along with its smallest neighbour.
+    Rounds on a few edges cost their jobs alone, so the last ``FEW`` edges are joined in one task.
     """
     edges = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     labels, turn = None, 0
     while size := edges.count():
         turn += 1
-        rank = (lambda c: F.col(c)) if turn % 2 else (lambda c, t=turn: F.xxhash64(F.lit(t), F.col(c)))
-        one = F.lit(1).cast("long")
-        both = edges.select("a", "b", one.alias("from_a")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), (one - 1).alias("from_a")))
-        best = both.groupBy(F.col("a").alias("x")).agg(F.min_by("b", rank("b")).alias("y"), F.sum("from_a").alias("w_a"), F.sum(1 - F.col("from_a")).alias("w_b"))
-        parents = scratch.keep(best.select("x", F.when(rank("y") < rank("x"), F.col("y")).otherwise(F.col("x")).alias("p"), "w_a", "w_b"), "parents")
-        moved = edges
-        for end, other in (("a", "b"), ("b", "a")):
-            to = parents.select(F.col("x").alias(end), F.col("p").alias(f"p_{end}"), f"w_{end}")
-            moved = moved.join(to.drop(f"w_{end}"), end) if size <= PLAIN_ROWS else salted_lookup(moved, to.drop(f"w_{end}"), [end], to, f"w_{end}", [other])
-        moved = moved.filter("p_a <> p_b").select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b")).distinct()
-        before = [edges, parents]
-        edges = scratch.keep(moved, "edges")
+        before = [edges]
+        if size <= FEW:
+            ship(scratch.spark)
+            schema = T.StructType([T.StructField(c, edges.schema["a"].dataType) for c in "xp"])
+            parents = scratch.keep(edges.coalesce(1).mapInArrow(_joined, schema), "parents")
+        else:
+            rank = (lambda c: F.col(c)) if turn % 2 else (lambda c, t=turn: F.xxhash64(F.lit(t), F.col(c)))
+            one = F.lit(1).cast("long")
+            both = edges.select("a", "b", one.alias("from_a")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), (one - 1).alias("from_a")))
+            best = both.groupBy(F.col("a").alias("x")).agg(F.min_by("b", rank("b")).alias("y"), F.sum("from_a").alias("w_a"), F.sum(1 - F.col("from_a")).alias("w_b"))
+            parents = scratch.keep(best.select("x", F.when(rank("y") < rank("x"), F.col("y")).otherwise(F.col("x")).alias("p"), "w_a", "w_b"), "parents")
+            moved = edges
+            for end, other in (("a", "b"), ("b", "a")):
+                to = parents.select(F.col("x").alias(end), F.col("p").alias(f"p_{end}"), f"w_{end}")
+                moved = moved.join(to.drop(f"w_{end}"), end) if size <= PLAIN_ROWS else salted_lookup(moved, to.drop(f"w_{end}"), [end], to, f"w_{end}", [other])
+            moved = moved.filter("p_a <> p_b").select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b")).distinct()
+            edges = scratch.keep(moved, "edges")
+        before.append(parents)
         if labels is None:
             named = parents.select(F.col("x").alias("id"), F.col("p").alias("label"))
         else:
-            to, held = parents.select(F.col("x").alias("label"), "p"), labels.count()
-            if held <= PLAIN_ROWS:
-                named = labels.join(to, "label", "left")
-            else:
-                weights = scratch.keep(labels.groupBy("label").agg(F.count("*").alias("w")), "weights")
-                named = salted_lookup(labels, to, ["label"], weights, "w", ["id"], how="left")
-                before.append(weights)
-            named = named.select("id", F.coalesce("p", "label").alias("label"))
-            before.append(labels)
+            named, read = _renamed(scratch, labels, parents)
+            before += [labels, *read]
         labels = scratch.keep(named, "labels")
         scratch.drop(*before)
+        if size <= FEW:
+            return labels
     scratch.drop(edges)
     return labels
 
 
+def extended(scratch: Scratch, labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """``components`` of the edges that gave ``labels`` and of ``edges`` (a, b, a written table) together: what is joined already counts as one node."""
+    size = edges.count()
+    if labels is None or not size:
+        return components(scratch, edges) if labels is None else labels
+    moved, read = edges, []
+    for end, other in (("a", "b"), ("b", "a")):
+        to = labels.select(F.col("id").alias(end), F.col("label").alias(f"p_{end}"))
+        if size <= PLAIN_ROWS:
+            moved = moved.join(to, end, "left")
+        else:
+            weights = scratch.keep(edges.groupBy(end).agg(F.count("*").alias("w")), "weights")
+            moved, read = salted_lookup(moved, to, [end], weights, "w", [other], how="left"), [*read, weights]
+    joined = components(scratch, moved.select(F.coalesce("p_a", "a").alias("a"), F.coalesce("p_b", "b").alias("b")))
+    if joined is None:
+        scratch.drop(*read)
+        return labels
+    named, more = _renamed(scratch, labels, joined.select(F.col("id").alias("x"), F.col("label").alias("p")))
+    out = scratch.keep(named.unionByName(joined.join(labels.select("id"), "id", "left_anti")), "labels")  # a label is an id of ``labels`` too
+    scratch.drop(labels, joined, *read, *more)
+    return out
+
+
 def _dealt(load: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two sides of a bucket's pairs, to meet on (band, salt): members outside the largest component, each in one of its bucket's ``salts``, and
     all members, repeated for each of them. So every pair meets once, and a hot bucket falls to as many tasks as it has salts."""
@@ -257,9 +312,9 @@ def _between(scratch: Scratch, members: DataFrame, labels: DataFrame | None, hea
     n_x, n = F.col("x_n"), F.col("n")
     met = (F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("x_id") < F.col("id")))
     alike = 100 * F.least(n_x, n) >= percent * F.greatest(n_x, n)
-    here = F.array_position(F.zip_with("x_bands", "bands", lambda p, q: p == q), F.lit(True)) == F.col("k") + 1
+    here = F.get(F.array_intersect("x_bands", "bands"), F.lit(0)) == F.col("band")
     both = F.size(F.array_intersect("x_set", "set"))
-    linked = 100 * both >= percent * (n_x + n - both)
+    linked = (100 + percent) * both >= percent * (n_x + n)  # 100 * both >= percent * (n_x + n - both), with one intersection: a join's condition takes what it names twice twice
     found = x.join(load, (F.col("x_band") == F.col("band")) & (F.col("x_salt") == F.col("salt")) & met & alike & F.when(here, linked).otherwise(False))
     return scratch.keep(found.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")), "between")
 
@@ -298,7 +353,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verifier.links(stars)
     labels = components(scratch, links)
     more = _between(scratch, members, labels, heads, sets, percent)
-    labels = components(scratch, links.unionByName(more)) if not more.isEmpty() else labels
+    labels = extended(scratch, labels, more)
     grouped = classes
     if labels is not None:
         smallest = labels.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("w"))

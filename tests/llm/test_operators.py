@@ -342,6 +342,34 @@ def test_components_of_a_star(spark, monkeypatch):
     assert sum(sizes) == 50_051 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
+def test_components_end_in_one_task_and_grow_by_new_edges(spark, monkeypatch):
+    """A chain takes one round once few edges are left, and further edges are joined to the components there are; results are those of all rounds over all edges."""
+    from gatelight.llm import common
+
+    def parts(labels):
+        found = {}
+        for r in labels.collect():
+            found.setdefault(r["label"], set()).add(r["id"])
+        return sorted(map(sorted, found.values()))
+
+    chain, more = [(i * 7919 % 400, (i + 1) * 7919 % 400) for i in range(0, 399) if i % 5], [(0, 7919 % 400), (1000, 1001), (1001, 3), (1002, 1003), (5, 5)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got_by = []
+    for few, plain in ((10_000, 100_000), (0, 100_000), (20, 0)):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        monkeypatch.setattr(near_dedup, "PLAIN_ROWS", plain)
+        scratch = common.Scratch(spark)
+        labels = near_dedup.components(scratch, table(chain))
+        assert few != 10_000 or scratch.count == 3  # edges, parents, labels
+        first = parts(labels)
+        both = parts(near_dedup.extended(scratch, labels, scratch.keep(table(more))))
+        assert both == parts(near_dedup.components(common.Scratch(spark), table(chain + more)))
+        assert parts(near_dedup.extended(scratch, None, table(chain))) == first and near_dedup.extended(scratch, None, table([(5, 5)])) is None
+        got_by.append((first, both))
+    assert got_by[0] == got_by[1] == got_by[2]
+    assert all(len(p) == 5 for p in got_by[0][0][1:-1])
+
+
 def test_scratch_leaves_no_setting_and_few_tables(spark, docs):
     from pathlib import Path
     from threading import Thread
