@@ -113,3 +113,17 @@ def test_plans_hold_only_what_is_read(spark, sf_dir):
         assert q is gate.decision_audit or "to_json" not in plan(q(t)).lower()  # the audit writes JSON of its own
     full = plan(gate.results(t, "expected", "actual", "evidence"))
     assert "first_safe" in full and "WindowGroupLimit" in full
+
+
+def test_faces_are_ranked_in_their_frame_without_the_limits_of_their_profile(spark):
+    """Sorted by frame are a face's own columns alone, and a face is worked out once: no join carries what the lists of offences hold."""
+    faces = spark.createDataFrame([(1, 1, 0.4, 1, 0.0, 0.0, 100.0, 200.0)], "media_id long, sample int, t double, face_no int, x1 double, y1 double, x2 double, y2 double")
+    media = rules.with_profile(spark.createDataFrame([(1, "still", 1080, 1350)], "media_id long, profile_id string, width int, height int"), spec.profile_table(spark, SHEET))
+    plan = rules.face_facts(faces, media)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    tops = [i for i, line in enumerate(plan) if "Window [max(" in line]
+    assert len(tops) == 2
+    for i in tops:
+        below = next((k for k in range(i + 1, len(plan)) if depth(plan[k]) <= depth(plan[i])), len(plan))
+        assert not any("Join" in line or "reserved" in line for line in plan[i:below])
+    assert not any("Join" in line and "filter(transform(" in line for line in plan)
