@@ -94,3 +94,18 @@ def test_a_rule_that_no_longer_applies_has_no_outcome(spark):
     out = revalidation.revalidate(rules.with_profile(media, new), held, old, new, rules.technical_rules)
     assert {r.rule_id: (r.was, r.outcome) for r in out.collect()}["tech.frame_rate"] == ("fail", None)
     assert [tuple(r) for r in revalidation.flips(out).collect()] == [(1, "fail", "pass", "tech.frame_rate")]
+
+
+def test_flips_count_faces_once_for_both_sheets(spark, sf_dir):
+    from gatelight.plans.registry import QUERIES
+    from gatelight.plans.views import Tables
+
+    t = Tables(spark, sf_dir)
+    old, new = (spec.profile_table(spark, s) for s in (SHEET, gate.newer_sheet()))
+    ordered = lambda df: df.orderBy("media_id").select(*sorted(df.columns)).collect()
+    swapped = rules.under_sheet(gate.facts(t, False), old, new)
+    assert ordered(swapped) == ordered(gate.facts(t, False, gate.newer_sheet()))
+    assert rules.under_sheet(gate.facts(t, False), old, new.withColumn("frame_fraction", F.lit(0.5))) is None
+    assert rules.under_sheet(gate.facts(t, False), old.limit(1), new) is None
+    plan = QUERIES["revalidation_flips"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan  # faces are read from the facts that are written
