@@ -25,10 +25,12 @@ NO_SUBJECT = 0.5  # composition of a frame without faces and bodies
 LEAST_KEPT = 0.6  # of the primary face, for any composition
 ANCHOR, ANCHOR_SIZE = 0.55, 0.6
 W_COVERAGE, W_COMPOSITION, W_SCALE = 1.0, 0.55, 0.22
-PART = 256  # frames whose profiles are held at a time
-BLOCK = 32  # frames whose grid is bounded at a time: its arrays stay in the cache
-LANES = 2048  # windows scored at a time
+PART, SUBJECTS = 512, 8192  # frames, and subjects of them, whose profiles are held at a time
+CHUNK = 128  # frames whose grids are bounded at a time: their arrays stay in the cache
+BLOCK = 4  # places a side of the blocks that grids are bounded by
+LANES = 512  # blocks of windows scored at a time
 SLACK = 2e-4  # what a bound in single precision may be wrong by, many times over
+STEEP, HEAVY = 1e4, 8.0  # how fast a bound lets go beyond a limit, and the most that it counts a face in zones: so it stays right in single precision
 
 
 class Rules(NamedTuple):
@@ -75,11 +77,30 @@ def _composition(primary, w, h, x, y, kept, rules: Rules):
     return np.where(kept < LEAST_KEPT, 0.0, np.minimum(1.0, across + down))
 
 
-def _overlaps(b, x, y, w, h, zone=(0.0, 0.0, 1.0, 1.0)):
-    """How far boxes reach into windows (or a zone of theirs), across in shares of the box's area and down; their product is the share held."""
+def _best_placing(primary, w, h, x, y, rules: Rules):
+    """The most that ``_placing`` gives anywhere between the first and last of ``x`` and of ``y``."""
+    x1, y1, x2, y2 = primary[:4]
+    middle, eye = (x1 + x2) / 2, y1 + np.maximum(y2 - y1, 0) * 0.42
+    off = lambda at: np.maximum(0.0, np.maximum(at - (middle - x[0]) / w, (middle - x[1]) / w - at))
+    near = lambda at, v: np.minimum(np.maximum(at, (v - y[1]) / h), (v - y[0]) / h)
+    side = np.maximum(0.0, 1 - (off(0.5) / 0.35 if rules.centre else np.minimum(np.minimum(off(1 / 3), off(2 / 3)), off(0.5) * 1.15) / 0.30))
+    level = 0.36 if rules.headroom else 0.5
+    line = np.maximum(0.0, 1 - np.abs(near(level, eye) - level) / 0.30)
+    room = near(0.12, y1)
+    air = np.clip(np.minimum(room / 0.04, 1 - (room - 0.20) / 0.28), 0.0, 1.0) if rules.headroom else 1.0
+    return 0.40 * side, 0.34 * line + 0.26 * air
+
+
+def _edges(x, y, w, h, zone=(0.0, 0.0, 1.0, 1.0)):
+    """Sides of windows, or of a zone of theirs."""
+    return x + w * zone[0], y + h * zone[1], x + w * zone[2], y + h * zone[3]
+
+
+def _overlaps(b, left, above, right, below):
+    """How far boxes reach into windows, across in shares of the box's area and down; their product is the share held."""
     ax, ay, bx, by = b[:4]
-    across = np.maximum(np.minimum(bx, x + w * zone[2]) - np.maximum(ax, x + w * zone[0]), 0)
-    down = np.maximum(np.minimum(by, y + h * zone[3]) - np.maximum(ay, y + h * zone[1]), 0)
+    across = np.maximum(np.minimum(bx, right) - np.maximum(ax, left), 0)
+    down = np.maximum(np.minimum(by, below) - np.maximum(ay, above), 0)
     return across * b[4], down
 
 
@@ -101,184 +122,259 @@ class Frames:
         ``anchor`` is 4 x frames x 1 x 1: centre and width of the window that each frame's is drawn to, and how strongly. ``bodies``: boxes, 4 x frames x
         bodies, and weights, frames x bodies (0: none). ``saliency``: frames x rows x columns.
         """
+        box, conf, boost, anchor = (v[..., 0, 0] if np.ndim(v) else v for v in (box, conf, boost, anchor))
         side = np.maximum(box[2:] - box[:2], 0.0)
         area = side[0] * side[1]
         self.frame, self.number, self.anchor = (width, height), number, anchor
-        there = np.arange(len(conf)).reshape(-1, 1, 1, 1) < number.reshape(1, -1, 1, 1)
+        there = np.arange(len(conf))[:, None] < number
         top = np.where(there, area, 0.0).max(axis=0, keepdims=True)  # a face counts beside the largest of its frame
         self.weight = maps.face_weights(area, top, conf) * boost
-        flat = lambda v: v[..., 0, 0].swapaxes(-1, -2)  # noqa: E731  frames x faces
-        self.maps = maps.Maps(width, height, flat(maps.heads_of(box)), flat(self.weight * there), *(bodies or (None, None)), saliency)
-        cut = side * (-boxes.CORE_SHRINK / 2)
-        limit = np.array([width, height], dtype=float).reshape(2, 1, 1, 1, 1)
-        self.core = np.concatenate([np.maximum(box[:2] + cut, 0.0), np.minimum(box[2:] - cut, limit)])
         head = maps.heads_of(box)
-        self.head = np.concatenate([np.maximum(head[:2], 0.0), np.minimum(head[2:], limit)])
-        room = np.maximum(self.head[2:] - self.head[:2], 0.0)
-        rank = np.where(there, self.weight * room[0] * room[1], -1.0)[:, :, 0, 0]
         every = np.arange(len(number))
-        first = np.argmax(rank, axis=0)
-        self.tallest = np.argmax(np.where(there, room[1], -1.0)[:, :, 0, 0], axis=0)
-        self.subject, self.primary = number > 0, self.head[:, first, every]  # what composition goes by: the largest subject by weight
+        self.maps = maps.Maps(width, height, head.swapaxes(1, 2), (self.weight * there).T, *(bodies or (None, None)), saliency).lanes(every)
+        cut = side * (-boxes.CORE_SHRINK / 2)
+        limit = np.array([width, height], dtype=float).reshape(2, 1, 1)
+        self.core = np.concatenate([np.maximum(box[:2] + cut, 0.0), np.minimum(box[2:] - cut, limit)])
+        head = np.concatenate([np.maximum(head[:2], 0.0), np.minimum(head[2:], limit)])
+        room = np.maximum(head[2:] - head[:2], 0.0)
+        rank = np.where(there, self.weight * room[0] * room[1], -1.0)
+        first, tallest = np.argmax(rank, axis=0), np.argmax(np.where(there, room[1], -1.0), axis=0)
+        self.subject, self.primary = number > 0, head[:, first, every]  # what composition goes by: the largest subject by weight
+        odd = (self.weight * there < 0).any(axis=0)
         if bodies is not None and bodies[1].shape[1]:
             at, weight = bodies
             rank_b = np.where(weight > 0, weight * np.maximum(at[2] - at[0], 0) * np.maximum(at[3] - at[1], 0), -1.0)
             best = np.argmax(rank_b, axis=1)
             wins = rank_b[every, best] >= rank[first, every]
-            self.primary = np.where((wins & (weight[every, best] > 0)).reshape(-1, 1, 1), at[:, every, best].reshape(4, -1, 1, 1), self.primary)
+            self.primary = np.where(wins & (weight[every, best] > 0), at[:, every, best], self.primary)
             self.subject = self.subject | (weight > 0).any(axis=1)
-        self.core, self.head, self.primary = _with_area(self.core), _with_area(self.head), _with_area(self.primary)
-
-    def part(self, lo: int, hi: int) -> Frames:
-        out = object.__new__(Frames)
-        most = max(1, self.number[lo])
-        out.frame, out.number, out.tallest, out.subject, out.primary, out.maps = self.frame, self.number[lo:hi], self.tallest[lo:hi], self.subject[lo:hi], self.primary[:, lo:hi], self.maps.part(lo, hi)
-        out.anchor = None if self.anchor is None else self.anchor[:, lo:hi]
-        out.core, out.head, out.weight = self.core[:, :most, lo:hi], self.head[:, :most, lo:hi], self.weight[:most, lo:hi]
-        return out
+            odd |= (weight < 0).any(axis=1)
+        if saliency is not None:
+            odd |= (saliency < 0).any(axis=(1, 2))
+        self.odd = odd | (anchor[3] < 0) if anchor is not None else odd  # a subject that counts against its frame, or a window pushed away: no bound
+        self.core, self.tall, self.primary = _with_area(self.core), _with_area(head[:, tallest, every]), _with_area(self.primary)
 
     def take(self, frame: np.ndarray) -> Frames:
         """Frames by number, each as often as it is named; numbers must not fall."""
         out = object.__new__(Frames)
-        out.frame, out.number, out.tallest, out.subject, out.primary, out.maps = self.frame, self.number[frame], self.tallest[frame], self.subject[frame], self.primary[:, frame], self.maps.lanes(frame)
+        most = max(1, self.number[frame].max(initial=0))
+        out.frame, out.number, out.subject, out.maps = self.frame, self.number[frame], self.subject[frame], self.maps.lanes(frame)
+        out.primary, out.tall, out.core, out.weight = (v.take(frame, axis=-1) for v in (self.primary, self.tall, self.core[:, :most], self.weight[:most]))
         out.anchor = None if self.anchor is None else self.anchor[:, frame]
-        out.core, out.head, out.weight = self.core[:, :, frame], self.head[:, :, frame], self.weight[:, frame]
         return out
 
-    def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules, share: np.ndarray | None = None):
-        """Score to 6 places, intact, clipped and dropped faces of the windows at ``x`` and ``y``, whose shapes spread to frames x rows x columns; ``share`` is their share of importance where it is known."""
+    def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules):
+        """Score to 6 places, intact, clipped and dropped faces of the windows at ``x``, frames x 1 x columns, and ``y``, frames x rows x 1; one may stand for all frames."""
+        w, h, x, y = (np.moveaxis(v, 0, -1) if np.ndim(v) else v for v in (w, h, x, y))  # frames behind: one pass over all windows of a place
+        shape = (len(y), x.shape[1], len(self.number))
 
-        def held(b, zone=(0.0, 0.0, 1.0, 1.0), cut=slice(None)):
-            across, down = _overlaps(b, *(v[cut] if np.ndim(v) and len(v) > 1 else v for v in (x, y, w, h)), zone)
-            return across * down  # a row by a column: one pass over all windows
+        def held(b, edges, cut=slice(None)):
+            across, down = _overlaps(b, *(v[..., cut] if np.ndim(v) and v.shape[-1] > 1 else v for v in edges))
+            return across * down
 
-        shape = np.broadcast_shapes((len(self.number), 1, 1), np.shape(x), np.shape(y))
         loss = np.zeros(shape)
         intact, dropped = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=np.int32)
+        whole, action, *reserved = (_edges(x, y, w, h, zone) for zone in ((0.0, 0.0, 1.0, 1.0), rules.action or (0.0, 0.0, 1.0, 1.0), *rules.reserved))
         for k in range(self.weight.shape[0]):
             cut = slice(0, int((self.number > k).sum()))
             core, weight = self.core[:, k, cut], self.weight[k, cut]
-            f, least = held(core, cut=cut), np.minimum(1.0, weight)
+            f, least = held(core, whole, cut), np.minimum(1.0, weight)
             kept, gone = f >= INTACT, f <= GONE
             lost = (1 - f) * (CLIP_PENALTY * least)
-            lost[kept] = 0.0
-            np.copyto(lost, DROP_PENALTY * least, where=gone)
-            intact[cut] += kept
-            dropped[cut] += gone
+            lost *= ~(kept | gone)
+            lost += DROP_PENALTY * least * gone
+            intact[..., cut] += kept
+            dropped[..., cut] += gone
             inside = f >= 0.5
             if rules.action:
-                safe = held(core, rules.action, cut)
+                safe = held(core, action, cut)
                 lost += (1 - safe) * (SAFE_PENALTY / 2 * weight) * (inside & (safe < 0.98))
-            for zone in rules.reserved:
+            for zone in reserved:
                 under = held(core, zone, cut)
                 lost += under * (RESERVED_PENALTY / 2 * weight) * (inside & (under > 0.02))
-            loss[cut] += lost
-        composed = np.where(self.subject.reshape(-1, 1, 1), _composition(self.primary, w, h, x, y, held(self.primary), rules), NO_SUBJECT)
+            loss[..., cut] += lost
+        composed = np.where(self.subject, _composition(self.primary, w, h, x, y, held(self.primary, whole), rules), NO_SUBJECT)
         if rules.least_face:
-            tall = self.head[:, self.tallest, np.arange(shape[0])]
-            composed = np.where((held(tall) > 0.5) & ((tall[3] - tall[1]) / h < rules.least_face), composed * SMALL_FACE, composed)
-        share = self.maps.shares(x, y, w, h) if share is None else share
-        score = W_COVERAGE * share + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
+            small = (self.tall[3] - self.tall[1]) / h < rules.least_face
+            if small.any():
+                composed = np.where((held(self.tall, whole) > 0.5) & small, composed * SMALL_FACE, composed)
+        score = W_COVERAGE * self.maps.shares(x, y, w, h) + W_COMPOSITION * composed + W_SCALE * np.sqrt(w * h / biggest) - loss
         if self.anchor is not None:
             (at_x, at_y, wide, strength), (width, height) = self.anchor, self.frame
             way = np.hypot((x + w / 2 - at_x) / width, (y + h / 2 - at_y) / height)
             score = score - strength * (way + ANCHOR_SIZE * np.abs(w - wide) / width)
-        return np.round(score, 6), intact, self.number.reshape(-1, 1, 1) - intact - dropped, dropped
-
-    def _bound(self, w: float, h: float, x: np.ndarray, y: np.ndarray, share: np.ndarray, biggest: float, rules: Rules) -> np.ndarray:
-        """What the windows of a grid can score at most, give or take ``SLACK``: everything but zones and small faces, which only take away. Single precision."""
-        single, eps = np.float32, 1e-5
-        out = share.astype(single)
-        (across, down), (side, rest) = _overlaps(self.primary, x, y, w, h), _placing(self.primary, w, h, x, y, rules)
-        composed = (W_COMPOSITION * side).astype(single) + (W_COMPOSITION * rest).astype(single)
-        composed *= across.astype(single) * down.astype(single) >= single(LEAST_KEPT - eps)
-        composed[~self.subject] = W_COMPOSITION * NO_SUBJECT
-        out += composed
-        for k in range(self.weight.shape[0]):
-            cut = slice(0, int((self.number > k).sum()))
-            across, down = _overlaps(self.core[:, k, cut], x, y, w, h)
-            least = np.minimum(1.0, self.weight[k, cut])
-            most = CLIP_PENALTY * least
-            f = (most * across).astype(single) * down.astype(single)  # the share held, times the penalty
-            lost = most.astype(single) - f
-            lost *= f < ((INTACT - eps) * most).astype(single)
-            np.copyto(lost, (DROP_PENALTY * least).astype(single), where=f <= ((GONE + eps) * most).astype(single))
-            out[cut] -= lost
-        if self.anchor is not None:
-            (at_x, at_y, wide, strength), (width, height) = self.anchor, self.frame
-            way = np.hypot((strength * (x + w / 2 - at_x) / width).astype(single), (strength * (y + h / 2 - at_y) / height).astype(single))
-            out -= way
-            out -= (strength * ANCHOR_SIZE * np.abs(w - wide) / width).astype(single)
-        out += single(W_SCALE * math.sqrt(w * h / biggest))
-        odd = (self.weight < 0).any(axis=0).ravel() | (False if self.anchor is None else (self.anchor[3] < 0).ravel())
-        out[odd] = np.inf  # a face that counts against its frame, or a window pushed away: no bound
+        return tuple(np.moveaxis(v, -1, 0) for v in (np.round(score, 6), intact, self.number - intact - dropped, dropped))
+
+    def _lanes(self, frame: np.ndarray, w, h, x, y, biggest: float, rules: Rules) -> np.ndarray:
+        """Scores, rows x columns x lanes, of windows at ``x``, columns x lanes, and ``y``, rows x lanes, of frames in order."""
+        out = np.empty((len(y), len(x), len(frame)))
+        for lo in range(0, len(frame), LANES):
+            cut = slice(lo, lo + LANES)
+            out[..., cut] = np.moveaxis(self.take(frame[cut]).score(w[cut, None, None], h[cut, None, None], x[:, cut].T[:, None], y[:, cut].T[..., None], biggest, rules)[0], 0, -1)
         return out
 
-    def grids(self, windows: list[tuple[int, int]], places_of: list[tuple[np.ndarray, np.ndarray]], biggest: float, rules: Rules) -> np.ndarray:
+    def _bounds(self, windows: list[tuple[int, int]], places_of: list[tuple[np.ndarray, np.ndarray]], biggest: float, rules: Rules) -> np.ndarray:
+        """What windows can score at most, give or take ``SLACK``, frames x sizes x rows x columns, by blocks of ``BLOCK`` places a side. Single precision.
+
+        A block is all that lies from its first place to the next block's first, so it bounds the windows between places too. What it holds of a subject is
+        at most what the window from its first left to its last right side holds; places that its windows give to a subject are bounded across and
+        down by themselves. Limits are let go of steeply, not at once: no branch is taken, and a bound stays one.
+        """
+        single, many = np.float32, len(windows)
+        size = np.array(windows, dtype=float).T[:, :, None, None]  # across and down: sizes x 1 x 1
+        starts = [np.arange(max(-(-len(p[axis]) // BLOCK) for p in places_of)) * BLOCK for axis in (0, 1)]
+        at = [np.array([[c[np.minimum(start + step, len(c) - 1)] for step in (0, BLOCK)] for c in (p[axis] for p in places_of)]).swapaxes(0, 1)[..., None] for axis, start in enumerate(starts)]
+        (x, y), (w, h) = at, size  # first and last: 2 x sizes x blocks x 1
+        spread = self.maps.maps.edges(x[0, ..., 0], y[0, ..., 0], (x[1] + w)[..., 0], (y[1] + h)[..., 0])
+        out = np.empty((len(self.number), many, len(starts[1]), len(starts[0])), single)
+        across, down = (lambda v: v.astype(single)[:, None]), (lambda v: v.astype(single)[:, :, None])
+        fitting = (w * h / biggest) ** 0.5
+
+        def reach(b, first, last, scale=1.0, zone=(0.0, 0.0, 1.0, 1.0)):
+            """The share of boxes that windows hold between two corners of a block, times ``scale``: as a column and a row."""
+            left, above, right, below = _edges(x[first], y[first], w, h, zone)[:2] + _edges(x[last], y[last], w, h, zone)[2:]
+            held = _overlaps(b, left, above, right, below)
+            return across(held[0] * scale), down(held[1])
+
+        def beyond(most, held, limit):
+            """What is lacking of ``most``, where less than ``limit`` of it is held."""
+            out = (most * (limit - 1e-4)).astype(single) - held
+            np.maximum(out, 0, out=out)
+            out *= single(STEEP)
+            return np.minimum(out, most.astype(single) - held, out=out)
+
+        for lo in range(0, len(out), CHUNK):
+            hi = min(len(out), lo + CHUNK)
+            some = slice(lo, hi)
+            primary, tall, core, weight, number, subject = (v[..., some] for v in (self.primary, self.tall, self.core, self.weight, self.number, self.subject))
+            bound = self.maps.maps.blocks(*spread, lo, hi)
+            side, rest = _best_placing(primary, w, h, x, y, rules)
+            composed = across(W_COMPOSITION * side) + down(W_COMPOSITION * rest)
+            a, d = reach(primary, 0, 1, STEEP)
+            np.minimum(composed, np.maximum(a * d - single(STEEP * (LEAST_KEPT - 1e-4)), 0), out=composed)
+            composed[..., ~subject] = W_COMPOSITION * NO_SUBJECT
+            small = (tall[3] - tall[1]) / h < rules.least_face  # sizes x 1 x frames
+            if small.any():
+                a, d = reach(tall, 1, 0)
+                composed *= 1 - (1 - SMALL_FACE) * ((a * d > 0.5 + 1e-5) & small[:, None]).astype(single)
+            bound += composed
+            for k in range(core.shape[1]):
+                cut = slice(0, int((number > k).sum()))
+                box, heavy = core[:, k, cut], np.minimum(weight[k, cut], HEAVY)
+                least = np.minimum(1.0, heavy)
+                (a, d), (a_, d_) = reach(box, 0, 1, CLIP_PENALTY * least), reach(box, 1, 0, STEEP)
+                sure = a_ * d_  # what all of the block's windows hold
+                lost = beyond(CLIP_PENALTY * least, a * d, INTACT)
+                kept = sure - single(STEEP * (GONE + 1e-4))
+                np.maximum(kept, 0, out=kept)
+                kept += (DROP_PENALTY * least).astype(single)
+                np.minimum(lost, kept, out=lost)
+                if rules.action or rules.reserved:
+                    inside = np.maximum(sure - single(STEEP * (0.5 + 1e-4)), 0, out=sure)
+                if rules.action:
+                    a, d = reach(box, 0, 1, SAFE_PENALTY / 2 * heavy, rules.action)
+                    outside = beyond(SAFE_PENALTY / 2 * heavy, a * d, 0.98)
+                    lost += np.minimum(outside, inside, out=outside)
+                for zone in rules.reserved:
+                    a, d = reach(box, 1, 0, RESERVED_PENALTY / 2 * heavy, zone)
+                    under = a * d - (0.02 * RESERVED_PENALTY / 2 * heavy).astype(single)
+                    np.maximum(under, 0, out=under)
+                    lost += np.minimum(under, inside, out=under)
+                bound[..., cut] -= lost
+            if self.anchor is not None:
+                (at_x, at_y, wide, strength), (width, height) = self.anchor[:, some], self.frame
+                off_x, off_y = (np.maximum(0.0, np.maximum(v[0] + s / 2 - p, p - v[1] - s / 2)) for v, s, p in ((x, w, at_x), (y, h, at_y)))
+                bound -= np.hypot(across(strength * off_x / width), down(strength * off_y / height))
+                bound -= across(strength * ANCHOR_SIZE * np.abs(w - wide) / width)
+            bound += across(W_SCALE * fitting)
+            bound[..., self.odd[some]] = np.inf
+            out[some] = np.moveaxis(bound, 3, 0)
+        for s, (xs, ys) in enumerate(places_of):  # sizes with fewer places
+            out[:, s, starts[1] >= len(ys)] = -np.inf
+            out[:, s, :, starts[0] >= len(xs)] = -np.inf
+        return out
+
+    def grids(self, windows: list[tuple[int, int]], places_of: list[tuple[np.ndarray, np.ndarray]], biggest: float, rules: Rules, winners: bool = False) -> np.ndarray:
         """Score, x and y of each frame's best window of each size's grid, 3 x frames x sizes; of equal scores the first, row by row.
 
-        All windows are bounded from above; the one with the highest bound is scored, and then those whose bound is no less than that score. What
-        is left out scores less, so the result is that of scoring all.
+        Blocks of windows are bounded from above; the block with the highest bound is scored, and then those whose bound is no less than the best score
+        found. What is left out scores less, so the result is that of scoring all. With ``winners``, sizes that cannot have the frame's best window, neither on the
+        grid nor between its places, are left out: their score is -inf.
         """
-        n, many, most = len(self.number), len(windows), max(len(xs) * len(ys) for xs, ys in places_of)
-        bound, share, at_x, at_y = np.full((n, many, most), -np.inf, np.float32), np.zeros((n, many, most)), np.zeros((many, most)), np.zeros((many, most))
-        for s, ((w, h), (xs, ys)) in enumerate(zip(windows, places_of)):
-            x, y, size = xs.reshape(1, 1, -1), ys.reshape(1, -1, 1), len(xs) * len(ys)
-            at_x[s, :size], at_y[s, :size] = np.tile(xs, len(ys)), np.repeat(ys, len(xs))
-            for lo in range(0, n, BLOCK):
-                part = self.part(lo, lo + BLOCK)
-                held = np.broadcast_to(part.maps.shares(x, y, w, h), (len(part.number), len(ys), len(xs)))
-                share[lo : lo + BLOCK, s, :size] = held.reshape(-1, size)
-                bound[lo : lo + BLOCK, s, :size] = part._bound(w, h, x, y, held, biggest, rules).reshape(-1, size)
+        n, many = len(self.number), len(windows)
+        bound = self._bounds(windows, places_of, biggest, rules)
+        columns, bound = bound.shape[3], bound.reshape(n * many, -1)
         wide, high = (np.array(side, dtype=float) for side in zip(*windows))
-        column = lambda v: v.reshape(-1, 1, 1)
-
-        def scored(frame, s, at):
-            out = np.empty(len(frame))
-            for lo in range(0, len(frame), LANES):
-                f, k, a = (v[lo : lo + LANES] for v in (frame, s, at))
-                out[lo : lo + LANES] = self.take(f).score(column(wide[k]), column(high[k]), column(at_x[k, a]), column(at_y[k, a]), biggest, rules, column(share[f, k, a]))[0].ravel()
-            return out
-
-        every, sizes_ = np.repeat(np.arange(n), many), np.tile(np.arange(many), n)
-        least = scored(every, sizes_, bound.argmax(axis=2).ravel()).reshape(n, many)
-        frame, s, at = np.nonzero(~(bound < (least - SLACK).astype(np.float32)[..., None]))
-        score = scored(frame, s, at)
-        lane = frame * many + s
-        order = np.lexsort((at, -score, lane))
-        best = order[np.searchsorted(lane, np.arange(n * many))]
-        return np.stack([score[best], at_x[s[best], at[best]], at_y[s[best], at[best]]]).reshape(3, n, many)
+        number = np.array([[len(v) for v in p] for p in places_of]).T
+        at_x, at_y = (np.array([np.pad(p[axis], (0, number[axis].max() - len(p[axis]))) for p in places_of]) for axis in (0, 1))
+        side = np.arange(BLOCK)[:, None]
+        tried = []
+
+        def score(lane, block):
+            """The best windows of blocks, each of a frame and size: their scores; of equal ones the first."""
+            s = lane % many
+            i, j = np.minimum(block % columns * BLOCK + side, number[0, s] - 1), np.minimum(block // columns * BLOCK + side, number[1, s] - 1)
+            x, y = at_x[s, i], at_y[s, j]
+            found = self._lanes(lane // many, wide[s], high[s], x, y, biggest, rules).reshape(BLOCK * BLOCK, -1)
+            every, at = np.arange(len(lane)), found.argmax(axis=0)
+            row, column, found = at // BLOCK, at % BLOCK, found[at, every]
+            tried.append((lane, j[row, every] * number[0, s] + i[column, every], found, x[column, every], y[row, every]))
+            return found
+
+        most, first = bound.max(axis=1), bound.argmax(axis=1)
+        least, done = np.full(n * many, -np.inf), np.zeros(n * many, dtype=bool)
+        could = lambda: ~(most < np.repeat(least.reshape(n, many).max(axis=1) - SLACK, many)) if winners else np.ones(n * many, dtype=bool)
+        lanes = np.arange(n) * many + most.reshape(n, many).argmax(axis=1) if winners else np.arange(n * many)
+        while len(lanes):  # the likeliest size of each frame, then the others
+            least[lanes], done[lanes] = score(lanes, first[lanes]), True
+            lanes = np.flatnonzero(could() & ~done)
+        lanes = np.flatnonzero(could())
+        open_ = ~(bound[lanes] < (least[lanes] - SLACK).astype(np.float32)[:, None])
+        open_[np.arange(len(lanes)), first[lanes]] = False
+        row, block = np.nonzero(open_)
+        score(lanes[row], block)
+        lane, at, found, x, y = (np.concatenate(v) for v in zip(*tried))
+        order = np.lexsort((at, -found, lane))
+        order = order[np.flatnonzero(np.diff(lane[order], prepend=-1))]
+        best = np.full((3, n * many), 0.0)
+        best[0] = -np.inf
+        best[:, lane[order]] = found[order], x[order], y[order]
+        least = best[0]
+        best[0, ~could()] = -np.inf
+        return best.reshape(3, n, many)
 
     def search(self, windows: list[tuple[int, int]], biggest: float, steps: int, rounds: int, rules: Rules):
         """x, y, w, h, score, intact, clipped and dropped of the best window of each frame; of equal scores the first tried stays."""
         n, (width, height), many = len(self.number), self.frame, len(windows)
         span = np.array([(width - w, height - h) for w, h in windows], dtype=float).T
         grid = [(places(width - w, steps), places(height - h, steps)) for w, h in windows]
-        here = self.grids(windows, grid, biggest, rules)  # score, x, y
         step = np.array([[d / (len(c) - 1) if len(c) > 1 else 0.0 for d, c in zip(span[:, s], grid[s])] for s in range(many)]).T
-        # all sizes of all frames go through the rounds together
-        column = lambda v: v.reshape(-1, 1, 1)
-        all_, here = self.take(np.repeat(np.arange(n), many)), here.reshape(3, -1)
-        w, h = (column(np.tile(np.array(side, dtype=float), n)) for side in zip(*windows))
-        (span_x, span_y), (step_x, step_y) = np.tile(span, n), np.tile(step, n)
-        going = np.ones(n * many, dtype=bool)
+        wide, high = (np.array(side, dtype=float) for side in zip(*windows))
+        best = self.grids(windows, grid, biggest, rules, winners=True).reshape(3, -1)
+        # the sizes left of all frames go through the rounds together
+        lanes = np.flatnonzero(best[0] != -np.inf)
+        frame, s, here = lanes // many, lanes % many, best[:, lanes]
+        (span_x, span_y), (step_x, step_y) = span[:, s], step[:, s]
+        moves, nine = np.array([[-1.0], [0.0], [1.0]]), np.arange(9)[:, None]
+        going = np.ones(len(lanes), dtype=bool)
         for _ in range(rounds):
             step_x, step_y = step_x / 2, step_y / 2
-            better = np.zeros(n * many, dtype=bool)
-            for across in (-1, 0, 1):
-                for down in (-1, 0, 1):
-                    if not across and not down:
-                        continue
-                    x, y = np.clip(here[1] + across * step_x, 0, span_x), np.clip(here[2] + down * step_y, 0, span_y)
-                    score = all_.score(w, h, column(x), column(y), biggest, rules)[0].ravel()
-                    won = going & (score > here[0])
-                    here = np.where(won, (score, x, y), here)
-                    better |= won
+            better, nth, todo = np.zeros(len(lanes), dtype=bool), np.zeros(len(lanes), dtype=int), np.flatnonzero(going)
+            while len(todo):  # all neighbours at once, column by column; where one is better, those after it again, from there
+                x, y = np.clip(here[1, todo] + moves * step_x[todo], 0, span_x[todo]), np.clip(here[2, todo] + moves * step_y[todo], 0, span_y[todo])
+                score = self._lanes(frame[todo], wide[s[todo]], high[s[todo]], x, y, biggest, rules).swapaxes(0, 1).reshape(9, -1)
+                won = (score > here[0, todo]) & (nine >= nth[todo]) & (nine != 4)
+                some = np.flatnonzero(won.any(axis=0))
+                k, todo = won[:, some].argmax(axis=0), todo[some]
+                here[:, todo] = score[k, some], x[k // 3, some], y[k % 3, some]
+                better[todo], nth[todo] = True, k + 1
+                todo = todo[k < 8]
             going &= better | (step_x >= 0.5) | (step_y >= 0.5)
-        at = here[0].reshape(n, many).argmax(axis=1)
-        x, y = (column(v.reshape(n, many)[np.arange(n), at]) for v in here[1:])
-        w, h = (column(np.array(side, dtype=float)[at]) for side in zip(*windows))
-        return x.ravel(), y.ravel(), w.ravel(), h.ravel(), *(v.ravel() for v in self.score(w, h, x, y, biggest, rules))
+        best[:, lanes] = here
+        every, at = np.arange(n), best[0].reshape(n, many).argmax(axis=1)
+        x, y = (v.reshape(n, many)[every, at] for v in best[1:])
+        column = lambda v: v.reshape(-1, 1, 1)
+        return x, y, wide[at], high[at], *(v.ravel() for v in self.score(column(wide[at]), column(high[at]), column(x), column(y), biggest, rules))
 
 
 def _dealt(df: DataFrame, key: str) -> DataFrame:
@@ -286,12 +382,12 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "frame_id", min_scale: float = 0.70, scales: int = 4, steps: int = 9, rounds: int = 3, rules: Rules = Rules(), bodies: DataFrame | None = None, saliency: DataFrame | None = None, boost: Column | None = None) -> DataFrame:
+def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "frame_id", min_scale: float = 0.70, scales: int = 4, steps: int = 9, rounds: int = 3, rules: Rules = Rules(), bodies: DataFrame | Column | None = None, saliency: DataFrame | None = None, boost: Column | None = None) -> DataFrame:
     """Best crop per frame: x, y, w, h, score (6 places) and how many faces are intact, clipped and dropped.
 
     Each size is tried on a grid of ``steps`` places a side, then in ``rounds`` rounds on the eight neighbours of its best place, which moves as
     soon as one is better; the step halves each round. Coverage is the share of the frame's importance (``maps``) inside the window: a Gaussian over each head,
-    by area beside the largest, confidence and ``boost`` (who speaks counts more), a plateau over each of ``bodies`` (by, x1, y1, x2, y2, conf) and ``saliency`` (by, rows: arrays of 0 to 1, of one shape for all
+    by area beside the largest, confidence and ``boost`` (who speaks counts more), a plateau over each of ``bodies`` (by, x1, y1, x2, y2, conf; or a column of ``faces``, a struct of the last five for the body of each, which saves a shuffle and a join) and ``saliency`` (by, rows: arrays of 0 to 1, of one shape for all
     frames). Composition goes by the primary subject, the largest by weight and area. Frames are those with a face; subjects of a frame form arrays. One shuffle for each input.
     """
     windows = sizes(width, height, aspect, min_scale, scales)
@@ -299,9 +395,11 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
     sides = ("x1", "y1", "x2", "y2")
     value = lambda c: F.col(c).cast("double").alias(c)
     face = F.struct("face_no", *[value(c) for c in (*sides, "conf")], (F.lit(1.0) if boost is None else boost).cast("double").alias("boost"))
-    held = _dealt(faces, by).groupBy(by).agg(F.array_sort(F.collect_list(face)).alias("faces"))
-    if bodies is not None:
-        held = held.join(bodies.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*[value(c) for c in (*sides, "conf")]))).alias("bodies")), by, "left")
+    gathered = lambda c, name: F.sort_array(F.collect_list(c)).alias(name)
+    own = [gathered(F.struct(*[bodies[c].cast("double").alias(c) for c in (*sides, "conf")]), "bodies")] if isinstance(bodies, Column) else []
+    held = _dealt(faces, by).groupBy(by).agg(gathered(face, "faces"), *own)
+    if bodies is not None and not own:
+        held = held.join(bodies.groupBy(by).agg(gathered(F.struct(*[value(c) for c in (*sides, "conf")]), "bodies")), by, "left")
     if saliency is not None:
         held = held.join(saliency.select(by, F.col("rows").cast("array<array<double>>").alias("saliency")), by)
 
@@ -312,8 +410,10 @@ def solve(faces: DataFrame, width: int, height: int, aspect: float, by: str = "f
             # frames of as many faces lie together, so that few arrays are padded
             lengths = [batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in ("faces", *(["bodies"] if embodied else []))]
             batch = batch.take(pa.array(np.lexsort([-v for v in reversed(lengths)])))
-            for lo in range(0, batch.num_rows, PART):
-                part = batch.slice(lo, PART)
+            subjects, lo = sum(lengths)[np.lexsort([-v for v in reversed(lengths)])], 0
+            while lo < batch.num_rows:
+                part = batch.slice(lo, max(1, min(PART, SUBJECTS // max(1, subjects[lo : lo + PART].max()))))
+                lo += part.num_rows
                 found, number = maps.padded(part.column("faces"), (*sides, "conf", "boost"))
                 found = found.transpose(0, 2, 1)[..., None, None]
                 others = None

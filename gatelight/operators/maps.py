@@ -7,6 +7,8 @@ made. Frames are worked on by the batch, as arrays with the subjects of each fra
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from gatelight.workers import ship
 #: Cells across a map, what the layers weigh, a head's spread in shares of its sides, a plateau's soft edge in shares of its smaller side.
 CELLS = 384
 BODY_WEIGHT, SALIENCY_WEIGHT, SPREAD, SOFT = 0.30, 0.18, 0.55, 0.25
+ROWS = 32  # cells of a Gaussian from one that is worked out to the next
 #: Kernels of 3, 5 and 7 cells; longer ones follow the bell curve.
 SHORT_KERNELS = {3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625), 7: (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)}
 
@@ -38,13 +41,35 @@ def body_weights(conf: np.ndarray) -> np.ndarray:
     return BODY_WEIGHT * (0.5 + 0.5 * conf)
 
 
-def bell(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
-    """Profiles (... x n) of Gaussians over the intervals, cut off at three spreads; none over an empty interval."""
-    lo, hi = lo[..., None], hi[..., None]
+def bell(lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Running sums (n + 1 x m) of weighted Gaussians over m intervals, cut off at three spreads; none over an empty interval.
+
+    From cell to cell a Gaussian changes by a factor that itself changes by a constant one; every ``ROWS`` cells both are worked out anew.
+    """
+    solid = (hi > lo) & np.isfinite(hi - lo)
+    lo, hi, m = np.where(solid, lo, 0.0), np.where(solid, hi, 0.0), len(lo)
     middle, spread = (lo + hi) / 2, np.maximum(1.0, (hi - lo) * SPREAD)
-    first, last = np.maximum(0, np.floor(middle - 3 * spread)), np.minimum(n, np.ceil(middle + 3 * spread))
-    cell = np.arange(n)
-    return np.where((cell >= first) & (cell < last) & (hi > lo), np.exp(-0.5 * ((cell - middle) / spread) ** 2), 0.0)
+    first, last = (np.where(solid, np.clip(v, 0, n), 0).astype(int) for v in (np.floor(middle - 3 * spread), np.ceil(middle + 3 * spread)))
+    rate = 1 / (spread * spread)
+    slower = np.exp(-rate)
+    out, part = np.zeros((n + 1, m)), np.empty((ROWS, m))
+    for start in range(0, n, ROWS):
+        stop = min(n, start + ROWS)
+        live = (first < stop) & (last > start)
+        way = np.where(live, start - middle, 0.0)
+        part[0] = weight * np.exp(-0.5 * way * way * rate) * live
+        factor = np.exp(-(way + 0.5) * rate)
+        for k in range(1, stop - start):
+            np.multiply(part[k - 1], factor, out=part[k])
+            factor *= slower
+        for begin, end in ((np.full(m, start), first), (last, np.full(m, stop))):  # cells beyond the cut
+            some = np.flatnonzero(live & (begin >= start) & (end <= stop) & (end > begin))
+            length = end[some] - begin[some]
+            upto = np.cumsum(length)
+            part.ravel()[np.arange(length.sum()) * m + np.repeat((begin[some] - start - upto + length) * m + some, length)] = 0.0
+        for k in range(stop - start):
+            np.add(out[start + k], part[k], out=out[start + k + 1])
+    return out
 
 
 def kernel(size: int) -> np.ndarray:
@@ -55,25 +80,36 @@ def kernel(size: int) -> np.ndarray:
     return out / out.sum()
 
 
-def plateau(lo: np.ndarray, hi: np.ndarray, blur: np.ndarray, n: int) -> np.ndarray:
-    """Profiles (m x n) of the intervals' whole cells, blurred by kernels of ``blur`` cells; what lies beyond an end mirrors what lies before it."""
+def plateau(lo: np.ndarray, hi: np.ndarray, blur: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Running sums (n + 1 x m) of the intervals' whole cells, blurred by kernels of ``blur`` cells and weighted; what lies beyond an end mirrors what lies before it."""
     first, last = np.clip(np.floor(lo), 0, n).astype(int), np.clip(np.ceil(hi), 0, n).astype(int)
     sizes, which = np.unique(blur, return_inverse=True)
+    out = np.zeros((n + 1, len(first)))
     if n == 1 or not len(sizes) or sizes[-1] // 2 >= n:  # mirrored more than once
-        return _plateau_by_cells(first, last, blur, n)
-    # a blurred interval is a difference of the kernel's running sums; its mirror images beyond either end are intervals too
-    upto = np.zeros((len(sizes), sizes[-1] + 1))
-    for row, size in zip(upto, sizes):
-        row[1 : size + 1] = np.cumsum(kernel(int(size)))
-        row[size + 1 :] = row[size]
-    upto, base = upto.ravel(), (which.reshape(-1) * (sizes[-1] + 1))[:, None]
-    from_middle, top = (blur // 2)[:, None] - np.arange(n), blur[:, None]
-    some = last > first
-    out = np.zeros((len(first), n))
-    for a, b in ((first, last), (1 - last, np.minimum(1 - first, 0)), (np.maximum(2 * n - 1 - last, n), 2 * n - 1 - first)):
-        rows = np.flatnonzero(some & (b > a) & (b > -(blur // 2)) & (a < n + blur // 2))
-        reach, most, at = from_middle[rows], top[rows], base[rows]
-        out[rows] += upto[np.clip(b[rows, None] + reach, 0, most) + at] - upto[np.clip(a[rows, None] + reach, 0, most) + at]
+        np.cumsum((_plateau_by_cells(first, last, blur, n) * weight[:, None]).T, axis=0, out=out[1:])
+        return out
+    # an interval is a step up and a step down, as are its mirror images beyond either end, which join it without a step where it touches the end; a
+    # blurred step rises by one value of the kernel a cell
+    kernels = np.concatenate([kernel(int(size)) for size in sizes])
+    base, reach, most = (np.cumsum(sizes) - sizes)[which.reshape(-1)], blur // 2, int(sizes[-1]) // 2
+    pad, many = 2 * most + 1, len(first)
+    some = (last > first) & (weight != 0)
+    left, right = some & (first < most + 1), some & (last > n - most - 1)
+    steps = [(some & (first > 0), first, 1), (some & (last < n), last, -1), (left, 1 - last, 1), (left & (first > 0), np.minimum(1 - first, 0), -1), (right & (last < n), 2 * n - 1 - last, 1), (right, 2 * n - 1 - first, -1)]
+    rows = [np.flatnonzero(asked & (at - reach < n)) for asked, at, _ in steps]
+    begin = np.concatenate([np.maximum(at[r], -most - 1) for (_, at, _), r in zip(steps, rows)])  # before all cells, wherever
+    size = np.concatenate([sign * weight[r] for (*_, sign), r in zip(steps, rows)])
+    rows = np.concatenate(rows)
+    length = blur[rows]
+    start = np.cumsum(length) - length
+    step = np.repeat(np.arange(len(rows)), length)
+    nth = np.arange(len(step))
+    value = kernels[nth + (base[rows] - start)[step]] * size[step]
+    rise = np.bincount(nth * many + ((begin - reach[rows] + pad - start) * many + rows)[step], value, (pad + n + pad) * many).reshape(-1, many)
+    now = rise[:pad].sum(axis=0)
+    for k in range(n):
+        now += rise[pad + k]
+        np.add(out[k], now, out=out[k + 1])
     return out
 
 
@@ -108,70 +144,64 @@ def _upto(x: np.ndarray) -> np.ndarray:
 
 
 class Maps:
-    """The maps of some frames: running sums of each subject's profiles, frames x subjects x cells."""
+    """The maps of some frames, a layer of heads and one of bodies: running sums of each subject's profiles across and down, cells x frames x subjects."""
 
     def __init__(self, width: int, height: int, heads: np.ndarray, weight: np.ndarray, bodies: np.ndarray | None = None, body_weight: np.ndarray | None = None, saliency: np.ndarray | None = None, cells: int = CELLS):
         """``heads`` and ``bodies`` are 4 x frames x subjects, weights frames x subjects with 0 where there is none; ``saliency`` is frames x rows x columns."""
         self.across, self.down = shape(width, height, cells)
-        self.scale = 1.0 / (width / self.across)
-        x1, y1, x2, y2 = heads * self.scale
-        solid = (x2 > x1) & (y2 > y1)
-        x, y = bell(x1, x2, self.across) * (weight * solid)[..., None], bell(y1, y2, self.down)
+        self.scale, self.frames = 1.0 / (width / self.across), heads.shape[1]
+        x1, y1, x2, y2 = (heads * self.scale).reshape(4, -1)
+        solid = ((x2 > x1) & (y2 > y1)).astype(float)
+        flat = [(bell(x1, x2, weight.ravel() * solid, self.across), bell(y1, y2, solid, self.down))]
         if bodies is not None and bodies.shape[2]:
             x1, y1, x2, y2 = (bodies * self.scale).reshape(4, -1)
             blur = np.maximum(3, (np.maximum(np.minimum(x2 - x1, y2 - y1), 0) * SOFT).astype(int) | 1)
-            filled = (np.minimum(np.ceil(x2), self.across) > np.maximum(np.floor(x1), 0)) & (np.minimum(np.ceil(y2), self.down) > np.maximum(np.floor(y1), 0))
-            both = [plateau(a, b, blur, n).reshape(*bodies.shape[1:], n) for a, b, n in ((x1, x2, self.across), (y1, y2, self.down))]
-            x, y = np.concatenate([x, both[0] * (body_weight * filled.reshape(body_weight.shape))[..., None]], axis=1), np.concatenate([y, both[1]], axis=1)
-        self.x, self.y = _upto(x), _upto(y)
+            filled = ((np.minimum(np.ceil(x2), self.across) > np.maximum(np.floor(x1), 0)) & (np.minimum(np.ceil(y2), self.down) > np.maximum(np.floor(y1), 0))).astype(float)
+            flat.append((plateau(x1, x2, blur, body_weight.ravel() * filled, self.across), plateau(y1, y2, blur, filled, self.down)))
+        self.layers = [tuple(v.reshape(len(v), self.frames, v.shape[1] // max(1, self.frames)) for v in layer) for layer in flat]
         self.saliency = None if saliency is None else SALIENCY_WEIGHT * saliency
         if saliency is not None:
             self.to_x, self.to_y = (_upto(stretched(size, n).T).T for size, n in ((saliency.shape[2], self.across), (saliency.shape[1], self.down)))
-        self.total = self._held(np.array([[[0]]]), np.array([[[self.across]]]), np.array([[[0]]]), np.array([[[self.down]]]))[:, 0, 0]
-
-    def part(self, lo: int, hi: int) -> Maps:
-        out = object.__new__(Maps)
-        out.__dict__ |= self.__dict__ | {"x": self.x[lo:hi], "y": self.y[lo:hi], "total": self.total[lo:hi]}
-        if self.saliency is not None:
-            out.saliency = self.saliency[lo:hi]
-        return out
+        self.total = sum((x[-1] * y[-1]).sum(axis=1) for x, y in self.layers)
+        if saliency is not None:
+            self.total = self.total + np.einsum("fji,j,i->f", self.saliency, self.to_y[-1], self.to_x[-1])
+        self.known = self.total > 1e-8
 
     def lanes(self, frame: np.ndarray) -> Lanes:
         return Lanes(self, frame)
 
-    def _edges(self, v, n: int) -> np.ndarray:
-        return np.clip(np.rint(np.asarray(v) * self.scale), 0, n).astype(int)
-
-    def _held(self, left, right, above, below) -> np.ndarray:
-        n = len(self.x)
-
-        def between(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:  # frames x subjects x places
-            if len(lo) == len(hi) == 1:
-                return sums[:, :, hi.ravel()] - sums[:, :, lo.ravel()]
-            at = lambda v: np.take_along_axis(sums, np.broadcast_to(v.reshape(len(v), 1, -1), (n, 1, v[0].size)), axis=2)
-            return at(hi) - at(lo)
-
-        out = np.matmul(between(self.y, above, below).transpose(0, 2, 1), between(self.x, left, right))
-        if self.saliency is not None:
-            x, y = self.to_x[right.reshape(len(right), -1)] - self.to_x[left.reshape(len(left), -1)], self.to_y[below.reshape(len(below), -1)] - self.to_y[above.reshape(len(above), -1)]
-            out = out + np.matmul(np.matmul(y, self.saliency), x.transpose(0, 2, 1))
-        return out
+    def edges(self, x1, y1, x2, y2) -> tuple[np.ndarray, ...]:
+        """The cells where windows begin and end: left, right, above, below."""
+        at = lambda v, n: np.clip(np.rint(v * self.scale), 0, n).astype(int)
+        left, right, above, below = at(x1, self.across), at(x2, self.across), at(y1, self.down), at(y2, self.down)
+        return left, np.maximum(left, right), above, np.maximum(above, below)
 
     def shares(self, x, y, w, h) -> np.ndarray:
         """What windows hold of all importance, frames x rows x columns: ``x`` spreads over frames and columns, ``y`` over frames and rows."""
-        x, y, w, h = (np.asarray(v, dtype=float) for v in (x, y, w, h))
-        lift = lambda v: v.reshape((1,) * (3 - v.ndim) + v.shape)
-        left, right, above, below = (lift(self._edges(v, n)) for v, n in ((x, self.across), (x + w, self.across), (y, self.down), (y + h, self.down)))
-        left, right = np.broadcast_arrays(left, np.maximum(left, right))
-        above, below = np.broadcast_arrays(above, np.maximum(above, below))
-        held = self._held(left, right, above, below)
-        flat = (right - left) * (below - above) / (self.across * self.down)  # all cells alike where nothing was found
-        known = self.total > 1e-8
-        return np.where(known[:, None, None], held / np.where(known, self.total, 1.0)[:, None, None], flat)
+        x, y, w, h = (np.moveaxis(np.reshape(v, (1,) * (3 - np.ndim(v)) + np.shape(v)), 0, -1) for v in (x, y, w, h))
+        return np.moveaxis(self.lanes(np.arange(self.frames)).shares(x, y, w, h), -1, 0)
+
+    def blocks(self, left, right, above, below, lo: int, hi: int) -> np.ndarray:
+        """The shares of frames ``lo`` to ``hi`` between edges, sizes x rows x columns x frames: ``left`` and ``right`` are sizes x columns, ``above`` and ``below`` sizes x rows. Single precision."""
+        known = self.known[lo:hi]
+        total = np.where(known, self.total[lo:hi], 1.0)
+        out = np.zeros((*above.shape, left.shape[1], len(known)), np.float32)
+        for x, y in self.layers:
+            across = np.ascontiguousarray(np.moveaxis(x[right, lo:hi] - x[left, lo:hi], 3, 0) / total, dtype=np.float32)  # subjects x sizes x columns x frames
+            down = np.ascontiguousarray(np.moveaxis(y[below, lo:hi] - y[above, lo:hi], 3, 0), dtype=np.float32)
+            for a, d in zip(across, down):
+                out += a[:, None] * d[:, :, None]
+        if self.saliency is not None:
+            x, y = self.to_x[right] - self.to_x[left], self.to_y[below] - self.to_y[above]
+            out += (np.einsum("srj,fji,sci->srcf", y, self.saliency[lo:hi], x, optimize=True) / total).astype(np.float32)
+        if not known.all():
+            flat = ((right - left)[:, None] * (below - above)[:, :, None] / (self.across * self.down))[..., None]
+            out = np.where(known, out, flat.astype(np.float32))
+        return out
 
 
 class Lanes:
-    """Windows one by one, each of the frame that ``frame`` names: what ``Maps.shares`` says of them, without a copy of the sums for each."""
+    """Windows by the lane, each lane of the frame that ``frame`` names: what ``Maps.shares`` says of them, without a copy of the sums for each."""
 
     def __init__(self, maps: Maps, frame: np.ndarray):
         self.maps, self.frame = maps, frame
@@ -180,21 +210,28 @@ class Lanes:
         return Lanes(self.maps, self.frame[frame])
 
     def shares(self, x, y, w, h) -> np.ndarray:
-        """``x`` and ``y``, and ``w`` and ``h`` where they differ, are lanes x 1 x 1."""
+        """Shares, rows x columns x lanes, of windows at ``x``, 1 x columns x lanes, and ``y``, rows x 1 x lanes; a lane may stand for all."""
         maps, frame = self.maps, self.frame
-        x, y, w, h = (np.broadcast_to(np.asarray(v, dtype=float).ravel(), len(frame)) for v in (x, y, w, h))
-        left, right, above, below = (maps._edges(v, n) for v, n in ((x, maps.across), (x + w, maps.across), (y, maps.down), (y + h, maps.down)))
-        right, below = np.maximum(left, right), np.maximum(above, below)
-        held = ((maps.x[frame, :, right] - maps.x[frame, :, left]) * (maps.y[frame, :, below] - maps.y[frame, :, above])).sum(axis=1)
+        left, right, above, below = maps.edges(x, y, x + w, y + h)
+        left, right, above, below = left[0], right[0], above[:, 0], below[:, 0]
+        held = np.zeros((len(above), len(left), len(frame)))
+        for sums in maps.layers:
+            across, down = (v.reshape(v.shape[0] * v.shape[1], v.shape[2]) for v in sums)
+            at = lambda v, edge: v.take(edge * maps.frames + frame, axis=0)
+            across, down = at(across, right) - at(across, left), at(down, below) - at(down, above)
+            for k in range(across.shape[2]):
+                held += across[..., k] * down[:, None, :, k]
         if maps.saliency is not None:
             for lo in range(0, len(frame), 256):
-                cut = slice(lo, lo + 256)
-                across, down = maps.to_x[right[cut]] - maps.to_x[left[cut]], maps.to_y[below[cut]] - maps.to_y[above[cut]]
-                held[cut] += (np.matmul(down[:, None], maps.saliency[frame[cut]])[:, 0] * across).sum(axis=1)
-        total = maps.total[frame]
-        known = total > 1e-8
-        flat = (right - left) * (below - above) / (maps.across * maps.down)
-        return np.where(known, held / np.where(known, total, 1.0), flat).reshape(-1, 1, 1)
+                cut = lambda v: v[:, lo : lo + 256] if v.shape[1] > 1 else v  # noqa: B023, E731
+                across, down = maps.to_x[cut(right)] - maps.to_x[cut(left)], maps.to_y[cut(below)] - maps.to_y[cut(above)]  # places x lanes x samples
+                found = np.matmul(np.matmul(down.transpose(1, 0, 2), maps.saliency[frame[lo : lo + 256]]), across.transpose(1, 2, 0))
+                held[..., lo : lo + 256] += np.moveaxis(found, 0, -1)
+        known = maps.known[frame]
+        held /= np.where(known, maps.total[frame], 1.0)
+        if not known.all():  # all cells alike where nothing was found
+            held = np.where(known, held, (right - left) * (below - above)[:, None] / (maps.across * maps.down))
+        return held
 
 
 def padded(lists: pa.Array, parts: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:

@@ -448,9 +448,14 @@ def match_cost(t):
     return a.join(b, "frame_id").filter("a < b").select("frame_id", "a", "b", r6(tracking.match_cost(F.col("box_a"), F.col("box_b"), (FRAME_W**2 + FRAME_H**2) ** 0.5)).alias("cost"))
 
 
+def _body():
+    """The body below a face, as sure as the face."""
+    return boxes.body(_box(), FRAME_W, FRAME_H).withField("conf", F.col("conf"))
+
+
 def frame_bodies(t):
-    """A body below each face, as sure as the face."""
-    return t.v_faces.select("frame_id", "conf", boxes.body(_box(), FRAME_W, FRAME_H).alias("b")).select("frame_id", "conf", "b.*")
+    """A body below each face."""
+    return t.v_faces.select("frame_id", _body().alias("b")).select("frame_id", "b.*")
 
 
 #: Windows of a frame in shares of it, to ask what each holds.
@@ -500,7 +505,7 @@ def crop_solve(t):
     profile = t.v_profiles.filter("profile_id = 'feed_portrait_4x5'").first()
     zones = t.v_reserved_zones.filter("profile_id = 'feed_portrait_4x5'").orderBy("zone").collect()
     rules = crop.Rules(action=tuple(profile[f"safe_{c}"] for c in ("x1", "y1", "x2", "y2")), reserved=tuple(tuple(z[f"z{c}"] for c in ("x1", "y1", "x2", "y2")) for z in zones), least_face=0.08)
-    return crop.solve(t.v_faces, int(FRAME_W), int(FRAME_H), 4 / 5, min_scale=0.45, scales=8, steps=28, rules=rules, bodies=frame_bodies(t))
+    return crop.solve(t.v_faces, int(FRAME_W), int(FRAME_H), 4 / 5, min_scale=0.45, scales=8, steps=28, rules=rules, bodies=_body())
 
 
 # --- streams over the audit feed, as tables -------------------------------------------------------------------------------

@@ -776,3 +776,77 @@ def test_search_scores_few_windows_and_finds_the_best_of_all(monkeypatch):
             found = frames.grids(windows, grid, 1e5, rules)
         assert found == pytest.approx(np.array(want).transpose(1, 2, 0), abs=1e-9)
         assert sum(len(f.number) for f in tried) < n * sum(len(xs) * len(ys) for xs, ys in grid) / 5
+
+
+def made_up_frames(rng, n, faces, bodies=True, saliency=None, anchor=None):
+    number = -np.sort(-rng.integers(0, faces + 1, n))
+    corner, size = rng.uniform(-60, 1000, (2, faces, n)), rng.choice([20, 120, 400], (faces, n)) * rng.uniform(0.5, 1.2, (faces, n))
+    there = np.arange(faces)[:, None] < number
+    box = np.where(there, np.stack([corner[0], corner[1], corner[0] + 0.8 * size, corner[1] + size]), 0.0)
+    conf, boost = np.where(there, rng.random((faces, n)), 0.0), np.where(there, rng.choice([1.0, 1.5, 2.2], (faces, n)), 1.0)
+    wide = (np.clip(box.swapaxes(1, 2) + np.array([-50, 0, 50, 300]).reshape(4, 1, 1), 0, 1080), maps.body_weights(conf.T) * there.T) if bodies else None
+    return crop.Frames(box[..., None, None], conf[..., None, None], number, 1280, 720, boost[..., None, None], anchor, wide, saliency)
+
+
+STRICT = crop.Rules(action=(0.05, 0.14, 0.95, 0.84), reserved=((0.0, 0.0, 1.0, 0.12), (0.82, 0.55, 1.0, 0.86)), least_face=0.3)
+
+
+@pytest.mark.parametrize("rules", (STRICT, crop.Rules(centre=True, headroom=False)))
+@pytest.mark.parametrize("kind", ("bodies", "saliency", "anchor"))
+def test_no_window_of_a_block_scores_above_its_bound(rules, kind):
+    """Windows at places of the grid and between them, of every size and block."""
+    rng, n = np.random.default_rng(5), 60
+    anchor = np.stack([rng.uniform(300, 900, n), rng.uniform(200, 500, n), np.full(n, 405.0), np.where(np.arange(n) % 3, 0.55, 0.0)]).reshape(4, -1, 1, 1)
+    frames = made_up_frames(rng, n, 4, kind == "bodies", rng.random((n, 4, 6)) if kind == "saliency" else None, anchor if kind == "anchor" else None)
+    windows = crop.sizes(1280, 720, 9 / 16, 0.4, 4)
+    grid = [(crop.places(1280 - w, 18), crop.places(720 - h, 18)) for w, h in windows]
+    bound = frames._bounds(windows, grid, 1e5, rules)
+    assert np.isfinite(bound[:, 0, 0]).all() and (bound[:, 0, 1:] == -np.inf).all()  # the largest size has one row of places
+    for s, ((w, h), (xs, ys)) in enumerate(zip(windows, grid)):
+        for row in range(-(-len(ys) // crop.BLOCK)):
+            for column in range(-(-len(xs) // crop.BLOCK)):
+                x, y = (np.r_[part, rng.uniform(part[0], part[-1], 4)] for part in (xs[column * crop.BLOCK :][: crop.BLOCK + 1], ys[row * crop.BLOCK :][: crop.BLOCK + 1]))
+                most = frames.score(w, h, x.reshape(1, 1, -1), y.reshape(1, -1, 1), 1e5, rules)[0].max(axis=(1, 2))
+                assert (most <= bound[:, s, row, column] + crop.SLACK).all(), (s, row, column)
+
+
+def test_sizes_that_cannot_win_are_left_out(monkeypatch):
+    """The best of all sizes is what trying every size to its end finds, and few windows are scored for it."""
+    rng, n, tried = np.random.default_rng(6), 80, []
+    frames, windows = made_up_frames(rng, n, 5), crop.sizes(1280, 720, 9 / 16, 0.45, 8)
+    alone = [frames.search([size], 1e5, 28, 3, STRICT) for size in windows]
+    best = np.argmax([found[4] for found in alone], axis=0)
+    score = crop.Frames.score
+    monkeypatch.setattr(crop.Frames, "score", lambda self, *args: tried.append(self) or score(self, *args))
+    found = frames.search(windows, 1e5, 28, 3, STRICT)
+    assert np.stack(found) == pytest.approx(np.array([[v[i] for v in alone[s]] for i, s in enumerate(best)]).T, abs=1e-9)
+    assert sum(len(f.number) for f in tried) < 150 * n
+
+
+def test_profiles_equal_sums_over_cells():
+    rng, m = np.random.default_rng(7), 400
+    for n in (1, 24, 43, 683):
+        lo = rng.uniform(-200, 1.2 * n, m)
+        hi = np.where(np.arange(m) % 50, lo + rng.choice([0.0, -3.0, 0.4, 9.0, 90.0, 900.0], m) * rng.random(m), np.inf)
+        weight, cell = rng.random(m), np.arange(n)
+        want = np.zeros((n + 1, m))
+        for k in np.flatnonzero((hi > lo) & np.isfinite(hi)):
+            middle, spread = (lo[k] + hi[k]) / 2, max(1.0, 0.55 * (hi[k] - lo[k]))
+            inside = (cell >= math.floor(middle - 3 * spread)) & (cell < math.ceil(middle + 3 * spread))
+            want[1:, k] = np.cumsum(weight[k] * inside * np.exp(-0.5 * ((cell - middle) / spread) ** 2))
+        assert maps.bell(lo, hi, weight, n) == pytest.approx(want, abs=1e-9)
+        hi = np.where(np.isfinite(hi), hi, lo)
+        blur = np.maximum(3, (np.maximum(hi - lo, 0) * rng.uniform(0.05, 0.25, m)).astype(int) | 1)
+        first, last = np.clip(np.floor(lo), 0, n).astype(int), np.clip(np.ceil(hi), 0, n).astype(int)
+        want = np.cumsum((maps._plateau_by_cells(first, last, blur, n) * weight[:, None]).T, axis=0)
+        assert maps.plateau(lo, hi, blur, weight, n)[1:] == pytest.approx(want, abs=1e-9)
+
+
+def test_bodies_may_be_a_column_of_the_faces(spark):
+    rng = random.Random(35)
+    rows = [(f, k, c, *b) for f in range(30) for k, (b, c) in enumerate(some_boxes(rng, rng.randrange(1, 5)))]
+    faces = spark.createDataFrame(rows, f"frame_id long, face_no int, conf double, {BOX}")
+    body = F.struct((F.col("x1") - 30).alias("x1"), "y1", (F.col("x2") + 30).alias("x2"), (F.col("y2") + 200).alias("y2"), "conf")
+    apart, column = (crop.solve(faces, 1280, 720, 1.0, min_scale=0.6, scales=3, steps=9, bodies=b) for b in (faces.select("frame_id", body.alias("b")).select("frame_id", "b.*"), body))
+    assert sorted(map(tuple, column.collect())) == sorted(map(tuple, apart.collect()))
+    assert column._jdf.queryExecution().toString().count("Join") == 0
