@@ -67,14 +67,14 @@ def _placing(primary, w, h, x, y, rules: Rules):
     eye = (y1 + np.maximum(y2 - y1, 0) * 0.42 - y) / h
     line = np.maximum(0.0, 1 - np.abs(eye - (0.36 if rules.headroom else 0.5)) / 0.30)
     room = (y1 - y) / h
-    air = np.where(room < 0, 0.0, np.where(room < 0.04, room / 0.04, np.where(room <= 0.20, 1.0, np.maximum(0.0, 1 - (room - 0.20) / 0.28)))) if rules.headroom else 1.0
+    air = np.clip(np.minimum(room / 0.04, 1 - (room - 0.20) / 0.28), 0.0, 1.0) if rules.headroom else 1.0
     return 0.40 * side, 0.34 * line + 0.26 * air
 
 
 def _composition(primary, w, h, x, y, kept, rules: Rules):
     """0 to 1: thirds, eye line and headroom of the primary face; 0 if the crop holds under .6 of it."""
     across, down = _placing(primary, w, h, x, y, rules)
-    return np.where(kept < LEAST_KEPT, 0.0, np.minimum(1.0, across + down))
+    return np.minimum(1.0, across + down) * (kept >= LEAST_KEPT)
 
 
 def _best_placing(primary, w, h, x, y, rules: Rules):
@@ -158,7 +158,7 @@ class Frames:
         """Frames by number, each as often as it is named; numbers must not fall."""
         out = object.__new__(Frames)
         most = max(1, self.number[frame].max(initial=0))
-        out.frame, out.number, out.subject, out.maps = self.frame, self.number[frame], self.subject[frame], self.maps.lanes(frame)
+        out.frame, out.number, out.subject, out.odd, out.maps = self.frame, self.number[frame], self.subject[frame], self.odd[frame], self.maps.lanes(frame)
         out.primary, out.tall, out.core, out.weight = (v.take(frame, axis=-1) for v in (self.primary, self.tall, self.core[:, :most], self.weight[:most]))
         out.anchor = None if self.anchor is None else self.anchor[:, frame]
         return out
@@ -193,7 +193,8 @@ class Frames:
                 under = held(core, zone, cut)
                 lost += under * (RESERVED_PENALTY / 2 * weight) * (inside & (under > 0.02))
             loss[..., cut] += lost
-        composed = np.where(self.subject, _composition(self.primary, w, h, x, y, held(self.primary, whole), rules), NO_SUBJECT)
+        composed = _composition(self.primary, w, h, x, y, held(self.primary, whole), rules)
+        composed[..., ~self.subject] = NO_SUBJECT
         if rules.least_face:
             small = (self.tall[3] - self.tall[1]) / h < rules.least_face
             if small.any():
@@ -213,27 +214,24 @@ class Frames:
             out[..., cut] = np.moveaxis(self.take(frame[cut]).score(w[cut, None, None], h[cut, None, None], x[:, cut].T[:, None], y[:, cut].T[..., None], biggest, rules)[0], 0, -1)
         return out
 
-    def _bounds(self, windows: list[tuple[int, int]], places_of: list[tuple[np.ndarray, np.ndarray]], biggest: float, rules: Rules) -> np.ndarray:
-        """What windows can score at most, give or take ``SLACK``, frames x sizes x rows x columns, by blocks of ``BLOCK`` places a side. Single precision.
+    def _most(self, w, h, x, y, share: np.ndarray, biggest: float, rules: Rules) -> np.ndarray:
+        """What windows can score at most, give or take ``SLACK``, where they lie anywhere between two places, the first and last of ``x`` and of ``y``. Single precision.
 
-        A block is all that lies from its first place to the next block's first, so it bounds the windows between places too. What it holds of a subject is
-        at most what the window from its first left to its last right side holds; places that its windows give to a subject are bounded across and
+        ``x`` is 2 x ... columns x frames, ``y`` 2 x ... rows x frames; the result, as ``share``, ... rows x columns x frames. What such windows hold of a subject is at
+        most what the window from the first's left to the last's right side holds, which gives ``share``; places that they give to a subject are bounded across and
         down by themselves. Limits are let go of steeply, not at once: no branch is taken, and a bound stays one.
         """
-        single, many = np.float32, len(windows)
-        size = np.array(windows, dtype=float).T[:, :, None, None]  # across and down: sizes x 1 x 1
-        starts = [np.arange(max(-(-len(p[axis]) // BLOCK) for p in places_of)) * BLOCK for axis in (0, 1)]
-        at = [np.array([[c[np.minimum(start + step, len(c) - 1)] for step in (0, BLOCK)] for c in (p[axis] for p in places_of)]).swapaxes(0, 1)[..., None] for axis, start in enumerate(starts)]
-        (x, y), (w, h) = at, size  # first and last: 2 x sizes x blocks x 1
-        spread = self.maps.maps.edges(x[0, ..., 0], y[0, ..., 0], (x[1] + w)[..., 0], (y[1] + h)[..., 0])
-        out = np.empty((len(self.number), many, len(starts[1]), len(starts[0])), single)
-        across, down = (lambda v: v.astype(single)[:, None]), (lambda v: v.astype(single)[:, :, None])
-        fitting = (w * h / biggest) ** 0.5
-
-        def reach(b, first, last, scale=1.0, zone=(0.0, 0.0, 1.0, 1.0)):
-            """The share of boxes that windows hold between two corners of a block, times ``scale``: as a column and a row."""
-            left, above, right, below = _edges(x[first], y[first], w, h, zone)[:2] + _edges(x[last], y[last], w, h, zone)[2:]
-            held = _overlaps(b, left, above, right, below)
+        single = np.float32
+        across, down = (lambda v: v.astype(single)[..., None, :, :]), (lambda v: v.astype(single)[..., :, None, :])
+
+        def sides(zone=(0.0, 0.0, 1.0, 1.0)):
+            """Of all windows together and of what they have in common: the first's left and upper sides with the last's others, and the last's with the first's."""
+            first, last = (_edges(x[k], y[k], w, h, zone) for k in (0, 1))
+            return first[:2] + last[2:], last[:2] + first[2:]
+
+        def reach(b, edges, scale=1.0):
+            """The share of boxes between edges, times ``scale``: as a column and a row."""
+            held = _overlaps(b, *edges)
             return across(held[0] * scale), down(held[1])
 
         def beyond(most, held, limit):
@@ -243,52 +241,59 @@ class Frames:
             out *= single(STEEP)
             return np.minimum(out, most.astype(single) - held, out=out)
 
+        (any_, all_), reserved = sides(), [sides(zone)[1] for zone in rules.reserved]
+        action = sides(rules.action)[0] if rules.action else None
+        bound = share.astype(single)
+        side, rest = _best_placing(self.primary, w, h, x, y, rules)
+        composed = across(W_COMPOSITION * side) + down(W_COMPOSITION * rest)
+        a, d = reach(self.primary, any_, STEEP)
+        np.minimum(composed, np.maximum(a * d - single(STEEP * (LEAST_KEPT - 1e-4)), 0), out=composed)
+        composed[..., ~self.subject] = W_COMPOSITION * NO_SUBJECT
+        small = (self.tall[3] - self.tall[1]) / h < rules.least_face
+        if small.any():
+            a, d = reach(self.tall, all_)
+            composed *= 1 - (1 - SMALL_FACE) * ((a * d > 0.5 + 1e-5) & small[..., None, :, :]).astype(single)
+        bound += composed
+        for k in range(self.core.shape[1]):
+            heavy = np.where(self.number > k, np.minimum(self.weight[k], HEAVY), 0.0)
+            box, least = self.core[:, k], np.minimum(1.0, heavy)
+            (a, d), (a_, d_) = reach(box, any_, CLIP_PENALTY * least), reach(box, all_, STEEP)
+            sure = a_ * d_  # what all of the windows hold
+            lost = beyond(CLIP_PENALTY * least, a * d, INTACT)
+            kept = sure - single(STEEP * (GONE + 1e-4))
+            np.maximum(kept, 0, out=kept)
+            kept += (DROP_PENALTY * least).astype(single)
+            bound -= np.minimum(lost, kept, out=lost)
+            if rules.action or rules.reserved:
+                inside = np.maximum(sure - single(STEEP * (0.5 + 1e-4)), 0, out=sure)
+            if rules.action:
+                a, d = reach(box, action, SAFE_PENALTY / 2 * heavy)
+                outside = beyond(SAFE_PENALTY / 2 * heavy, a * d, 0.98)
+                bound -= np.minimum(outside, inside, out=outside)
+            for zone in reserved:
+                a, d = reach(box, zone, RESERVED_PENALTY / 2 * heavy)
+                under = a * d - (0.02 * RESERVED_PENALTY / 2 * heavy).astype(single)
+                np.maximum(under, 0, out=under)
+                bound -= np.minimum(under, inside, out=under)
+        if self.anchor is not None:
+            (at_x, at_y, wide, strength), (width, height) = self.anchor, self.frame
+            off_x, off_y = (np.maximum(0.0, np.maximum(v[0] + s / 2 - p, p - v[1] - s / 2)) for v, s, p in ((x, w, at_x), (y, h, at_y)))
+            bound -= np.hypot(across(strength * off_x / width), down(strength * off_y / height))
+            bound -= across(strength * ANCHOR_SIZE * np.abs(w - wide) / width)
+        bound += across((w * h / biggest) ** 0.5 * W_SCALE)
+        bound[..., self.odd] = np.inf
+        return bound
+
+    def _bounds(self, windows: list[tuple[int, int]], places_of: list[tuple[np.ndarray, np.ndarray]], biggest: float, rules: Rules) -> np.ndarray:
+        """Bounds of all windows in blocks of ``BLOCK`` places a side, frames x sizes x rows x columns: a block is all that lies from its first place to the next block's first."""
+        w, h = np.array(windows, dtype=float).T[:, :, None, None]
+        starts = [np.arange(max(-(-len(p[axis]) // BLOCK) for p in places_of)) * BLOCK for axis in (0, 1)]
+        x, y = (np.array([[c[np.minimum(start + step, len(c) - 1)] for c in (p[axis] for p in places_of)] for step in (0, BLOCK)])[..., None] for axis, start in enumerate(starts))
+        edges = [v[..., 0] for v in self.maps.maps.edges(x[0], y[0], x[1] + w, y[1] + h)]
+        out = np.empty((len(self.number), len(windows), len(starts[1]), len(starts[0])), np.float32)
         for lo in range(0, len(out), CHUNK):
-            hi = min(len(out), lo + CHUNK)
-            some = slice(lo, hi)
-            primary, tall, core, weight, number, subject = (v[..., some] for v in (self.primary, self.tall, self.core, self.weight, self.number, self.subject))
-            bound = self.maps.maps.blocks(*spread, lo, hi)
-            side, rest = _best_placing(primary, w, h, x, y, rules)
-            composed = across(W_COMPOSITION * side) + down(W_COMPOSITION * rest)
-            a, d = reach(primary, 0, 1, STEEP)
-            np.minimum(composed, np.maximum(a * d - single(STEEP * (LEAST_KEPT - 1e-4)), 0), out=composed)
-            composed[..., ~subject] = W_COMPOSITION * NO_SUBJECT
-            small = (tall[3] - tall[1]) / h < rules.least_face  # sizes x 1 x frames
-            if small.any():
-                a, d = reach(tall, 1, 0)
-                composed *= 1 - (1 - SMALL_FACE) * ((a * d > 0.5 + 1e-5) & small[:, None]).astype(single)
-            bound += composed
-            for k in range(core.shape[1]):
-                cut = slice(0, int((number > k).sum()))
-                box, heavy = core[:, k, cut], np.minimum(weight[k, cut], HEAVY)
-                least = np.minimum(1.0, heavy)
-                (a, d), (a_, d_) = reach(box, 0, 1, CLIP_PENALTY * least), reach(box, 1, 0, STEEP)
-                sure = a_ * d_  # what all of the block's windows hold
-                lost = beyond(CLIP_PENALTY * least, a * d, INTACT)
-                kept = sure - single(STEEP * (GONE + 1e-4))
-                np.maximum(kept, 0, out=kept)
-                kept += (DROP_PENALTY * least).astype(single)
-                np.minimum(lost, kept, out=lost)
-                if rules.action or rules.reserved:
-                    inside = np.maximum(sure - single(STEEP * (0.5 + 1e-4)), 0, out=sure)
-                if rules.action:
-                    a, d = reach(box, 0, 1, SAFE_PENALTY / 2 * heavy, rules.action)
-                    outside = beyond(SAFE_PENALTY / 2 * heavy, a * d, 0.98)
-                    lost += np.minimum(outside, inside, out=outside)
-                for zone in rules.reserved:
-                    a, d = reach(box, 1, 0, RESERVED_PENALTY / 2 * heavy, zone)
-                    under = a * d - (0.02 * RESERVED_PENALTY / 2 * heavy).astype(single)
-                    np.maximum(under, 0, out=under)
-                    lost += np.minimum(under, inside, out=under)
-                bound[..., cut] -= lost
-            if self.anchor is not None:
-                (at_x, at_y, wide, strength), (width, height) = self.anchor[:, some], self.frame
-                off_x, off_y = (np.maximum(0.0, np.maximum(v[0] + s / 2 - p, p - v[1] - s / 2)) for v, s, p in ((x, w, at_x), (y, h, at_y)))
-                bound -= np.hypot(across(strength * off_x / width), down(strength * off_y / height))
-                bound -= across(strength * ANCHOR_SIZE * np.abs(w - wide) / width)
-            bound += across(W_SCALE * fitting)
-            bound[..., self.odd[some]] = np.inf
-            out[some] = np.moveaxis(bound, 3, 0)
+            some = np.arange(lo, min(len(out), lo + CHUNK))
+            out[some] = np.moveaxis(self.take(some)._most(w, h, x, y, self.maps.maps.blocks(*edges, lo, lo + len(some)), biggest, rules), 3, 0)
         for s, (xs, ys) in enumerate(places_of):  # sizes with fewer places
             out[:, s, starts[1] >= len(ys)] = -np.inf
             out[:, s, :, starts[0] >= len(xs)] = -np.inf
@@ -321,26 +326,56 @@ class Frames:
             tried.append((lane, j[row, every] * number[0, s] + i[column, every], found, x[column, every], y[row, every]))
             return found
 
+        def closer(lane, block):
+            """Blocks bounded anew, from place to place: the highest of each."""
+            s = lane % many
+            i, j = (np.minimum(at * BLOCK + np.arange(BLOCK + 1)[:, None], number[axis, s] - 1) for axis, at in enumerate((block % columns, block // columns)))
+            x, y, w, h = at_x[s, i], at_y[s, j], wide[s][None], high[s][None]
+            out = np.empty(len(lane), np.float32)
+            for lo in range(0, len(lane), LANES):
+                cut = slice(lo, lo + LANES)
+                part, a, d, w_, h_ = self.take(lane[cut] // many), x[:, cut], y[:, cut], w[:, cut], h[:, cut]
+                share = part.maps.between(*part.maps.maps.edges(a[:-1], d[:-1], a[1:] + w_, d[1:] + h_))
+                out[cut] = part._most(w_, h_, (a[:-1], a[1:]), (d[:-1], d[1:]), share, biggest, rules).max(axis=(0, 1))
+            return out
+
         most, first = bound.max(axis=1), bound.argmax(axis=1)
-        least, done = np.full(n * many, -np.inf), np.zeros(n * many, dtype=bool)
-        could = lambda: ~(most < np.repeat(least.reshape(n, many).max(axis=1) - SLACK, many)) if winners else np.ones(n * many, dtype=bool)
-        lanes = np.arange(n) * many + most.reshape(n, many).argmax(axis=1) if winners else np.arange(n * many)
-        while len(lanes):  # the likeliest size of each frame, then the others
-            least[lanes], done[lanes] = score(lanes, first[lanes]), True
-            lanes = np.flatnonzero(could() & ~done)
-        lanes = np.flatnonzero(could())
-        open_ = ~(bound[lanes] < (least[lanes] - SLACK).astype(np.float32)[:, None])
-        open_[np.arange(len(lanes)), first[lanes]] = False
-        row, block = np.nonzero(open_)
-        score(lanes[row], block)
+        least = np.full(n * many, -np.inf)
+        floor = lambda: least.reshape(n, many).max(axis=1, keepdims=True) - SLACK
+        under = lambda values, limit: values < np.asarray(limit).astype(np.float32)
+
+        def finish(lanes):
+            """The best windows of frames and sizes: the likeliest block, then those that may hold as good ones."""
+            if not len(lanes):
+                return
+            least[lanes] = score(lanes, first[lanes])
+            open_ = ~under(bound[lanes], least[lanes][:, None] - SLACK)
+            open_[np.arange(len(lanes)), first[lanes]] = False
+            row, block = np.nonzero(open_)
+            if len(row):
+                np.maximum.at(least, lanes[row], score(lanes[row], block))
+
+        if winners:
+            likely = np.arange(n) * many + most.reshape(n, many).argmax(axis=1)
+            finish(likely)
+            limit = np.repeat(floor(), many, axis=1).ravel()
+            rest = ~under(most, limit)
+            rest[likely] = False
+            rest = np.flatnonzero(rest)
+            row, block = np.nonzero(~under(bound[rest], limit[rest][:, None]))
+            if len(row):
+                np.maximum.reduceat(closer(rest[row], block), np.flatnonzero(np.diff(row, prepend=-1)), out=(again := np.empty(len(rest), np.float32)))
+                finish(rest[~under(again, limit[rest])])
+        else:
+            finish(np.arange(n * many))
         lane, at, found, x, y = (np.concatenate(v) for v in zip(*tried))
         order = np.lexsort((at, -found, lane))
         order = order[np.flatnonzero(np.diff(lane[order], prepend=-1))]
         best = np.full((3, n * many), 0.0)
         best[0] = -np.inf
         best[:, lane[order]] = found[order], x[order], y[order]
-        least = best[0]
-        best[0, ~could()] = -np.inf
+        if winners:
+            best[0, under(most.reshape(n, many), best[0].reshape(n, many).max(axis=1, keepdims=True) - SLACK).ravel()] = -np.inf
         return best.reshape(3, n, many)
 
     def search(self, windows: list[tuple[int, int]], biggest: float, steps: int, rounds: int, rules: Rules):

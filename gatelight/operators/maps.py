@@ -84,31 +84,29 @@ def plateau(lo: np.ndarray, hi: np.ndarray, blur: np.ndarray, weight: np.ndarray
     """Running sums (n + 1 x m) of the intervals' whole cells, blurred by kernels of ``blur`` cells and weighted; what lies beyond an end mirrors what lies before it."""
     first, last = np.clip(np.floor(lo), 0, n).astype(int), np.clip(np.ceil(hi), 0, n).astype(int)
     sizes, which = np.unique(blur, return_inverse=True)
-    out = np.zeros((n + 1, len(first)))
     if n == 1 or not len(sizes) or sizes[-1] // 2 >= n:  # mirrored more than once
-        np.cumsum((_plateau_by_cells(first, last, blur, n) * weight[:, None]).T, axis=0, out=out[1:])
-        return out
+        return _upto(_plateau_by_cells(first, last, blur, n) * weight[:, None]).T
     # an interval is a step up and a step down, as are its mirror images beyond either end, which join it without a step where it touches the end; a
     # blurred step rises by one value of the kernel a cell
-    kernels = np.concatenate([kernel(int(size)) for size in sizes])
-    base, reach, most = (np.cumsum(sizes) - sizes)[which.reshape(-1)], blur // 2, int(sizes[-1]) // 2
-    pad, many = 2 * most + 1, len(first)
+    kernels, sums = ([f(kernel(int(size))) for size in sizes] for f in (np.asarray, _upto))
+    base, reach, most, many = (np.cumsum(sizes) - sizes)[which.reshape(-1)], blur // 2, int(sizes[-1]) // 2, len(first)
     some = (last > first) & (weight != 0)
     left, right = some & (first < most + 1), some & (last > n - most - 1)
     steps = [(some & (first > 0), first, 1), (some & (last < n), last, -1), (left, 1 - last, 1), (left & (first > 0), np.minimum(1 - first, 0), -1), (right & (last < n), 2 * n - 1 - last, 1), (right, 2 * n - 1 - first, -1)]
     rows = [np.flatnonzero(asked & (at - reach < n)) for asked, at, _ in steps]
-    begin = np.concatenate([np.maximum(at[r], -most - 1) for (_, at, _), r in zip(steps, rows)])  # before all cells, wherever
+    start = np.concatenate([at[r] - reach[r] for (_, at, _), r in zip(steps, rows)])
     size = np.concatenate([sign * weight[r] for (*_, sign), r in zip(steps, rows)])
     rows = np.concatenate(rows)
-    length = blur[rows]
-    start = np.cumsum(length) - length
+    before = np.clip(-start, 0, blur[rows])  # values before the first cell
+    now = np.bincount(rows, size * np.concatenate(sums)[base[rows] + which.reshape(-1)[rows] + before], many)
+    length = np.minimum(blur[rows], n - start) - before
+    upto = np.cumsum(length) - length
     step = np.repeat(np.arange(len(rows)), length)
     nth = np.arange(len(step))
-    value = kernels[nth + (base[rows] - start)[step]] * size[step]
-    rise = np.bincount(nth * many + ((begin - reach[rows] + pad - start) * many + rows)[step], value, (pad + n + pad) * many).reshape(-1, many)
-    now = rise[:pad].sum(axis=0)
+    value = np.concatenate(kernels)[nth + (base[rows] + before - upto)[step]] * size[step]
+    out = np.bincount(nth * many + ((start + before + 1 - upto) * many + rows)[step], value, (n + 1) * many).reshape(-1, many)
     for k in range(n):
-        now += rise[pad + k]
+        now += out[k + 1]
         np.add(out[k], now, out=out[k + 1])
     return out
 
@@ -211,9 +209,12 @@ class Lanes:
 
     def shares(self, x, y, w, h) -> np.ndarray:
         """Shares, rows x columns x lanes, of windows at ``x``, 1 x columns x lanes, and ``y``, rows x 1 x lanes; a lane may stand for all."""
+        left, right, above, below = self.maps.edges(x, y, x + w, y + h)
+        return self.between(left[0], right[0], above[:, 0], below[:, 0])
+
+    def between(self, left, right, above, below) -> np.ndarray:
+        """Shares, rows x columns x lanes, between edges: ``left`` and ``right`` are columns x lanes, ``above`` and ``below`` rows x lanes."""
         maps, frame = self.maps, self.frame
-        left, right, above, below = maps.edges(x, y, x + w, y + h)
-        left, right, above, below = left[0], right[0], above[:, 0], below[:, 0]
         held = np.zeros((len(above), len(left), len(frame)))
         for sums in maps.layers:
             across, down = (v.reshape(v.shape[0] * v.shape[1], v.shape[2]) for v in sums)
