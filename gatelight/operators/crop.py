@@ -25,10 +25,10 @@ NO_SUBJECT = 0.5  # composition of a frame without faces and bodies
 LEAST_KEPT = 0.6  # of the primary face, for any composition
 ANCHOR, ANCHOR_SIZE = 0.55, 0.6
 W_COVERAGE, W_COMPOSITION, W_SCALE = 1.0, 0.55, 0.22
-PART, SUBJECTS = 512, 8192  # frames, and subjects of them, whose profiles are held at a time
+PART, SUBJECTS = 1024, 12288  # frames, and subjects of them, whose profiles are held at a time
 CHUNK = 128  # frames whose grids are bounded at a time: their arrays stay in the cache
 BLOCK = 4  # places a side of the blocks that grids are bounded by
-LANES = 512  # blocks of windows scored at a time
+LANES = 1024  # blocks of windows scored at a time
 SLACK = 2e-4  # what a bound in single precision may be wrong by, many times over
 STEEP, HEAVY = 1e4, 8.0  # how fast a bound lets go beyond a limit, and the most that it counts a face in zones: so it stays right in single precision
 
@@ -163,8 +163,11 @@ class Frames:
         out.anchor = None if self.anchor is None else self.anchor[:, frame]
         return out
 
-    def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules):
-        """Score to 6 places, intact, clipped and dropped faces of the windows at ``x``, frames x 1 x columns, and ``y``, frames x rows x 1; one may stand for all frames."""
+    def score(self, w, h, x: np.ndarray, y: np.ndarray, biggest: float, rules: Rules, alone: bool = False):
+        """Score to 6 places, intact, clipped and dropped faces of the windows at ``x``, frames x 1 x columns, and ``y``, frames x rows x 1; one may stand for all frames.
+
+        With ``alone`` faces are not counted.
+        """
         w, h, x, y = (np.moveaxis(v, 0, -1) if np.ndim(v) else v for v in (w, h, x, y))  # frames behind: one pass over all windows of a place
         shape = (len(y), x.shape[1], len(self.number))
 
@@ -173,7 +176,7 @@ class Frames:
             return across * down
 
         loss = np.zeros(shape)
-        intact, dropped = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=np.int32)
+        intact, dropped = np.zeros((2, *((1, 1, 1) if alone else shape)), dtype=np.int32)
         whole, action, *reserved = (_edges(x, y, w, h, zone) for zone in ((0.0, 0.0, 1.0, 1.0), rules.action or (0.0, 0.0, 1.0, 1.0), *rules.reserved))
         for k in range(self.weight.shape[0]):
             cut = slice(0, int((self.number > k).sum()))
@@ -183,8 +186,9 @@ class Frames:
             lost = (1 - f) * (CLIP_PENALTY * least)
             lost *= ~(kept | gone)
             lost += DROP_PENALTY * least * gone
-            intact[..., cut] += kept
-            dropped[..., cut] += gone
+            if not alone:
+                intact[..., cut] += kept
+                dropped[..., cut] += gone
             inside = f >= 0.5
             if rules.action:
                 safe = held(core, action, cut)
@@ -211,7 +215,7 @@ class Frames:
         out = np.empty((len(y), len(x), len(frame)))
         for lo in range(0, len(frame), LANES):
             cut = slice(lo, lo + LANES)
-            out[..., cut] = np.moveaxis(self.take(frame[cut]).score(w[cut, None, None], h[cut, None, None], x[:, cut].T[:, None], y[:, cut].T[..., None], biggest, rules)[0], 0, -1)
+            out[..., cut] = np.moveaxis(self.take(frame[cut]).score(w[cut, None, None], h[cut, None, None], x[:, cut].T[:, None], y[:, cut].T[..., None], biggest, rules, True)[0], 0, -1)
         return out
 
     def _most(self, w, h, x, y, share: np.ndarray, biggest: float, rules: Rules) -> np.ndarray:

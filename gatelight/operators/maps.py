@@ -52,9 +52,11 @@ def bell(lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, n: int) -> np.ndarr
     first, last = (np.where(solid, np.clip(v, 0, n), 0).astype(int) for v in (np.floor(middle - 3 * spread), np.ceil(middle + 3 * spread)))
     rate = 1 / (spread * spread)
     slower = np.exp(-rate)
-    out, part = np.zeros((n + 1, m)), np.empty((ROWS, m))
+    out = np.empty((n + 1, m))
+    out[0] = 0.0
     for start in range(0, n, ROWS):
         stop = min(n, start + ROWS)
+        part = out[start + 1 : stop + 1]
         live = (first < stop) & (last > start)
         way = np.where(live, start - middle, 0.0)
         part[0] = weight * np.exp(-0.5 * way * way * rate) * live
@@ -67,8 +69,8 @@ def bell(lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, n: int) -> np.ndarr
             length = end[some] - begin[some]
             upto = np.cumsum(length)
             part.ravel()[np.arange(length.sum()) * m + np.repeat((begin[some] - start - upto + length) * m + some, length)] = 0.0
-        for k in range(stop - start):
-            np.add(out[start + k], part[k], out=out[start + k + 1])
+        for k in range(start, stop):
+            out[k + 1] += out[k]
     return out
 
 
