@@ -26,7 +26,7 @@ LEAST_KEPT = 0.6  # of the primary face, for any composition
 ANCHOR, ANCHOR_SIZE = 0.55, 0.6
 W_COVERAGE, W_COMPOSITION, W_SCALE = 1.0, 0.55, 0.22
 PART, SUBJECTS = 1024, 12288  # frames, and subjects of them, whose profiles are held at a time
-CHUNK = 128  # frames whose grids are bounded at a time: their arrays stay in the cache
+CHUNK = 64  # frames whose grids are bounded at a time: their arrays stay in the cache
 BLOCK = 4  # places a side of the blocks that grids are bounded by
 LANES = 1024  # blocks of windows scored at a time
 SLACK = 2e-4  # what a bound in single precision may be wrong by, many times over
